@@ -20,6 +20,7 @@ ids stand together, in the order of their tokens; an empty table gives no blocks
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -41,7 +42,7 @@ MAGIC = b"RANSBLK1"
 HEAD = struct.Struct("<8sIIIIQIII")
 DOCUMENT = np.dtype([("id", "<i8"), ("n", "<u4"), ("flags", "u1")])
 FIRST, LAST, NO_ID = 1, 2, 4
-CACHE = 500_000
+CACHE = 400_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -55,7 +56,9 @@ class Tokens:
     Such a tokenizer splits a text into words and punctuation before it merges, and never merges
     across: so a text may be cut where such a piece surely begins (a space after a character that
     is none; a character that is no letter after a letter) and its parts encoded alone.  Texts that
-    hold one of the tokenizer's special strings are encoded whole.
+    hold one of the tokenizer's special strings are encoded whole, as is every text by a tokenizer
+    of another kind.  A part of letters alone is one piece, so it goes straight to the tokenizer's
+    model, in the letters that stand for its bytes.
     """
 
     def __init__(self, path: str):
@@ -65,16 +68,53 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.byte_level = made["normalizer"] is None and made["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        # the letter that stands for a byte: itself if it can be printed, else the next free one from 256 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of texts, each at least one id."""
+        model, out, rest = self.tokenizer.model, [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            if self.byte_level and t[t[0] == " " :].isalpha():
+                piece = t.encode().decode("latin-1").translate(self.letters)
+                out[i] = np.array([x.id for x in model.tokenize(piece)], np.uint32).tobytes()
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32).tobytes()
+        return out
+
+    def _lookup(self, texts: list[str]) -> list[bytes]:
+        """Ids of distinct texts, from the cache where it has them; what hasn't been met for long drops out."""
+        if len(self.recent) > CACHE:
+            self.older, self.recent = self.recent, {}
+        recent, older, new, out = self.recent, self.older, [], []
+        for i, t in enumerate(texts):
+            ids = recent.get(t)
+            if ids is None:
+                ids = older.get(t)
+                if ids is None:
+                    new.append(i)
+                else:
+                    recent[t] = ids
+            out.append(ids)
+        for i, ids in zip(new, self._encode([texts[i] for i in new]), strict=True):
+            out[i] = ids
+            if len(texts[i]) < 64:
+                recent[texts[i]] = ids
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and their number in each."""
         data, offsets = text_bytes(column)
         rows = len(column)
-        whole = np.zeros(rows, bool)
+        whole = np.full(rows, not self.byte_level)
         for s in self.special:
             whole |= np.asarray(pc.match_substring(column, s))
         begins = np.zeros(data.size + 1, bool)
@@ -93,13 +133,7 @@ class Tokens:
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
         where = np.concatenate([starts, [data.size]]).astype(np.int32)
         parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        texts = parts.dictionary.to_pylist()
-        if len(self.cache) + len(texts) > CACHE:
-            self.cache.clear()
-        new = [t for t in texts if t not in self.cache]
-        known = dict(zip(new, self._encode(new), strict=True))
-        self.cache.update((t, i) for t, i in known.items() if len(t) < 64)
-        each = [known[t] if t in known else self.cache[t] for t in texts]
+        each = self._lookup(parts.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(each), np.uint32)
         sizes = np.fromiter((len(b) >> 2 for b in each), np.int64, len(each))
         index = parts.indices.to_numpy()
