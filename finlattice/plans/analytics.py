@@ -259,7 +259,7 @@ def information_coefficients(spark: S, sf: str) -> D:
     return rounded(statistics.information_coefficients(_long(spark, sf)), 5)
 
 
-@query(f"""WITH {_PANEL}, w AS (SELECT factor, corr(value, forward) OVER x AS ic, count(*) OVER x AS n FROM u WINDOW x AS (PARTITION BY factor, symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+@query(f"""WITH {_PANEL}, w AS (SELECT factor, CASE WHEN isnan(corr(value, forward) OVER x) THEN NULL ELSE corr(value, forward) OVER x END AS ic, count(*) OVER x AS n FROM u WINDOW x AS (PARTITION BY factor, symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT factor, round(avg(ic), 4) + 0.0 AS ic_mean, round(stddev_samp(ic), 4) AS ic_std, round(avg(ic) / stddev_samp(ic), 4) + 0.0 AS ic_ir FROM w WHERE n = 20 GROUP BY factor""")
 def rolling_ic(spark: S, sf: str) -> D:
     return rounded(statistics.rolling_ic(_long(spark, sf)), 4)
