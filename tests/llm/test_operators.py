@@ -1,0 +1,356 @@
+"""Each training-data operator against brute force and on odd rows."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from finlattice.llm import decontam, language_id, mixing, ngram_join, quality, queries, rans, token_counts, token_files, topk, url_filter, warc
+from finlattice.llm.components import components
+from finlattice.llm.shared import shared_folder
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, id long"  # size and id clash with names inside
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(n, seed):
+    r = np.random.default_rng(seed)
+    return " ".join(WORDS[i] + str(r.integers(100)) for i in r.integers(0, len(WORDS), n))
+
+
+def documents(spark, texts, sources=None):
+    rows = [(i, t, "en", sources[i] if sources else f"s{i % 3}", 0, 7, 9) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+# 1
+
+
+def judge(host, path, rules):
+    best = None
+    for text, verdict in rules:
+        h, _, rest = text.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + rest) and (best is None or len(text) > len(best[0])):
+            best = text, verdict
+    return best
+
+
+@pytest.mark.parametrize("inline", [500, 0])
+def test_url_filter(spark, inline):
+    urls = [None, "", "no scheme", "http://", "http://COM/", "http://a.com", "https://WWW.Example.com/en/x?y#z", "http://example.com/en", "http://xexample.com/en/", "ftp://m.net/es/1", "http://net/fr/#a://b", "http://é.com/ü", "http://spam.org/x", "http://ads-track.org", "http://x.org/spam", "x://com:80/a", "http://www.example.com.org/en/"] * 2
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    rules = [url_filter.host_rule(*r) for r in queries.URL_RULES]
+    got = {r.page_id: r for r in url_filter.filter_urls(df, rules, inline_rules=inline).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].translate(str.maketrans(url_filter.UPPER, url_filter.LOWER)), m[2]) if m else ("", "")
+        best = judge(host, path, queries.URL_RULES)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, best and best[0])
+        assert got[i].verdict == (best[1] if best else "block" if got[i].pattern else "allow")
+    assert got[12].verdict == got[13].verdict == "block" and got[14].verdict == "allow"
+    assert url_filter.filter_urls(df.limit(0), rules, inline_rules=inline).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.index_rules([url_filter.Rule("x", "block", ".*", (), 1, "rule")])
+
+
+# 2
+
+
+def test_targets():
+    assert mixing.capped_targets([100, 100, 100], [1, 2, 3], 3) == pytest.approx([50, 100, 150])
+    assert mixing.capped_targets([10, 1000], [3, 1], 3) == pytest.approx([30, 980])
+    assert mixing.capped_targets([], [], 3) == [] and mixing.capped_targets([0, 5], [1, 2], 3) == [0.0, 5.0]
+
+
+def test_dual_with_overlapping_constraints(spark):
+    cells = spark.createDataFrame([(60.0, [0, 2]), (40.0, [0, 3]), (30.0, [1, 2]), (70.0, [1, 3])], "mass double, members array<int>")
+    lam = mixing.solve_dual(cells, [120.0, 80.0, 90.0, 110.0])
+    mass = {(0, 2): 60, (0, 3): 40, (1, 2): 30, (1, 3): 70}
+    tilted = {k: m * np.exp(lam[list(k)].sum()) for k, m in mass.items()}
+    for j, t in enumerate([120, 80, 90, 110]):
+        assert sum(v for k, v in tilted.items() if j in k) == pytest.approx(t, rel=1e-6)
+
+
+def test_mixing(spark):
+    texts = [prose(10 + i % 50, i) for i in range(300)] + [None, "", "\u00a0 x\ty"] + ["same words here"] * 900
+    sources = [["a", "b", None][i % 3] for i in range(303)] + ["hot"] * 900
+    docs = documents(spark, texts, sources)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(texts) and all(0 <= r.copies <= 3 for r in got)
+    sizes = Counter()
+    for t, s in zip(texts, sources):
+        sizes[s] += len(re.findall(mixing.WORD, t or ""))
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.copies * r["size"]
+        target[r.source] = r.target
+        assert r.source_size == sizes[r.source]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = mixing.capped_targets([sizes[s] for s in order], [[1, 2, 3][i % 3] for i in range(4)], 3)
+    for s, t in zip(order, want):
+        assert target[s] == pytest.approx(t) and abs(taken[s] - t) <= max(0.02 * t, 10)
+    again = {r.id: r.copies for r in mixing.mix(docs.repartition(7)).collect()}
+    assert again == {r.id: r.copies for r in got}
+    repeated = mixing.resample(docs)
+    assert repeated.columns == docs.columns and repeated.count() == sum(r.copies for r in got)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+# 3
+
+
+def test_token_counts(spark):
+    store = shared_folder(spark, "counts")
+    token_counts.create(spark, store)
+    schema = "op string, seq int, doc_id long, tokenizer string, source string, lang string, n_tokens long"
+    first = spark.createDataFrame([("insert", 0, i, "t", "s" if i % 2 else None, "en", 10 + i) for i in range(6)] + [("insert", 0, None, "t", "s", "en", 5), ("insert", 1, 0, "t", None, "en", 99)], schema)
+    assert token_counts.commit(spark, store, "one", first) and not token_counts.commit(spark, store, "one", first)
+    second = spark.createDataFrame([("revise", 0, 1, "t", "s", "de", 1), ("delete", 0, 2, "t", None, None, None), ("delete", 0, 77, "t", None, None, None)], schema)
+    assert token_counts.commit(spark, store, "two", second)
+    assert token_counts.commit(spark, store, "three", second.limit(0))
+    got = {(r.source, r.lang): (r.docs, r.tokens) for r in token_counts.totals(spark, store).collect()}
+    assert got == {(None, "en"): (2, 99 + 14), ("s", "en"): (2, 13 + 15), ("s", "de"): (1, 1)}
+    assert token_counts.live(spark, store).count() == 5
+
+
+def test_token_counts_are_the_tokenizers(spark):
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
+    texts = [prose(30, i) for i in range(20)] + [None, ""]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(documents(spark, texts), queries.tokenizer_path(), "v").collect()}
+    assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+# 4
+
+
+def brute(texts, threshold=0.8):
+    pattern = re.compile("[0-9a-z\u0080-\U0010ffff]+")
+    sets = []
+    for t in texts:
+        w = pattern.findall((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root, links = list(range(len(texts))), Counter()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and len(a & b) >= threshold * len(a | b) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root, links
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates(spark, block):
+    texts = [prose(60, i) for i in range(30)]
+    base = prose(120, 99).split()
+    for i in range(40):  # a chain of near copies
+        copy = list(base)
+        for j in range(i % 7):
+            copy[(i * 13 + j * 17) % 120] = f"new{i}x{j}"
+        texts.append(" ".join(copy))
+    texts += [texts[0]] * 5 + [texts[1].upper() + "!"] + ["one two", "One, two", "", None, None, prose(5000, 5)]
+    root, links = brute(texts)
+    got = {r.id: r for r in ngram_join.near_duplicates(documents(spark, texts), group_block=block).collect()}
+    assert {i: r.class_id for i, r in got.items()} == dict(enumerate(root))
+    assert {i: r.n_links for i, r in got.items()} == {i: links[i] for i in range(len(texts))}
+    kept = ngram_join.one_of_each(documents(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def test_near_duplicates_odd_tables(spark):
+    docs = documents(spark, [prose(20, 1)] * 2)
+    assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
+    twice = docs.where("doc_id = 0").union(docs.where("doc_id = 0"))
+    assert [r.n_links for r in ngram_join.near_duplicates(twice).collect()] == [1, 1]
+    assert ngram_join.one_of_each(twice).count() == 1
+    lost = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert ngram_join.near_duplicates(lost).count() == 0 and ngram_join.one_of_each(lost).count() == 2
+
+
+def test_prefix_depth_reaches_the_recall():
+    d = ngram_join.prefix_depth()
+    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95)] + [(7, 7)]
+    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys((90, 95, 100), 90)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 5
+
+
+def test_warc(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 1000)
+    sep = warc.SEPARATOR.decode()
+    pages = ["short", None, "", "é" * 3000, "WARC/1.1\r\nx", "a\r\n\r\nWARC/1.1", sep * 200, "x" * 999 + sep, "short", "\r\n" * 1500, "é" * 3000, "WARC/1.1\r\n" * 300 + "\r\n\r\n"]
+    df = spark.createDataFrame([(i, None if i == 3 else f"http://x/{i} a", h, "t") for i, h in enumerate(pages)], "page_id long, url string, html string, type string")
+    path = shared_folder(spark, "warc")
+    warc.write_warc(df, path)
+    got = {r.id: r for r in warc.read_records(spark, path).collect()}
+    raw = [(h or "").encode() for h in pages]
+    last = {b: i for i, b in enumerate(raw)}
+    for i, b in enumerate(raw):
+        r = got[i]
+        assert (r.payload_bytes, r.payload_digest) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if last[b] == i else ("revisit", last[b]))
+    whole = {}
+    for r in sorted(warc.read_chunks(spark, path).collect(), key=lambda r: (r.id, r.chunk)):
+        whole[r.id] = whole.get(r.id, b"") + bytes(r.data)
+    assert all(whole[i] == b for i, b in enumerate(raw) if last[b] == i)
+    warc.write_warc(df.limit(0), path + "-none")
+    assert warc.read_records(spark, path + "-none").count() == 0
+    warc.write_warc(df, path + "-large", smallest=100)
+    assert {r.id for r in warc.read_records(spark, path + "-large").where("record_type = 'revisit'").collect()} == {3}
+
+
+def test_cut_never_leaves_a_separator():
+    r = np.random.default_rng(3)
+    parts = [b"\r\n", b"WARC/1.1", b"\r\n\r\n", b"x", b"WARC/1.1\r\n"]
+    for _ in range(200):
+        data = b"".join(parts[i] for i in r.integers(0, 5, 30))
+        pieces = [bytes(p) for p in warc.cut(data, 20)]
+        assert b"".join(pieces) == data and all(warc.SEPARATOR not in b"\r\n\r\n" + p + b"\r\n\r\n" for p in pieces)
+
+
+# 6
+
+
+def test_decontamination(spark):
+    item, short = prose(25, 1), "Tiny Item"
+    texts = [prose(30, 2), "x " + item.upper().replace(" ", ", ") + " y", item + " " + item, " ".join(item.split()[:9]), "a tiny,item b", "tiny items", None, "", "z" * 10 + " " + " ".join(item.split()[3:13])]
+    bench = spark.createDataFrame([("b10", item), ("b9", short), ("n", None), ("e", "..."), ("b10x", item)], "item_id string, text string")
+    docs = documents(spark, texts)
+    for most in (2_000_000, 1):
+        got = {r.doc_id: r for r in decontam.find_overlap(docs, bench, part_windows=most).select("doc_id", "overlap.*", decontam.hit_words().alias("n_hit")).collect()}
+        assert [got[i].n_hit for i in range(9)] == [0, 25, 50, 0, 2, 0, 0, 0, 10]
+        assert [got[i]["items"] for i in (1, 4, 8)] == [["b10", "b10x"], ["b9"], ["b10", "b10x"]]
+        assert got[6].n_words == 0 and got[1].n_words == 27
+    assert sorted(r.doc_id for r in decontam.drop_documents(docs, bench).collect()) == [0, 3, 5, 6, 7]
+    cut = {r.doc_id: r.text for r in decontam.cut_spans(docs, bench).collect()}
+    assert cut[1] == "x  y" and cut[0] == texts[0] and cut[2].strip() == "" and cut[6] is None
+    assert decontam.drop_documents(docs, bench.limit(0)).count() == 9 and decontam.find_overlap(docs.limit(0), bench).count() == 0
+
+
+# 7 and 9
+
+
+def test_quality(spark):
+    good, bad = [prose(40, i) for i in range(60)], [prose(40, i).upper().replace(" ", "!! ") for i in range(60)]
+    docs = documents(spark, good + bad + [None, "", "x" * 200_000])
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 120, 2)] + [(None, 1, 0), (4, None, 1), (9999, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    scored = quality.score(docs, model)
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert all(got[i] > 0.7 for i in range(60)) and all(got[i] < 0.3 for i in range(60, 120))
+    assert got[120] == got[121] == pytest.approx(model.prior) and 0 <= got[122] <= 1
+    assert scored.columns == [*docs.columns, "score"]
+    none = quality.fit(docs, labels.limit(0))
+    assert {r.score for r in quality.score(docs, none).collect()} == {none.prior}
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_language(spark):
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmnü"}
+    r = np.random.default_rng(1)
+    rows = [(i, " ".join("".join(r.choice(list(letters[c]), 6)) for _ in range(12)), c, "s", 0, 1, 1) for i, c in enumerate(["aa", "bb", "cc"] * 40)]
+    odd = [(200, None, "aa", None, 0, 1, 1), (201, "123 !?", "aa", None, 0, 1, 1), (202, "", None, None, 0, 1, 1), (None, "abc", None, None, 0, 1, 1)]
+    docs = spark.createDataFrame(rows + odd, DOCS)
+    model = language_id.fit(docs.where("doc_id % 2 = 0"))
+    out = language_id.identify(docs, model)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in out.collect()}
+    assert all(got[i][0] == c for i, _, c, *_ in rows) and got[200] == got[201] == got[202] == ("und", 0.0)
+    assert all(0 <= s <= 1 for _, s in got.values())
+    assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(docs.limit(0))).collect()} == {"und"}
+
+
+def test_kernel_weights_fold():
+    sets = [np.array([1, 2, 3]), np.array([2, 3, 9]), np.array([7, 8]), np.array([8, 9])]
+    m = language_id.Model(["a", "b"], sets, np.array([0, 0, 1, 1]))
+    assert m.weights[[1, 2, 3], 0].sum() > 0 > m.weights[[7, 8], 0].sum()
+
+
+# 8
+
+
+def test_rans_round_trip():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 1023, 1024, 5000):
+        s = np.minimum(r.zipf(1.3, n), 49_999).astype(np.uint16)
+        coder = rans.Coder(rans.scaled(np.bincount(s, minlength=50_000) + (0 if n else 1)))
+        states, words = coder.encode(s)
+        assert (coder.decode(states, words, n) == s).all()
+    f = rans.scaled(np.array([10**12, 1, 0, 5]))
+    assert f.sum() == 1 << rans.SCALE_BITS and f[1] >= 1 and f[2] == 0
+    with pytest.raises(ValueError):
+        coder.decode(states, words[:-1] if len(words) else words, 4999)
+
+
+def test_words_encode_as_whole_texts():
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
+    t = token_files.Tokens(queries.tokenizer_path())
+    texts = ["Don't  stop\n\n now,é à×, \u00a0 x \u2003 y", "a<|endoftext|> b", "  lead", "x1y2 'll we'll", "日本 語", "e\u0301 é", "\t\r\n", "", "ab\x00 c", "%%% *** a!!! b"] * 2
+    r = np.random.default_rng(5)
+    pool = list(" \n\t'ab1.é×÷ \u00a0日\u0301<|>")
+    texts += ["".join(r.choice(pool, 40)) for _ in range(300)]
+    ids, many = t.encode(pa.array(texts))
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert many.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_token_files(spark, monkeypatch):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
+    monkeypatch.setattr(token_files, "BLOCK_TOKENS", 500)
+    texts = [prose(20, i) for i in range(40)] + [None, "", prose(3000, 1)]
+    docs = documents(spark, texts).repartition(5)
+    path = shared_folder(spark, "tokens")
+    token_files.write_tokens(docs, path, queries.tokenizer_path(), file_tokens=4000)
+    got = {r.doc_id: r for r in token_files.read_tokens(spark, path, with_ids=True).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        assert got[i].ids == ids and (got[i].start, got[i].n_tokens) == (start, len(ids))
+        assert got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    token_files.write_tokens(docs.limit(0), path + "-none", queries.tokenizer_path())
+    assert token_files.read_tokens(spark, path + "-none").count() == 0
+    odd = docs.limit(3).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))).union(docs.limit(1))
+    token_files.write_tokens(odd, path + "-odd", queries.tokenizer_path())
+    assert token_files.read_tokens(spark, path + "-odd").count() == 4
+    raw = bytearray(spark.read.format("binaryFile").load(f"{path}/blocks").where("length > 0").first().content)
+    raw[100] ^= 1
+    with pytest.raises(ValueError):
+        list(token_files.blocks_of(memoryview(bytes(raw))))
+
+
+# 10
+
+
+def test_topk(spark):
+    r = np.random.default_rng(2)
+    vectors = [list(map(float, v)) for v in r.standard_normal((400, 8))] + [[1.0] * 8] * 300
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(1000, None), (1050, [1.0, float("nan")]), (1100, [None, 1.0]), (1150, [2.0, float("inf")]), (1200, [3.0]), (None, [1.0] * 8)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    whole = {i: np.floor(256 * np.array(v + [0.0] * (8 - len(v)))).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    got = {}
+    for x in topk.top_k(df, F.col("vec_id") % 50 == 0, pivots=9, block=64).collect():
+        got.setdefault(x.query_id, {})[x["rank"]] = (x.score, x.id)
+    asked = [i for i in whole if i % 50 == 0]
+    assert sorted(got) == asked
+    for q in asked:
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
+        assert [got[q][k] for k in range(1, 6)] == [(-s, i) for s, i in best]
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    one = df.where("vec_id IN (50, 51, 52)")
+    assert topk.top_k(one, F.col("vec_id") % 50 == 0).count() == 2
