@@ -63,7 +63,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about most_bytes of text; a longer text stands alone."""
     _, offsets = text_bytes(column)
     start, rows = 0, len(column)

@@ -42,7 +42,7 @@ MAGIC = b"RANSBLK1"
 HEAD = struct.Struct("<8sIIIIQIII")
 DOCUMENT = np.dtype([("id", "<i8"), ("n", "<u4"), ("flags", "u1")])
 FIRST, LAST, NO_ID = 1, 2, 4
-CACHE = 400_000
+CACHE = 250_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -158,6 +158,7 @@ def tokenise(docs: DataFrame, path: str, end: int | None, id_: str = "doc_id", t
     """(id, n_tokens, ids, counts): a row of ids for each document, and of symbol counts for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # a reused worker may still hold what earlier stages read
         t = tokenizer(path)
         kind = np.uint16 if t.size <= 1 << 16 else np.uint32
         counts = np.zeros(t.size, np.int64)
