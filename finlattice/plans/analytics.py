@@ -13,7 +13,7 @@ from .registry import query
 from .relational import OUTCOMES, predictions
 
 S, D = SparkSession, DataFrame
-W = series.window()
+W = series.window
 _W = "WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)"
 
 
@@ -31,29 +31,29 @@ def _returns(spark: S, sf: str) -> D:
 
 @query(f"WITH {RETURNS} SELECT symbol, trade_date, round(ret, 6) + 0.0 AS ret, round(close / lag(close, 5) OVER w - 1, 6) + 0.0 AS ret5, round(ln(close / lag(close) OVER w), 6) + 0.0 AS log_ret FROM r {_W}")
 def returns(spark: S, sf: str) -> D:
-    return bars(spark, sf).select("symbol", "trade_date", r(series.change("close", W)).alias("ret"), r(series.change("close", W, 5)).alias("ret5"), r(series.log_change("close", W)).alias("log_ret"))
+    return bars(spark, sf).select("symbol", "trade_date", r(series.change("close", W())).alias("ret"), r(series.change("close", W(), 5)).alias("ret5"), r(series.log_change("close", W())).alias("log_ret"))
 
 
 @query(f"WITH {BARS} SELECT symbol, trade_date, round(avg(close) OVER {_rows(20)}, 4) AS ma20_partial, {_full(f'avg(close) OVER {_rows(60)}', 'close', 60, 4)} AS ma60 FROM bars")
 def moving_averages(spark: S, sf: str) -> D:
-    return bars(spark, sf).select("symbol", "trade_date", r(series.mean("close", W, 20, partial=True), 4).alias("ma20_partial"), r(series.mean("close", W, 60), 4).alias("ma60"))
+    return bars(spark, sf).select("symbol", "trade_date", r(series.mean("close", W(), 20, partial=True), 4).alias("ma20_partial"), r(series.mean("close", W(), 60), 4).alias("ma60"))
 
 
 @query(f"WITH {BARS}, b AS (SELECT symbol, trade_date, avg(close) OVER x AS m, stddev_samp(close) OVER x AS s, count(close) OVER x AS n FROM bars WINDOW x AS {_rows(20)}) SELECT symbol, trade_date, CASE WHEN n = 20 THEN round(m + 2 * s, 4) END AS upper, CASE WHEN n = 20 THEN round(m, 4) END AS middle, CASE WHEN n = 20 THEN round(m - 2 * s, 4) + 0.0 END AS lower FROM b")
 def bollinger_bands(spark: S, sf: str) -> D:
-    up, mid, low = series.bollinger("close", W)
+    up, mid, low = series.bollinger("close", W())
     return bars(spark, sf).select("symbol", "trade_date", r(up, 4).alias("upper"), r(mid, 4).alias("middle"), r(low, 4).alias("lower"))
 
 
 @query(f"WITH {RETURNS} SELECT symbol, trade_date, {_full(f'stddev_samp(ret) OVER {_rows(20)} * sqrt(252)', 'ret', 20)} AS volatility FROM r")
 def rolling_volatility(spark: S, sf: str) -> D:
-    return _returns(spark, sf).select("symbol", "trade_date", r(series.volatility("ret", W)).alias("volatility"))
+    return _returns(spark, sf).select("symbol", "trade_date", r(series.volatility("ret", W())).alias("volatility"))
 
 
 @query(f"WITH {BARS}, d AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * volume AS v FROM bars {_W}) SELECT symbol, trade_date, sum(v) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) + 0.0 AS obv FROM d")
 def on_balance_volume(spark: S, sf: str) -> D:
-    rows = bars(spark, sf).withColumn("v", series.on_balance_volume("close", "volume", W))
-    return rows.select("symbol", "trade_date", (series.running_sum("v", W) + 0.0).alias("obv"))
+    rows = bars(spark, sf).withColumn("v", series.on_balance_volume("close", "volume", W()))
+    return rows.select("symbol", "trade_date", (series.running_sum("v", W()) + 0.0).alias("obv"))
 
 
 @query(f"""WITH {BARS}, t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), d AS (SELECT *, tp - lag(tp) OVER w AS m FROM t {_W}),
@@ -67,14 +67,14 @@ def money_flow_index(spark: S, sf: str) -> D:
 @query(f"""WITH {BARS}, a AS (SELECT symbol, trade_date, list(high) OVER x AS h, list(low) OVER x AS l FROM bars WINDOW x AS {_rows(20)})
 SELECT symbol, trade_date, CASE WHEN len(h) = 20 THEN list_position(h, list_max(h)) / 20::DOUBLE * 100 END AS up, CASE WHEN len(l) = 20 THEN list_position(l, list_min(l)) / 20::DOUBLE * 100 END AS down FROM a""")
 def aroon(spark: S, sf: str) -> D:
-    return bars(spark, sf).select("symbol", "trade_date", series.aroon("high", W, 20, True).alias("up"), series.aroon("low", W, 20, False).alias("down"))
+    return bars(spark, sf).select("symbol", "trade_date", series.aroon("high", W(), 20, True).alias("up"), series.aroon("low", W(), 20, False).alias("down"))
 
 
 @query(f"""WITH {BARS}, t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {_W})
 SELECT symbol, trade_date, round(avg(tr) OVER {_rows(14)}, 4) AS atr, CASE WHEN count(*) OVER {_rows(60)} = 60 THEN round(close / max(high) OVER {_rows(60)}, 6) END AS to_high, round((close - min(close) OVER {_rows(60)}) / (max(close) OVER {_rows(60)} - min(close) OVER {_rows(60)} + 1e-8), 6) + 0.0 AS place FROM t""")
 def ranges(spark: S, sf: str) -> D:
-    rows = bars(spark, sf).withColumn("tr", series.true_range(W))
-    return rows.select("symbol", "trade_date", r(F.avg("tr").over(series.last(W, 14)), 4).alias("atr"), r(F.col("close") / series.highest("high", W, 60)).alias("to_high"), r(series.min_max("close", W)).alias("place"))
+    rows = bars(spark, sf).withColumn("tr", series.true_range(W()))
+    return rows.select("symbol", "trade_date", r(F.avg("tr").over(series.last(W(), 14)), 4).alias("atr"), r(F.col("close") / series.highest("high", W(), 60)).alias("to_high"), r(series.min_max("close", W())).alias("place"))
 
 
 @query(f"""WITH {BARS}, t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), f AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * tp * volume AS flow FROM t {_W}),
@@ -110,12 +110,12 @@ SELECT symbol, trade_date, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION B
   coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING), first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS filled_back FROM g""")
 def fill_gaps(spark: S, sf: str) -> D:
     rows = bars(spark, sf).select("symbol", "trade_date", F.when(F.dayofmonth("trade_date") % 3 != 0, F.col("close")).alias("c"))
-    return rows.select("symbol", "trade_date", series.fill("c", W).alias("filled"), series.fill("c", W, backward=True).alias("filled_back"))
+    return rows.select("symbol", "trade_date", series.fill("c", W()).alias("filled"), series.fill("c", W(), backward=True).alias("filled_back"))
 
 
 @query(f"WITH {BARS} SELECT symbol, trade_date, round((close / first_value(close) OVER w - 1) * 100, 6) + 0.0 AS rebased FROM bars {_W}")
 def rebased_curve(spark: S, sf: str) -> D:
-    return bars(spark, sf).select("symbol", "trade_date", r(series.rebased("close", W)).alias("rebased"))
+    return bars(spark, sf).select("symbol", "trade_date", r(series.rebased("close", W())).alias("rebased"))
 
 
 @query(f"""WITH {BARS}, k AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS b, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
@@ -131,8 +131,8 @@ def z_scores(spark: S, sf: str) -> D:
 
 @query(f"WITH {RETURNS}, q AS (SELECT symbol, trade_date, ret, volume / lag(volume) OVER w - 1 AS vc FROM r {_W}) SELECT symbol, trade_date, round(greatest(-1.0, least(1.0, -coalesce(CASE WHEN isnan(corr(ret, vc) OVER x) THEN 0 ELSE corr(ret, vc) OVER x END, 0))), 4) + 0.0 AS divergence FROM q WINDOW x AS {_rows(10)}")
 def price_volume_divergence(spark: S, sf: str) -> D:
-    rows = _returns(spark, sf).withColumn("vc", series.change("volume", W))
-    return rows.select("symbol", "trade_date", r(series.price_volume_divergence("ret", "vc", W), 4).alias("divergence"))
+    rows = _returns(spark, sf).withColumn("vc", series.change("volume", W()))
+    return rows.select("symbol", "trade_date", r(series.price_volume_divergence("ret", "vc", W()), 4).alias("divergence"))
 
 
 @query(f"WITH {RETURNS} SELECT symbol, trade_date, round(ret, 6) + 0.0 AS x0, round(lead(ret, 2) OVER w, 6) + 0.0 AS x1, round(lead(ret, 4) OVER w, 6) + 0.0 AS x2 FROM r {_W} QUALIFY lead(ret, 4) OVER w IS NOT NULL")
@@ -239,7 +239,7 @@ u AS (SELECT symbol, trade_date, factor, value, forward FROM (SELECT symbol, tra
 def _long(spark: S, sf: str) -> D:
     rows = bars(spark, sf)
     panel = factor_panel(rows, _SMALL, with_python=False).select("symbol", "trade_date", *_FACTORS)
-    forward = rows.select("symbol", "trade_date", (F.lead("close", 5).over(W) / F.col("close") - 1).alias("forward"))
+    forward = rows.select("symbol", "trade_date", (F.lead("close", 5).over(W()) / F.col("close") - 1).alias("forward"))
     return statistics.long_factors(panel.join(forward, ["symbol", "trade_date"]), _FACTORS, "forward")
 
 
@@ -324,7 +324,7 @@ def trend_prediction(spark: S, sf: str) -> D:
 
 @query()
 def fallback_prediction(spark: S, sf: str) -> D:
-    rows = with_recurrences(bars(spark, sf)).join(_returns(spark, sf).select("symbol", "trade_date", series.deviation("ret", W, 20).alias("vol20")), ["symbol", "trade_date"])
+    rows = with_recurrences(bars(spark, sf)).join(_returns(spark, sf).select("symbol", "trade_date", series.deviation("ret", W(), 20).alias("vol20")), ["symbol", "trade_date"])
     return monitoring.fallback_prediction(rows)
 
 
@@ -332,7 +332,7 @@ def fallback_prediction(spark: S, sf: str) -> D:
 b AS (SELECT symbol, max_by(list_position(h, list_max(h)) * 5.0, trade_date) AS u, max_by(list_position(l, list_min(l)) * 5.0, trade_date) AS d FROM a GROUP BY symbol)
 SELECT symbol, CASE WHEN u >= 70 AND d <= 30 THEN '强势' WHEN d >= 70 AND u <= 30 THEN '弱势' WHEN u > d THEN '偏多' ELSE '偏空' END AS aroon_signal FROM b""")
 def overbought_signals(spark: S, sf: str) -> D:
-    rows = bars(spark, sf).select("symbol", "trade_date", series.aroon("high", W, 20, True).alias("up"), series.aroon("low", W, 20, False).alias("down"))
+    rows = bars(spark, sf).select("symbol", "trade_date", series.aroon("high", W(), 20, True).alias("up"), series.aroon("low", W(), 20, False).alias("down"))
     now = rows.groupBy("symbol").agg(F.max_by(F.struct("up", "down"), "trade_date").alias("s"))
     found = series.overbought_signals(F.lit(50.0), F.lit(50.0), F.col("s.up"), F.col("s.down"))
     return now.select("symbol", found["aroon_signal"].alias("aroon_signal"))
