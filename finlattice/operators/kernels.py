@@ -80,23 +80,21 @@ def morlet(x: np.ndarray, scales: np.ndarray | None = None) -> tuple[np.ndarray,
 
 
 def _loess(y: np.ndarray, width: int, weights: np.ndarray) -> np.ndarray:
+    """Local lines through the `width` values around each value; all windows at once."""
     n, half = len(y), min(width, len(y)) // 2
-    out = np.empty(n)
-    for i in range(n):
-        a = min(max(0, i - half), max(0, n - width))
-        b = min(n, a + width)
-        t = np.arange(a, b) - i
-        d = np.abs(t) / (np.abs(t).max() + 1)
-        w = (1 - d**3) ** 3 * weights[a:b]
-        sw = w.sum()
-        if sw <= 0:
-            out[i] = y[i]
-            continue
-        mt, my = (w * t).sum() / sw, (w * y[a:b]).sum() / sw
-        var = (w * (t - mt) ** 2).sum()
-        slope = (w * (t - mt) * (y[a:b] - my)).sum() / var if var > 1e-12 else 0.0
-        out[i] = my - slope * mt
-    return out
+    first = np.clip(np.arange(n) - half, 0, max(0, n - width))
+    size = min(width, n)
+    t = first[:, None] + np.arange(size) - np.arange(n)[:, None]
+    near = np.lib.stride_tricks.sliding_window_view(y, size)[first]
+    d = np.abs(t) / (np.abs(t).max(axis=1, keepdims=True) + 1)
+    w = (1 - d**3) ** 3 * np.lib.stride_tricks.sliding_window_view(weights, size)[first]
+    sw = w.sum(axis=1)
+    some = np.where(sw > 0, sw, 1.0)
+    mt, my = (w * t).sum(axis=1) / some, (w * near).sum(axis=1) / some
+    off = t - mt[:, None]
+    var = (w * off**2).sum(axis=1)
+    slope = np.where(var > 1e-12, (w * off * (near - my[:, None])).sum(axis=1) / np.where(var > 1e-12, var, 1.0), 0.0)
+    return np.where(sw > 0, my - slope * mt, y)
 
 
 def stl(x: np.ndarray, period: int | None = None, inner: int = 2, outer: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -228,14 +226,16 @@ def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[float, i
     n, m = len(a), len(b)
     cost = np.full((n + 1, m + 1), np.inf)
     cost[0, 0] = 0
-    for i in range(1, n + 1):
-        low, high = (1, m) if band is None else (max(1, i - band), min(m, i + band))
-        gap = np.abs(a[i - 1] - b[low - 1 : high])
-        up = np.minimum(cost[i - 1, low : high + 1], cost[i - 1, low - 1 : high])
-        left = cost[i, low - 1]
-        for j, (g, u) in enumerate(zip(gap.tolist(), up.tolist(), strict=True), low):
-            left = g + min(u, left)
-            cost[i, j] = left
+    flat, back = cost.reshape(-1), b[::-1]
+    for s in range(2, n + m + 1):  # the cells with i + j = s lie m apart in flat and need only those of s - 1 and s - 2
+        low, high = max(1, s - m), min(n, s - 1)
+        if band is not None:
+            low, high = max(low, (s - band + 1) // 2), min(high, (s + band) // 2)
+        if low > high:
+            continue
+        x, k = low * m, (high - low) * m + 1
+        before = np.minimum(np.minimum(flat[s - 2 - m + x :][:k:m], flat[s - 1 - m + x :][:k:m]), flat[s - 1 + x :][:k:m])
+        flat[s + x :][:k:m] = np.abs(a[low - 1 : high] - back[m - s + low : m - s + high + 1]) + before
     if not np.isfinite(cost[n, m]):
         return math.inf, 0
     i, j, steps = n, m, 1

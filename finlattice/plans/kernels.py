@@ -44,7 +44,7 @@ def wavelet_power(spark: S, sf: str) -> D:
 @query()
 def stl_parts(spark: S, sf: str) -> D:
     def parts(x: np.ndarray) -> list[tuple]:
-        found = kernels.stl(x[-250:])
+        found = kernels.stl(x)
         return [] if found is None else [(i, *map(float, row)) for i, row in enumerate(zip(*found, strict=True))]
 
     return kernels.by_key(bars(spark, sf), parts, "i int, trend double, season double, remainder double", "close")
@@ -57,16 +57,15 @@ def adf_test(spark: S, sf: str) -> D:
 
 @query()
 def arima_forecast(spark: S, sf: str) -> D:
-    return kernels.by_key(bars(spark, sf), lambda x: kernels.arima(x[-400:]), "step int, forecast double, lower double, upper double, p int, d int, q int, aic double", "close")
+    return kernels.by_key(bars(spark, sf), kernels.arima, "step int, forecast double, lower double, upper double, p int, d int, q int, aic double", "close")
 
 
 @query()
 def dtw_between_symbols(spark: S, sf: str) -> D:
-    """Each symbol's last 60 closes against those of the symbol after it."""
-    w = series.window()
-    rows = bars(spark, sf).withColumn("_k", F.row_number().over(w.partitionBy("symbol").orderBy(F.desc("trade_date")))).where("_k <= 60")
-    curves = rows.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", "close"))), lambda r: r["close"]).alias("curve"))
-    pairs = curves.alias("a").join(curves.alias("b"), F.col("b.symbol").substr(1, 1).cast("int") == F.col("a.symbol").substr(1, 1).cast("int") + 1).select(F.col("a.symbol").alias("left_symbol"), F.col("b.symbol").alias("right_symbol"), F.col("a.curve").alias("x"), F.col("b.curve").alias("y"))
+    """The whole series of every two symbols warped onto each other: n (n - 1) / 2 pairs of n symbols, left below right."""
+    curves = bars(spark, sf).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", "close"))), lambda r: r["close"]).alias("curve"))
+    pairs = curves.alias("a").join(curves.alias("b"), F.col("a.symbol") < F.col("b.symbol")).select(F.col("a.symbol").alias("left_symbol"), F.col("b.symbol").alias("right_symbol"), F.col("a.curve").alias("x"), F.col("b.curve").alias("y"))
+    pairs = pairs.repartition("left_symbol", "right_symbol")
 
     @F.pandas_udf("struct<distance:double,steps:int,normalised:double>")
     def distance(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -78,8 +77,8 @@ def dtw_between_symbols(spark: S, sf: str) -> D:
 
 @query()
 def similar_patterns(spark: S, sf: str) -> D:
-    """Where each symbol's last 20 closes have occurred before in its last 400."""
-    return kernels.by_key(bars(spark, sf), lambda x: kernels.similar_patterns(x[-20:], x[-400:-20], step=5), "rank int, begin int, distance double", "close")
+    """Where each symbol's last 20 closes have occurred before, at any offset of its whole history."""
+    return kernels.by_key(bars(spark, sf), lambda x: kernels.similar_patterns(x[-20:], x[:-20]), "rank int, begin int, distance double", "close")
 
 
 @query()
