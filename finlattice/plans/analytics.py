@@ -215,6 +215,7 @@ def price_overview(spark: S, sf: str) -> D:
 @query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i FROM r WHERE ret IS NOT NULL), m AS (SELECT symbol, avg(ret) AS mu, var_pop(ret) AS v, count(*) AS n FROM k GROUP BY symbol)
 SELECT a.symbol, CAST(l AS INTEGER) AS lag, round(sum((a.ret - mu) * (b.ret - mu)) / any_value(v * n), 6) + 0.0 AS acf FROM range(1, 21) t(l), k a JOIN k b ON a.symbol = b.symbol AND a.i = b.i + l JOIN m ON m.symbol = a.symbol GROUP BY ALL""")
 def autocorrelation(spark: S, sf: str) -> D:
+    """The first 20 lags, as in the SQL; autocorrelation_to_40 has all."""
     return rounded(statistics.autocorrelation(_returns(spark, sf), "ret", 20))
 
 
@@ -224,9 +225,27 @@ s AS (SELECT *, sum(x - mu) OVER (PARTITION BY symbol, l, c ORDER BY i ROWS UNBO
 rs AS (SELECT symbol, l, c, (max(w) - min(w)) / nullif(stddev_samp(x), 0) AS q FROM s GROUP BY ALL), a AS (SELECT symbol, ln(l) AS a, ln(avg(q)) AS b FROM rs WHERE q > 0 GROUP BY symbol, l)
 SELECT symbol, CASE WHEN count(*) >= 3 THEN round(regr_slope(b, a), 5) END AS hurst, CASE WHEN count(*) >= 3 THEN round(regr_r2(b, a), 5) END AS r2 FROM a GROUP BY symbol""")
 def hurst_exponent(spark: S, sf: str) -> D:
+    """Chunk lengths up to 60 only, as in the SQL; hurst_all_lengths has all."""
     return rounded(statistics.hurst(_returns(spark, sf), "ret", most_lag=60), 5)
 
 
+@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i FROM r WHERE ret IS NOT NULL), m AS (SELECT symbol, avg(ret) AS mu, var_pop(ret) AS v, count(*) AS n FROM k GROUP BY symbol)
+SELECT a.symbol, CAST(l AS INTEGER) AS lag, round(sum((a.ret - mu) * (b.ret - mu)) / any_value(v * n), 6) + 0.0 AS acf FROM range(1, 41) t(l), k a JOIN k b ON a.symbol = b.symbol AND a.i = b.i + l JOIN m ON m.symbol = a.symbol GROUP BY ALL""")
+def autocorrelation_to_40(spark: S, sf: str) -> D:
+    """All the lags of the report: min(40, n - 1)."""
+    return rounded(statistics.autocorrelation(_returns(spark, sf), "ret"))
+
+
+@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL),
+e AS (SELECT *, unnest(range(10, n // 4 + 1)) AS l FROM k), c AS (SELECT symbol, l, i // l AS c, i, x, avg(x) OVER (PARTITION BY symbol, l, i // l) AS mu FROM e WHERE (i // l + 1) * l <= n),
+s AS (SELECT *, sum(x - mu) OVER (PARTITION BY symbol, l, c ORDER BY i ROWS UNBOUNDED PRECEDING) AS w FROM c),
+rs AS (SELECT symbol, l, c, (max(w) - min(w)) / nullif(stddev_samp(x), 0) AS q FROM s GROUP BY ALL), a AS (SELECT symbol, ln(l) AS a, ln(avg(q)) AS b FROM rs WHERE q > 0 GROUP BY symbol, l)
+SELECT symbol, CASE WHEN count(*) >= 3 THEN round(regr_slope(b, a), 5) END AS hurst, CASE WHEN count(*) >= 3 THEN round(regr_r2(b, a), 5) END AS r2 FROM a GROUP BY symbol""")
+def hurst_all_lengths(spark: S, sf: str) -> D:
+    """Every chunk length from 10 to a quarter of the series."""
+    return rounded(statistics.hurst(_returns(spark, sf), "ret"), 5)
+
+
 # Factors.
 
 _SMALL = Periods(rsi=(14,), change=(5, 20), volatility=(20,), bollinger=(20,), average=(20,), true_range=(14,), volume=(10,), aroon=(20,), money_flow=(14,), quality=(20,), sentiment=(5,), levels=(20,), macd_pairs=())

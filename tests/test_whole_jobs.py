@@ -78,3 +78,21 @@ def test_fast_kernels_by_plain_loops():
             t = np.arange(first, min(n, first + width)) - i
             w = (1 - (np.abs(t) / (np.abs(t).max() + 1)) ** 3) ** 3 * weights[t + i]
             assert got == pytest.approx(np.polyfit(t, y[t + i], 1, w=np.sqrt(w))[1])
+
+
+def test_hurst_and_autocorrelation_use_every_lag(spark, sf):
+    found = {r.symbol: r for r in run(spark, sf, "hurst_all_lengths")}
+    acf = {(r.symbol, r.lag): r.acf for r in run(spark, sf, "autocorrelation_to_40")}
+    assert len(acf) == 40 * len(SYMBOLS)
+    for s in SYMBOLS:
+        x = np.diff(CLOSES[s]) / CLOSES[s][:-1]
+        n, points = len(x), []
+        for lag in range(10, n // 4 + 1):
+            chunks = x[: n // lag * lag].reshape(-1, lag)
+            walk = np.cumsum(chunks - chunks.mean(axis=1, keepdims=True), axis=1)
+            points.append((math.log(lag), math.log(((walk.max(axis=1) - walk.min(axis=1)) / chunks.std(axis=1, ddof=1)).mean())))
+        a, b = np.array(points).T
+        assert found[s].hurst == pytest.approx(np.polyfit(a, b, 1)[0], abs=2e-5) and found[s].r2 == pytest.approx(np.corrcoef(a, b)[0, 1] ** 2, abs=2e-5)
+        d = x - x.mean()
+        for lag in (1, 20, 21, 40):
+            assert acf[s, lag] == pytest.approx((d[lag:] * d[:-lag]).sum() / (d * d).sum(), abs=2e-6)
