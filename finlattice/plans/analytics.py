@@ -256,6 +256,7 @@ u AS (SELECT symbol, trade_date, factor, value, forward FROM (SELECT symbol, tra
 
 
 def _long(spark: S, sf: str) -> D:
+    """The four factors that have SQL."""
     rows = bars(spark, sf)
     panel = factor_panel(rows, _SMALL, with_python=False).select("symbol", "trade_date", *_FACTORS)
     forward = rows.select("symbol", "trade_date", (F.lead("close", 5).over(W()) / F.col("close") - 1).alias("forward"))
@@ -292,10 +293,41 @@ def group_returns(spark: S, sf: str) -> D:
 
 @query()
 def factor_turnover(spark: S, sf: str) -> D:
-    panel = factor_panel(bars(spark, sf), _SMALL, with_python=False)
+    panel = factor_panel(bars(spark, sf))
     return statistics.factor_turnover(panel, [c for c in panel.columns if c not in ("symbol", "trade_date", "close")])
 
 
+# The reports over every factor of the library.  The queries above are the part of them that has SQL.
+
+
+def _long_all(spark: S, sf: str) -> D:
+    rows = bars(spark, sf)
+    panel = factor_panel(rows).drop("close")
+    factors = [c for c in panel.columns if c not in ("symbol", "trade_date")]
+    forward = rows.select("symbol", "trade_date", (F.lead("close", 5).over(W()) / F.col("close") - 1).alias("forward"))
+    return statistics.long_factors(panel.join(forward, ["symbol", "trade_date"]), factors, "forward")
+
+
+@query()
+def factor_values_all(spark: S, sf: str) -> D:
+    return rounded(_long_all(spark, sf))
+
+
+@query()
+def information_coefficients_all(spark: S, sf: str) -> D:
+    return rounded(statistics.information_coefficients(_long_all(spark, sf)), 5)
+
+
+@query()
+def rolling_ic_all(spark: S, sf: str) -> D:
+    return rounded(statistics.rolling_ic(_long_all(spark, sf)), 4)
+
+
+@query()
+def group_returns_all(spark: S, sf: str) -> D:
+    return rounded(statistics.group_returns(_long_all(spark, sf)), 5)
+
+
 # Monitoring.
 
 

@@ -3,11 +3,13 @@
 import datetime
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
 import __spark_entry__ as registry
-from finlattice.operators import kernels
+from finlattice.operators import factors, kernels
+from finlattice.plans import inputs
 
 DAYS = 450
 SYMBOLS = ["1-URGENT", "3-MEDIUM", "5-LOW"]
@@ -96,3 +98,29 @@ def test_hurst_and_autocorrelation_use_every_lag(spark, sf):
         d = x - x.mean()
         for lag in (1, 20, 21, 40):
             assert acf[s, lag] == pytest.approx((d[lag:] * d[:-lag]).sum() / (d * d).sum(), abs=2e-6)
+
+
+def test_reports_cover_every_factor(spark, sf):
+    every = {f for names in factors.catalogue().values() for f in names}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet/*.parquet'")
+    for name in ("information_coefficients", "rolling_ic", "group_returns"):
+        got = registry.queries()[f"{name}_all"](spark, sf)
+        rows = {r.factor: r for r in got.collect()}
+        assert len(every) > 190 and set(rows) == every
+        columns = [c for c in got.columns if c != "factor"]
+        for factor, *values in duck.sql(f"SELECT factor, {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall():
+            values = [None if v != v else v for v in values]  # the correlation with a constant, as this fixture's volume is
+            assert [rows[factor][c] for c in columns] == pytest.approx(values, abs=2e-4)
+
+
+def test_turnover_ranks_every_factor(spark, sf):
+    panel = factors.factor_panel(inputs.bars(spark, sf)).where("symbol = '5-LOW'").orderBy("trade_date").toPandas()
+    names = [c for c in panel.columns if c not in ("symbol", "trade_date", "close")]
+    tops = []
+    for _, row in panel[names].iterrows():
+        held = sorted((-v, f) for f, v in row.items() if v is not None and v == v)
+        tops.append({f for _, f in held[: int(len(names) * 0.2)]})
+    want = [1 - len(a & b) / len(a | b) for a, b in zip(tops, tops[1:])]
+    got = [r.turnover for r in sorted(run(spark, sf, "factor_turnover"), key=lambda r: r.trade_date) if r.symbol == "5-LOW"]
+    assert got == pytest.approx(want)
