@@ -7,6 +7,10 @@ Newton's method finds lambda: each iteration is one distributed aggregation of t
 the Hessian.  Documents that share their constraints share a rate, so these aggregations run over
 the constraint cells (pre-aggregated token sums), not over documents.
 
+In mix() a document has one constraint, its source: the Hessian is diagonal and the minimum is
+exp(lambda) = target / size for each source by itself.  Sources stay a table then, whatever their
+number; only solve_dual(), for constraints that overlap, works on the driver.
+
 Rates are rounded into whole copies without losing the token targets: sizes are binned (exact up
 to EXACT_BINS words, then 64 bins an octave, so a source has a few thousand bins however large it
 is), copies are dealt to a source's bins from the largest size down, each bin taking on the
@@ -30,7 +34,7 @@ from .shared import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 EXACT_BINS = 1024
 BUCKET_ROWS = 1000
-#: The dual is solved on the driver, k x k; more constraints than this are refused.
+#: The dual of overlapping constraints is solved on the driver, k x k; more constraints than this are refused.
 MOST_CONSTRAINTS = 2000
 
 
@@ -39,7 +43,10 @@ def word_count(text: Column) -> Column:
 
 
 def capped_targets(sizes: list[int], weights: list[float], most_copies: float) -> list[float]:
-    """Shares of the sizes' sum by weight, none above most_copies times its size; the excess goes to the others."""
+    """Shares of the sizes' sum by weight, none above most_copies times its size; the excess goes to the others.
+
+    source_targets() does the same for a table of sources.
+    """
     total, targets = float(sum(sizes)), [0.0] * len(sizes)
     open_, left = [i for i, s in enumerate(sizes) if s > 0], total
     while open_:
@@ -56,6 +63,47 @@ def capped_targets(sizes: list[int], weights: list[float], most_copies: float) -
     return targets
 
 
+def capped_share(sources: DataFrame, weights: tuple[float, ...], most_copies: int) -> float:
+    """Words for a unit of weight, when sources (size, k: its weight's place) that this would take beyond most_copies stay there.
+
+    Each round is an aggregation to a row a weight, of whole numbers only; shares grow, so what is
+    at its cap stays there and the rounds end.
+    """
+    share, before = 0.0, -1
+    w = F.array(*[F.lit(float(x)) for x in weights])[F.col("k")]
+    while True:
+        full = F.lit(share) * w > F.col("source_size") * most_copies
+        sums = sources.where("source_size > 0").groupBy("k").agg(F.count_if(full).alias("full"), F.count_if(~full).alias("open"), F.sum("source_size").alias("size"), F.sum(F.when(full, F.col("source_size")).otherwise(0)).alias("held")).collect()
+        now = sum(r["full"] for r in sums)
+        if now == before or not any(r["open"] for r in sums):
+            return share
+        left = float(sum(r["size"] for r in sums) - most_copies * sum(r["held"] for r in sums))
+        share, before = max(share, left / sum(weights[r["k"]] * r["open"] for r in sorted(sums))), now
+
+
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], most_copies: int) -> DataFrame:
+    """(source, source_size, target, rate) of sizes (source, size); weights go round the sources by rank, null last.
+
+    Ranks come in two levels: ranges of sources, and places in a range.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialise(totals.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    first, begins = 0, []
+    for r in sorted(ranges.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row a range
+        begins += [F.lit(r.part), F.lit(first)]
+        first += r.n
+    begin = F.create_map(*begins)[F.col("part")] if begins else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + begin
+    sources = materialise(ranges.select("source", "source_size", F.pmod(place, F.lit(len(weights))).cast("int").alias("k")), "mix-sources")
+    share = capped_share(sources, weights, most_copies)
+    wanted = F.lit(share) * F.array(*[F.lit(float(x)) for x in weights])[F.col("k")]
+    target = F.when(F.col("source_size") > 0, F.least(wanted, (F.col("source_size") * most_copies).cast("double"))).otherwise(0.0)
+    rate = F.when(F.col("target") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most_copies)))).otherwise(0.0)
+    return sources.select("source", "source_size", target.alias("target")).withColumn("rate", rate)
+
+
 def solve_dual(cells: DataFrame, targets: list[float], tolerance: float = 1e-10, most_iterations: int = 60) -> np.ndarray:
     """lambda for cells (mass double, members array<int>: the constraints that hold for the cell).
 
@@ -103,7 +151,7 @@ def _deal(bins: pd.DataFrame) -> pd.DataFrame:
         k = int(np.clip(np.floor(wanted * n / words + 0.5), 0, n)) if words and rate - base > 1e-9 else 0
         carry = wanted - k * words / n
         extra.append(k)
-    return bins.assign(base=np.floor(bins.rate + 1e-9).astype("int32"), extra=extra)[["source", "bin", "n", "base", "extra"]]
+    return bins.assign(base=np.floor(bins.rate + 1e-9).astype("int32"), extra=extra)[["source", "bin", "n", "base", "extra", "source_size", "target", "rate"]]
 
 
 def size_bin(size: Column) -> Column:
@@ -113,21 +161,11 @@ def size_bin(size: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_copies: int = 3, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(id, source, size, source_size, target, rate, copies) for each row of docs."""
-    spark = docs.sparkSession
     sizes = materialise(docs.select(F.col(id_).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).withColumn("bin", size_bin(F.col("size"))), "mix-sizes")
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_CONSTRAINTS + 1).collect()
-    if len(totals) > MOST_CONSTRAINTS:
-        raise ValueError(f"more than {MOST_CONSTRAINTS} sources")
-    totals = sorted(totals, key=lambda r: (r.source is None, r.source or ""))  # Python orders texts by code point
-    targets = capped_targets([r["size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most_copies)
-    plan = spark.createDataFrame([(i, r.source, r["size"], t) for i, (r, t) in enumerate(zip(totals, targets, strict=True))], "i int, source string, source_size long, target double")
-    lam = solve_dual(plan.where("source_size > 0").select(F.col("source_size").cast("double").alias("mass"), F.array("i").alias("members")), targets) if totals else np.zeros(0)
-    rates = [min(float(np.exp(x)), float(most_copies)) if t > 0 else 0.0 for x, t in zip(lam, targets, strict=True)]
-    plan = spark.createDataFrame([(r.source, r["size"], t, x) for r, t, x in zip(totals, targets, rates, strict=True)], "source string, source_size long, target double, rate double")
-
+    plan = source_targets(sizes, weights, most_copies).withColumnRenamed("source", "s")
     bins = sizes.groupBy("source", "bin").agg(F.count("*").alias("n"), F.sum("size").cast("double").alias("words"))
-    bins = bins.join(F.broadcast(plan), bins.source.eqNullSafe(plan.source)).drop(plan.source)  # at most MOST_CONSTRAINTS rows
-    dealt = materialise(bins.select("source", "bin", "n", "words", "rate").groupBy("source").applyInPandas(_deal, "source string, bin int, n long, base int, extra long"), "mix-bins")
+    bins = bins.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    dealt = materialise(bins.groupBy("source").applyInPandas(_deal, "source string, bin int, n long, base int, extra long, source_size long, target double, rate double"), "mix-bins")
 
     hash_ = F.xxhash64("id")
     rows = sizes.join(dealt.withColumnRenamed("source", "s").withColumnRenamed("bin", "b"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).drop("s", "b")
@@ -137,8 +175,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_copi
     shift = F.when(F.col("n") <= BUCKET_ROWS, 0.0).otherwise(F.pmod(F.xxhash64("source", "bin", "bucket"), F.lit(1 << 20)) / float(1 << 20))
     quota = F.floor(F.col("extra") * F.count("*").over(bucket) / F.col("n") + shift + 1e-9)
     rows = rows.withColumn("copies", (F.col("base") + (rank <= quota).cast("int")).cast("int"))
-    out = rows.join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    return out.select("id", "source", "size", "source_size", "target", "rate", "copies")
+    return rows.select("id", "source", "size", "source_size", "target", "rate", "copies")
 
 
 def resample(docs: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:

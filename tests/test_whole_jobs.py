@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as registry
+from finlattice.llm import mixing
 from finlattice.operators import factors, kernels
 from finlattice.plans import inputs
 
@@ -124,3 +125,19 @@ def test_turnover_ranks_every_factor(spark, sf):
     want = [1 - len(a & b) / len(a | b) for a, b in zip(tops, tops[1:])]
     got = [r.turnover for r in sorted(run(spark, sf, "factor_turnover"), key=lambda r: r.trade_date) if r.symbol == "5-LOW"]
     assert got == pytest.approx(want)
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    n = mixing.MOST_CONSTRAINTS + 500
+    sources = [f"host{i:05d}.example" for i in range(n)] + [None, "\uffee", "\U0001f600"]
+    words = [1 + 40 * (i % 7 == 0) + i % 5 for i in range(len(sources))]
+    docs = spark.createDataFrame([(i, "w " * k, s) for i, (s, k) in enumerate(zip(sources, words))] + [(-1, "", "empty")], "doc_id long, text string, source string")
+    got = {r.source: r for r in mixing.mix(docs).collect()}
+    size = dict(zip(sources, words)) | {"empty": 0}
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want = mixing.capped_targets([size[s] for s in order], [[1, 2, 3][i % 3] for i in range(len(order))], 3)
+    assert len(got) == len(order) and {size[s] * 3 == t for s, t in zip(order, want)} == {True, False}
+    for s, t in zip(order, want):
+        rate = t / size[s] if t else 0
+        assert got[s].source_size == size[s] and got[s].target == pytest.approx(t) and got[s].rate == pytest.approx(rate)
+        assert math.floor(rate + 1e-9) <= got[s].copies <= math.ceil(rate - 1e-9)
