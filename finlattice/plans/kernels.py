@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kernels, ml, series
-from ..operators.factors import Periods, factor_panel
+from ..operators.factors import factor_panel
 from ..streaming import events
 from .inputs import bars, rounded, table
 from .registry import query
@@ -86,17 +86,20 @@ def entropies(spark: S, sf: str) -> D:
     return kernels.by_key(_returns(spark, sf), lambda x: [(kernels.sample_entropy(x), kernels.approximate_entropy(x))], "sample_entropy double, approximate_entropy double", "ret")
 
 
-_ML = Periods(rsi=(14,), change=(5, 20), volatility=(20,), bollinger=(20,), average=(20,), true_range=(14,), volume=(10,), aroon=(20,), money_flow=(14,), quality=(20,), sentiment=(5,), levels=(20,), macd_pairs=())
-
-
 @query()
 def ensemble_holdout(spark: S, sf: str) -> D:
-    """Forest and boosted trees on a chronological split, weighted by training AUC; metrics of the later rows."""
+    """Forest and boosted trees over the factor library on a chronological split; metrics of the later rows.
+
+    Factors are eliminated, rounds stopped (on the last fifth of the training days) and models
+    weighted on training rows only.
+    """
     rows = bars(spark, sf)
-    panel = ml.labelled_panel(factor_panel(rows, _ML, with_python=False).drop("close"), rows)
-    features = [c for c in panel.columns if c not in ("symbol", "trade_date", "forward", "label")]
+    panel = ml.labelled_panel(factor_panel(rows).drop("close"), rows).persist()
     train, test = ml.chronological_split(panel)
-    models = {"p_rf": ml.train_forest(train, features, 30, 5), "p_gb": ml.train_boosted(train, features, 10, 3)}
+    features = ml.eliminate(train, [c for c in panel.columns if c not in ("symbol", "trade_date", "forward", "label")], keep=15)
+    early, late = ml.chronological_split(train, 0.8)
+    marked = early.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    models = {"p_rf": ml.train_forest(train, features), "p_gb": ml.train_boosted(marked, features, validation="late")}
     fitted = train
     for name, m in models.items():
         fitted, test = ml.probabilities(m, fitted, features, name), ml.probabilities(m, test, features, name)

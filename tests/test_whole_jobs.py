@@ -9,8 +9,9 @@ import pytest
 
 import __spark_entry__ as registry
 from finlattice.llm import mixing
-from finlattice.operators import factors, kernels
+from finlattice.operators import factors, kernels, ml
 from finlattice.plans import inputs
+from finlattice.plans import kernels as plans
 
 DAYS = 450
 SYMBOLS = ["1-URGENT", "3-MEDIUM", "5-LOW"]
@@ -141,3 +142,43 @@ def test_mixing_takes_any_number_of_sources(spark):
         rate = t / size[s] if t else 0
         assert got[s].source_size == size[s] and got[s].target == pytest.approx(t) and got[s].rate == pytest.approx(rate)
         assert math.floor(rate + 1e-9) <= got[s].copies <= math.ceil(rate - 1e-9)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = np.random.default_rng(3)
+    rows = [(datetime.date(2024, 1, 1) + datetime.timedelta(days=i), *map(float, x), float(x[0] + x[1] > 0)) for i, x in enumerate(rng.standard_normal((240, 6)))]
+    return spark.createDataFrame(rows, "trade_date date, a double, b double, c double, d double, e double, f double, label double").coalesce(1).persist()
+
+
+def test_elimination_and_stacking(labelled):
+    found = ml.eliminate(labelled, list("abcdef"), keep=2, step=0.4, trees=10, depth=3)
+    assert {"a", "b"} <= set(found)
+    meta, bases, names = ml.stack(labelled, [lambda d, f: ml.train_forest(d, f, 10, 3), lambda d, f: ml.train_boosted(d, f, 3, 2)], ["a", "b"], n=2)
+    out = labelled
+    for model, name in zip(bases, names, strict=True):
+        out = ml.probabilities(model, out, ["a", "b"], name)
+    assert ml.auc(ml.probabilities(meta, out, names, "p"), "p").first()[0] > 0.9
+
+
+def test_the_ensemble_gets_the_library_and_default_models(spark, sf, monkeypatch):
+    seen = {}
+
+    def eliminate(train, features, **how):
+        seen.update(features=features, how=how, last=train.agg({"trade_date": "max"}).first()[0])
+        return features[:3]
+
+    def forest(train, features, *given, make=ml.train_forest, **how):
+        seen["forest"] = given, how
+        return make(train, features, 3, 2)
+
+    def boosted(train, features, *given, make=ml.train_boosted, **how):
+        seen["boosted"] = given, how
+        seen["late"] = {r.late: r.n for r in train.groupBy("late").count().withColumnRenamed("count", "n").collect()}
+        return make(train, features, 2, 2, **how)
+
+    for name, f in (("eliminate", eliminate), ("train_forest", forest), ("train_boosted", boosted)):
+        monkeypatch.setattr(plans.ml, name, f)
+    assert run(spark, sf, "ensemble_holdout")[0].mse is not None
+    assert set(seen["features"]) == {f for names in factors.catalogue().values() for f in names} and seen["how"] == {"keep": 15}
+    assert seen["forest"] == ((), {}) and seen["boosted"] == ((), {"validation": "late"}) and all(seen["late"][x] > 0 for x in (True, False))
