@@ -143,7 +143,7 @@ def factor_columns(p: Periods, w: Windows, columns: list[str]) -> dict[str, dict
     return {"momentum": _momentum(p, w), "volatility": _volatility(p, w), "volume": _volume(p, w), "proxies": _proxies(p, w), "shape": _shape(p, w), "optional": _optional(p, w, columns)}
 
 
-def factor_panel(df: DataFrame, p: Periods = Periods(), key: str = "symbol", date: str = "trade_date", filled: bool = False, look_ahead: bool = False, with_python: bool = True) -> DataFrame:
+def factor_panel(df: DataFrame, p: Periods = Periods(), key: str = "symbol", date: str = "bar_date", filled: bool = False, look_ahead: bool = False, with_python: bool = True) -> DataFrame:
     """(key, date, close, factors).
 
     filled: gaps take the value before them, then 0; look_ahead: before that, leading gaps take the

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def by_key(df: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], schema: str, value: str, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def by_key(df: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], schema: str, value: str, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """(key, schema): the rows that the kernel gives for each key's values in date order, nulls left out."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def labelled_panel(panel: DataFrame, bars: DataFrame, ahead: int = 5, threshold: float = 0.0, key: str = "symbol", date: str = "trade_date", price: str = "close") -> DataFrame:
+def labelled_panel(panel: DataFrame, bars: DataFrame, ahead: int = 5, threshold: float = 0.0, key: str = "symbol", date: str = "bar_date", price: str = "close") -> DataFrame:
     """Factor rows with the forward return and its class; rows with any gap go."""
     w = Window.partitionBy(key).orderBy(date)
     forward = bars.select(key, date, (F.lead(price, ahead).over(w) / F.nullif(F.col(price), F.lit(0.0)) - 1).alias("forward"))
     return panel.join(forward, [key, date]).dropna("any").withColumn("label", (F.col("forward") > threshold).cast("double"))
 
 
-def chronological_split(df: DataFrame, train: float = 0.7, date: str = "trade_date") -> tuple[DataFrame, DataFrame]:
+def chronological_split(df: DataFrame, train: float = 0.7, date: str = "bar_date") -> tuple[DataFrame, DataFrame]:
     """Rows up to the day by which a share of `train` has passed, and the later ones.
 
     The day comes from counts by day, so no task sorts all rows.
@@ -26,7 +26,7 @@ def chronological_split(df: DataFrame, train: float = 0.7, date: str = "trade_da
     return (df.limit(0), df) if cut is None else (df.where(F.col(date) <= F.lit(cut)), df.where(F.col(date) > F.lit(cut)))
 
 
-def folds(df: DataFrame, n: int = 5, date: str = "trade_date") -> list[tuple[DataFrame, DataFrame]]:
+def folds(df: DataFrame, n: int = 5, date: str = "bar_date") -> list[tuple[DataFrame, DataFrame]]:
     """Expanding windows: fold i trains on the first i of n + 1 spans of days and tests on the next."""
     days = df.select(date).distinct().withColumn("_t", F.ntile(n + 1).over(Window.orderBy(date)))  # a row a day
     marked = df.join(F.broadcast(days), date)

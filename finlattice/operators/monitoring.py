@@ -72,7 +72,7 @@ def gap_allowed(runs: DataFrame, ts: str = "ts", hours: float = 4.0, a_day: int
     return spaced.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= a_day).drop("_gap", "_n")
 
 
-def fallback_prediction(df: DataFrame, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def fallback_prediction(df: DataFrame, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """The rule for keys without a model: RSI bounds, else MACD's sign; size from recent volatility.
 
     df: (key, date, rsi_14, macd_hist, vol20 as the daily deviation of returns); the last row of each key decides.
@@ -84,7 +84,7 @@ def fallback_prediction(df: DataFrame, key: str = "symbol", date: str = "trade_d
     return last.select(key, "predict_date", up.cast("int").alias("direction"), F.when(up, size).otherwise(-size).alias("magnitude"), F.lit("technical").alias("source"))
 
 
-def trend_prediction(df: DataFrame, price: str = "close", points: int = 5, band: float = 0.02, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def trend_prediction(df: DataFrame, price: str = "close", points: int = 5, band: float = 0.02, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """Up, down or flat by the move over the last `points` rows against a band of 2 %."""
     back = df.withColumn("_back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(date)))).where(F.col("_back") <= points)
     ends = back.groupBy(key).agg(divide(F.max_by(price, date), F.min_by(price, date)).alias("_r"), F.max(date).alias("predict_date"))

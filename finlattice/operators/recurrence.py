@@ -34,7 +34,7 @@ def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) ->
     return line, smooth, line - smooth
 
 
-def with_recurrences(df: DataFrame, price: str = "close", emas: tuple[int, ...] = (), rsis: tuple[int, ...] = (14,), macds: tuple[tuple[int, int, int], ...] = ((12, 26, 9),), key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def with_recurrences(df: DataFrame, price: str = "close", emas: tuple[int, ...] = (), rsis: tuple[int, ...] = (14,), macds: tuple[tuple[int, int, int], ...] = ((12, 26, 9),), key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """(key, date) with ema_n, rsi_n, and macd, macd_signal and macd_hist (numbered after the first)."""
     names = [f"ema_{n}" for n in emas] + [f"rsi_{n}" for n in rsis]
     for i in range(len(macds)):

@@ -19,7 +19,7 @@ def _or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def risk_metrics(df: DataFrame, price: str = "close", key: str = "symbol", date: str = "trade_date", risk_free: float = RISK_FREE, target: float = 0.0) -> DataFrame:
+def risk_metrics(df: DataFrame, price: str = "close", key: str = "symbol", date: str = "bar_date", risk_free: float = RISK_FREE, target: float = 0.0) -> DataFrame:
     """Annual return, volatility, Sharpe, drawdown, Calmar, Sortino, win rate and profit-loss ratio.
 
     A year is 252 rows and the span of n rows is n / 252 years; ratios with a zero divisor are 0.
@@ -62,7 +62,7 @@ def value_at_risk(df: DataFrame, returns: str = "ret", alpha: float = 0.05, key:
     return below
 
 
-def benchmark_metrics(df: DataFrame, benchmark: DataFrame, returns: str = "ret", bench: str = "bench_ret", key: str = "symbol", date: str = "trade_date", risk_free: float = RISK_FREE, least: int = 10) -> DataFrame:
+def benchmark_metrics(df: DataFrame, benchmark: DataFrame, returns: str = "ret", bench: str = "bench_ret", key: str = "symbol", date: str = "bar_date", risk_free: float = RISK_FREE, least: int = 10) -> DataFrame:
     """Alpha, beta, R squared, information ratio and tracking error over the dates that both have.
 
     benchmark: (date, bench).  Below `least` common rows, or without variance, alpha is 0 and beta 1.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def range_scan(df: DataFrame, keys: list[str] | None = None, start: str | None = None, end: str | None = None, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def range_scan(df: DataFrame, keys: list[str] | None = None, start: str | None = None, end: str | None = None, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """Rows of some keys between two dates (both included); every filter reaches the scan."""
     if keys is not None:
         df = df.where(F.col(key).isin(keys))
@@ -29,13 +29,13 @@ def page_count(df: DataFrame, size: int) -> int:
     return math.ceil(df.count() / size)
 
 
-def last_n(df: DataFrame, n: int, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def last_n(df: DataFrame, n: int, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """The last n rows of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(date))
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def since_days(df: DataFrame, days: int, as_of: str, date: str = "trade_date", only: dict | None = None, strict: bool = False) -> DataFrame:
+def since_days(df: DataFrame, days: int, as_of: str, date: str = "bar_date", only: dict | None = None, strict: bool = False) -> DataFrame:
     """Rows of the last `days` days.
 
     only: {column: value}; where a value is given, the days are ignored unless strict.
@@ -88,7 +88,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).select(column).distinct()
 
 
-def first_and_last(df: DataFrame, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def first_and_last(df: DataFrame, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     return df.where(F.col(date).isNotNull()).groupBy(key).agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count("*").alias("n_rows"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation, divide
 
-KEY, DATE = "symbol", "trade_date"
+KEY, DATE = "symbol", "bar_date"
 TRADING_DAYS = 252
 
 

@@ -17,12 +17,12 @@ def basic_stats(df: DataFrame, c: str, key: str = "symbol") -> DataFrame:
     return sums.withColumn("jarque_bera", jb).withColumn("jb_p_value", F.exp(-F.col("jarque_bera") / 2))
 
 
-def overview(df: DataFrame, price: str = "close", key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def overview(df: DataFrame, price: str = "close", key: str = "symbol", date: str = "bar_date") -> DataFrame:
     sums = df.groupBy(key).agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count("*").alias("n"), F.min_by(price, date).alias("first_price"), F.max_by(price, date).alias("last_price"), F.max(price).alias("max_price"), F.min(price).alias("min_price"), F.avg(price).alias("mean_price"), F.stddev_samp(price).alias("std_price"))
     return sums.withColumn("change_pct", (divide(F.col("last_price"), F.col("first_price")) - 1) * 100)
 
 
-def autocorrelation(df: DataFrame, c: str, lags: int = 40, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def autocorrelation(df: DataFrame, c: str, lags: int = 40, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """(key, lag, acf), the biased estimate; a row of sums for each lag, no pairs of rows."""
     w = window(key, date)
     means = df.where(F.col(c).isNotNull()).groupBy(key).agg(F.avg(c).alias("_m"), F.var_pop(c).alias("_v"), F.count("*").alias("_n"))
@@ -33,7 +33,7 @@ def autocorrelation(df: DataFrame, c: str, lags: int = 40, key: str = "symbol",
     return sums.select(key, "_v", "_n", stack.alias("p")).where("p.lag < _n").select(key, "p.lag", divide(F.col("p.s"), F.col("_v") * F.col("_n")).alias("acf"))
 
 
-def hurst(df: DataFrame, c: str, key: str = "symbol", date: str = "trade_date", first_lag: int = 10, most_lag: int | None = None) -> DataFrame:
+def hurst(df: DataFrame, c: str, key: str = "symbol", date: str = "bar_date", first_lag: int = 10, most_lag: int | None = None) -> DataFrame:
     """(key, hurst, r2) by rescaled range: mean range over deviation of the chunks of each length, log-log slope.
 
     Chunk lengths run from first_lag to a quarter of the rows; a remainder is dropped, chunks
@@ -57,7 +57,7 @@ def average_rank(c: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
 
 
-def long_factors(panel: DataFrame, factors: list[str], forward: str, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def long_factors(panel: DataFrame, factors: list[str], forward: str, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """(key, date, factor, value, forward): finite pairs only."""
     rows = panel.unpivot([key, date, forward], [F.col(f).cast("double").alias(f) for f in factors], "factor", "value")
     ok = F.col("value").isNotNull() & F.col(forward).isNotNull() & ~F.isnan("value") & ~F.isnan(F.col(forward)) & (F.abs("value") < float("inf"))
@@ -72,7 +72,7 @@ def information_coefficients(rows: DataFrame, least: int = 10, by: tuple[str, ..
     return sums.select(*by, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("ic", "rank_ic")])
 
 
-def rolling_ic(rows: DataFrame, n: int = 20, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def rolling_ic(rows: DataFrame, n: int = 20, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """Mean, deviation and ratio of the IC over rolling windows of n rows."""
     w = Window.partitionBy("factor", key).orderBy(date)
     ic = rows.withColumns({"ic": correlation("value", "forward", last(w, n)), "_n": F.count("*").over(last(w, n))}).where(F.col("_n") == n)
@@ -93,7 +93,7 @@ def group_returns(rows: DataFrame, groups: int = 5) -> DataFrame:
     return out.withColumn("long_short", F.col(f"group_{groups}") - F.col("group_1"))
 
 
-def factor_turnover(panel: DataFrame, factors: list[str], top: float = 0.2, key: str = "symbol", date: str = "trade_date") -> DataFrame:
+def factor_turnover(panel: DataFrame, factors: list[str], top: float = 0.2, key: str = "symbol", date: str = "bar_date") -> DataFrame:
     """1 - Jaccard similarity of the top factors (by value, across columns) with the row before."""
     k = max(1, int(len(factors) * top))
     pairs = F.array(*[F.struct((-F.col(f)).alias("v"), F.lit(f).alias("f")) for f in factors])

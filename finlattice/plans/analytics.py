@@ -14,11 +14,11 @@ from .relational import OUTCOMES, predictions
 
 S, D = SparkSession, DataFrame
 W = series.window
-_W = "WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)"
+_W = "WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)"
 
 
 def _rows(n: int) -> str:
-    return f"(PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"(PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
 def _full(value: str, of: str, n: int, digits: int = 6) -> str:
@@ -29,123 +29,123 @@ def _returns(spark: S, sf: str) -> D:
     return series.with_returns(bars(spark, sf))
 
 
-@query(f"WITH {RETURNS} SELECT symbol, trade_date, round(ret, 6) + 0.0 AS ret, round(close / lag(close, 5) OVER w - 1, 6) + 0.0 AS ret5, round(ln(close / lag(close) OVER w), 6) + 0.0 AS log_ret FROM r {_W}")
+@query(f"WITH {RETURNS} SELECT symbol, bar_date, round(ret, 6) + 0.0 AS ret, round(close / lag(close, 5) OVER w - 1, 6) + 0.0 AS ret5, round(ln(close / lag(close) OVER w), 6) + 0.0 AS log_ret FROM r {_W}")
 def returns(spark: S, sf: str) -> D:
-    return bars(spark, sf).select("symbol", "trade_date", r(series.change("close", W())).alias("ret"), r(series.change("close", W(), 5)).alias("ret5"), r(series.log_change("close", W())).alias("log_ret"))
+    return bars(spark, sf).select("symbol", "bar_date", r(series.change("close", W())).alias("ret"), r(series.change("close", W(), 5)).alias("ret5"), r(series.log_change("close", W())).alias("log_ret"))
 
 
-@query(f"WITH {BARS} SELECT symbol, trade_date, round(avg(close) OVER {_rows(20)}, 4) AS ma20_partial, {_full(f'avg(close) OVER {_rows(60)}', 'close', 60, 4)} AS ma60 FROM bars")
+@query(f"WITH {BARS} SELECT symbol, bar_date, round(avg(close) OVER {_rows(20)}, 4) AS ma20_partial, {_full(f'avg(close) OVER {_rows(60)}', 'close', 60, 4)} AS ma60 FROM bars")
 def moving_averages(spark: S, sf: str) -> D:
-    return bars(spark, sf).select("symbol", "trade_date", r(series.mean("close", W(), 20, partial=True), 4).alias("ma20_partial"), r(series.mean("close", W(), 60), 4).alias("ma60"))
+    return bars(spark, sf).select("symbol", "bar_date", r(series.mean("close", W(), 20, partial=True), 4).alias("ma20_partial"), r(series.mean("close", W(), 60), 4).alias("ma60"))
 
 
-@query(f"WITH {BARS}, b AS (SELECT symbol, trade_date, avg(close) OVER x AS m, stddev_samp(close) OVER x AS s, count(close) OVER x AS n FROM bars WINDOW x AS {_rows(20)}) SELECT symbol, trade_date, CASE WHEN n = 20 THEN round(m + 2 * s, 4) END AS upper, CASE WHEN n = 20 THEN round(m, 4) END AS middle, CASE WHEN n = 20 THEN round(m - 2 * s, 4) + 0.0 END AS lower FROM b")
+@query(f"WITH {BARS}, b AS (SELECT symbol, bar_date, avg(close) OVER x AS m, stddev_samp(close) OVER x AS s, count(close) OVER x AS n FROM bars WINDOW x AS {_rows(20)}) SELECT symbol, bar_date, CASE WHEN n = 20 THEN round(m + 2 * s, 4) END AS upper, CASE WHEN n = 20 THEN round(m, 4) END AS middle, CASE WHEN n = 20 THEN round(m - 2 * s, 4) + 0.0 END AS lower FROM b")
 def bollinger_bands(spark: S, sf: str) -> D:
     up, mid, low = series.bollinger("close", W())
-    return bars(spark, sf).select("symbol", "trade_date", r(up, 4).alias("upper"), r(mid, 4).alias("middle"), r(low, 4).alias("lower"))
+    return bars(spark, sf).select("symbol", "bar_date", r(up, 4).alias("upper"), r(mid, 4).alias("middle"), r(low, 4).alias("lower"))
 
 
-@query(f"WITH {RETURNS} SELECT symbol, trade_date, {_full(f'stddev_samp(ret) OVER {_rows(20)} * sqrt(252)', 'ret', 20)} AS volatility FROM r")
+@query(f"WITH {RETURNS} SELECT symbol, bar_date, {_full(f'stddev_samp(ret) OVER {_rows(20)} * sqrt(252)', 'ret', 20)} AS volatility FROM r")
 def rolling_volatility(spark: S, sf: str) -> D:
-    return _returns(spark, sf).select("symbol", "trade_date", r(series.volatility("ret", W())).alias("volatility"))
+    return _returns(spark, sf).select("symbol", "bar_date", r(series.volatility("ret", W())).alias("volatility"))
 
 
-@query(f"WITH {BARS}, d AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * volume AS v FROM bars {_W}) SELECT symbol, trade_date, sum(v) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) + 0.0 AS obv FROM d")
+@query(f"WITH {BARS}, d AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * volume AS v FROM bars {_W}) SELECT symbol, bar_date, sum(v) OVER (PARTITION BY symbol ORDER BY bar_date ROWS UNBOUNDED PRECEDING) + 0.0 AS obv FROM d")
 def on_balance_volume(spark: S, sf: str) -> D:
     rows = bars(spark, sf).withColumn("v", series.on_balance_volume("close", "volume", W()))
-    return rows.select("symbol", "trade_date", (series.running_sum("v", W()) + 0.0).alias("obv"))
+    return rows.select("symbol", "bar_date", (series.running_sum("v", W()) + 0.0).alias("obv"))
 
 
 @query(f"""WITH {BARS}, t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), d AS (SELECT *, tp - lag(tp) OVER w AS m FROM t {_W}),
 f AS (SELECT *, CASE WHEN m > 0 THEN tp * volume ELSE 0 END AS u, CASE WHEN m < 0 THEN tp * volume ELSE 0 END AS v FROM d),
-g AS (SELECT symbol, trade_date, sum(u) OVER x / nullif(sum(v) OVER x, 0) AS q, count(*) OVER x AS n FROM f WINDOW x AS {_rows(14)})
-SELECT symbol, trade_date, CASE WHEN n = 14 THEN round(100 - 100 / (1 + q), 4) + 0.0 END AS mfi FROM g""")
+g AS (SELECT symbol, bar_date, sum(u) OVER x / nullif(sum(v) OVER x, 0) AS q, count(*) OVER x AS n FROM f WINDOW x AS {_rows(14)})
+SELECT symbol, bar_date, CASE WHEN n = 14 THEN round(100 - 100 / (1 + q), 4) + 0.0 END AS mfi FROM g""")
 def money_flow_index(spark: S, sf: str) -> D:
-    return series.money_flow_index(bars(spark, sf)).select("symbol", "trade_date", r(F.col("mfi"), 4).alias("mfi"))
+    return series.money_flow_index(bars(spark, sf)).select("symbol", "bar_date", r(F.col("mfi"), 4).alias("mfi"))
 
 
-@query(f"""WITH {BARS}, a AS (SELECT symbol, trade_date, list(high) OVER x AS h, list(low) OVER x AS l FROM bars WINDOW x AS {_rows(20)})
-SELECT symbol, trade_date, CASE WHEN len(h) = 20 THEN list_position(h, list_max(h)) / 20::DOUBLE * 100 END AS up, CASE WHEN len(l) = 20 THEN list_position(l, list_min(l)) / 20::DOUBLE * 100 END AS down FROM a""")
+@query(f"""WITH {BARS}, a AS (SELECT symbol, bar_date, list(high) OVER x AS h, list(low) OVER x AS l FROM bars WINDOW x AS {_rows(20)})
+SELECT symbol, bar_date, CASE WHEN len(h) = 20 THEN list_position(h, list_max(h)) / 20::DOUBLE * 100 END AS up, CASE WHEN len(l) = 20 THEN list_position(l, list_min(l)) / 20::DOUBLE * 100 END AS down FROM a""")
 def aroon(spark: S, sf: str) -> D:
-    return bars(spark, sf).select("symbol", "trade_date", series.aroon("high", W(), 20, True).alias("up"), series.aroon("low", W(), 20, False).alias("down"))
+    return bars(spark, sf).select("symbol", "bar_date", series.aroon("high", W(), 20, True).alias("up"), series.aroon("low", W(), 20, False).alias("down"))
 
 
 @query(f"""WITH {BARS}, t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {_W})
-SELECT symbol, trade_date, round(avg(tr) OVER {_rows(14)}, 4) AS atr, CASE WHEN count(*) OVER {_rows(60)} = 60 THEN round(close / max(high) OVER {_rows(60)}, 6) END AS to_high, round((close - min(close) OVER {_rows(60)}) / (max(close) OVER {_rows(60)} - min(close) OVER {_rows(60)} + 1e-8), 6) + 0.0 AS place FROM t""")
+SELECT symbol, bar_date, round(avg(tr) OVER {_rows(14)}, 4) AS atr, CASE WHEN count(*) OVER {_rows(60)} = 60 THEN round(close / max(high) OVER {_rows(60)}, 6) END AS to_high, round((close - min(close) OVER {_rows(60)}) / (max(close) OVER {_rows(60)} - min(close) OVER {_rows(60)} + 1e-8), 6) + 0.0 AS place FROM t""")
 def ranges(spark: S, sf: str) -> D:
     rows = bars(spark, sf).withColumn("tr", series.true_range(W()))
-    return rows.select("symbol", "trade_date", r(F.avg("tr").over(series.last(W(), 14)), 4).alias("atr"), r(F.col("close") / series.highest("high", W(), 60)).alias("to_high"), r(series.min_max("close", W())).alias("place"))
+    return rows.select("symbol", "bar_date", r(F.avg("tr").over(series.last(W(), 14)), 4).alias("atr"), r(F.col("close") / series.highest("high", W(), 60)).alias("to_high"), r(series.min_max("close", W())).alias("place"))
 
 
 @query(f"""WITH {BARS}, t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), f AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * tp * volume AS flow FROM t {_W}),
 c AS (SELECT symbol, quantile_cont(coalesce(amount, 0), 0.3) AS lo, quantile_cont(coalesce(amount, 0), 0.7) AS hi FROM bars GROUP BY symbol)
-SELECT symbol, trade_date, round(flow, 4) + 0.0 AS flow, CASE WHEN amount <= lo THEN 'small' WHEN amount <= hi THEN 'medium' ELSE 'large' END AS tier FROM f JOIN c USING (symbol)""")
+SELECT symbol, bar_date, round(flow, 4) + 0.0 AS flow, CASE WHEN amount <= lo THEN 'small' WHEN amount <= hi THEN 'medium' ELSE 'large' END AS tier FROM f JOIN c USING (symbol)""")
 def money_flow_tiers(spark: S, sf: str) -> D:
-    return series.money_flow(bars(spark, sf)).select("symbol", "trade_date", r(F.col("flow"), 4).alias("flow"), "tier")
+    return series.money_flow(bars(spark, sf)).select("symbol", "bar_date", r(F.col("flow"), 4).alias("flow"), "tier")
 
 
-@query(f"""WITH {BARS}, p AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS peak FROM bars), d AS (SELECT *, (close - peak) / peak AS dd FROM p),
-t AS (SELECT symbol, min(dd) AS dd, min_by(trade_date, (dd, trade_date)) AS trough_date, min_by(peak, (dd, trade_date)) AS peak FROM d GROUP BY symbol)
-SELECT t.symbol, round(t.dd, 6) AS max_drawdown, (SELECT min(trade_date) FROM bars WHERE bars.symbol = t.symbol AND close = t.peak AND trade_date <= t.trough_date) AS peak_date, trough_date FROM t""")
+@query(f"""WITH {BARS}, p AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY bar_date ROWS UNBOUNDED PRECEDING) AS peak FROM bars), d AS (SELECT *, (close - peak) / peak AS dd FROM p),
+t AS (SELECT symbol, min(dd) AS dd, min_by(bar_date, (dd, bar_date)) AS trough_date, min_by(peak, (dd, bar_date)) AS peak FROM d GROUP BY symbol)
+SELECT t.symbol, round(t.dd, 6) AS max_drawdown, (SELECT min(bar_date) FROM bars WHERE bars.symbol = t.symbol AND close = t.peak AND bar_date <= t.trough_date) AS peak_date, trough_date FROM t""")
 def drawdown_dates(spark: S, sf: str) -> D:
     return rounded(series.drawdown_dates(bars(spark, sf)))
 
 
 def _resampled(label: str) -> str:
-    return f"WITH {BARS} SELECT symbol, {label} AS bar_date, min_by(open, trade_date) AS open, max(high) AS high, min(low) AS low, max_by(close, trade_date) AS close, sum(volume) AS volume, round(sum(amount), 2) AS amount FROM bars GROUP BY 1, 2"
+    return f"WITH {BARS} SELECT symbol, {label} AS bar_date, min_by(open, bar_date) AS open, max(high) AS high, min(low) AS low, max_by(close, bar_date) AS close, sum(volume) AS volume, round(sum(amount), 2) AS amount FROM bars GROUP BY 1, 2"
 
 
-@query(_resampled("CAST(trade_date + CAST((8 - isodow(trade_date)) % 7 AS INTEGER) AS DATE)"))
+@query(_resampled("CAST(bar_date + CAST((8 - isodow(bar_date)) % 7 AS INTEGER) AS DATE)"))
 def resample_weekly(spark: S, sf: str) -> D:
     return series.resample(bars(spark, sf), "week").withColumn("amount", F.round("amount", 2))
 
 
-@query(_resampled("last_day(trade_date)"))
+@query(_resampled("last_day(bar_date)"))
 def resample_monthly(spark: S, sf: str) -> D:
     return series.resample(bars(spark, sf), "month").withColumn("amount", F.round("amount", 2))
 
 
-@query(f"""WITH {BARS}, g AS (SELECT symbol, trade_date, CASE WHEN day(trade_date) % 3 <> 0 THEN close END AS c FROM bars)
-SELECT symbol, trade_date, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 0) AS filled,
-  coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING), first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS filled_back FROM g""")
+@query(f"""WITH {BARS}, g AS (SELECT symbol, bar_date, CASE WHEN day(bar_date) % 3 <> 0 THEN close END AS c FROM bars)
+SELECT symbol, bar_date, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_date ROWS UNBOUNDED PRECEDING), 0) AS filled,
+  coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_date ROWS UNBOUNDED PRECEDING), first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS filled_back FROM g""")
 def fill_gaps(spark: S, sf: str) -> D:
-    rows = bars(spark, sf).select("symbol", "trade_date", F.when(F.dayofmonth("trade_date") % 3 != 0, F.col("close")).alias("c"))
-    return rows.select("symbol", "trade_date", series.fill("c", W()).alias("filled"), series.fill("c", W(), backward=True).alias("filled_back"))
+    rows = bars(spark, sf).select("symbol", "bar_date", F.when(F.dayofmonth("bar_date") % 3 != 0, F.col("close")).alias("c"))
+    return rows.select("symbol", "bar_date", series.fill("c", W()).alias("filled"), series.fill("c", W(), backward=True).alias("filled_back"))
 
 
-@query(f"WITH {BARS} SELECT symbol, trade_date, round((close / first_value(close) OVER w - 1) * 100, 6) + 0.0 AS rebased FROM bars {_W}")
+@query(f"WITH {BARS} SELECT symbol, bar_date, round((close / first_value(close) OVER w - 1) * 100, 6) + 0.0 AS rebased FROM bars {_W}")
 def rebased_curve(spark: S, sf: str) -> D:
-    return bars(spark, sf).select("symbol", "trade_date", r(series.rebased("close", W())).alias("rebased"))
+    return bars(spark, sf).select("symbol", "bar_date", r(series.rebased("close", W())).alias("rebased"))
 
 
-@query(f"""WITH {BARS}, k AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS b, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
+@query(f"""WITH {BARS}, k AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS b, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
 SELECT symbol, {', '.join(f"round(max(close) FILTER (b = 1) / max(close) FILTER (b = least({n}, n)) - 1, 6) + 0.0 AS {name}" for name, n in (('m1', 21), ('m3', 63), ('m6', 126), ('y1', 252)))} FROM k GROUP BY symbol""")
 def period_returns(spark: S, sf: str) -> D:
     return rounded(series.period_returns(bars(spark, sf), {"m1": 21, "m3": 63, "m6": 126, "y1": 252}))
 
 
-@query(f"WITH {BARS} SELECT symbol, trade_date, round((close - avg(close) OVER k) / (stddev_pop(close) OVER k + 1e-8), 6) + 0.0 AS close FROM bars WINDOW k AS (PARTITION BY symbol)")
+@query(f"WITH {BARS} SELECT symbol, bar_date, round((close - avg(close) OVER k) / (stddev_pop(close) OVER k + 1e-8), 6) + 0.0 AS close FROM bars WINDOW k AS (PARTITION BY symbol)")
 def z_scores(spark: S, sf: str) -> D:
-    return rounded(series.z_score(bars(spark, sf).select("symbol", "trade_date", "close"), ["close"]))
+    return rounded(series.z_score(bars(spark, sf).select("symbol", "bar_date", "close"), ["close"]))
 
 
-@query(f"WITH {RETURNS}, q AS (SELECT symbol, trade_date, ret, volume / lag(volume) OVER w - 1 AS vc FROM r {_W}) SELECT symbol, trade_date, round(greatest(-1.0, least(1.0, -coalesce(CASE WHEN isnan(corr(ret, vc) OVER x) THEN 0 ELSE corr(ret, vc) OVER x END, 0))), 4) + 0.0 AS divergence FROM q WINDOW x AS {_rows(10)}")
+@query(f"WITH {RETURNS}, q AS (SELECT symbol, bar_date, ret, volume / lag(volume) OVER w - 1 AS vc FROM r {_W}) SELECT symbol, bar_date, round(greatest(-1.0, least(1.0, -coalesce(CASE WHEN isnan(corr(ret, vc) OVER x) THEN 0 ELSE corr(ret, vc) OVER x END, 0))), 4) + 0.0 AS divergence FROM q WINDOW x AS {_rows(10)}")
 def price_volume_divergence(spark: S, sf: str) -> D:
     rows = _returns(spark, sf).withColumn("vc", series.change("volume", W()))
-    return rows.select("symbol", "trade_date", r(series.price_volume_divergence("ret", "vc", W()), 4).alias("divergence"))
+    return rows.select("symbol", "bar_date", r(series.price_volume_divergence("ret", "vc", W()), 4).alias("divergence"))
 
 
-@query(f"WITH {RETURNS} SELECT symbol, trade_date, round(ret, 6) + 0.0 AS x0, round(lead(ret, 2) OVER w, 6) + 0.0 AS x1, round(lead(ret, 4) OVER w, 6) + 0.0 AS x2 FROM r {_W} QUALIFY lead(ret, 4) OVER w IS NOT NULL")
+@query(f"WITH {RETURNS} SELECT symbol, bar_date, round(ret, 6) + 0.0 AS x0, round(lead(ret, 2) OVER w, 6) + 0.0 AS x1, round(lead(ret, 4) OVER w, 6) + 0.0 AS x2 FROM r {_W} QUALIFY lead(ret, 4) OVER w IS NOT NULL")
 def phase_space(spark: S, sf: str) -> D:
     return rounded(series.phase_space(_returns(spark, sf), "ret", 2, 3))
 
 
-@query(f"""WITH {BARS}, q AS (SELECT symbol, trade_date, close, list(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS f, lead(close, 5) OVER w AS l5, lead(close) OVER w AS l1 FROM bars {_W})
-SELECT symbol, trade_date, round(list_avg(f), 4) AS mean60, round(l1 / close - 1, 6) + 0.0 AS next_return, CAST(l5 > close AS INTEGER) AS direction FROM q WHERE len(f) = 60 AND l5 IS NOT NULL""")
+@query(f"""WITH {BARS}, q AS (SELECT symbol, bar_date, close, list(close) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS f, lead(close, 5) OVER w AS l5, lead(close) OVER w AS l1 FROM bars {_W})
+SELECT symbol, bar_date, round(list_avg(f), 4) AS mean60, round(l1 / close - 1, 6) + 0.0 AS next_return, CAST(l5 > close AS INTEGER) AS direction FROM q WHERE len(f) = 60 AND l5 IS NOT NULL""")
 def sliding_sequences(spark: S, sf: str) -> D:
     rows = series.sequences(bars(spark, sf), ["close", "volume"])
     mean = F.aggregate("features", F.lit(0.0), lambda a, x: a + x[0]) / 60
-    return rows.select("symbol", "trade_date", r(mean, 4).alias("mean60"), r(F.col("forward")[0]).alias("next_return"), "direction")
+    return rows.select("symbol", "bar_date", r(mean, 4).alias("mean60"), r(F.col("forward")[0]).alias("next_return"), "direction")
 
 
 @query()
@@ -153,21 +153,21 @@ def volatility_features(spark: S, sf: str) -> D:
     return series.volatility_block(bars(spark, sf))
 
 
-_EMA = """WITH RECURSIVE {bars}, k AS (SELECT symbol, trade_date, close, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i FROM bars),
-e AS (SELECT symbol, trade_date, i, close AS f, close AS s, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l, close, 0.0::DOUBLE AS sig FROM k WHERE i = 1
-  UNION ALL SELECT k.symbol, k.trade_date, k.i, e.f + (k.close - e.f) * 2 / 13, e.s + (k.close - e.s) * 2 / 27, e.g + (greatest(k.close - e.close, 0) - e.g) / 14, e.l + (greatest(e.close - k.close, 0) - e.l) / 14, k.close,
+_EMA = """WITH RECURSIVE {bars}, k AS (SELECT symbol, bar_date, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS i FROM bars),
+e AS (SELECT symbol, bar_date, i, close AS f, close AS s, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l, close, 0.0::DOUBLE AS sig FROM k WHERE i = 1
+  UNION ALL SELECT k.symbol, k.bar_date, k.i, e.f + (k.close - e.f) * 2 / 13, e.s + (k.close - e.s) * 2 / 27, e.g + (greatest(k.close - e.close, 0) - e.g) / 14, e.l + (greatest(e.close - k.close, 0) - e.l) / 14, k.close,
     e.sig + ((e.f + (k.close - e.f) * 2 / 13) - (e.s + (k.close - e.s) * 2 / 27) - e.sig) * 2 / 10 FROM e JOIN k ON k.symbol = e.symbol AND k.i = e.i + 1)
-SELECT symbol, trade_date, round(f, 3) AS ema_12, CASE WHEN l > 0 THEN round(100 - 100 / (1 + g / l), 3) + 0.0 END AS rsi_14, round(f - s, 3) + 0.0 AS macd, round(sig, 3) + 0.0 AS macd_signal FROM e"""
+SELECT symbol, bar_date, round(f, 3) AS ema_12, CASE WHEN l > 0 THEN round(100 - 100 / (1 + g / l), 3) + 0.0 END AS rsi_14, round(f - s, 3) + 0.0 AS macd, round(sig, 3) + 0.0 AS macd_signal FROM e"""
 
 
 @query(_EMA.format(bars=BARS))
 def recurrences(spark: S, sf: str) -> D:
     out = with_recurrences(bars(spark, sf), emas=(12,))
-    return rounded(out.select("symbol", "trade_date", "ema_12", "rsi_14", "macd", "macd_signal"), 3)
+    return rounded(out.select("symbol", "bar_date", "ema_12", "rsi_14", "macd", "macd_signal"), 3)
 
 
-_RISK = f"""{RETURNS}, p AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS peak FROM r),
-a AS (SELECT symbol, count(*) AS n, min_by(close, trade_date) AS f, max_by(close, trade_date) AS l, stddev_samp(ret) AS sd, stddev_samp(ret) FILTER (ret < 0) AS dn, min((close - peak) / peak) AS dd,
+_RISK = f"""{RETURNS}, p AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY bar_date ROWS UNBOUNDED PRECEDING) AS peak FROM r),
+a AS (SELECT symbol, count(*) AS n, min_by(close, bar_date) AS f, max_by(close, bar_date) AS l, stddev_samp(ret) AS sd, stddev_samp(ret) FILTER (ret < 0) AS dn, min((close - peak) / peak) AS dd,
   avg(CASE WHEN ret IS NOT NULL THEN CAST(ret > 0 AS INTEGER) END) AS wr, avg(ret) FILTER (ret > 0) AS gn, avg(ret) FILTER (ret < 0) AS ls FROM p GROUP BY symbol),
 x AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE pow(l / f, 252.0 / n) - 1 END AS ar FROM a)"""
 
@@ -184,10 +184,10 @@ def value_at_risk(spark: S, sf: str) -> D:
 
 
 def _benchmark(spark: S, sf: str) -> D:
-    return _returns(spark, sf).where("symbol = '5-LOW'").select("trade_date", F.col("ret").alias("bench_ret"))
+    return _returns(spark, sf).where("symbol = '5-LOW'").select("bar_date", F.col("ret").alias("bench_ret"))
 
 
-@query(f"""WITH {RETURNS}, b AS (SELECT trade_date, ret AS br FROM r WHERE symbol = '5-LOW'), j AS (SELECT symbol, ret, br, ret - 0.03 / 252 AS y, br - 0.03 / 252 AS x FROM r JOIN b USING (trade_date) WHERE ret IS NOT NULL AND br IS NOT NULL),
+@query(f"""WITH {RETURNS}, b AS (SELECT bar_date, ret AS br FROM r WHERE symbol = '5-LOW'), j AS (SELECT symbol, ret, br, ret - 0.03 / 252 AS y, br - 0.03 / 252 AS x FROM r JOIN b USING (bar_date) WHERE ret IS NOT NULL AND br IS NOT NULL),
 a AS (SELECT symbol, count(*) AS n, covar_samp(y, x) / var_samp(x) AS beta, avg(y) AS my, avg(x) AS mx, corr(ret, br) AS c, avg(ret - br) AS g, stddev_samp(ret - br) AS gs, stddev_samp(br) AS bs FROM j GROUP BY symbol)
 SELECT symbol, n, round((my - beta * mx) * 252, 4) + 0.0 AS alpha, round(beta, 4) + 0.0 AS beta, round(c * c, 4) AS r_squared, round(coalesce(g * 252 / nullif(gs * sqrt(252), 0), 0), 4) + 0.0 AS information_ratio, round(gs * sqrt(252), 4) AS tracking_error, round(bs * sqrt(252), 4) AS benchmark_volatility, round(bs * 252, 4) AS benchmark_volatility_compat FROM a""")
 def benchmark_metrics(spark: S, sf: str) -> D:
@@ -207,19 +207,19 @@ def basic_stats(spark: S, sf: str) -> D:
     return rounded(out.withColumn("jarque_bera", F.round("jarque_bera", 3)), 5)
 
 
-@query(f"WITH {BARS} SELECT symbol, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS n, min_by(close, trade_date) AS first_price, max_by(close, trade_date) AS last_price, max(close) AS max_price, min(close) AS min_price, round(avg(close), 4) AS mean_price, round(stddev_samp(close), 4) AS std_price, round((max_by(close, trade_date) / min_by(close, trade_date) - 1) * 100, 4) + 0.0 AS change_pct FROM bars GROUP BY symbol")
+@query(f"WITH {BARS} SELECT symbol, min(bar_date) AS first_date, max(bar_date) AS last_date, count(*) AS n, min_by(close, bar_date) AS first_price, max_by(close, bar_date) AS last_price, max(close) AS max_price, min(close) AS min_price, round(avg(close), 4) AS mean_price, round(stddev_samp(close), 4) AS std_price, round((max_by(close, bar_date) / min_by(close, bar_date) - 1) * 100, 4) + 0.0 AS change_pct FROM bars GROUP BY symbol")
 def price_overview(spark: S, sf: str) -> D:
     return rounded(statistics.overview(bars(spark, sf)), 4)
 
 
-@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i FROM r WHERE ret IS NOT NULL), m AS (SELECT symbol, avg(ret) AS mu, var_pop(ret) AS v, count(*) AS n FROM k GROUP BY symbol)
+@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS i FROM r WHERE ret IS NOT NULL), m AS (SELECT symbol, avg(ret) AS mu, var_pop(ret) AS v, count(*) AS n FROM k GROUP BY symbol)
 SELECT a.symbol, CAST(l AS INTEGER) AS lag, round(sum((a.ret - mu) * (b.ret - mu)) / any_value(v * n), 6) + 0.0 AS acf FROM range(1, 21) t(l), k a JOIN k b ON a.symbol = b.symbol AND a.i = b.i + l JOIN m ON m.symbol = a.symbol GROUP BY ALL""")
 def autocorrelation(spark: S, sf: str) -> D:
     """The first 20 lags, as in the SQL; autocorrelation_to_40 has all."""
     return rounded(statistics.autocorrelation(_returns(spark, sf), "ret", 20))
 
 
-@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL),
+@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL),
 c AS (SELECT symbol, l, i // l AS c, i, x, avg(x) OVER (PARTITION BY symbol, l, i // l) AS mu FROM k, range(10, 61) t(l) WHERE l <= n // 4 AND (i // l + 1) * l <= n),
 s AS (SELECT *, sum(x - mu) OVER (PARTITION BY symbol, l, c ORDER BY i ROWS UNBOUNDED PRECEDING) AS w FROM c),
 rs AS (SELECT symbol, l, c, (max(w) - min(w)) / nullif(stddev_samp(x), 0) AS q FROM s GROUP BY ALL), a AS (SELECT symbol, ln(l) AS a, ln(avg(q)) AS b FROM rs WHERE q > 0 GROUP BY symbol, l)
@@ -229,14 +229,14 @@ def hurst_exponent(spark: S, sf: str) -> D:
     return rounded(statistics.hurst(_returns(spark, sf), "ret", most_lag=60), 5)
 
 
-@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i FROM r WHERE ret IS NOT NULL), m AS (SELECT symbol, avg(ret) AS mu, var_pop(ret) AS v, count(*) AS n FROM k GROUP BY symbol)
+@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS i FROM r WHERE ret IS NOT NULL), m AS (SELECT symbol, avg(ret) AS mu, var_pop(ret) AS v, count(*) AS n FROM k GROUP BY symbol)
 SELECT a.symbol, CAST(l AS INTEGER) AS lag, round(sum((a.ret - mu) * (b.ret - mu)) / any_value(v * n), 6) + 0.0 AS acf FROM range(1, 41) t(l), k a JOIN k b ON a.symbol = b.symbol AND a.i = b.i + l JOIN m ON m.symbol = a.symbol GROUP BY ALL""")
 def autocorrelation_to_40(spark: S, sf: str) -> D:
     """All the lags of the report: min(40, n - 1)."""
     return rounded(statistics.autocorrelation(_returns(spark, sf), "ret"))
 
 
-@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL),
+@query(f"""WITH {RETURNS}, k AS (SELECT symbol, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL),
 e AS (SELECT *, unnest(range(10, n // 4 + 1)) AS l FROM k), c AS (SELECT symbol, l, i // l AS c, i, x, avg(x) OVER (PARTITION BY symbol, l, i // l) AS mu FROM e WHERE (i // l + 1) * l <= n),
 s AS (SELECT *, sum(x - mu) OVER (PARTITION BY symbol, l, c ORDER BY i ROWS UNBOUNDED PRECEDING) AS w FROM c),
 rs AS (SELECT symbol, l, c, (max(w) - min(w)) / nullif(stddev_samp(x), 0) AS q FROM s GROUP BY ALL), a AS (SELECT symbol, ln(l) AS a, ln(avg(q)) AS b FROM rs WHERE q > 0 GROUP BY symbol, l)
@@ -250,20 +250,20 @@ def hurst_all_lengths(spark: S, sf: str) -> D:
 
 _SMALL = Periods(rsi=(14,), change=(5, 20), volatility=(20,), bollinger=(20,), average=(20,), true_range=(14,), volume=(10,), aroon=(20,), money_flow=(14,), quality=(20,), sentiment=(5,), levels=(20,), macd_pairs=())
 _FACTORS = ["momentum_roc_5", "return_vol_20", "close_high_20", "volume_ratio_10"]
-_PANEL = f"""{RETURNS}, f AS (SELECT symbol, trade_date, close / lag(close, 5) OVER w - 1 AS momentum_roc_5, CASE WHEN count(ret) OVER {_rows(20)} = 20 THEN stddev_samp(ret) OVER {_rows(20)} END AS return_vol_20,
+_PANEL = f"""{RETURNS}, f AS (SELECT symbol, bar_date, close / lag(close, 5) OVER w - 1 AS momentum_roc_5, CASE WHEN count(ret) OVER {_rows(20)} = 20 THEN stddev_samp(ret) OVER {_rows(20)} END AS return_vol_20,
   CASE WHEN count(*) OVER {_rows(20)} = 20 THEN close / max(high) OVER {_rows(20)} END AS close_high_20, CASE WHEN count(*) OVER {_rows(10)} = 10 THEN volume / (avg(volume) OVER {_rows(10)} + 1e-10) END AS volume_ratio_10, lead(close, 5) OVER w / close - 1 AS forward FROM r {_W}),
-u AS (SELECT symbol, trade_date, factor, value, forward FROM (SELECT symbol, trade_date, forward, unnest(['momentum_roc_5', 'return_vol_20', 'close_high_20', 'volume_ratio_10']) AS factor, unnest([momentum_roc_5, return_vol_20, close_high_20, volume_ratio_10]) AS value FROM f) WHERE value IS NOT NULL AND forward IS NOT NULL)"""
+u AS (SELECT symbol, bar_date, factor, value, forward FROM (SELECT symbol, bar_date, forward, unnest(['momentum_roc_5', 'return_vol_20', 'close_high_20', 'volume_ratio_10']) AS factor, unnest([momentum_roc_5, return_vol_20, close_high_20, volume_ratio_10]) AS value FROM f) WHERE value IS NOT NULL AND forward IS NOT NULL)"""
 
 
 def _long(spark: S, sf: str) -> D:
     """The four factors that have SQL."""
     rows = bars(spark, sf)
-    panel = factor_panel(rows, _SMALL, with_python=False).select("symbol", "trade_date", *_FACTORS)
-    forward = rows.select("symbol", "trade_date", (F.lead("close", 5).over(W()) / F.col("close") - 1).alias("forward"))
-    return statistics.long_factors(panel.join(forward, ["symbol", "trade_date"]), _FACTORS, "forward")
+    panel = factor_panel(rows, _SMALL, with_python=False).select("symbol", "bar_date", *_FACTORS)
+    forward = rows.select("symbol", "bar_date", (F.lead("close", 5).over(W()) / F.col("close") - 1).alias("forward"))
+    return statistics.long_factors(panel.join(forward, ["symbol", "bar_date"]), _FACTORS, "forward")
 
 
-@query(f"WITH {_PANEL} SELECT symbol, trade_date, factor, round(value, 6) + 0.0 AS value, round(forward, 6) + 0.0 AS forward FROM u")
+@query(f"WITH {_PANEL} SELECT symbol, bar_date, factor, round(value, 6) + 0.0 AS value, round(forward, 6) + 0.0 AS forward FROM u")
 def factor_values(spark: S, sf: str) -> D:
     return rounded(_long(spark, sf))
 
@@ -279,7 +279,7 @@ def information_coefficients(spark: S, sf: str) -> D:
     return rounded(statistics.information_coefficients(_long(spark, sf)), 5)
 
 
-@query(f"""WITH {_PANEL}, w AS (SELECT factor, CASE WHEN isnan(corr(value, forward) OVER x) THEN NULL ELSE corr(value, forward) OVER x END AS ic, count(*) OVER x AS n FROM u WINDOW x AS (PARTITION BY factor, symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+@query(f"""WITH {_PANEL}, w AS (SELECT factor, CASE WHEN isnan(corr(value, forward) OVER x) THEN NULL ELSE corr(value, forward) OVER x END AS ic, count(*) OVER x AS n FROM u WINDOW x AS (PARTITION BY factor, symbol ORDER BY bar_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT factor, round(avg(ic), 4) + 0.0 AS ic_mean, round(stddev_samp(ic), 4) AS ic_std, round(avg(ic) / stddev_samp(ic), 4) + 0.0 AS ic_ir FROM w WHERE n = 20 GROUP BY factor""")
 def rolling_ic(spark: S, sf: str) -> D:
     return rounded(statistics.rolling_ic(_long(spark, sf)), 4)
@@ -294,7 +294,7 @@ def group_returns(spark: S, sf: str) -> D:
 @query()
 def factor_turnover(spark: S, sf: str) -> D:
     panel = factor_panel(bars(spark, sf))
-    return statistics.factor_turnover(panel, [c for c in panel.columns if c not in ("symbol", "trade_date", "close")])
+    return statistics.factor_turnover(panel, [c for c in panel.columns if c not in ("symbol", "bar_date", "close")])
 
 
 # The reports over every factor of the library.  The queries above are the part of them that has SQL.
@@ -303,9 +303,9 @@ def factor_turnover(spark: S, sf: str) -> D:
 def _long_all(spark: S, sf: str) -> D:
     rows = bars(spark, sf)
     panel = factor_panel(rows).drop("close")
-    factors = [c for c in panel.columns if c not in ("symbol", "trade_date")]
-    forward = rows.select("symbol", "trade_date", (F.lead("close", 5).over(W()) / F.col("close") - 1).alias("forward"))
-    return statistics.long_factors(panel.join(forward, ["symbol", "trade_date"]), factors, "forward")
+    factors = [c for c in panel.columns if c not in ("symbol", "bar_date")]
+    forward = rows.select("symbol", "bar_date", (F.lead("close", 5).over(W()) / F.col("close") - 1).alias("forward"))
+    return statistics.long_factors(panel.join(forward, ["symbol", "bar_date"]), factors, "forward")
 
 
 @query()
@@ -367,7 +367,7 @@ def deploy_gate(spark: S, sf: str) -> D:
     return parts.select("p_partkey", gate.alias("deploy"))
 
 
-@query(f"""WITH {BARS}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS k FROM bars), e AS (SELECT symbol, max(trade_date) AS predict_date, max_by(close, trade_date) / min_by(close, trade_date) - 1 AS m FROM b WHERE k <= 5 GROUP BY symbol)
+@query(f"""WITH {BARS}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS k FROM bars), e AS (SELECT symbol, max(bar_date) AS predict_date, max_by(close, bar_date) / min_by(close, bar_date) - 1 AS m FROM b WHERE k <= 5 GROUP BY symbol)
 SELECT symbol, predict_date, round(m, 6) + 0.0 AS move, CASE WHEN m > 0.02 THEN 'up' WHEN m < -0.02 THEN 'down' ELSE 'flat' END AS trend FROM e""")
 def trend_prediction(spark: S, sf: str) -> D:
     return rounded(monitoring.trend_prediction(bars(spark, sf)))
@@ -375,15 +375,15 @@ def trend_prediction(spark: S, sf: str) -> D:
 
 @query()
 def fallback_prediction(spark: S, sf: str) -> D:
-    rows = with_recurrences(bars(spark, sf)).join(_returns(spark, sf).select("symbol", "trade_date", series.deviation("ret", W(), 20).alias("vol20")), ["symbol", "trade_date"])
+    rows = with_recurrences(bars(spark, sf)).join(_returns(spark, sf).select("symbol", "bar_date", series.deviation("ret", W(), 20).alias("vol20")), ["symbol", "bar_date"])
     return monitoring.fallback_prediction(rows)
 
 
-@query(f"""WITH {BARS}, a AS (SELECT symbol, trade_date, list(high) OVER x AS h, list(low) OVER x AS l FROM bars WINDOW x AS {_rows(20)}),
-b AS (SELECT symbol, max_by(list_position(h, list_max(h)) * 5.0, trade_date) AS u, max_by(list_position(l, list_min(l)) * 5.0, trade_date) AS d FROM a GROUP BY symbol)
+@query(f"""WITH {BARS}, a AS (SELECT symbol, bar_date, list(high) OVER x AS h, list(low) OVER x AS l FROM bars WINDOW x AS {_rows(20)}),
+b AS (SELECT symbol, max_by(list_position(h, list_max(h)) * 5.0, bar_date) AS u, max_by(list_position(l, list_min(l)) * 5.0, bar_date) AS d FROM a GROUP BY symbol)
 SELECT symbol, CASE WHEN u >= 70 AND d <= 30 THEN '强势' WHEN d >= 70 AND u <= 30 THEN '弱势' WHEN u > d THEN '偏多' ELSE '偏空' END AS aroon_signal FROM b""")
 def overbought_signals(spark: S, sf: str) -> D:
-    rows = bars(spark, sf).select("symbol", "trade_date", series.aroon("high", W(), 20, True).alias("up"), series.aroon("low", W(), 20, False).alias("down"))
-    now = rows.groupBy("symbol").agg(F.max_by(F.struct("up", "down"), "trade_date").alias("s"))
+    rows = bars(spark, sf).select("symbol", "bar_date", series.aroon("high", W(), 20, True).alias("up"), series.aroon("low", W(), 20, False).alias("down"))
+    now = rows.groupBy("symbol").agg(F.max_by(F.struct("up", "down"), "bar_date").alias("s"))
     found = series.overbought_signals(F.lit(50.0), F.lit(50.0), F.col("s.up"), F.col("s.down"))
     return now.select("symbol", found["aroon_signal"].alias("aroon_signal"))

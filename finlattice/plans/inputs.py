@@ -14,16 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: an order priority is a symbol, an order a trade."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("trade_date"), "o_orderkey", F.col("o_totalprice").alias("p"))
-    return o.groupBy("symbol", "trade_date").agg(F.min_by("p", "o_orderkey").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o_orderkey").alias("close"), F.count("*").cast("double").alias("volume"), F.round(F.sum("p"), 2).alias("amount"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("bar_date"), "o_orderkey", F.col("o_totalprice").alias("p"))
+    return o.groupBy("symbol", "bar_date").agg(F.min_by("p", "o_orderkey").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o_orderkey").alias("close"), F.count("*").cast("double").alias("volume"), F.round(F.sum("p"), 2).alias("amount"))
 
 
 BARS = """bars AS (
-  SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS trade_date, min_by(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
+  SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS bar_date, min_by(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
     min(o_totalprice) AS low, max_by(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume, round(sum(o_totalprice), 2) AS amount
   FROM orders GROUP BY ALL
 )"""
-RETURNS = f"{BARS}, r AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date))"
+RETURNS = f"{BARS}, r AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date))"
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:

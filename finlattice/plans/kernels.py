@@ -63,7 +63,7 @@ def arima_forecast(spark: S, sf: str) -> D:
 @query()
 def dtw_between_symbols(spark: S, sf: str) -> D:
     """The whole series of every two symbols warped onto each other: n (n - 1) / 2 pairs of n symbols, left below right."""
-    curves = bars(spark, sf).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", "close"))), lambda r: r["close"]).alias("curve"))
+    curves = bars(spark, sf).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("bar_date", "close"))), lambda r: r["close"]).alias("curve"))
     pairs = curves.alias("a").join(curves.alias("b"), F.col("a.symbol") < F.col("b.symbol")).select(F.col("a.symbol").alias("left_symbol"), F.col("b.symbol").alias("right_symbol"), F.col("a.curve").alias("x"), F.col("b.curve").alias("y"))
     pairs = pairs.repartition("left_symbol", "right_symbol")
 
@@ -96,7 +96,7 @@ def ensemble_holdout(spark: S, sf: str) -> D:
     rows = bars(spark, sf)
     panel = ml.labelled_panel(factor_panel(rows).drop("close"), rows).persist()
     train, test = ml.chronological_split(panel)
-    features = ml.eliminate(train, [c for c in panel.columns if c not in ("symbol", "trade_date", "forward", "label")], keep=15)
+    features = ml.eliminate(train, [c for c in panel.columns if c not in ("symbol", "bar_date", "forward", "label")], keep=15)
     early, late = ml.chronological_split(train, 0.8)
     marked = early.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
     models = {"p_rf": ml.train_forest(train, features), "p_gb": ml.train_boosted(marked, features, validation="late")}

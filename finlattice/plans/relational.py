@@ -14,36 +14,36 @@ from .registry import query
 S, D = SparkSession, DataFrame
 
 
-@query(f"WITH {BARS} SELECT * FROM bars WHERE symbol = '1-URGENT' AND trade_date BETWEEN DATE '1994-01-01' AND DATE '1995-12-31'")
+@query(f"WITH {BARS} SELECT * FROM bars WHERE symbol = '1-URGENT' AND bar_date BETWEEN DATE '1994-01-01' AND DATE '1995-12-31'")
 def scan_range(spark: S, sf: str) -> D:
     return scan.range_scan(bars(spark, sf), ["1-URGENT"], "1994-01-01", "1995-12-31")
 
 
-@query(f"WITH {BARS} SELECT * FROM bars WHERE symbol IN ('1-URGENT', '2-HIGH') AND trade_date >= DATE '1996-01-01' ORDER BY trade_date DESC, symbol LIMIT 50 OFFSET 50")
+@query(f"WITH {BARS} SELECT * FROM bars WHERE symbol IN ('1-URGENT', '2-HIGH') AND bar_date >= DATE '1996-01-01' ORDER BY bar_date DESC, symbol LIMIT 50 OFFSET 50")
 def scan_page(spark: S, sf: str) -> D:
     rows = scan.range_scan(bars(spark, sf), ["1-URGENT", "2-HIGH"], "1996-01-01")
-    return scan.page(rows, [F.desc("trade_date"), F.col("symbol")], 2, 50)
+    return scan.page(rows, [F.desc("bar_date"), F.col("symbol")], 2, 50)
 
 
-@query(f"WITH {BARS} SELECT symbol, trade_date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS k FROM bars) WHERE k <= 60")
+@query(f"WITH {BARS} SELECT symbol, bar_date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS k FROM bars) WHERE k <= 60")
 def scan_last_n(spark: S, sf: str) -> D:
-    return scan.last_n(bars(spark, sf), 60).select("symbol", "trade_date", "close")
+    return scan.last_n(bars(spark, sf), 60).select("symbol", "bar_date", "close")
 
 
-@query(f"WITH {BARS} SELECT symbol, trade_date, close FROM bars WHERE trade_date >= DATE '{AS_OF}' - 90")
+@query(f"WITH {BARS} SELECT symbol, bar_date, close FROM bars WHERE bar_date >= DATE '{AS_OF}' - 90")
 def scan_since_days(spark: S, sf: str) -> D:
-    return scan.since_days(bars(spark, sf), 90, AS_OF).select("symbol", "trade_date", "close")
+    return scan.since_days(bars(spark, sf), 90, AS_OF).select("symbol", "bar_date", "close")
 
 
-@query(f"WITH {BARS} SELECT symbol, trade_date, close FROM bars WHERE symbol = '5-LOW'")
+@query(f"WITH {BARS} SELECT symbol, bar_date, close FROM bars WHERE symbol = '5-LOW'")
 def scan_since_days_one_key(spark: S, sf: str) -> D:
     """A key given: the days are ignored."""
-    return scan.since_days(bars(spark, sf), 90, AS_OF, only={"symbol": "5-LOW"}).select("symbol", "trade_date", "close")
+    return scan.since_days(bars(spark, sf), 90, AS_OF, only={"symbol": "5-LOW"}).select("symbol", "bar_date", "close")
 
 
-@query(f"WITH {BARS} SELECT symbol, trade_date, close FROM bars WHERE symbol = '5-LOW' AND trade_date >= DATE '{AS_OF}' - 90")
+@query(f"WITH {BARS} SELECT symbol, bar_date, close FROM bars WHERE symbol = '5-LOW' AND bar_date >= DATE '{AS_OF}' - 90")
 def scan_since_days_strict(spark: S, sf: str) -> D:
-    return scan.since_days(bars(spark, sf), 90, AS_OF, only={"symbol": "5-LOW"}, strict=True).select("symbol", "trade_date", "close")
+    return scan.since_days(bars(spark, sf), 90, AS_OF, only={"symbol": "5-LOW"}, strict=True).select("symbol", "bar_date", "close")
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(c_name, '12') OR contains(c_mktsegment, '12') ORDER BY c_name LIMIT 50")
@@ -103,7 +103,7 @@ def distinct_rows(spark: S, sf: str) -> D:
     return scan.distinct_values(table(spark, sf, "customer"), "c_mktsegment")
 
 
-@query(f"WITH {BARS} SELECT symbol, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS n_rows FROM bars GROUP BY symbol")
+@query(f"WITH {BARS} SELECT symbol, min(bar_date) AS first_date, max(bar_date) AS last_date, count(*) AS n_rows FROM bars GROUP BY symbol")
 def first_and_last(spark: S, sf: str) -> D:
     return scan.first_and_last(bars(spark, sf))
 
@@ -175,26 +175,26 @@ def column_update(spark: S, sf: str) -> D:
     return sinks.set_where(table(spark, sf, "events").select("event_id", "event_type", "value"), F.col("event_type") == "click", value=F.col("value") * 2).drop("event_type")
 
 
-@query(f"""WITH {BARS}, m AS (SELECT symbol, min(trade_date) AS f, max(trade_date) AS l FROM bars WHERE trade_date < DATE '1996-01-01' GROUP BY symbol),
-b AS (SELECT symbol, min(trade_date) AS f, max(trade_date) AS l FROM bars WHERE trade_date BETWEEN DATE '1995-06-01' AND DATE '1997-01-01' GROUP BY symbol)
-SELECT symbol, least(m.f, b.f) AS first_trade_date, coalesce(b.l, m.l) AS last_trade_date FROM m FULL JOIN b USING (symbol)""")
+@query(f"""WITH {BARS}, m AS (SELECT symbol, min(bar_date) AS f, max(bar_date) AS l FROM bars WHERE bar_date < DATE '1996-01-01' GROUP BY symbol),
+b AS (SELECT symbol, min(bar_date) AS f, max(bar_date) AS l FROM bars WHERE bar_date BETWEEN DATE '1995-06-01' AND DATE '1997-01-01' GROUP BY symbol)
+SELECT symbol, least(m.f, b.f) AS first_bar, coalesce(b.l, m.l) AS last_bar FROM m FULL JOIN b USING (symbol)""")
 def meta_maintenance(spark: S, sf: str) -> D:
     rows = bars(spark, sf)
-    old = rows.where("trade_date < '1996-01-01'").groupBy("symbol").agg(F.min("trade_date").alias("first_trade_date"), F.max("trade_date").alias("last_trade_date"))
-    return sinks.meta_after(old, rows.where("trade_date BETWEEN '1995-06-01' AND '1997-01-01'"))
+    old = rows.where("bar_date < '1996-01-01'").groupBy("symbol").agg(F.min("bar_date").alias("first_bar"), F.max("bar_date").alias("last_bar"))
+    return sinks.meta_after(old, rows.where("bar_date BETWEEN '1995-06-01' AND '1997-01-01'"))
 
 
-@query(f"WITH {BARS} SELECT symbol, min(trade_date) AS first_trade_date FROM bars GROUP BY symbol")
+@query(f"WITH {BARS} SELECT symbol, min(bar_date) AS first_bar FROM bars GROUP BY symbol")
 def backfill(spark: S, sf: str) -> D:
     rows = bars(spark, sf)
-    return sinks.backfill_first_date(rows.select("symbol").distinct().withColumn("first_trade_date", F.lit(None).cast("date")), rows)
+    return sinks.backfill_first_date(rows.select("symbol").distinct().withColumn("first_bar", F.lit(None).cast("date")), rows)
 
 
-@query(f"""WITH {BARS}, m AS (SELECT symbol, max(trade_date) AS mark FROM bars WHERE trade_date < DATE '1998-06-01' AND symbol <> '5-LOW' GROUP BY symbol)
-SELECT symbol, trade_date, close FROM bars LEFT JOIN m USING (symbol) WHERE trade_date >= coalesce(mark + 1, DATE '{AS_OF}' - 31) AND trade_date <= DATE '{AS_OF}'""")
+@query(f"""WITH {BARS}, m AS (SELECT symbol, max(bar_date) AS mark FROM bars WHERE bar_date < DATE '1998-06-01' AND symbol <> '5-LOW' GROUP BY symbol)
+SELECT symbol, bar_date, close FROM bars LEFT JOIN m USING (symbol) WHERE bar_date >= coalesce(mark + 1, DATE '{AS_OF}' - 31) AND bar_date <= DATE '{AS_OF}'""")
 def after_high_water(spark: S, sf: str) -> D:
     rows = bars(spark, sf)
-    return sinks.after_high_water(rows, rows.where("trade_date < '1998-06-01' AND symbol <> '5-LOW'"), AS_OF).select("symbol", "trade_date", "close")
+    return sinks.after_high_water(rows, rows.where("bar_date < '1998-06-01' AND symbol <> '5-LOW'"), AS_OF).select("symbol", "bar_date", "close")
 
 
 # Joins and aggregations.
@@ -216,17 +216,17 @@ def greatest_per_group(spark: S, sf: str) -> D:
     return scan.latest_per_key(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"])
 
 
-_PREDICTIONS = f"""{BARS}, p AS (SELECT symbol, trade_date AS predict_date, CASE WHEN open < close THEN 1 ELSE 0 END AS direction, round((close - open) / open, 6) AS magnitude FROM bars WHERE day(trade_date) % 5 = 0)"""
+_PREDICTIONS = f"""{BARS}, p AS (SELECT symbol, bar_date AS predict_date, CASE WHEN open < close THEN 1 ELSE 0 END AS direction, round((close - open) / open, 6) AS magnitude FROM bars WHERE day(bar_date) % 5 = 0)"""
 
 
 def predictions(spark: S, sf: str) -> D:
-    rows = bars(spark, sf).where(F.dayofmonth("trade_date") % 5 == 0)
-    return rows.select("symbol", F.col("trade_date").alias("predict_date"), (F.col("open") < F.col("close")).cast("int").alias("direction"), F.round((F.col("close") - F.col("open")) / F.col("open"), 6).alias("magnitude"))
+    rows = bars(spark, sf).where(F.dayofmonth("bar_date") % 5 == 0)
+    return rows.select("symbol", F.col("bar_date").alias("predict_date"), (F.col("open") < F.col("close")).cast("int").alias("direction"), F.round((F.col("close") - F.col("open")) / F.col("open"), 6).alias("magnitude"))
 
 
 OUTCOMES = f"""{_PREDICTIONS}, l AS (
-  SELECT symbol, trade_date AS predict_date, close AS start_price, coalesce(lead(close, 5) OVER w, last_value(close) OVER e) AS end_price, coalesce(lead(trade_date, 5) OVER w, last_value(trade_date) OVER e) AS actual_date
-  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date), e AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+  SELECT symbol, bar_date AS predict_date, close AS start_price, coalesce(lead(close, 5) OVER w, last_value(close) OVER e) AS end_price, coalesce(lead(bar_date, 5) OVER w, last_value(bar_date) OVER e) AS actual_date
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date), e AS (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 ), o AS (
   SELECT *, end_price / start_price - 1 AS actual_magnitude, CASE WHEN end_price / start_price - 1 > 0 THEN 1 ELSE 0 END AS actual_direction FROM p JOIN l USING (symbol, predict_date) WHERE predict_date + 7 <= DATE '{AS_OF}'
 ), acc AS (SELECT *, abs(magnitude - actual_magnitude) AS error_magnitude, CASE WHEN direction = actual_direction THEN 1 ELSE 0 END AS direction_correct FROM o)"""
@@ -244,12 +244,12 @@ def pending_predictions(spark: S, sf: str) -> D:
     return market.pending(p, p.where("predict_date < '1997-01-01'")).select("symbol", "predict_date")
 
 
-@query(f"""WITH {BARS} SELECT trade_date, a.close AS "close", a.volume AS volume, max(CASE WHEN b.symbol = '2-HIGH' THEN b.close END) AS "global_2-HIGH", max(CASE WHEN b.symbol = '5-LOW' THEN b.close END) AS "global_5-LOW"
-FROM (SELECT * FROM bars WHERE symbol = '1-URGENT') a LEFT JOIN bars b USING (trade_date) GROUP BY ALL""")
+@query(f"""WITH {BARS} SELECT bar_date, a.close AS "close", a.volume AS volume, max(CASE WHEN b.symbol = '2-HIGH' THEN b.close END) AS "global_2-HIGH", max(CASE WHEN b.symbol = '5-LOW' THEN b.close END) AS "global_5-LOW"
+FROM (SELECT * FROM bars WHERE symbol = '1-URGENT') a LEFT JOIN bars b USING (bar_date) GROUP BY ALL""")
 def market_features(spark: S, sf: str) -> D:
     rows = bars(spark, sf)
-    base = rows.where("symbol = '1-URGENT'").select("trade_date", "close", "volume")
-    return market.market_features(base, rows.limit(0).select("trade_date"), market.pivot_last(rows, ["2-HIGH", "5-LOW"]))
+    base = rows.where("symbol = '1-URGENT'").select("bar_date", "close", "volume")
+    return market.market_features(base, rows.limit(0).select("bar_date"), market.pivot_last(rows, ["2-HIGH", "5-LOW"]))
 
 
 _MATCH = f"""{FUND_INDUSTRIES}, {CODES}, {NEWS}, m AS (
@@ -332,9 +332,9 @@ def parse_html_table(spark: S, sf: str) -> D:
     return readers.nav_from_table(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("fund"), html.alias("page")), "page")
 
 
-@query(f"WITH {BARS} SELECT symbol, array_to_string(list(CAST(trade_date AS VARCHAR) ORDER BY trade_date), ',') AS dates, array_to_string(list(CAST(CAST(round(close) AS BIGINT) AS VARCHAR) ORDER BY trade_date), ',') AS closes FROM bars GROUP BY symbol")
+@query(f"WITH {BARS} SELECT symbol, array_to_string(list(CAST(bar_date AS VARCHAR) ORDER BY bar_date), ',') AS dates, array_to_string(list(CAST(CAST(round(close) AS BIGINT) AS VARCHAR) ORDER BY bar_date), ',') AS closes FROM bars GROUP BY symbol")
 def chart_columns(spark: S, sf: str) -> D:
-    out = sinks.chart_columns(bars(spark, sf).withColumn("c", F.round("close").cast("long").cast("string")), "symbol", "trade_date", ["c"])
+    out = sinks.chart_columns(bars(spark, sf).withColumn("c", F.round("close").cast("long").cast("string")), "symbol", "bar_date", ["c"])
     return out.select("symbol", F.array_join(F.transform("dates", lambda d: d.cast("string")), ",").alias("dates"), F.array_join("c", ",").alias("closes"))
 
 

@@ -9,7 +9,7 @@ from ..functions.scalar import safe_date, safe_double
 
 # The source tables' column names and ours.
 COLUMN_NAMES = {
-    "日期": "trade_date",
+    "日期": "bar_date",
     "开盘": "open",
     "最高": "high",
     "最低": "low",
@@ -22,7 +22,7 @@ COLUMN_NAMES = {
     "换手率": "turnover_rate",
 }
 # Other spellings that files use.
-DATE_ALIASES = ("日期", "净值日期", "date", "Date", "trade_date", "nav_date")
+DATE_ALIASES = ("日期", "净值日期", "date", "Date", "bar_date", "nav_date")
 NAV_ALIASES = ("净值", "nav", "NAV", "单位净值", "unit_nav")
 CLOSE_ALIASES = ("收盘", "close", "Close", "close_price", "收盘价")
 ACCUM_ALIASES = ("累计净值", "accum_nav")
@@ -47,8 +47,8 @@ def _csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 def read_bars_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Daily bars with English names; numbers and dates that can't be read become null, rows without a date go."""
     df = english(_csv(spark, path, encoding))
-    kinds = {c: safe_date(F.col(c)) if c == "trade_date" else safe_double(F.col(c)) for c in df.columns if c in COLUMN_NAMES.values()}
-    return df.withColumns(kinds).where(F.col("trade_date").isNotNull())
+    kinds = {c: safe_date(F.col(c)) if c == "bar_date" else safe_double(F.col(c)) for c in df.columns if c in COLUMN_NAMES.values()}
+    return df.withColumns(kinds).where(F.col("bar_date").isNotNull())
 
 
 def read_nav_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -59,7 +59,7 @@ def read_nav_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
 
 def read_benchmark_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     df = _csv(spark, path, encoding)
-    return df.select(safe_date(first_of(df, DATE_ALIASES, "date")).alias("trade_date"), safe_double(first_of(df, CLOSE_ALIASES, "close")).alias("close_price")).where("trade_date IS NOT NULL")
+    return df.select(safe_date(first_of(df, DATE_ALIASES, "date")).alias("bar_date"), safe_double(first_of(df, CLOSE_ALIASES, "close")).alias("close_price")).where("bar_date IS NOT NULL")
 
 
 def nav_from_script(df: DataFrame, payload: str, variable: str = "Data_netWorthTrend") -> DataFrame:

@@ -75,20 +75,20 @@ def set_where(df: DataFrame, condition: Column, **values) -> DataFrame:
     return df.withColumns({c: F.when(condition, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def meta_after(meta: DataFrame, batch: DataFrame, key: str = "symbol", date: str = "trade_date") -> DataFrame:
-    """first_trade_date falls to the batch's first date; last_trade_date becomes the batch's last, older or not."""
+def meta_after(meta: DataFrame, batch: DataFrame, key: str = "symbol", date: str = "bar_date") -> DataFrame:
+    """first_bar falls to the batch's first date; last_bar becomes the batch's last, older or not."""
     span = batch.groupBy(key).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
     out = meta.join(span, key, "full")
-    return out.withColumns({"first_trade_date": F.least("first_trade_date", "_first"), "last_trade_date": F.coalesce("_last", "last_trade_date")}).drop("_first", "_last")
+    return out.withColumns({"first_bar": F.least("first_bar", "_first"), "last_bar": F.coalesce("_last", "last_bar")}).drop("_first", "_last")
 
 
-def backfill_first_date(meta: DataFrame, bars: DataFrame, key: str = "symbol", date: str = "trade_date") -> DataFrame:
-    """Fills missing first_trade_date values from the bars."""
+def backfill_first_date(meta: DataFrame, bars: DataFrame, key: str = "symbol", date: str = "bar_date") -> DataFrame:
+    """Fills missing first_bar values from the bars."""
     first = bars.groupBy(key).agg(F.min(date).alias("_first"))
-    return meta.join(first, key, "left").withColumn("first_trade_date", F.coalesce("first_trade_date", "_first")).drop("_first")
+    return meta.join(first, key, "left").withColumn("first_bar", F.coalesce("first_bar", "_first")).drop("_first")
 
 
-def after_high_water(source: DataFrame, stored: DataFrame, as_of: str, key: str = "symbol", date: str = "trade_date", default_days: int = 31) -> DataFrame:
+def after_high_water(source: DataFrame, stored: DataFrame, as_of: str, key: str = "symbol", date: str = "bar_date", default_days: int = 31) -> DataFrame:
     """Source rows newer than the key's last stored date; keys not stored begin default_days before as_of."""
     mark = stored.groupBy(key).agg(F.max(date).alias("_mark"))
     today = F.lit(as_of).cast("date")

@@ -61,9 +61,9 @@ def test_paging_bounds(spark):
 
 
 def test_divisions_by_zero_are_null(spark):
-    df = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 5.0)], "symbol string, trade_date int, close double")
+    df = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 5.0)], "symbol string, bar_date int, close double")
     assert [r[0] for r in df.select(series.change("close", series.window())).collect()] == [None, None]
-    flat = spark.createDataFrame([("a", i, 2.0) for i in range(3)], "symbol string, trade_date int, close double")
+    flat = spark.createDataFrame([("a", i, 2.0) for i in range(3)], "symbol string, bar_date int, close double")
     assert {r[0] for r in flat.select(series.normalise(flat, "close")).collect()} == {0.0}
     assert {r[0] for r in flat.select(series.normalise(flat, "close", "minmax")).collect()} == {0.5}
     with pytest.raises(ValueError):
@@ -71,8 +71,8 @@ def test_divisions_by_zero_are_null(spark):
 
 
 def test_market_features_fall_back(spark):
-    empty = spark.createDataFrame([], "trade_date int, a int")
-    other = spark.createDataFrame([(1, 2)], "trade_date int, b int")
+    empty = spark.createDataFrame([], "bar_date int, a int")
+    other = spark.createDataFrame([(1, 2)], "bar_date int, b int")
     assert rows(market.market_features(empty, other, empty)) == [(1, 2)]
 
 

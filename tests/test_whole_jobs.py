@@ -117,14 +117,14 @@ def test_reports_cover_every_factor(spark, sf):
 
 
 def test_turnover_ranks_every_factor(spark, sf):
-    panel = factors.factor_panel(inputs.bars(spark, sf)).where("symbol = '5-LOW'").orderBy("trade_date").toPandas()
-    names = [c for c in panel.columns if c not in ("symbol", "trade_date", "close")]
+    panel = factors.factor_panel(inputs.bars(spark, sf)).where("symbol = '5-LOW'").orderBy("bar_date").toPandas()
+    names = [c for c in panel.columns if c not in ("symbol", "bar_date", "close")]
     tops = []
     for _, row in panel[names].iterrows():
         held = sorted((-v, f) for f, v in row.items() if v is not None and v == v)
         tops.append({f for _, f in held[: int(len(names) * 0.2)]})
     want = [1 - len(a & b) / len(a | b) for a, b in zip(tops, tops[1:])]
-    got = [r.turnover for r in sorted(run(spark, sf, "factor_turnover"), key=lambda r: r.trade_date) if r.symbol == "5-LOW"]
+    got = [r.turnover for r in sorted(run(spark, sf, "factor_turnover"), key=lambda r: r.bar_date) if r.symbol == "5-LOW"]
     assert got == pytest.approx(want)
 
 
@@ -148,7 +148,7 @@ def test_mixing_takes_any_number_of_sources(spark):
 def labelled(spark):
     rng = np.random.default_rng(3)
     rows = [(datetime.date(2024, 1, 1) + datetime.timedelta(days=i), *map(float, x), float(x[0] + x[1] > 0)) for i, x in enumerate(rng.standard_normal((240, 6)))]
-    return spark.createDataFrame(rows, "trade_date date, a double, b double, c double, d double, e double, f double, label double").coalesce(1).persist()
+    return spark.createDataFrame(rows, "bar_date date, a double, b double, c double, d double, e double, f double, label double").coalesce(1).persist()
 
 
 def test_elimination_and_stacking(labelled):
@@ -165,7 +165,7 @@ def test_the_ensemble_gets_the_library_and_default_models(spark, sf, monkeypatch
     seen = {}
 
     def eliminate(train, features, **how):
-        seen.update(features=features, how=how, last=train.agg({"trade_date": "max"}).first()[0])
+        seen.update(features=features, how=how, last=train.agg({"bar_date": "max"}).first()[0])
         return features[:3]
 
     def forest(train, features, *given, make=ml.train_forest, **how):
