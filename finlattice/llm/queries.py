@@ -87,15 +87,26 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_counts, op4_ngram_join, op5_warc, op6_decontamination, op7_quality, op8_token_files, op9_language_id, op10_topk)}
 
-_PATTERNS = " ".join(f"WHEN regexp_matches(host || path, '{p.regex.replace(chr(39), chr(39) * 2)}') THEN '{p.name}'" for p in sorted(url_filter.DEFAULT_PATTERNS, key=lambda p: (-p.size, p.name)))
+# The method's patterns once more, as their meaning is stated, not as the module writes them.
+_PATTERNS = r"""
+  SELECT w AS name, '(^|[.-])' || w || '($|[.:-])' AS host_has, NULL AS path_has, NULL AS ends, NULL AS query_has FROM (SELECT unnest(string_split('ads adserver adult affiliate banner betting bingo casino cheap-pills counterfeit-watches doubleclick escort essay-writing free-bets free-ringtones link-farm payday-loans pharmacy pixel poker popunder porn replica slots spam torrent tracker viagra warez xxx', ' ')) AS w)
+  UNION ALL SELECT '/' || w, NULL, '/' || w || '/', NULL, NULL FROM (SELECT unnest(string_split('account/register admin basket cart/checkout cgi-bin feed/rss forgot-password phpmyadmin search/results signin user/login wp-admin wp-content/uploads wp-login.php xmlrpc.php', ' ')) AS w)
+  UNION ALL SELECT '.' || w, NULL, NULL, '.' || w, NULL FROM (SELECT unnest(string_split('apk avi bin bmp css dmg exe gif gz ico iso jpeg jpg js mov mp3 mp4 msi png rar svg swf tar.gz tiff torrent ttf wav webp woff zip', ' ')) AS w)
+  UNION ALL SELECT '?' || w, NULL, NULL, NULL, w FROM (SELECT unnest(string_split('action&token add-to-cart jsessionid phpsessid print replytocom sessionid share sort&order', ' ')) AS w)"""
 
 ORACLE_SQL = {
     "op1_url_filter": f"""
 WITH split AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, row_number() OVER () AS r, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split
+  SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, lower(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1)) AS query FROM split
+), pattern AS ({_PATTERNS}
+), hit AS (
+  SELECT r, arg_min(name, (-length(name), name)) AS pattern FROM parts JOIN pattern ON
+    regexp_matches(host, host_has) OR contains(lower(path) || '/', path_has) OR contains(path, '/') AND ends_with(lower(path), ends)
+    OR len(list_filter(string_split(query, '&'), lambda x: starts_with(x, string_split(query_has, '&')[1] || '='))) > 0 AND (query_has NOT LIKE '%&%' OR
+      regexp_matches('&' || query, '&' || string_split(query_has, '&')[1] || '=.*&' || string_split(query_has, '&')[2] || '=')) GROUP BY r
 ), judged AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -103,12 +114,36 @@ WITH split AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
-  END AS rule, CASE {_PATTERNS} END AS pattern FROM parts
+  END AS rule, pattern FROM parts LEFT JOIN hit USING (r)
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern
 FROM judged""",
+    "op4_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), c AS (
+  SELECT w, min(doc_id) AS id, count(*) AS n, row_number() OVER (ORDER BY min(doc_id)) AS k FROM w WHERE len(w) > 0 GROUP BY w
+), s AS (
+  SELECT DISTINCT k, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM c)
+), z AS (
+  SELECT k, count(*) AS z FROM s GROUP BY k
+), common AS (
+  SELECT a.k AS a, b.k AS b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.k < b.k GROUP BY a.k, b.k
+), pair AS (
+  SELECT a, b FROM common JOIN z x ON x.k = a JOIN z y ON y.k = b WHERE 5 * n >= 4 * (x.z + y.z - n)
+), link AS (
+  SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair
+), reach AS (
+  SELECT a AS k, a AS r FROM link UNION SELECT reach.k, link.b FROM reach JOIN link ON link.a = reach.r
+), class AS (
+  SELECT reach.k, min(c.id) AS class_id FROM reach JOIN c ON c.k = reach.r GROUP BY reach.k
+), links AS (
+  SELECT link.a AS k, sum(c.n) AS n FROM link JOIN c ON c.k = link.b GROUP BY link.a
+)
+SELECT doc_id, coalesce(id, doc_id) AS copy_of, coalesce(class_id, id, doc_id) AS class_id, CAST(coalesce(links.n, 0) + coalesce(c.n, 1) - 1 AS BIGINT) AS n_links
+FROM w LEFT JOIN c ON c.w = w.w LEFT JOIN class USING (k) LEFT JOIN links USING (k)""",
     "op6_decontamination": r"""
 WITH doc AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
