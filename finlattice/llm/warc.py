@@ -14,9 +14,13 @@ the version line after it), so splitting there is exact for any payload bytes.
 Equal payloads (SHA-1 and length) of at least `smallest` bytes are stored once, by the row with
 the largest id; the others are revisit records that refer to it.
 
-Defined results: a null payload is an empty one; ids are unique and not null (rows with a null id
-are refused); an empty table gives an archive without records; other columns are ignored, except
-url, which may be null.
+Rows are told apart by id; where ids repeat or are null, those rows are written to the shared folder
+first, with a number each that goes into the record's name.
+
+Defined results: a null payload is an empty one; each row makes one record, also where ids repeat or
+are null (null is the least id, and refers_to shows the id of the response, so null where that has
+none); of rows with equal ids and payloads one is the response; an empty table gives an archive
+without records; other columns are ignored, except url, which may be null.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ VERSION = b"WARC/1.1\r\n"
 #: Between two records: the two line ends that close one, and the version line of the next.
 SEPARATOR = b"\r\n\r\n" + VERSION
 DATE = "2024-01-01T00:00:00Z"
+#: Parts that the rows of one payload are dealt over where they meet its response.
+SALTS = 16
 
 
 def b32(digest: bytes) -> str:
@@ -59,26 +65,36 @@ def cut(data: bytes | memoryview, size: int) -> Iterator[memoryview]:
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, payload) to (id, bytes, digest), chunk by chunk."""
+    """(id, n, payload) to (id, n, bytes, digest), chunk by chunk."""
     for batch in batches:
         sizes, found = [], []
-        for value in batch.column(1):
+        for value in batch.column(2):
             data = memoryview(value.as_buffer() or b"")
             sha = hashlib.sha1()
             for start in range(0, len(data), CHUNK):
                 sha.update(data[start : start + CHUNK])
             sizes.append(len(data))
             found.append(b32(sha.digest()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], ["id", "payload_bytes", "payload_digest"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], ["id", "n", "payload_bytes", "payload_digest"])
+
+
+def name_of(id_: int | None, n: int) -> str:
+    """The record's name: its id, and the number of its row if the id alone doesn't tell it."""
+    return ("none" if id_ is None else str(id_)) + (f"+{n}" if n else "")
+
+
+def id_of(name: str) -> int | None:
+    first = name.split("+")[0]
+    return None if first == "none" else int(first)
 
 
-def urn(id_: int, chunk: int = 1) -> str:
-    return f"<urn:record:{id_}>" if chunk == 1 else f"<urn:record:{id_}:{chunk}>"
+def urn(name: str, chunk: int = 1) -> str:
+    return f"<urn:record:{name}>" if chunk == 1 else f"<urn:record:{name}:{chunk}>"
 
 
-def record(kind: str, id_: int, url: str | None, block: bytes, chunk: int = 1, last: bool = True, total: int = 0, digest: str = "", refers_to: int | None = None) -> bytes:
+def record(kind: str, name: str, url: str | None, block: bytes, chunk: int = 1, last: bool = True, total: int = 0, digest: str = "", refers_to: str | None = None) -> bytes:
     """A record without the version line and the closing line ends, which the separator holds."""
-    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(id_, chunk)}", f"WARC-Date: {DATE}", f"Content-Length: {len(block)}", f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).digest())}"]
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(name, chunk)}", f"WARC-Date: {DATE}", f"Content-Length: {len(block)}", f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).digest())}"]
     if url is not None and chunk == 1:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url))
     if chunk == 1:
@@ -88,23 +104,24 @@ def record(kind: str, id_: int, url: str | None, block: bytes, chunk: int = 1, l
     if chunk > 1 or not last:
         lines.append(f"WARC-Segment-Number: {chunk}")
     if chunk > 1:
-        lines.append(f"WARC-Segment-Origin-ID: {urn(id_)}")
+        lines.append(f"WARC-Segment-Origin-ID: {urn(name)}")
         if last:
             lines.append(f"WARC-Segment-Total-Length: {total}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
 def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, url, payload, digest, refers_to) to chunk rows (id, chunk, record), a few MB a batch."""
+    """(id, n, url, payload, digest, response: id and n or null) to chunk rows (id, chunk, record), a few MB a batch."""
     out, held = ([], [], []), 0
     for batch in batches:
-        ids, urls, digest, refers = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        for i, value in enumerate(batch.column(2)):
+        ids, ns, urls, _, digest, refers = (c.to_pylist() if i != 3 else None for i, c in enumerate(batch.columns))
+        for i, value in enumerate(batch.column(3)):
             data = memoryview(value.as_buffer() or b"")
+            name = name_of(ids[i], ns[i])
             if refers[i] is not None:
-                pieces = [(1, record("revisit", ids[i], urls[i], b"", digest=digest[i], refers_to=refers[i]))]
+                pieces = [(1, record("revisit", name, urls[i], b"", digest=digest[i], refers_to=name_of(refers[i]["id"], refers[i]["n"])))]
             else:
-                pieces = _pieces(ids[i], urls[i], data, digest[i])
+                pieces = _pieces(name, urls[i], data, digest[i])
             for chunk, made in pieces:
                 for column, x in zip(out, (ids[i], chunk, made), strict=True):
                     column.append(x)
@@ -115,11 +132,11 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(out)
 
 
-def _pieces(id_: int, url: str | None, data: memoryview, digest: str) -> Iterator[tuple[int, bytes]]:
+def _pieces(name: str, url: str | None, data: memoryview, digest: str) -> Iterator[tuple[int, bytes]]:
     done = 0
     for chunk, piece in enumerate(cut(data, CHUNK), 1):
         done += len(piece)
-        yield chunk, record("response" if chunk == 1 else "continuation", id_, url, bytes(piece), chunk, done == len(data), len(data), digest)
+        yield chunk, record("response" if chunk == 1 else "continuation", name, url, bytes(piece), chunk, done == len(data), len(data), digest)
 
 
 def _rows(out: tuple[list, list, list]) -> pa.RecordBatch:
@@ -128,20 +145,32 @@ def _rows(out: tuple[list, list, list]) -> pa.RecordBatch:
 
 def write_warc(pages: DataFrame, path: str, id_: str = "page_id", payload: str = "html", url: str = "url", smallest: int = 0) -> None:
     """Writes gzipped WARC files below path, one per task."""
-    rows = pages.select(F.col(id_).cast("long").alias("id"), F.col(url).alias("url"), F.col(payload).cast("binary").alias("payload"))
-    rows = rows.withColumn("id", F.when(F.col("id").isNull(), F.raise_error(F.lit("a record needs an id"))).otherwise(F.col("id")))
-    digest = rows.select("id", "payload").mapInArrow(digests, "id long, payload_bytes long, payload_digest string")
-    stored = digest.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest", "payload_bytes").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = digest.join(stored, ["payload_digest", "payload_bytes"], "left").select("id", F.col("payload_digest").alias("digest"), F.when(F.col("response") != F.col("id"), F.col("response")).alias("refers_to"))
-    made = rows.join(known, "id").select("id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "refers_to").mapInArrow(records, "id long, chunk int, record binary")
+    rows = pages.select(F.col(id_).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), F.col(url).alias("url"), F.col(payload).cast("binary").alias("payload"))
+    schema = "id long, n long, payload_bytes long, payload_digest string"
+    digest = materialise(rows.select("id", "n", "payload").mapInArrow(digests, schema), "warc-digests")  # the only pass that hashes payloads whole
+    again = digest.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1 OR id IS NULL").select(F.col("id").alias("_again"))
+    if not again.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("_again"))
+        numbered = materialise(rows.join(again, same, "left_semi").withColumn("n", F.monotonically_increasing_id() + 1), "warc-repeated")
+        rows = rows.join(again, same, "left_anti").unionByName(numbered)
+        digest = digest.join(again, same, "left_anti").unionByName(numbered.select("id", "n", "payload").mapInArrow(digests, schema))
+    key = ["payload_digest", "payload_bytes"]
+    stored = digest.where(F.col("payload_bytes") >= smallest).groupBy(key).agg(F.max(F.struct("id", "n")).alias("response"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    stored = stored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = digest.withColumn("salt", F.pmod(F.xxhash64("id", "n"), F.lit(SALTS)).cast("int")).join(stored, [*key, "salt"], "left")
+    own = (F.col("response.id").eqNullSafe(F.col("id"))) & (F.col("response.n") == F.col("n"))
+    known = met.select("id", "n", F.col("payload_digest").alias("digest"), F.when(~own, F.col("response")).alias("refers_to"))
+    there = [F.coalesce("id", F.lit(0).cast("long")).alias("_id"), F.col("id").isNull().alias("_none"), F.col("n").alias("_n")]
+    known = known.select(*there, "digest", "refers_to")
+    made = rows.select("*", *there).join(known, ["_id", "_none", "_n"]).select("id", "n", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "refers_to").mapInArrow(records, "id long, chunk int, record binary")
     # The separator ends with the next record's version line, so each row closes one record and opens the next;
     # the version line of a file's first record is the head of its first row.
     body = F.concat(F.lit(VERSION), F.col("record")).cast("string")
     made.select(body.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-NAMES = ("id", "chunk", "type", "url", "refers_to", "payload_digest", "total", "bytes", "data")
-CHUNKS = "id long, chunk int, type string, url string, refers_to long, payload_digest string, total long, bytes long, data binary"
+NAMES = ("id", "record", "chunk", "type", "url", "refers_to", "payload_digest", "total", "bytes", "data")
+CHUNKS = "id long, record string, chunk int, type string, url string, refers_to string, payload_digest string, total long, bytes long, data binary"
 
 
 def parse(batches: Iterator[pa.RecordBatch], all_data: bool = True) -> Iterator[pa.RecordBatch]:
@@ -151,7 +180,7 @@ def parse(batches: Iterator[pa.RecordBatch], all_data: bool = True) -> Iterator[
     left out of its row.
     """
     names = NAMES
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for value in batch.column(0):
@@ -177,7 +206,8 @@ def parse(batches: Iterator[pa.RecordBatch], all_data: bool = True) -> Iterator[
             if whole and field["WARC-Type"] == "response" and field["WARC-Block-Digest"] != f"sha1:{stated}":
                 raise ValueError(f"damaged payload {field['WARC-Record-ID']}")
             data = bytes(block) if all_data or not whole else None
-            row = (int(of[12:-1]), int(field.get("WARC-Segment-Number", 1)), field["WARC-Type"], field.get("WARC-Target-URI"), int(refers[12:-1]) if refers else None, stated, int(field.get("WARC-Segment-Total-Length", -1)), length, data)
+            name = of[12:-1]
+            row = (id_of(name), name, int(field.get("WARC-Segment-Number", 1)), field["WARC-Type"], field.get("WARC-Target-URI"), refers[12:-1] if refers else None, stated, int(field.get("WARC-Segment-Total-Length", -1)), length, data)
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], list(names))
@@ -190,23 +220,23 @@ def read_chunks(spark: SparkSession, path: str, all_data: bool = True) -> DataFr
 
 
 def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunk rows in order of (id, chunk) to one row a record, with length and digest of the whole payload."""
+    """Chunk rows in order of (record, chunk) to one row a record, with length and digest of the whole payload."""
     state: dict = {}
     for batch in batches:
         out: list[tuple] = []
-        fields = [batch.column(n).to_pylist() for n in ("id", "chunk", "type", "refers_to", "payload_digest", "total", "bytes")]
-        for i, (id_, chunk, kind, refers_to, stated, total, size) in enumerate(zip(*fields, strict=True)):
+        fields = [batch.column(n).to_pylist() for n in ("record", "chunk", "type", "refers_to", "payload_digest", "total", "bytes")]
+        for i, (name, chunk, kind, refers_to, stated, total, size) in enumerate(zip(*fields, strict=True)):
             data = batch.column("data")[i]
             if chunk == 1:
                 if state:
                     out.append(_finish(state))
                     state = {}
                 if not data.is_valid:
-                    out.append((id_, kind, refers_to, size, stated))
+                    out.append((name, kind, refers_to, size, stated))
                     continue
-                state = {"id": id_, "stated": stated, "total": -1, "next": 1, "bytes": 0, "sha": hashlib.sha1()}
-            if not state or state["id"] != id_ or state["next"] != chunk:
-                raise ValueError(f"chunk {chunk} of record {id_} has no predecessor")
+                state = {"name": name, "stated": stated, "total": -1, "next": 1, "bytes": 0, "sha": hashlib.sha1()}
+            if not state or state["name"] != name or state["next"] != chunk:
+                raise ValueError(f"chunk {chunk} of record {name} has no predecessor")
             state["sha"].update(memoryview(data.as_buffer() or b""))
             state["bytes"] += size
             state["next"] += 1
@@ -217,16 +247,16 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finish(s: dict) -> tuple:
     if b32(s["sha"].digest()) != s["stated"] or s["bytes"] != s["total"]:
-        raise ValueError(f"record {s['id']} is not whole")
-    return s["id"], "response", None, s["bytes"], s["stated"]
+        raise ValueError(f"record {s['name']} is not whole")
+    return s["name"], "response", None, s["bytes"], s["stated"]
 
 
-RECORDS = "id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
+RECORDS = "id long, record string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
 def _folded(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-    columns = [[row[i] for row in out] for i in range(5)]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+    columns = [[id_of(row[0]) for row in out], *([row[i] for row in out] for i in range(5))]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in RECORDS.split(", ")])
 
 
@@ -237,10 +267,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     together, by record.  A revisit has the length of the response that it refers to.
     """
     chunks = read_chunks(spark, path, all_data=False).drop("url")
-    rows = chunks.repartition("id").sortWithinPartitions("id", "chunk").mapInArrow(fold, RECORDS)
-    rows = materialise(rows, "warc-records")
-    responses = rows.where("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("payload_bytes").alias("stored"), F.col("payload_digest").alias("found"))
-    joined = rows.join(responses, "refers_to", "left")
-    same = F.col("refers_to").isNull() | (F.col("found") == F.col("payload_digest"))
-    checked = F.when(F.coalesce(same, F.lit(False)), F.coalesce("stored", "payload_bytes")).otherwise(F.raise_error(F.lit("a revisit has no response")))
-    return joined.select("id", "record_type", "refers_to", checked.cast("long").alias("payload_bytes"), "payload_digest")
+    rows = materialise(chunks.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(fold, RECORDS), "warc-records")
+    revisits = rows.where("refers_to IS NOT NULL")
+    responses = rows.where("record_type = 'response'").select(F.col("record").alias("refers_to"), F.col("id").alias("response"), F.col("payload_bytes").alias("stored"), F.col("payload_digest").alias("found"))
+    asked = revisits.groupBy("refers_to").count().select("refers_to").join(responses, "refers_to")
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = revisits.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int")).join(asked, ["refers_to", "salt"], "left")
+    same = F.coalesce(F.col("found") == F.col("payload_digest"), F.lit(False))
+    checked = F.when(same, F.col("stored")).otherwise(F.raise_error(F.lit("a revisit has no response")))
+    revisits = joined.select("id", "record_type", F.col("response").alias("refers_to"), checked.cast("long").alias("payload_bytes"), "payload_digest")
+    whole = rows.where("refers_to IS NULL").select("id", "record_type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest")
+    return whole.unionByName(revisits)
