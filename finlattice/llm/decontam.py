@@ -6,12 +6,16 @@ none, is one window.  Each batch of training text is scanned by vector operation
 hashed, windows are hashed from them, and a sorted search in the set finds hits, each of which is
 verified word by word against the item's text.  Document words inside any hit window are hit.
 
-The set is broadcast in parts of at most PART_WINDOWS windows; the test table is split by item
-into as many parts as it needs, each part scans the documents, and their spans are united.  So the
-broadcast has a fixed bound whatever the benchmark's size.
-
-Defined results: null or wordless texts have no words and no hits; null items and items without
-words have no windows; repeated items and rows count each; empty tables are fine on either side.
+The set is broadcast in parts of about PART_WINDOWS windows (a longer item is a part of its own); the
+test table is streamed to the driver and split by item into as many parts as it needs.  With more
+than one part the documents are scanned by a job a part, whose spans are united and written to the
+shared folder before the next part is sent and the last one destroyed; so a worker holds one part
+at a time, whatever the benchmark's size.
+
+Defined results: null or wordless texts have no words and no hits; null texts and items without
+words have no windows; rows of the benchmark with equal ids are one item, and those with a null id
+are one item without a name: it hits and stands last in `items`, as null; repeated documents count
+each; empty tables are fine on either side.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_LOWER, U64, plain, slices, text_bytes, window_hashes, word_hashes, word_spans
+from .shared import ASCII_LOWER, U64, materialise, plain, slices, text_bytes, window_hashes, word_hashes, word_spans
 
 N = 10
 PART_WINDOWS = 2_000_000
@@ -38,34 +42,27 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return data, *word_spans(data, offsets)
 
 
+def in_order(names) -> list:
+    """Distinct item names, sorted as strings, null last."""
+    return sorted(set(names), key=lambda x: (x is None, x))
+
+
 class TestWindows:
-    """The windows of some items: for each window length, sorted hashes with their owners and texts."""
+    """The windows of some items: their texts once, and for each window length sorted hashes with places in the texts."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
         self.names = [name for name, _ in items]
-        held: dict[int, list[tuple[int, int, bytes]]] = {}
-        data, starts, ends, firsts = _words(pa.array([t or "" for _, t in items], pa.string()))
-        hashes = word_hashes(data, starts, ends)
-        for i in range(len(items)):
-            a, b = int(firsts[i]), int(firsts[i + 1])
-            if b > a:
-                size = min(n, b - a)
-                for j, h in enumerate(window_hashes(hashes[a:b], size).tolist()):
-                    span = slice(a + j, a + j + size)
-                    held.setdefault(size, []).append((h, i, b" ".join(data[s:e].tobytes() for s, e in zip(starts[span], ends[span], strict=True))))
+        self.data, self.starts, self.ends, firsts = _words(pa.array([t or "" for _, t in items], pa.string()))
+        hashes, counts = word_hashes(self.data, self.starts, self.ends), np.diff(firsts)
         self.by_size = {}
-        for size, rows in held.items():
-            rows.sort(key=lambda r: (r[0], r[2]))
-            keys: list[int] = []
-            owners: list[list[tuple[bytes, list[int]]]] = []
-            for h, i, words in rows:
-                if not keys or keys[-1] != h:
-                    keys.append(h)
-                    owners.append([])
-                if not owners[-1] or owners[-1][-1][0] != words:
-                    owners[-1].append((words, []))
-                owners[-1][-1][1].append(i)
-            self.by_size[size] = np.array(keys, U64), owners
+        for size in np.unique(np.minimum(counts[counts > 0], n)).tolist():
+            windows, item = window_hashes(hashes, size), np.searchsorted(firsts, np.arange(max(hashes.size - size + 1, 0)), "right") - 1
+            own = np.flatnonzero((np.minimum(counts[item], n) == size) & (np.arange(len(item)) + size <= firsts[item + 1]))
+            order = own[np.argsort(windows[own], kind="stable")]
+            self.by_size[size] = windows[order], order, item[order].astype(np.int32)
+
+    def words(self, first: int, size: int) -> bytes:
+        return _text(self.data, self.starts, self.ends, first, size)
 
     def scan(self, column: pa.Array) -> Iterator[tuple]:
         """For each text: words, then hit windows' first and past-last word, their bytes, and item names."""
@@ -73,7 +70,8 @@ class TestWindows:
         _, offsets = text_bytes(column)
         hashes = word_hashes(data, starts, ends)
         rows: list[dict] = [{} for _ in range(len(column))]
-        for size, (keys, owners) in self.by_size.items():
+        known: dict[tuple[int, bytes], tuple[int, ...]] = {}  # a batch repeats few windows often
+        for size, (keys, places, item) in self.by_size.items():
             windows = window_hashes(hashes, size)
             at = np.searchsorted(keys, windows)
             at[at == keys.size] = 0
@@ -81,10 +79,13 @@ class TestWindows:
                 row = int(np.searchsorted(firsts, w, "right")) - 1
                 if w + size > firsts[row + 1]:
                     continue
-                words = b" ".join(data[s:e].tobytes() for s, e in zip(starts[w : w + size], ends[w : w + size], strict=True))
-                for text, own in owners[at[w]]:
-                    if text == words:
-                        rows[row][int(w), size] = own
+                words = _text(data, starts, ends, w, size)
+                own = known.get((size, words))
+                if own is None:
+                    equal = range(at[w], int(np.searchsorted(keys, windows[w], "right")))
+                    own = known[size, words] = tuple({int(item[i]) for i in equal if self.words(int(places[i]), size) == words})
+                if own:
+                    rows[row][int(w), size] = own
         for row, hits in enumerate(rows):
             first, base = int(firsts[row]), int(offsets[row])
             spans = merged([(w, w + size) for w, size in hits])
@@ -94,10 +95,14 @@ class TestWindows:
                 [b - first for _, b in spans],
                 [int(starts[a]) - base for a, _ in spans],
                 [int(ends[b - 1]) - base for _, b in spans],
-                sorted({self.names[i] for own in hits.values() for i in own}),
+                in_order(self.names[i] for own in set(hits.values()) for i in own),
             )
 
 
+def _text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, size: int) -> bytes:
+    return b" ".join(data[s:e].tobytes() for s, e in zip(starts[first : first + size], ends[first : first + size], strict=True))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans' union, in order."""
     out: list[tuple[int, int]] = []
@@ -124,10 +129,17 @@ def _parts(benchmark: DataFrame, item_id: str, text: str, n: int, most: int) ->
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, part_windows: int = PART_WINDOWS) -> DataFrame:
     """docs with a column `overlap`: the hit spans (words and bytes of the text) and items of each row."""
-    out = docs.withColumn("overlap", F.lit(None).cast(KIND))
-    for i, part in enumerate(_parts(benchmark, item_id, item_text, n, part_windows)):
-        found = scanner(docs.sparkSession.sparkContext.broadcast(TestWindows(part, n)))(F.col(text))
-        out = out.withColumn("overlap", found if i == 0 else F.arrow_udf(unite, KIND)(F.col("overlap"), found))
+    context, out = docs.sparkSession.sparkContext, docs
+    parts = _parts(benchmark, item_id, item_text, n, part_windows)
+    part, more = next(parts), next(parts, None)
+    out = docs.withColumn("overlap", scanner(context.broadcast(TestWindows(part, n)))(F.col(text)))
+    while more is not None:
+        if part is not None:
+            out, part = materialise(out, "overlap"), None
+        sent = context.broadcast(TestWindows(more, n))
+        out = materialise(out.withColumn("overlap", F.arrow_udf(unite, KIND)(F.col("overlap"), scanner(sent)(F.col(text)))), "overlap")
+        sent.unpersist()
+        more = next(parts, None)
     return out
 
 
@@ -153,7 +165,7 @@ def unite(x: pa.Array, y: pa.Array) -> pa.Array:
     rows = []
     for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
         spans = [merged([*zip(p[a], p[b], strict=True), *zip(q[a], q[b], strict=True)]) for a, b in (NAMES[1:3], NAMES[3:5])]
-        rows.append((p["n_words"], *[[s[i] for s in own] for own in spans for i in (0, 1)], sorted({*p["items"], *q["items"]})))
+        rows.append((p["n_words"], *[[s[i] for s in own] for own in spans for i in (0, 1)], in_order([*p["items"], *q["items"]])))
     return _structs(rows)
 
 
