@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of the edges (a, b), the smallest node that it is connected with.
 
     Each round is two aggregations and two joins over the edges, written to the shared folder; the
-    number of rounds grows with the logarithm of the longest path.  Nothing is collected but a
-    fingerprint of the edges, which ends the loop when a round leaves them as they are.
+    number of rounds grows with the logarithm of the longest path.  Nothing is collected but whether
+    any node isn't settled yet: one with two edges down, or with one down and one up.
     """
 
     def rounds(e: DataFrame) -> DataFrame:
@@ -24,15 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         return small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()
 
-    def fingerprint(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+    def settled(e: DataFrame) -> bool:
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("s"))
+        return ends.groupBy("s.node").agg(F.sum("s.down").alias("down"), F.max("s.up").alias("up")).where("down > 1 OR down = 1 AND up = 1").isEmpty()
 
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    before = fingerprint(e)
-    while before[0]:
+    while not settled(e):
         e = materialise(rounds(e), "edges")
-        now = fingerprint(e)
-        if now == before:
-            break
-        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_bytes
+from .shared import PIECE, text_bytes
 
 
 def gram_ids(data: np.ndarray, offsets: np.ndarray, n: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -28,14 +28,25 @@ def gram_ids(data: np.ndarray, offsets: np.ndarray, n: int, bins: int) -> tuple[
     return (h[inside] % np.uint32(bins)).astype(np.int64), row[:count][inside]
 
 
+def overlapping(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows as they are, or one long row in pieces that share n - 1 bytes, so that each n-gram is in one piece."""
+    if len(offsets) != 2 or data.size <= 2 * PIECE:
+        yield data, offsets
+        return
+    for a in range(0, data.size - n + 1, PIECE):
+        piece = data[a : a + PIECE + n - 1]
+        yield piece, np.array([0, piece.size])
+
+
 def gram_counts(column: pa.Array, sizes: tuple[int, ...], bins: int, table: np.ndarray) -> np.ndarray:
     """rows x bins counts of the n-grams of all sizes, after bytes are mapped by table."""
     data, offsets = text_bytes(column)
-    data, rows = table[data], len(column)
+    rows = len(column)
     out = np.zeros(rows * bins, np.float32)
     for n in sizes:
-        ids, row = gram_ids(data, offsets, n, bins)
-        out += np.bincount(row * bins + ids, minlength=rows * bins).astype(np.float32)
+        for piece, ends in overlapping(data, offsets, n):
+            ids, row = gram_ids(table[piece], ends, n, bins)
+            out += np.bincount(row * bins + ids, minlength=rows * bins).astype(np.float32)
     return out.reshape(rows, bins)
 
 

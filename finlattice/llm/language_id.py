@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import few_rows, gram_ids, remainder, sample_per_class
+from .features import few_rows, gram_ids, overlapping, remainder, sample_per_class
 from .shared import ASCII_LOWER, lowered, plain, text_bytes
 
 PER_CLASS = 400
@@ -44,11 +44,11 @@ FOLD[0x80:] = np.arange(0x80, 0x100)
 def presence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The (row, n-gram) pairs that occur, as one sorted array each."""
     data, offsets = text_bytes(column)
-    data, rows = FOLD[data], len(column)
-    seen = np.zeros(rows * BINS, bool)
+    seen = np.zeros(len(column) * BINS, bool)
     for n in SIZES:
-        ids, row = gram_ids(data, offsets, n, BINS)
-        seen[row * BINS + ids] = True
+        for piece, ends in overlapping(data, offsets, n):
+            ids, row = gram_ids(FOLD[piece], ends, n, BINS)
+            seen[row * BINS + ids] = True
     at = np.flatnonzero(seen)
     return at // BINS, at % BINS
 

@@ -2,30 +2,39 @@
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text.  A document is
 the set of its five-word shingles (one shingle of all words if there are fewer).  Documents of
-equal word sequences are one class from the start; one of them, with the smallest id, stands for
-all.
-
-Each of TREES trees is a sorted trie of signatures.  Two documents meet in a tree where their
-signatures share a prefix; prefix_depth() starts from the full depth and shortens the prefix until
-a pair at the threshold meets in some tree with the target recall.  Each node of that depth is a
-group of candidates.  Groups with the same members count once.  Every pair of a group is then
-verified exactly on whole texts: groups are cut into blocks of GROUP_BLOCK members and each pair of
-blocks is one cell of work, a product of shingle incidence matrices, whatever the group's size.  A
-pair counts in the first tree where it meets, so links are counted once.  A cell returns a row for
-each linked document (its links there and its smallest linked relative), never the pairs.
+equal word sequences are one class from the start, known by a number of its own; one row with the
+smallest id stands for all.
+
+Each of TREES trees is a sorted prefix trie of signatures of DEEPEST values, kept as two numbers:
+the first LEAST values and the rest.  A class alone in its node of depth LEAST meets nobody in that
+tree; the others carry the sizes of their nodes at each depth from LEAST to DEEPEST.  Each class
+starts from its deepest nodes and shortens the matched prefixes, a level at a time in all trees,
+until a partner at the threshold would have been met with the target recall: a node that holds no
+more members than a shallower one counts as that shallower one, so classes with few relatives stop
+early and only crowded ones go down to FLOOR, where the target holds whatever the trie looks like.
+Where two classes are in a node that either of them uses they are candidates; of nested nodes the
+shallowest in use counts.
+
+Groups with the same members count once.  Every pair of a group is then verified exactly on whole
+texts: groups are cut into blocks, bounded in members and in bytes, and each pair of blocks is one
+cell of work, a product of shingle incidence matrices, whatever the group's size.  A pair counts
+in the first tree where it meets, so links are counted once.  A cell returns a row for each linked
+class (its links there and its smallest linked relative), never the pairs.
 
 Defined results: null or wordless texts have no shingles, no links and a class of their own; rows
-with a null id take no part; rows with equal ids and words are copies of each other; an empty
-table gives an empty result; other columns are ignored.
+with a null id take no part; rows with equal ids are told apart by their texts, and those with
+equal texts are copies of each other; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,19 +43,27 @@ from .shared import U64, lowered, materialise, mix, plain, shingles, slices, tex
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 20
-MOST_DEPTH = 8
+#: A signature has DEEPEST values of 16 bits, the first LEAST of them in one number and the others in another.
+DEEPEST, LEAST = 8, 4
 RECALL = 0.999
-GROUP_BLOCK = 512
+GROUP_BLOCK = 256
+BLOCK_BYTES = 8 << 20
 COLUMNS = 1 << 14
 #: Marks the rows of a cell that compares a block with itself; else 0 and 1 are its two blocks.
 SAME = 2
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = MOST_DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix with which a pair at the threshold meets in some tree with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def missed(depths: list[int], threshold: float = THRESHOLD) -> float:
+    """The chance that a pair at the threshold shares no prefix of these lengths, one a tree."""
+    return math.prod(1 - threshold**d for d in depths)
+
+
+def floor_depth(threshold: float, trees: int, recall: float) -> int:
+    """The longest prefix that reaches the recall in all trees without regard to the data."""
+    for depth in range(DEEPEST, LEAST - 1, -1):
+        if missed([depth] * trees, threshold) <= 1 - recall:
+            return depth
+    raise ValueError(f"{trees} trees cannot reach a recall of {recall} at {threshold}: add trees")
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,31 +79,35 @@ def text_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.
     return words, firsts, *shingles(words, firsts, n)
 
 
-def tree_keys(grams: np.ndarray, before: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """rows x trees: the hashed prefix of each signature in each tree; rows without shingles get 0."""
+def tree_keys(grams: np.ndarray, before: np.ndarray, trees: int) -> np.ndarray:
+    """rows x trees x 2: the first and the last four values of each signature; rows without shingles get 0."""
     some = np.flatnonzero(np.diff(before))
-    keys = np.zeros((len(before) - 1, trees), np.int64)
+    keys = np.zeros((len(before) - 1, trees, 2), np.int64)
     if some.size:
         x, at = (grams >> U64(32)).astype(np.uint32), before[:-1][some]
-        times, plus = _multipliers(trees * depth)
+        times, plus = _multipliers(trees * DEEPEST)
         buffer = np.empty_like(x)
         for t in range(trees):
-            key = np.full(some.size, t + 1, U64)
-            for d in range(depth):
-                np.multiply(x, times[t * depth + d], out=buffer)
-                np.add(buffer, plus[t * depth + d], out=buffer)
-                key = mix(key * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(buffer, at).astype(U64))
-            keys[some, t] = key.view(np.int64)
+            for half, (first, end) in enumerate(((0, LEAST), (LEAST, DEEPEST))):
+                key = np.zeros(some.size, U64)
+                for d in range(t * DEEPEST + first, t * DEEPEST + end):
+                    np.multiply(x, times[d], out=buffer)
+                    np.add(buffer, plus[d], out=buffer)
+                    key = (key << U64(16)) | (mix(np.minimum.reduceat(buffer, at).astype(U64) + U64(d)) >> U64(48))
+                keys[some, t, half] = key.view(np.int64)
     return keys
 
 
-def sign(trees: int, depth: int, n: int):
-    """(id, text) to (id, content, keys): content identifies the word sequence, null if there are no words."""
+SIGNED = "id long, fp long, bytes long, content binary, keys array<struct<hi:long,lo:long>>"
+
+
+def sign(trees: int, n: int):
+    """(id, fp, text) to SIGNED: content identifies the word sequence, null if there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = plain(batch.column(1))
-            for a, b in slices(column, 1 << 20):
+            column = plain(batch.column(2))
+            for a, b in slices(column):
                 words, firsts, grams, before = text_shingles(column[a:b], n)
                 counts = np.diff(firsts)
                 some = np.flatnonzero(counts)
@@ -96,9 +117,11 @@ def sign(trees: int, depth: int, n: int):
                     if some.size:
                         content[some, i] = np.add.reduceat(mix(words + mix(place + U64(salt))), firsts[:-1][some])
                 content = [x.tobytes() if c else None for x, c in zip(content, counts, strict=True)]
-                keys = tree_keys(grams, before, trees, depth)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * trees, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(content, pa.binary()), lists], ["id", "content", "keys"])
+                keys = tree_keys(grams, before, trees)
+                pairs = pa.StructArray.from_arrays([pa.array(keys[:, :, i].ravel()) for i in (0, 1)], ["hi", "lo"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * trees, pa.int32()), pairs)
+                size = pa.array(np.diff(text_bytes(column[a:b])[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], size, pa.array(content, pa.binary()), lists], ["id", "fp", "bytes", "content", "keys"])
 
     return run
 
@@ -178,51 +201,113 @@ def verify(trees: int, n: int, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, recall: float = RECALL, group_block: int = GROUP_BLOCK) -> DataFrame:
-    """(id, copy_of, class_id, n_links) for each row of docs with an id.
+def forest(classes: DataFrame, trees: int, threshold: float, recall: float) -> DataFrame:
+    """(cls, tree, bucket, bytes): the trie nodes in which classes (cls, bytes, keys) meet, nodes of one member left out."""
+    nodes = classes.select("cls", "bytes", F.posexplode("keys").alias("tree", "key")).select("cls", "bytes", "tree", "key.hi", "key.lo")
+    crowded = nodes.groupBy("tree", "hi").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(nodes.join(crowded, ["tree", "hi"]), "forest-nodes")
 
-    copy_of: the smallest id with the same words; class_id: the smallest id connected by links;
-    n_links: the number of other rows with a similarity of at least the threshold.
+    depths = range(LEAST + 1, DEEPEST + 1)
+    node = ["tree", "hi", "depth", "prefix"]
+    spread = met.select("cls", "tree", "hi", "n", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftrightunsigned("lo", 16 * (DEEPEST - d)).alias("prefix")) for d in depths])).alias("at")).select("cls", "tree", "hi", "n", "at.*")
+    held = spread.groupBy(node).agg(F.count("*").alias("members"))
+    sizes = spread.join(held, node).groupBy("cls", "tree").agg(F.first("n").alias(f"n{LEAST}"), *[F.max(F.when(F.col("depth") == d, F.col("members"))).alias(f"n{d}") for d in depths])
+
+    def miss(level: int) -> Column:
+        """Log of the chance to miss a partner in this tree with the node of this level, in excess of the node of LEAST."""
+        log = {d: math.log(missed([d], threshold)) - math.log(missed([LEAST], threshold)) for d in range(LEAST, level + 1)}
+        same = F.lit(log[level])
+        for d in range(level - 1, LEAST - 1, -1):  # the shallowest node with as many members
+            same = F.when(F.col(f"n{d}") == F.col(f"n{level}"), log[d]).otherwise(same)
+        return F.sum(same)
+
+    floor = floor_depth(threshold, trees, recall)
+    room = math.log(1 - recall) - trees * math.log(missed([LEAST], threshold)) + 1e-9
+    level = F.lit(floor)
+    for d in range(floor + 1, DEEPEST + 1):  # the deepest level that reaches the target
+        level = F.when(F.col(f"miss{d}") <= room, d).otherwise(level)
+    levels = sizes.groupBy("cls").agg(*[miss(d).alias(f"miss{d}") for d in range(max(floor, LEAST + 1), DEEPEST + 1)]).select("cls", level.alias("level"))
+    leveled = materialise(met.join(levels, "cls"), "forest-levels")
+
+    spread = leveled.select("cls", "bytes", "tree", "hi", "level", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftrightunsigned("lo", 16 * (DEEPEST - d)).alias("prefix")) for d in depths])).alias("at")).select("cls", "bytes", "tree", "hi", "level", "at.*")
+    if floor == LEAST:
+        least = leveled.select("cls", "bytes", "tree", "hi", "level", F.lit(LEAST).alias("depth"), F.lit(0).cast("long").alias("prefix"))
+        spread = spread.unionByName(least)
+    used = spread.groupBy(node).agg(F.max((F.col("level") == F.col("depth")).cast("int")).alias("used"), F.count("*").alias("members")).where("used = 1 AND members > 1").select(node)
+    return spread.join(used, node).groupBy("cls", "tree").agg(F.min(F.struct("depth", F.xxhash64(*node).alias("bucket"))).alias("s"), F.first("bytes").alias("bytes")).select("cls", "tree", "s.bucket", "bytes")
+
+
+def _rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    return docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
+
+
+def cells_of(texts: DataFrame, wanted: DataFrame, trees: int, group_block: int, block_bytes: int) -> DataFrame:
+    """(cell, id, copies, second, tree, marks, text): a row for each class, tree and cell it is compared in.
+
+    wanted: (cls, id, fp, copies, marks, sizes): its group in each tree, and the groups' members and bytes.
     """
-    depth = prefix_depth(threshold, trees, recall=recall)
-    texts = docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = materialise(texts.mapInArrow(sign(trees, depth, words), "id long, content binary, keys array<long>"), "signatures")
-    classes = materialise(signed.where("content IS NOT NULL").groupBy("content").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "copy-classes")
-
-    nodes = classes.select("id", F.posexplode("keys").alias("tree", "bucket"))
-    groups = nodes.groupBy("tree", "bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("f"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g")).where("members > 1")
-    groups = groups.groupBy("members", "f", "g").agg(F.min(F.struct("tree", "bucket")).alias("node")).select("node.tree", "node.bucket", "members")
-    met = materialise(nodes.join(groups, ["tree", "bucket"]), "candidates")
-    marks = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("by_tree", t), F.lit(0).cast("long")))
-    entries = F.map_from_entries(F.collect_list(F.struct("tree", "bucket")))  # one a tree at most
-    of = met.groupBy("id").agg(entries.alias("by_tree"), F.map_from_entries(F.collect_list(F.struct("tree", "members"))).alias("sizes")).withColumn("marks", marks)
-    wanted = of.join(classes.select("id", "copies"), "id")
-    placed = texts.join(wanted, "id").dropDuplicates(["id"]).select("id", "copies", "marks", "text", F.explode("sizes").alias("tree", "members"))
-    placed = placed.withColumn("blocks", F.ceil(F.col("members") / group_block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
+    # of repeated rows one is kept before anything is moved
+    placed = texts.groupBy("id", "fp").agg(F.first("text").alias("text")).join(wanted, ["id", "fp"])
+    placed = placed.select(F.col("cls").alias("id"), "copies", "marks", "text", F.explode("sizes").alias("tree", "size"))
+    placed = placed.withColumn("blocks", F.greatest(F.ceil(F.col("size.members") / group_block), F.ceil(F.col("size.bytes") / block_bytes)).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("tree", F.element_at("marks", F.col("tree") + 1), F.least("block", "other"), F.greatest("block", "other"))
     second = F.when(F.col("block") == F.col("other"), SAME).otherwise((F.col("block") > F.col("other")).cast("int"))
-    cells = placed.select(cell.alias("cell"), "id", "copies", second.alias("second"), "tree", "marks", "text")
+    return placed.select(cell.alias("cell"), "id", "copies", second.alias("second"), "tree", "marks", "text")
+
+
+def classified(docs: DataFrame, id_: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, recall: float = RECALL, group_block: int = GROUP_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, fp, copy_of, first_id, first_fp, n_links) for each row of docs with an id.
+
+    fp: a fingerprint of the text; first_*: the row that stands for all that are connected with this one.
+    """
+    texts = _rows(docs, id_, text)
+    signed = materialise(texts.mapInArrow(sign(trees, words), SIGNED), "signatures")
+    some, none = signed.where("content IS NOT NULL"), signed.where("content IS NULL")
+    classes = some.groupBy("content").agg(F.min(F.struct("id", "fp")).alias("rep"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.first("keys").alias("keys"))
+    classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "copy-classes")
+
+    nodes = materialise(forest(classes.select("cls", "bytes", "keys"), trees, threshold, recall), "forest")
+    groups = nodes.groupBy("tree", "bucket").agg(F.count("*").alias("members"), F.sum("bytes").alias("all_bytes"), F.bit_xor(F.xxhash64("cls")).alias("f"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("g"))
+    groups = groups.groupBy("members", "all_bytes", "f", "g").agg(F.min(F.struct("tree", "bucket")).alias("node")).select("node.tree", "node.bucket", F.struct("members", F.col("all_bytes").alias("bytes")).alias("size"))
+    met = nodes.select("cls", "tree", "bucket").join(groups, ["tree", "bucket"])
+    marks = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("by_tree", t), F.lit(0).cast("long")))
+    of = met.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("tree", "bucket"))).alias("by_tree"), F.map_from_entries(F.collect_list(F.struct("tree", "size"))).alias("sizes"))  # a tree at most once
+    wanted = of.select("cls", "sizes", marks.alias("marks")).join(classes.select("cls", "rep.id", "rep.fp", "copies"), "cls")
+    cells = cells_of(texts, wanted, trees, group_block, block_bytes)
     linked = materialise(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify(trees, words, threshold), "id long, root long, links long"), "links")
 
-    roots = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    links = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.select("content", "id", "copies").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("content", F.col("id").alias("copy_of"), F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("id", "content").join(known, "content", "left")
-    return out.select("id", F.coalesce("copy_of", "id").alias("copy_of"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    roots = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cls"), "root")
+    links = linked.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "cls")
+    small = classes.select("cls", "content", "rep", "copies")
+    firsts = roots.join(small.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("first"))
+    related = roots.join(firsts, "root").join(links, "cls").select("cls", "first", "links")
+    known = small.join(related, "cls", "left").select("content", F.col("rep.id").alias("copy_of"), F.coalesce("first", "rep").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = some.select("id", "fp", "content").join(known, "content").select("id", "fp", "copy_of", F.col("first.id").alias("first_id"), F.col("first.fp").alias("first_fp"), F.col("n_links").cast("long").alias("n_links"))
+    return out.unionByName(none.select("id", "fp", F.col("id").alias("copy_of"), F.col("id").alias("first_id"), F.col("fp").alias("first_fp"), F.lit(0).cast("long").alias("n_links")))
+
+
+def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(id, copy_of, class_id, n_links) for each row of docs with an id.
+
+    copy_of: the smallest id with the same words; class_id: the smallest id connected by links;
+    n_links: the number of other rows with a similarity of at least the threshold.
+    """
+    return classified(docs, id_, text, **how).select("id", "copy_of", F.col("first_id").alias("class_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame, id_: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the rows that have a near duplicate with a smaller id; of rows with equal ids and texts one stays.
+    """docs without the rows that are connected with a row before them, by id and then by text; of equal rows one stays.
 
-    Rows with a null id stay as they are.
+    Rows with a null id, and rows without words that are not repeated, stay as they are.
     """
-    found = materialise(near_duplicates(docs, id_, text, **how), "near-duplicates")
-    gone = found.where("id <> class_id").select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_) == F.col("_gone"), "left_anti")
-    repeated = found.where("id = class_id").groupBy("id").count().where("count > 1").select(F.col("id").alias("_again"))
+    found = materialise(classified(docs, id_, text, **how), "near-duplicates")
+    stays = (F.col("id") == F.col("first_id")) & (F.col("fp") == F.col("first_fp"))
+    gone = found.where(~stays).select(F.col("id").alias("_gone"), F.col("fp").alias("_of")).distinct()
+    kept = docs.join(gone, (F.col(id_) == F.col("_gone")) & (F.xxhash64(text) == F.col("_of")), "left_anti")
+    repeated = found.where(stays).groupBy("id", "fp").count().where("count > 1").select(F.col("id").alias("_again"), F.col("fp").alias("_of"))
     if repeated.isEmpty():
         return kept
-    again = F.col(id_) == F.col("_again")
+    again = (F.col(id_) == F.col("_again")) & (F.xxhash64(text) == F.col("_of"))
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_, text]))

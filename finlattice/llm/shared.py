@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = U64(0xD6E8FEB86659FD93)
+#: Bytes, or words, that are worked on at a time.
+PIECE = 1 << 20
 
 #: Bytes of a word: digits, a-z after lower-casing, and every byte of a non-ASCII character.
 WORD_BYTES = np.zeros(256, bool)
@@ -28,11 +31,13 @@ ASCII_LOWER[0x41:0x5B] += 0x20
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests in local mode) a temporary folder is set as the
-    checkpoint folder of the session.
+    Where the setting is absent in local mode (tests) a temporary folder is set as the checkpoint
+    folder of the session; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="finlattice-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -63,7 +68,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = PIECE) -> Iterator[tuple[int, int]]:
     """Row ranges of about most_bytes of text; a longer text stands alone."""
     _, offsets = text_bytes(column)
     start, rows = 0, len(column)
@@ -75,19 +80,27 @@ def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, i
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in data, and the number of words before each row (and in all)."""
-    if not data.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = table[data]
-    before, after = np.empty_like(inside), np.empty_like(inside)
-    before[0], before[1:] = False, inside[:-1]
-    after[-1], after[:-1] = False, inside[1:]
+    """Starts and ends of the words in data, and the number of words before each row (and in all).
+
+    Works through PIECE bytes at a time, so what it needs beside its result doesn't grow with a text.
+    """
     edges = offsets[1:-1]
-    before[edges[edges < data.size]] = False
-    after[edges[edges > 0] - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    starts, ends = [], []
+    for a in range(0, data.size, PIECE):
+        b = min(a + PIECE, data.size)
+        inside = table[data[max(a - 1, 0) : b + 1]]  # with a byte on either side
+        if not a:
+            inside = np.concatenate([[False], inside])
+        if b == data.size:
+            inside = np.concatenate([inside, [False]])
+        here, before, after = inside[1:-1], inside[:-2].copy(), inside[2:].copy()
+        own = edges[np.searchsorted(edges, a) : np.searchsorted(edges, b, "right")] - a
+        before[own[own < b - a]] = False
+        after[own[own > 0] - 1] = False
+        starts.append(np.flatnonzero(here & ~before) + a)
+        ends.append(np.flatnonzero(here & ~after) + a + 1)
+    first = np.concatenate([np.zeros(0, np.int64), *starts])
+    return first, np.concatenate([np.zeros(0, np.int64), *ends]), np.searchsorted(first, offsets)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,32 +115,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, base, U64)]), dtype=U64) for base in (_BASE, _BASE_INVERSE)]
+def _power_tables() -> list[np.ndarray]:
+    if not _powers:
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(PIECE, base, U64)]), dtype=U64) for base in (_BASE, _BASE_INVERSE)]
     return _powers
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span: differences of one running polynomial sum, then mixed."""
-    if not starts.size:
-        return np.zeros(0, U64)
-    up, down = _power_tables(data.size + 1)
-    total = np.zeros(data.size + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: data.size], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of each span: differences of one running polynomial sum for each PIECE bytes, then mixed.
+
+    A span longer than PIECE is hashed by itself.
+    """
+    up, down = _power_tables()
+    out, i = np.empty(starts.size, U64), 0
+    while i < starts.size:
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + PIECE, "right")))
+        b = int(ends[j - 1])
+        if b - a > PIECE:
+            out[i] = int.from_bytes(hashlib.blake2b(np.ascontiguousarray(data[a:b]), digest_size=8).digest(), "little")
+        else:
+            total = np.zeros(b - a + 1, U64)
+            np.cumsum((data[a:b].astype(U64) + U64(1)) * up[: b - a], out=total[1:])
+            x, y = starts[i:j] - a, ends[i:j] - a
+            out[i:j] = mix((total[y] - total[x]) * down[x] + (y - x).astype(U64))
+        i = j
+    return out
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive words; the last n - 1 places have none."""
-    if words.size < n:
-        return np.zeros(0, U64)
-    count = words.size - n + 1
-    out = np.full(count, U64(n), U64)
-    for i in range(n):
-        out = out * _STEP + words[i : i + count]
-    return mix(out)
+    count = max(words.size - n + 1, 0)
+    out = np.empty(count, U64)
+    for a in range(0, count, PIECE):
+        b = min(a + PIECE, count)
+        part = np.full(b - a, U64(n), U64)
+        for i in range(n):
+            part *= _STEP
+            part += words[a + i : b + i]
+        out[a:b] = mix(part)
+    return out
 
 
 def shingles(words: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
