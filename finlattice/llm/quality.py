@@ -1,11 +1,12 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is a vector of hashed counts of its byte 1-, 2- and 3-grams, over the whole text, where
-letters keep only their kind (lower, upper or non-ASCII), so that the vector tells form from
-wording.  Counts are damped by a square root, weighted by inverse document frequency and projected
-on the leading singular vectors of the labelled sample (latent semantic analysis).  The labelled
-vectors are broadcast; each block of documents is multiplied with all of them, exactly, and the
-labels of the `neighbours` nearest vote with a power of their cosines as weights.
+A text is a vector of two halves over the whole text: wording, hashed counts of its lower-cased
+words and pairs of words, and form, hashed counts of its byte 1-, 2- and 3-grams where letters keep
+only their kind (lower, upper or non-ASCII).  Counts are damped by a square root and weighted by
+inverse document frequency, each half is scaled to its share of the length, and the whole is
+projected on the leading singular vectors of the labelled sample (latent semantic analysis).  The
+labelled vectors are broadcast; each block of documents is multiplied with all of them, exactly, and
+the labels of the `neighbours` nearest vote with a power of their cosines as weights.
 
 The labelled sample is the only bounded part: at most `per_class` rows of each label (those with
 the smallest hashes of the id), so what is collected and broadcast is at most 2 * per_class rows.
@@ -26,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import few_rows, gram_counts, remainder, sample_per_class
-from .shared import plain
+from .shared import ASCII_LOWER, U64, plain, shingles, text_bytes, word_hashes, word_spans
 
 PER_CLASS = 1500
 BINS = 2048
+WORD_BINS = 4096
+#: The share of wording in the squared length of a vector.
+WORDING = 0.1
 SIZES = (1, 2, 3)
-DIMENSIONS = 48
+DIMENSIONS = 64
 NEIGHBOURS = 15
 POWER = 8
 
@@ -43,8 +47,21 @@ SHAPE[0x30:0x3A] = ord("0")
 SHAPE[0x80:] = ord("a")
 
 
+def word_counts(column: pa.Array, bins: int = WORD_BINS) -> np.ndarray:
+    """rows x bins counts of the words and pairs of words."""
+    data, offsets = text_bytes(column)
+    data, rows = ASCII_LOWER[data], len(column)
+    starts, ends, firsts = word_spans(data, offsets)
+    words = word_hashes(data, starts, ends)
+    out = np.zeros(rows * bins, np.float32)
+    for grams, before in ((words, firsts), shingles(words, firsts, 2)):
+        row = np.repeat(np.arange(rows), np.diff(before))
+        out += np.bincount(row * bins + (grams % U64(bins)).astype(np.int64), minlength=rows * bins).astype(np.float32)
+    return out.reshape(rows, bins)
+
+
 def _features(column: pa.Array) -> np.ndarray:
-    return np.sqrt(gram_counts(column, SIZES, BINS, SHAPE))
+    return np.sqrt(np.hstack([word_counts(column), gram_counts(column, SIZES, BINS, SHAPE)]))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -61,18 +78,24 @@ class Model:
         rate = {c: max((labels == c).sum(), 1) / max(totals.get(c, 1), 1) for c in (0, 1)}
         self.weight = np.where(labels == 1, 1 / rate[1], 1 / rate[0]).astype(np.float32)
         self.weight /= self.weight.max(initial=1e-9)
-        frequency = (features > 0).mean(axis=0) if len(features) else np.zeros(BINS)
+        width = WORD_BINS + BINS
+        frequency = (features > 0).mean(axis=0) if len(features) else np.zeros(width)
         self.idf = (np.log(1 / np.maximum(frequency, 1e-3)) + 1).astype(np.float32)
-        x = _unit(features * self.idf)
+        x = self.weigh(features)
         k = min(DIMENSIONS, *x.shape)
         random = np.random.default_rng(7)
-        q = x.T @ random.standard_normal((len(x), min(k + 16, len(x)))).astype(np.float32) if len(x) else np.zeros((BINS, 1), np.float32)
+        q = x.T @ random.standard_normal((len(x), min(k + 16, len(x)))).astype(np.float32) if len(x) else np.zeros((width, 1), np.float32)
         for _ in range(4):  # subspace iterations of a randomised decomposition
             q, _ = np.linalg.qr(x.T @ (x @ q) if len(x) else q)
         _, _, v = np.linalg.svd(x @ q, full_matrices=False)
-        self.axes = (q @ v[:k].T).astype(np.float32) if len(x) else np.zeros((BINS, 1), np.float32)
+        self.axes = (q @ v[:k].T).astype(np.float32) if len(x) else np.zeros((width, 1), np.float32)
         self.points = _unit(x @ self.axes)
 
+    def weigh(self, raw: np.ndarray) -> np.ndarray:
+        """Both halves weighted and scaled to their shares."""
+        x = raw * self.idf
+        return np.hstack([_unit(x[:, :WORD_BINS]) * np.float32(WORDING**0.5), _unit(x[:, WORD_BINS:]) * np.float32((1 - WORDING) ** 0.5)])
+
     def score(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.prior)
         if not len(self.labels):
@@ -81,7 +104,7 @@ class Model:
         for a, b in few_rows(column):
             raw = _features(column[a:b])
             some = raw.any(axis=1)
-            cosines = _unit(_unit(raw * self.idf) @ self.axes) @ self.points.T
+            cosines = _unit(self.weigh(raw) @ self.axes) @ self.points.T
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
             votes = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-6) ** POWER * self.weight[near]
             out[a:b] = np.where(some, (votes * self.labels[near]).sum(axis=1) / votes.sum(axis=1), self.prior)
@@ -102,8 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "te
     totals = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     chosen = F.broadcast(sample_per_class(known, "_id", "_label", per_class))  # at most 2 * per_class ids
     texts = docs.join(chosen, F.col(id_) == F.col("_id")).groupBy("_id", "_label").agg(F.min(text).alias("text")).select(F.col("_label").cast("int").alias("label"), "text")
-    rows = texts.mapInArrow(_extract, "label int, features binary").orderBy("features", "label").collect()  # BINS floats a row
-    features = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(len(rows), BINS)
+    rows = sorted(texts.mapInArrow(_extract, "label int, features binary").collect(), key=lambda r: (r.features, r.label))  # WORD_BINS + BINS floats a row
+    features = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(len(rows), WORD_BINS + BINS)
     return Model(features, np.array([r.label for r in rows], np.int32), totals)
 
 
