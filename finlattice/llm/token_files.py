@@ -24,6 +24,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,9 +82,10 @@ class Tokens:
         """Ids of texts, each at least one id."""
         model, out, rest = self.tokenizer.model, [b""] * len(texts), []
         for i, t in enumerate(texts):
-            if self.byte_level and t[t[0] == " " :].isalpha():
-                piece = t.encode().decode("latin-1").translate(self.letters)
-                out[i] = np.array([x.id for x in model.tokenize(piece)], np.uint32).tobytes()
+            word = t[1:] if t[0] == " " else t
+            if self.byte_level and word.isalpha():
+                piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                out[i] = array("I", [x.id for x in model.tokenize(piece if word is t else self.letters[0x20] + piece)]).tobytes()
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
@@ -94,16 +96,14 @@ class Tokens:
         """Ids of distinct texts, from the cache where it has them; what hasn't been met for long drops out."""
         if len(self.recent) > CACHE:
             self.older, self.recent = self.recent, {}
-        recent, older, new, out = self.recent, self.older, [], []
-        for i, t in enumerate(texts):
-            ids = recent.get(t)
+        recent, older, new = self.recent, self.older, []
+        out = list(map(recent.get, texts))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = older.get(texts[i])
             if ids is None:
-                ids = older.get(t)
-                if ids is None:
-                    new.append(i)
-                else:
-                    recent[t] = ids
-            out.append(ids)
+                new.append(i)
+            else:
+                out[i] = recent[texts[i]] = ids
         for i, ids in zip(new, self._encode([texts[i] for i in new]), strict=True):
             out[i] = ids
             if len(texts[i]) < 64:
@@ -120,7 +120,7 @@ class Tokens:
         begins = np.zeros(data.size + 1, bool)
         if data.size > 1:
             now, last = data[1:], data[:-1]
-            before_last = np.concatenate([[0], data[:-2]])
+            before_last = np.concatenate([np.zeros(1, np.uint8), data[:-2]])
             latin = (before_last == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)  # the letters of two bytes with lead C3
             letter = _LETTER[last] | latin
             begins[1:-1] = (now == 0x20) & (letter | ((last < 0x80) & ~_SPACE[last] & (last >= 0x20))) | letter & (now < 0x80) & ~_LETTER[now]
@@ -135,7 +135,7 @@ class Tokens:
         parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         each = self._lookup(parts.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(each), np.uint32)
-        sizes = np.fromiter((len(b) >> 2 for b in each), np.int64, len(each))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) >> 2
         index = parts.indices.to_numpy()
         many = sizes[index]
         ends = np.cumsum(many)
