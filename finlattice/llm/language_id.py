@@ -7,7 +7,9 @@ against the rest.  As the kernel is an inner product of presence vectors, the la
 fold into one weight per n-gram and language, and a batch of texts is scored by products of its
 sparse presence matrix with that matrix: the same numbers, without comparing with each landmark.
 
-The labelled sample is the only bounded part: at most `per_class` rows of each language, and MOST_ROWS in all.
+The labelled sample is the only bounded part: at most `per_class` rows of each language, MOST_ROWS in
+all, of the MOST_LANGUAGES most frequent languages (ties by name); others have no sample and are not
+learned.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is every text if
 nothing can be learned; rows with equal texts get equal answers.
@@ -31,7 +33,7 @@ LANDMARKS = 512
 BINS = 1 << 15
 SIZES = (1, 2, 3, 4)
 RIDGE = 1e-3
-MOST_LANGUAGES = 1000
+MOST_LANGUAGES = 500
 MOST_ROWS = 2000
 
 #: Letters and non-ASCII bytes as they are, lower-cased; the rest is one separator.
@@ -102,16 +104,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "grams"])
 
 
-def fit(docs: DataFrame, id_: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, id_: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = PER_CLASS, most_languages: int = MOST_LANGUAGES) -> Model:
     """Learns from at most per_class rows of each language; give it no rows that are held out."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_).isNotNull()).select(F.col(id_).alias("_id"), F.col(lang).alias("_label"))
-    languages = known.select("_label").distinct().limit(MOST_LANGUAGES + 1).count()
-    if languages > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    per_class = max(1, min(per_class, MOST_ROWS // max(languages, 1)))
-    chosen = F.broadcast(sample_per_class(known, "_id", "_label", per_class))  # at most MOST_ROWS ids, or one of each language
+    frequent = known.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(most_languages).select("_label").collect()
+    known = known.where(F.col("_label").isin([r[0] for r in frequent]))
+    per_class = max(1, min(per_class, MOST_ROWS // max(len(frequent), 1)))
+    chosen = F.broadcast(sample_per_class(known, "_id", "_label", per_class))  # at most MOST_ROWS ids
     texts = docs.join(chosen, (F.col(id_) == F.col("_id")) & (F.col(lang) == F.col("_label"))).groupBy("_id", F.col("_label").alias("label")).agg(F.min(text).alias("text")).select("label", "text")
-    rows = texts.mapInArrow(_extract, "label string, grams binary").orderBy("label", "grams").collect()  # 2 * BINS bytes a row at most
+    rows = sorted(texts.mapInArrow(_extract, "label string, grams binary").collect())  # 2 * BINS bytes a row at most
     languages = sorted({r.label for r in rows})
     return Model(languages, [np.frombuffer(r.grams, "<u2").astype(int) for r in rows], np.array([languages.index(r.label) for r in rows], int))
 
