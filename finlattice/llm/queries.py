@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, language_id, mixing, ngram_join, quality, token_counts, token_files, topk, url_filter, warc
-from .shared import shared_folder
+from .shared import materialise, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -35,12 +35,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The totals of all documents: one batch of inserts, committed twice as after a lost answer."""
-    store = shared_folder(spark, "token-counts")
+    """The totals of all documents, after every kind of change.
+
+    All documents are inserted with an estimate of a token for four bytes and revised to what the
+    tokenizer counts, which is committed twice as after a lost answer; those that repeat the text of
+    a document with a smaller id are deleted and inserted again.
+    """
+    store, version = shared_folder(spark, "token-counts"), TOKENIZER.removesuffix(".json")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = token_counts.count_tokens(docs, tokenizer_path()).select("doc_id", "source", "lang", F.xxhash64("text").alias("fp"), F.coalesce(F.ceil(F.octet_length("text") / 4), F.lit(0)).alias("estimate"), "n_tokens")
+    counted = materialise(counted, "counted")
+    firsts = counted.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = materialise(counted.join(firsts, "fp").where("doc_id > first").select("doc_id", "source", "lang", "n_tokens"), "copies")
     token_counts.create(spark, store)
-    changes = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), "byte_bpe_50k")
+    token_counts.commit(spark, store, "estimated", token_counts.changes(counted, "insert", version, "estimate"))
     for _ in range(2):
-        token_counts.commit(spark, store, "documents", changes)
+        token_counts.commit(spark, store, "counted", token_counts.changes(counted, "revise", version))
+    token_counts.commit(spark, store, "withdrawn", token_counts.changes(copies, "delete", version))
+    token_counts.commit(spark, store, "restored", token_counts.changes(copies, "insert", version))
     return token_counts.totals(spark, store)
 
 

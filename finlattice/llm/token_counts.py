@@ -8,7 +8,9 @@ documents are never counted again.
 
 Commits are idempotent: a batch writes its ledger and deltas under its own name, replacing what a
 lost attempt left, and then its commit mark; readers see only marked batches, and a batch that is
-marked already changes nothing.
+marked already changes nothing.  A commit reads of the ledger only what its batch touches.  compact()
+folds all batches of a store into one of a new store, which keeps their names, so that a late repeat
+of any of them still changes nothing.
 
 Defined results: the last of a batch's changes to a document counts (by `seq`, then by value);
 an insert of a known document is a revision; deletes of unknown documents do nothing; null sources
@@ -34,7 +36,7 @@ GROUP = ["source", "lang", "tokenizer"]
 
 def create(spark: SparkSession, store: str) -> None:
     for name, schema in (("ledger", LEDGER), ("deltas", DELTAS), ("commits", COMMITS)):
-        spark.createDataFrame([], schema).write.parquet(f"{store}/{name}/from=start")
+        spark.createDataFrame([], schema).coalesce(1).write.parquet(f"{store}/{name}/from=start")
 
 
 def _table(spark: SparkSession, store: str, name: str, schema: str) -> DataFrame:
@@ -44,39 +46,50 @@ def _table(spark: SparkSession, store: str, name: str, schema: str) -> DataFrame
     return rows.join(F.broadcast(_table(spark, store, "commits", COMMITS).select("batch").distinct()), "batch", "left_semi")  # a row a batch; compact() bounds them
 
 
-def live(spark: SparkSession, store: str) -> DataFrame:
-    """The documents that count now: (doc_id, tokenizer, source, lang, n_tokens)."""
-    last = _table(spark, store, "ledger", LEDGER).groupBy(KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), "position").alias("s"))
+def live(spark: SparkSession, store: str, touched: DataFrame | None = None) -> DataFrame:
+    """The documents that count now, of those touched (KEY): (doc_id, tokenizer, source, lang, n_tokens)."""
+    rows = _table(spark, store, "ledger", LEDGER)
+    if touched is not None:
+        rows = rows.join(touched, KEY, "left_semi")
+    last = rows.groupBy(KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), "position").alias("s"))
     return last.where("s.live").select(*KEY, "s.source", "s.lang", "s.n_tokens")
 
 
 def commit(spark: SparkSession, store: str, batch: str, changes: DataFrame) -> bool:
     """Applies changes (op, seq, doc_id, tokenizer, source, lang, n_tokens); False if the batch was there already."""
-    commits = _table(spark, store, "commits", COMMITS)
-    if not commits.where(F.col("batch") == batch).isEmpty():
+    there, last_position = _table(spark, store, "commits", COMMITS).agg(F.max(F.col("batch") == batch), F.max("position")).first()
+    if there:
         return False
-    position = (commits.agg(F.max("position")).first()[0] or 0) + 1
+    position = (last_position or 0) + 1
     last = changes.where("doc_id IS NOT NULL").groupBy(KEY).agg(F.max(F.struct("seq", F.struct("op", "source", "lang", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).alias("s"))).alias("m"))
     last = last.select(*KEY, "m.s.op", "m.s.source", "m.s.lang", "m.s.n_tokens", (F.col("m.s.op") != "delete").alias("live"))
     ledger = last.select(*KEY, "source", "lang", "n_tokens", "live", F.lit(position).cast("long").alias("position"), F.lit(batch).alias("batch"))
     ledger.write.mode("overwrite").parquet(f"{store}/ledger/from={batch}")
     now = spark.read.schema(LEDGER).parquet(f"{store}/ledger/from={batch}")
-    taken = live(spark, store).join(now.select(*KEY), KEY, "left_semi").select(*GROUP, F.lit(-1).alias("sign"), "n_tokens")
+    taken = live(spark, store, now.select(*KEY)).select(*GROUP, F.lit(-1).alias("sign"), "n_tokens")
     added = now.where("live").select(*GROUP, F.lit(1).alias("sign"), "n_tokens")
     deltas = taken.union(added).groupBy(GROUP).agg(F.sum(F.col("sign").cast("long")).alias("docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("tokens"))
     deltas.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{store}/deltas/from={batch}")
-    spark.createDataFrame([(batch, position)], COMMITS).write.mode("overwrite").parquet(f"{store}/commits/from={batch}")
+    spark.createDataFrame([(batch, position)], COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{store}/commits/from={batch}")
     return True
 
 
+def compact(spark: SparkSession, store: str, into: str) -> None:
+    """Writes the state of a store to a new one: live documents, totals, and the names of all batches."""
+    live(spark, store).select("doc_id", "tokenizer", "source", "lang", "n_tokens", F.lit(True).alias("live"), F.lit(0).cast("long").alias("position"), F.lit("").alias("batch")).write.parquet(f"{into}/ledger/from=compacted")
+    totals(spark, store).withColumn("batch", F.lit("")).write.parquet(f"{into}/deltas/from=compacted")
+    folded = spark.createDataFrame([("", 0)], COMMITS)  # the batch that all others are folded into
+    _table(spark, store, "commits", COMMITS).where("batch <> ''").unionByName(folded).write.parquet(f"{into}/commits/from=compacted")
+
+
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """(source, lang, tokenizer, docs, tokens) over all committed batches."""
     sums = _table(spark, store, "deltas", DELTAS).groupBy(GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     return sums.where("docs <> 0 OR tokens <> 0")
 
 
-def count_tokens(docs: DataFrame, path: str, version: str, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """Insert changes for docs: each whole text is counted with the tokenizer file at path."""
+def count_tokens(docs: DataFrame, path: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
+    """docs with the number of tokens of each whole text, counted with the tokenizer file at path."""
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
@@ -85,4 +98,9 @@ def count_tokens(docs: DataFrame, path: str, version: str, id_: str = "doc_id",
             sizes.append(pa.array(tokenizer(path).encode(column[a:b])[1], pa.int64()))
         return pa.concat_arrays(sizes) if sizes else pa.array([], pa.int64())
 
-    return docs.select(F.lit("insert").alias("op"), F.lit(0).alias("seq"), F.col(id_).cast("long").alias("doc_id"), F.lit(version).alias("tokenizer"), "source", "lang", count(F.col(text)).alias("n_tokens"))
+    return docs.withColumn(into, count(F.col(text)))
+
+
+def changes(docs: DataFrame, op: str, version: str, n_tokens: str = "n_tokens", id_: str = "doc_id") -> DataFrame:
+    """docs (with source, lang and a count) as a batch of one kind of change."""
+    return docs.select(F.lit(op).alias("op"), F.lit(0).alias("seq"), F.col(id_).cast("long").alias("doc_id"), F.lit(version).alias("tokenizer"), "source", "lang", F.col(n_tokens).cast("long").alias("n_tokens"))
