@@ -81,15 +81,15 @@ def probabilities(model, df: DataFrame, features: list[str], name: str) -> DataF
     return out.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 
-def auc(df: DataFrame, score: str | Column, label: str = "label") -> DataFrame:
-    """The share of (positive, negative) pairs in right order, ties half, from counts by score."""
-    s = F.col(score) if isinstance(score, str) else score
-    at = df.groupBy(s.alias("s")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+def auc(df: DataFrame, score: str | Column, label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """The share of (positive, negative) pairs in right order, ties half, from counts by score; of each group, if by is given."""
+    s, by = F.col(score) if isinstance(score, str) else score, by or []
+    at = df.groupBy(*by, s.alias("s")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
     spans = at.withColumn("g", F.floor(F.col("s") * 256))  # two levels of running sums, so no task holds all scores
-    low = spans.groupBy("g").agg(F.sum("n").alias("gn")).withColumn("before", F.coalesce(F.sum("gn").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    inner = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = spans.withColumn("inner", inner).join(low, "g")
-    return rows.agg((F.sum(F.col("p") * (F.col("before") + F.col("inner") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
+    low = spans.groupBy(*by, "g").agg(F.sum("n").alias("gn")).withColumn("before", F.coalesce(F.sum("gn").over(Window.partitionBy(*by).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = spans.withColumn("inner", inner).join(low, [*by, "g"])
+    return rows.groupBy(*by).agg((F.sum(F.col("p") * (F.col("before") + F.col("inner") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
 def weighted(names: list[str], weights: list[float]) -> Column:
@@ -98,15 +98,10 @@ def weighted(names: list[str], weights: list[float]) -> Column:
 
 
 def best_weights(df: DataFrame, names: list[str], steps: int = 11, label: str = "label") -> tuple[list[float], float]:
-    """The weights on a grid that give the highest AUC; all grid points are scored in one job.
-
-    AUC comes from counts of scores rounded to 1/10000, so each point shuffles at most 10,001 rows.
-    """
+    """The weights on a grid that give the highest AUC, by exact scores; all grid points are scored in one job."""
     grid = _grid(len(names), steps - 1)
-    points = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(weighted(names, [float(x) for x in g]), 4).alias("s")) for i, g in enumerate(grid)]))
-    at = df.select(label, points.alias("q")).groupBy("q.i", "q.s").agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    below = F.sum("n").over(Window.partitionBy("i").orderBy("s")) - F.col("n") / 2
-    scores = at.withColumn("b", below).groupBy("i").agg((F.sum(F.col("p") * F.col("b")) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
+    points = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), weighted(names, [float(x) for x in g]).alias("s")) for i, g in enumerate(grid)]))
+    scores = auc(df.select(label, points.alias("q")).select(label, "q.i", "q.s"), "s", label, by=["i"])
     i, value = scores.orderBy(F.desc("auc"), "i").first()
     return [x / (steps - 1) for x in grid[i]], value
 

@@ -64,12 +64,31 @@ def model_health(runs: DataFrame, as_of: str, most_days: int = 30, key: str = "s
     return last.withColumn("age_days", age).withColumn("status", F.when(F.col("age_days") >= most_days, "stale").otherwise("fresh"))
 
 
-def gap_allowed(runs: DataFrame, ts: str = "ts", hours: float = 4.0, a_day: int = 4) -> DataFrame:
-    """Runs that the rate gate lets through: `hours` after the one before, at most `a_day` of a day."""
-    w = Window.partitionBy(F.to_date(ts)).orderBy(ts)
-    gap = (F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w))) / 3600
-    spaced = runs.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= hours))
-    return spaced.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= a_day).drop("_gap", "_n")
+def gap_allowed(runs: DataFrame, ts: str = "ts", hours: float = 4.0, a_day: int = 4, key: str | None = None) -> DataFrame:
+    """Runs that the rate gate lets through: `hours` after the last one it let through, at most `a_day` of a day.
+
+    A gate's runs are taken in turn, each in view of those before it, so all runs of a key (or of
+    the table, without a key) are one array: a log of some runs a day.  Runs at the same time count
+    one by one; those without a time are held back.
+    """
+    by = [key] if key else []
+    state = "struct<last:timestamp,day:date,n:int,let:array<timestamp>>"
+    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.lit(None).cast("date").alias("day"), F.lit(0).alias("n"), F.array().cast("array<timestamp>").alias("let")).cast(state)
+
+    def step(s: Column, t: Column) -> Column:
+        today = F.when(s["day"] == F.to_date(t), s["n"]).otherwise(0)
+        late = s["last"].isNull() | (F.unix_micros(t) - F.unix_micros(s["last"]) >= int(hours * 3_600_000_000))
+        let = F.struct(t.alias("last"), F.to_date(t).alias("day"), (today + 1).alias("n"), F.array_append(s["let"], t).alias("let")).cast(state)
+        return F.when(late & (today < a_day), let).otherwise(s)
+
+    times = F.array_sort(F.collect_list(F.col(ts).cast("timestamp")))
+    let = runs.where(F.col(ts).isNotNull()).groupBy(*by).agg(F.aggregate(times, start, step)["let"].alias("_let")).select(*by, F.explode("_let").alias("_t"))
+    let = let.groupBy(*by, "_t").agg(F.count("*").alias("_times"))
+    turn = F.row_number().over(Window.partitionBy(*by, ts).orderBy(F.lit(0)))
+    same = F.col(ts).cast("timestamp") == F.col("_t")
+    if key:
+        let, same = let.withColumnRenamed(key, "_key"), same & F.col(key).eqNullSafe(F.col("_key"))
+    return runs.join(let, same).withColumn("_n", turn).where("_n <= _times").select(*runs.columns)
 
 
 def fallback_prediction(df: DataFrame, key: str = "symbol", date: str = "bar_date") -> DataFrame:

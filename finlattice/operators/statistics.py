@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation, divide
+from ..scratch import written
+from .kernels import by_key
 from .series import last, window
 
 
@@ -39,22 +44,44 @@ def hurst(df: DataFrame, c: str, key: str = "symbol", date: str = "bar_date", fi
     Chunk lengths run from first_lag to a quarter of the rows; a remainder is dropped, chunks
     without variance are skipped, and fewer than 3 lengths give null.
     """
-    rows = df.where(F.col(c).isNotNull()).select(key, date, F.col(c).alias("x"))
-    rows = rows.withColumns({"i": F.row_number().over(window(key, date)) - 1, "n": F.count("*").over(Window.partitionBy(key))})
-    top = F.floor(F.col("n") / 4) if most_lag is None else F.least(F.floor(F.col("n") / 4), F.lit(most_lag))
-    lags = F.filter(F.sequence(F.lit(first_lag), F.greatest(top, F.lit(first_lag)).cast("int")), lambda k: k <= top)
-    cut = rows.withColumn("lag", F.explode(lags)).withColumn("chunk", F.floor(F.col("i") / F.col("lag"))).where((F.col("chunk") + 1) * F.col("lag") <= F.col("n"))
-    part = Window.partitionBy(key, "lag", "chunk")
-    cut = cut.withColumn("d", F.col("x") - F.avg("x").over(part)).withColumn("walk", F.sum("d").over(part.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    ratio = cut.groupBy(key, "lag", "chunk").agg(divide(F.max("walk") - F.min("walk"), F.stddev_samp("x")).alias("rs")).where("rs > 0")
-    line = ratio.groupBy(key, "lag").agg(F.avg("rs").alias("rs")).select(key, F.ln("lag").alias("a"), F.ln("rs").alias("b"))
-    fit = line.groupBy(key).agg(F.count("*").alias("k"), F.regr_slope("b", "a").alias("slope"), F.regr_r2("b", "a").alias("r2"))
-    return fit.select(key, F.when(F.col("k") >= 3, F.col("slope")).alias("hurst"), F.when(F.col("k") >= 3, F.col("r2")).alias("r2"))
+
+    def slope(x: np.ndarray) -> list[tuple]:
+        top = len(x) // 4 if most_lag is None else min(len(x) // 4, most_lag)
+        points = []
+        for n in range(first_lag, top + 1):
+            chunks = x[: len(x) // n * n].reshape(-1, n)
+            walk = np.cumsum(chunks - chunks.mean(axis=1, keepdims=True), axis=1)
+            spread, deviation = walk.max(axis=1) - walk.min(axis=1), chunks.std(axis=1, ddof=1)
+            ok = (deviation > 0) & (spread > 0)
+            if ok.any():
+                points.append((math.log(n), math.log((spread[ok] / deviation[ok]).mean())))
+        if len(points) < 3:
+            return [(None, None)]
+        a, b = np.array(points).T
+        sxx, sxy, syy = ((a - a.mean()) ** 2).sum(), ((a - a.mean()) * (b - b.mean())).sum(), ((b - b.mean()) ** 2).sum()
+        return [(sxy / sxx, sxy**2 / (sxx * syy) if syy else 1.0)]
+
+    return by_key(df, slope, "hurst double, r2 double", c, key, date)
+
+
+def ranked_values(rows: DataFrame, c: str, by: list[str]) -> DataFrame:
+    """(by, c, n, below): each distinct value with the number of its rows and of those with smaller values.
+
+    Values are counted, dealt into ranges and numbered range by range, so no task sorts a whole group.
+    """
+    counts = rows.groupBy(*by, c).agg(F.count("*").alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(counts.repartitionByRange(parts, *by, c).withColumn("_part", F.spark_partition_id()), "ranked-values")
+    order = Window.partitionBy(*by).orderBy("_part")
+    before = dealt.groupBy(*by, "_part").agg(F.sum("n").alias("_n")).withColumn("_before", F.sum("_n").over(order) - F.col("_n")).drop("_n")  # a row a range
+    inside = F.sum("n").over(Window.partitionBy(*by, "_part").orderBy(c)) - F.col("n")
+    return dealt.withColumn("_inside", inside).join(before, [*by, "_part"]).select(*by, c, "n", (F.col("_before") + F.col("_inside")).alias("below"))
 
 
-def average_rank(c: str, by: list[str]) -> Column:
-    """Ranks from 1 where ties share their mean rank."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+def with_average_rank(rows: DataFrame, c: str, by: list[str], into: str) -> DataFrame:
+    """rows with ranks from 1 where ties share their mean rank."""
+    ranks = ranked_values(rows, c, by).select(*by, c, (F.col("below") + (F.col("n") + 1) / 2).alias(into))
+    return rows.join(ranks, [*by, c])
 
 
 def long_factors(panel: DataFrame, factors: list[str], forward: str, key: str = "symbol", date: str = "bar_date") -> DataFrame:
@@ -67,7 +94,8 @@ def long_factors(panel: DataFrame, factors: list[str], forward: str, key: str =
 def information_coefficients(rows: DataFrame, least: int = 10, by: tuple[str, ...] = ("factor",)) -> DataFrame:
     """Pearson and rank IC of each factor; null below `least` pairs."""
     by = list(by)
-    ranked = rows.withColumns({"_rv": average_rank("value", by), "_rf": average_rank("forward", by)})
+    rows = written(rows.select(*by, "value", "forward"), "factor-rows")
+    ranked = with_average_rank(with_average_rank(rows, "value", by, "_rv"), "forward", by, "_rf")
     sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("value", "forward").alias("ic"), correlation("_rv", "_rf").alias("rank_ic"))
     return sums.select(*by, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("ic", "rank_ic")])
 
@@ -86,7 +114,17 @@ def group_returns(rows: DataFrame, groups: int = 5) -> DataFrame:
     Groups are half-open between interpolated percentiles, the last one closed; factors with fewer
     than 2 * groups rows have none.
     """
-    edges = rows.groupBy("factor").agg(F.percentile("value", F.array(*[F.lit(i / groups) for i in range(1, groups)])).alias("_e"), F.count("*").alias("_n")).where(F.col("_n") >= 2 * groups)
+    rows = written(rows.select("factor", "value", "forward"), "factor-rows")
+    ranked = ranked_values(rows, "value", ["factor"])
+    sizes = rows.groupBy("factor").agg(F.count("*").alias("_n")).where(F.col("_n") >= 2 * groups)
+    # the places, counted from 0, that each percentile lies between
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(i / groups) * (F.col("_n") - 1)).alias("p")) for i in range(1, groups)]))
+    places = sizes.select("factor", places.alias("s")).select("factor", "s.i", F.floor("s.p").alias("low"), (F.col("s.p") - F.floor("s.p")).alias("part"))
+    holds = lambda at: (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
+    met = ranked.join(F.broadcast(places), "factor").where(holds(F.col("low")) | holds(F.col("low") + 1))  # groups - 1 rows a factor
+    ends = met.groupBy("factor", "i").agg(F.max(F.when(holds(F.col("low")), F.col("value"))).alias("a"), F.max(F.when(holds(F.col("low") + 1), F.col("value"))).alias("b"), F.max("part").alias("part"))
+    cut = ends.select("factor", "i", F.when((F.col("part") == 0) | F.col("b").isNull(), F.col("a")).otherwise((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b")).alias("e"))
+    edges = cut.groupBy("factor").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda s: s["e"]).alias("_e"))
     placed = rows.join(F.broadcast(edges), "factor").withColumn("bucket", F.size(F.filter("_e", lambda e: e <= F.col("value"))) + 1)  # a row a factor
     means = placed.groupBy("factor").pivot("bucket", list(range(1, groups + 1))).agg(F.avg("forward"))
     out = means.withColumnsRenamed({str(i): f"group_{i}" for i in range(1, groups + 1)})

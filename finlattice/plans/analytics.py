@@ -148,9 +148,15 @@ def sliding_sequences(spark: S, sf: str) -> D:
     return rows.select("symbol", "bar_date", r(mean, 4).alias("mean60"), r(F.col("forward")[0]).alias("next_return"), "direction")
 
 
-@query()
+@query(f"""WITH {BARS}, q AS (SELECT *, coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0) AS ret, coalesce(volume / nullif(lag(volume) OVER w, 0) - 1, 0) AS volume_change, lag(close) OVER w AS b, first_value(close) OVER w AS f FROM bars {_W}),
+v AS (SELECT *, stddev_samp(ret) OVER {_rows(5)} AS s5, stddev_samp(ret) OVER {_rows(20)} AS s20, corr(ret, volume_change) OVER {_rows(10)} AS c, stddev_samp(ret) OVER (PARTITION BY symbol) AS sd FROM q),
+x AS (SELECT *, coalesce(s5, 0) AS hv5, coalesce(s20, 0) AS hv20, 2 * CASE WHEN sd > 1e-12 THEN sd ELSE 0.01 END AS top FROM v)
+SELECT symbol, bar_date, open, high, low, close, volume, amount, round(ret, 6) + 0.0 AS ret, round(volume_change, 6) + 0.0 AS volume_change, round(abs(ret), 6) + 0.0 AS abs_ret, CAST(sign(ret) AS DOUBLE) AS sign_ret,
+  round((high - low) / (close + 1e-8), 6) + 0.0 AS range_ratio, round(coalesce((open - b) / (coalesce(nullif(b, 0), f) + 1e-8), 0), 6) + 0.0 AS gap, round(hv5, 6) + 0.0 AS hv5, round(hv20, 6) + 0.0 AS hv20,
+  round(greatest(least(-CASE WHEN c IS NULL OR isnan(c) THEN 0 ELSE c END, 1), -1), 4) + 0.0 AS divergence, round(hv5 / (hv20 + 1e-8), 6) + 0.0 AS hv_ratio, CAST(ret > top AS INTEGER)::DOUBLE AS is_jump, CAST(ret < -top AS INTEGER)::DOUBLE AS is_crash FROM x""")
 def volatility_features(spark: S, sf: str) -> D:
-    return series.volatility_block(bars(spark, sf))
+    out = series.volatility_block(bars(spark, sf))
+    return rounded(out.withColumn("divergence", F.round("divergence", 4)))
 
 
 _EMA = """WITH RECURSIVE {bars}, k AS (SELECT symbol, bar_date, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS i FROM bars),
@@ -373,10 +379,17 @@ def trend_prediction(spark: S, sf: str) -> D:
     return rounded(monitoring.trend_prediction(bars(spark, sf)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS}, k AS (SELECT symbol, bar_date, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS i FROM bars),
+e AS (SELECT symbol, bar_date, i, close AS f, close AS s, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l, close, 0.0::DOUBLE AS sig FROM k WHERE i = 1
+  UNION ALL SELECT k.symbol, k.bar_date, k.i, e.f + (k.close - e.f) * 2 / 13, e.s + (k.close - e.s) * 2 / 27, e.g + (greatest(k.close - e.close, 0) - e.g) / 14, e.l + (greatest(e.close - k.close, 0) - e.l) / 14, k.close,
+    e.sig + ((e.f + (k.close - e.f) * 2 / 13) - (e.s + (k.close - e.s) * 2 / 27) - e.sig) * 2 / 10 FROM e JOIN k ON k.symbol = e.symbol AND k.i = e.i + 1),
+t AS (SELECT symbol, max(bar_date) AS predict_date, max_by(CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) END, i) AS rsi, max_by(f - s - sig, i) AS hist FROM e GROUP BY symbol),
+r AS (SELECT symbol, bar_date, close / lag(close) OVER w - 1 AS ret FROM bars {_W}), v AS (SELECT symbol, max_by(sd, bar_date) AS vol FROM (SELECT symbol, bar_date, CASE WHEN count(ret) OVER {_rows(20)} = 20 THEN stddev_samp(ret) OVER {_rows(20)} END AS sd FROM r) GROUP BY symbol),
+d AS (SELECT *, CASE WHEN rsi < 35 THEN TRUE WHEN rsi > 65 THEN FALSE ELSE coalesce(hist > 0, FALSE) END AS up, least(coalesce(vol, 0) * sqrt(5), 0.15) AS size FROM t JOIN v USING (symbol))
+SELECT symbol, predict_date, CAST(up AS INTEGER) AS direction, round(CASE WHEN up THEN size ELSE -size END, 6) + 0.0 AS magnitude, 'technical' AS source FROM d""")
 def fallback_prediction(spark: S, sf: str) -> D:
     rows = with_recurrences(bars(spark, sf)).join(_returns(spark, sf).select("symbol", "bar_date", series.deviation("ret", W(), 20).alias("vol20")), ["symbol", "bar_date"])
-    return monitoring.fallback_prediction(rows)
+    return rounded(monitoring.fallback_prediction(rows))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT symbol, bar_date, list(high) OVER x AS h, list(low) OVER x AS l FROM bars WINDOW x AS {_rows(20)}),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels, ml, series
 from ..operators.factors import factor_panel
+from ..scratch import scratch_folder, written
 from ..streaming import events
-from .inputs import bars, rounded, table
+from .inputs import RETURNS, bars, rounded, table
 from .registry import query
 
 S, D = SparkSession, DataFrame
@@ -22,23 +21,39 @@ def _returns(spark: S, sf: str) -> D:
     return series.with_returns(bars(spark, sf))
 
 
-@query()
+def _rounded7(df: D) -> D:
+    return rounded(df, 7)
+
+
+_X = f"{RETURNS}, x AS (SELECT symbol, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL)"
+
+
+@query(f"""WITH {_X}, z AS (SELECT symbol, n, least(greatest(least(n // 4, 256), 8), n) AS m FROM x GROUP BY ALL), seg AS (SELECT symbol, m, unnest(range(0, n - m + 1, m - m // 2)) AS b FROM z),
+p AS (SELECT seg.symbol, b, m, i - b AS j, x FROM seg JOIN x ON x.symbol = seg.symbol AND i >= b AND i < b + m), l AS (SELECT symbol, b, avg(x) AS mx, regr_slope(x, j) AS sl FROM p GROUP BY ALL),
+t AS (SELECT p.*, (x - mx - sl * (j - (m - 1) / 2)) * (0.5 - 0.5 * cos(2 * pi() * j / m)) AS y, (0.5 - 0.5 * cos(2 * pi() * j / m)) ** 2 AS h FROM p JOIN l USING (symbol, b)),
+f AS (SELECT symbol, b, k, m, (sum(y * cos(2 * pi() * ((k * j) % m) / m)) ** 2 + sum(y * sin(2 * pi() * ((k * j) % m) / m)) ** 2) / sum(h) * CASE WHEN 2 * k = m THEN 1 ELSE 2 END AS power FROM (SELECT *, unnest(range(1, m // 2 + 1)) AS k FROM t) GROUP BY symbol, b, k, m),
+a AS (SELECT symbol, k, m / k AS period, avg(power) AS power FROM f WHERE m / k >= 5 GROUP BY ALL)
+SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY power DESC, k) AS INTEGER) AS rank, round(period, 7) AS period, round(power, 7) + 0.0 AS power, round(power / sum(power) OVER (PARTITION BY symbol), 7) + 0.0 AS share FROM a QUALIFY rank <= 5""")
 def welch_periods(spark: S, sf: str) -> D:
-    return kernels.by_key(_returns(spark, sf), lambda x: kernels.dominant_periods(*kernels.welch(x), top=5, least=5.0), "rank int, period double, power double, share double", "ret")
+    return _rounded7(kernels.by_key(_returns(spark, sf), lambda x: kernels.dominant_periods(*kernels.welch(x), top=5, least=5.0), "rank int, period double, power double, share double", "ret"))
 
 
-@query()
+@query(f"""WITH {_X}, m AS (SELECT symbol, avg(x) AS mu FROM x GROUP BY symbol), y AS (SELECT symbol, i, n, (x - mu) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS y FROM x JOIN m USING (symbol)),
+f AS (SELECT symbol, k, n / k AS period, 2 / any_value(n) * sqrt(sum(y * cos(2 * pi() * ((k * i) % n) / n)) ** 2 + sum(y * sin(2 * pi() * ((k * i) % n) / n)) ** 2) AS power FROM (SELECT *, unnest(range(1, (n - 1) // 2 + 1)) AS k FROM y) GROUP BY symbol, k, n)
+SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY power DESC, k) AS INTEGER) AS rank, round(period, 7) AS period, round(power, 7) + 0.0 AS power, round(power / sum(power) OVER (PARTITION BY symbol), 7) + 0.0 AS share FROM f QUALIFY rank <= 3""")
 def fft_periods(spark: S, sf: str) -> D:
-    return kernels.by_key(_returns(spark, sf), lambda x: kernels.dominant_periods(*kernels.fft_spectrum(x)), "rank int, period double, power double, share double", "ret")
+    return _rounded7(kernels.by_key(_returns(spark, sf), lambda x: kernels.dominant_periods(*kernels.fft_spectrum(x)), "rank int, period double, power double, share double", "ret"))
 
 
-@query()
+@query(f"""WITH {_X}, m AS (SELECT symbol, n, avg(x) AS mu, list(x ORDER BY i) AS xs FROM x GROUP BY symbol, n), pad AS (SELECT symbol, n, least(100, n // 2) AS top, list_concat(list_concat([0.0::DOUBLE for q in range(400)], [v - mu for v in xs]), [0.0::DOUBLE for q in range(400)]) AS p FROM m),
+w AS (SELECT s, [exp(-((u / s) ** 2) / 2) * cos(5 * u / s) / sqrt(s) for u in range(-4 * s, 4 * s + 1)] AS wave FROM (SELECT unnest(range(2, 100)) AS s))
+SELECT symbol, CAST(s AS INTEGER) AS scale, round(avg(c ** 2), 7) + 0.0 AS power FROM (SELECT symbol, s, list_dot_product(list_slice(p, i + 401 - 4 * s, i + 401 + 4 * s), wave) AS c FROM (SELECT *, unnest(range(n)) AS i FROM pad JOIN w ON s < greatest(3, top))) GROUP BY symbol, s""")
 def wavelet_power(spark: S, sf: str) -> D:
     def power(x: np.ndarray) -> list[tuple]:
         scales, c = kernels.morlet(x)
         return [(int(s), float(p)) for s, p in zip(scales, (c**2).mean(axis=1), strict=True)]
 
-    return kernels.by_key(_returns(spark, sf), power, "scale int, power double", "ret")
+    return _rounded7(kernels.by_key(_returns(spark, sf), power, "scale int, power double", "ret"))
 
 
 @query()
@@ -81,25 +96,29 @@ def similar_patterns(spark: S, sf: str) -> D:
     return kernels.by_key(bars(spark, sf), lambda x: kernels.similar_patterns(x[-20:], x[:-20]), "rank int, begin int, distance double", "close")
 
 
-@query()
+@query(f"""WITH {_X}, t AS (SELECT symbol, i, n, x AS a, lead(x) OVER k AS b, lead(x, 2) OVER k AS c, 0.2 * stddev_pop(x) OVER (PARTITION BY symbol) AS tol FROM x WINDOW k AS (PARTITION BY symbol ORDER BY i)),
+g AS (SELECT p.symbol, p.i, p.n, p.tol, q.i AS j, greatest(abs(p.a - q.a), abs(p.b - q.b)) AS d2, CASE WHEN p.c IS NOT NULL AND q.c IS NOT NULL THEN greatest(abs(p.a - q.a), abs(p.b - q.b), abs(p.c - q.c)) END AS d3 FROM t p JOIN t q ON p.symbol = q.symbol AND p.b IS NOT NULL AND q.b IS NOT NULL),
+c AS (SELECT symbol, i, n, count(*) FILTER (d2 <= tol) AS c2, count(*) FILTER (d3 <= tol) AS c3, count(*) FILTER (d2 < tol AND i < n - 2 AND j < n - 2 AND i <> j) AS b, count(*) FILTER (d3 < tol AND i < n - 3 AND j < n - 3 AND i <> j) AS a FROM g GROUP BY ALL)
+SELECT symbol, round(-ln(sum(a) / sum(b)), 7) + 0.0 AS sample_entropy, round(avg(ln(c2 / (n - 1))) - avg(ln(c3 / (n - 2))) FILTER (c3 > 0), 7) + 0.0 AS approximate_entropy FROM c GROUP BY symbol""")
 def entropies(spark: S, sf: str) -> D:
-    return kernels.by_key(_returns(spark, sf), lambda x: [(kernels.sample_entropy(x), kernels.approximate_entropy(x))], "sample_entropy double, approximate_entropy double", "ret")
+    return _rounded7(kernels.by_key(_returns(spark, sf), lambda x: [(kernels.sample_entropy(x), kernels.approximate_entropy(x))], "sample_entropy double, approximate_entropy double", "ret"))
 
 
 @query()
 def ensemble_holdout(spark: S, sf: str) -> D:
     """Forest and boosted trees over the factor library on a chronological split; metrics of the later rows.
 
-    Factors are eliminated, rounds stopped (on the last fifth of the training days) and models
-    weighted on training rows only.
+    Factors are eliminated (by forests of 10 trees, half of the factors at a time), rounds stopped
+    (on the last fifth of the training days) and models weighted on training rows only.  The panel
+    is written once and read by every model.
     """
     rows = bars(spark, sf)
-    panel = ml.labelled_panel(factor_panel(rows).drop("close"), rows).persist()
+    panel = written(ml.labelled_panel(factor_panel(rows).drop("close"), rows), "factor-panel")
     train, test = ml.chronological_split(panel)
-    features = ml.eliminate(train, [c for c in panel.columns if c not in ("symbol", "bar_date", "forward", "label")], keep=15)
+    features = ml.eliminate(train, [c for c in panel.columns if c not in ("symbol", "bar_date", "forward", "label")], keep=15, step=0.5, n=2, trees=10, depth=4)
     early, late = ml.chronological_split(train, 0.8)
     marked = early.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
-    models = {"p_rf": ml.train_forest(train, features), "p_gb": ml.train_boosted(marked, features, validation="late")}
+    models = {"p_rf": ml.train_forest(train, features, trees=30), "p_gb": ml.train_boosted(marked, features, rounds=10, validation="late")}
     fitted = train
     for name, m in models.items():
         fitted, test = ml.probabilities(m, fitted, features, name), ml.probabilities(m, test, features, name)
@@ -124,8 +143,7 @@ def window_counts(spark: S, sf: str) -> D:
 @query(_WINDOWS)
 def stream_window_counts(spark: S, sf: str) -> D:
     """Deduplicated events in hourly windows by a stream in update mode, whose keyed sink is read back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="finlattice-")
-    base = f"{folder.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark.sql('SELECT uuid()').first()[0]}"
+    base = scratch_folder(spark, "stream")
     stream = events.window_counts(events.once(events.read_events(spark, sf, "events.parquet"), "40 days"), late=None)
     keys = ["window_start", "window_end", "event_type"]
     q = stream.writeStream.outputMode("update").foreachBatch(events.upsert_sink(f"{base}/out", keys)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()

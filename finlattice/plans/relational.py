@@ -67,9 +67,10 @@ def json_field(spark: S, sf: str) -> D:
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
-@query("""SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, TRUE AS is_a, FALSE AS is_hk, 'a' AS market FROM customer WHERE c_custkey <= 999999""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey < 100000 THEN lpad(CAST(c_custkey AS VARCHAR), 6, '0') ELSE CAST(c_custkey AS VARCHAR) END AS code, c_custkey <= 999999 AS is_a, FALSE AS is_hk, 'a' AS market FROM customer""")
 def code_predicates(spark: S, sf: str) -> D:
-    rows = table(spark, sf, "customer").where("c_custkey <= 999999").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("code"))
+    text_ = F.col("c_custkey").cast("string")
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.length(text_) < 6, F.lpad(text_, 6, "0")).otherwise(text_).alias("code"))
     c = F.col("code")
     return rows.withColumns({"is_a": scalar.is_a_share(c), "is_hk": scalar.is_hk_share(c), "market": scalar.market_of(c)})
 
@@ -113,19 +114,19 @@ def counts_by(spark: S, sf: str) -> D:
     return scan.counts_by(table(spark, sf, "events"), "event_type")
 
 
-# Keyed writes: one half of the orders is stored, a batch overlaps it.
+# Keyed writes: the orders before 1999 are stored, the batch has those since 1998.
 
 
 def _stored(spark: S, sf: str) -> D:
-    return table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    return table(spark, sf, "orders").where("o_orderdate < '1999-01-01'").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
 
 
 def _batch(spark: S, sf: str) -> D:
-    return table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 != 0, "N").alias("status"), (F.col("o_totalprice") + 1).alias("price"))
+    return table(spark, sf, "orders").where("o_orderdate >= '1998-01-01'").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 != 0, "N").alias("status"), (F.col("o_totalprice") + 1).alias("price"))
 
 
-_PAIR = """s AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0),
-b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN 'N' END AS status, o_totalprice + 1 AS price FROM orders WHERE o_orderkey % 3 = 0)"""
+_PAIR = """s AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderdate < '1999-01-01'),
+b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN 'N' END AS status, o_totalprice + 1 AS price FROM orders WHERE o_orderdate >= '1998-01-01')"""
 
 
 @query(f"WITH {_PAIR} SELECT k, CASE WHEN b.k IS NULL THEN s.status ELSE b.status END AS status, CASE WHEN b.k IS NULL THEN s.price ELSE b.price END AS price FROM s FULL JOIN b USING (k)")
@@ -149,13 +150,11 @@ def insert_ignore(spark: S, sf: str) -> D:
     return sinks.insert_ignore(_stored(spark, sf), batch, ["k"], "seq")
 
 
-@query("SELECT * FROM orders WHERE o_custkey % 4 <> 0 UNION ALL SELECT * FROM orders WHERE o_custkey % 4 = 0 AND o_orderkey % 2 = 0")
+@query("SELECT * FROM orders WHERE o_orderdate >= '1999-01-01' UNION ALL SELECT * FROM orders WHERE o_orderdate < '1999-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= '1999-01-01')")
 def replace_by_key(spark: S, sf: str) -> D:
+    """Customers with orders since 1999 keep only those."""
     orders = table(spark, sf, "orders")
-    # of every fourth customer the batch holds the even orders; customers with odd ones only lose none
-    batch = orders.where("o_custkey % 4 = 0 AND o_orderkey % 2 = 0")
-    odd = orders.where("o_custkey % 4 = 0").select("o_custkey").distinct()
-    return sinks.without(sinks.replace_by_key(orders, batch, ["o_custkey"]), sinks.without(odd, batch, ["o_custkey"]), ["o_custkey"])
+    return sinks.replace_by_key(orders.where("o_orderdate < '1999-01-01'"), orders.where("o_orderdate >= '1999-01-01'"), ["o_custkey"])
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 1")
@@ -216,12 +215,11 @@ def greatest_per_group(spark: S, sf: str) -> D:
     return scan.latest_per_key(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"])
 
 
-_PREDICTIONS = f"""{BARS}, p AS (SELECT symbol, bar_date AS predict_date, CASE WHEN open < close THEN 1 ELSE 0 END AS direction, round((close - open) / open, 6) AS magnitude FROM bars WHERE day(bar_date) % 5 = 0)"""
+_PREDICTIONS = f"""{BARS}, p AS (SELECT symbol, bar_date AS predict_date, CASE WHEN open < close THEN 1 ELSE 0 END AS direction, round((close - open) / open, 6) AS magnitude FROM bars)"""
 
 
 def predictions(spark: S, sf: str) -> D:
-    rows = bars(spark, sf).where(F.dayofmonth("bar_date") % 5 == 0)
-    return rows.select("symbol", F.col("bar_date").alias("predict_date"), (F.col("open") < F.col("close")).cast("int").alias("direction"), F.round((F.col("close") - F.col("open")) / F.col("open"), 6).alias("magnitude"))
+    return bars(spark, sf).select("symbol", F.col("bar_date").alias("predict_date"), (F.col("open") < F.col("close")).cast("int").alias("direction"), F.round((F.col("close") - F.col("open")) / F.col("open"), 6).alias("magnitude"))
 
 
 OUTCOMES = f"""{_PREDICTIONS}, l AS (
@@ -249,7 +247,7 @@ FROM (SELECT * FROM bars WHERE symbol = '1-URGENT') a LEFT JOIN bars b USING (ba
 def market_features(spark: S, sf: str) -> D:
     rows = bars(spark, sf)
     base = rows.where("symbol = '1-URGENT'").select("bar_date", "close", "volume")
-    return market.market_features(base, rows.limit(0).select("bar_date"), market.pivot_last(rows, ["2-HIGH", "5-LOW"]))
+    return market.market_features(base, rows.limit(0).select("bar_date"), market.pivot_last(rows, ["2-HIGH", "5-LOW"], "amount"))
 
 
 _MATCH = f"""{FUND_INDUSTRIES}, {CODES}, {NEWS}, m AS (
@@ -268,7 +266,7 @@ def match_news(spark: S, sf: str) -> D:
 
 @query(f"WITH {_MATCH} SELECT fund_code, news_id, match_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY fund_code ORDER BY match_score DESC, news_id) AS rank FROM (SELECT fund_code, news_id, max(match_score) AS match_score FROM m GROUP BY ALL)) WHERE rank <= 20")
 def best_matches(spark: S, sf: str) -> D:
-    return market.best_matches(_matches(spark, sf))
+    return market.best_news_of_funds(fund_industries(spark, sf), codes(spark), news(spark, sf), AS_OF)
 
 
 _SUMMARY = f"""{_MATCH}, one AS (SELECT fund_code, news_id, max(match_score) AS match_score FROM m GROUP BY ALL), summary AS (
@@ -284,7 +282,7 @@ def news_advice(spark: S, sf: str) -> D:
     return rounded(out.withColumn("top_titles", F.array_join("top_titles", "|")).drop("short_term", "medium_term", "long_term", "risk_level"))
 
 
-@query(f"WITH {NEWS} SELECT industry_code AS industry, industry_code, count(*) AS n, round(avg(confidence), 2) AS avg_confidence FROM news GROUP BY industry_code")
+@query(f"WITH {NEWS} SELECT industry_code AS industry, industry_code, count(*) AS n, (2 * sum(CAST(round(confidence * 100) AS BIGINT)) + count(*)) // (2 * count(*)) / 100.0 AS avg_confidence FROM news GROUP BY industry_code")
 def industry_stats(spark: S, sf: str) -> D:
     return market.industry_stats(news(spark, sf).withColumn("industry", F.col("industry_code")))
 
@@ -342,14 +340,15 @@ _TITLES = "CASE doc_id % 7 WHEN 0 THEN '央行降息' WHEN 1 THEN '证监会新
 
 
 def _titled(spark: S, sf: str) -> D:
-    return table(spark, sf, "documents").select("doc_id", "source", F.expr(_TITLES).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", "source", "text", F.expr(_TITLES).alias("title"))
 
 
 @query(f"""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '宏观' WHEN 1 THEN '政策' WHEN 3 THEN '行业' WHEN 4 THEN '公司' ELSE 'general' END AS category,
-  CASE WHEN doc_id % 7 = 3 THEN '半导体' ELSE '其他' END AS industry, CASE WHEN doc_id % 7 = 3 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM documents""")
+  industry, CASE WHEN industry = '其他' THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END AS confidence
+FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 3 OR regexp_matches(lower(text), 'ai|gpu|cpu') THEN '半导体' WHEN regexp_matches(lower(text), 'cro|cxo') THEN '医药' WHEN regexp_matches(lower(text), 'fintech') THEN '金融' WHEN regexp_matches(lower(text), '5g') THEN 'TMT' ELSE '其他' END AS industry FROM documents)""")
 def classify_titles(spark: S, sf: str) -> D:
     rows = _titled(spark, sf)
-    found = text.classify(F.col("title"), F.lit(""), text.FUND_INDUSTRIES)
+    found = text.classify(F.col("title"), F.col("text"), text.FUND_INDUSTRIES)
     return rows.select("doc_id", text.first_category(F.col("title")).alias("category"), found.alias("f")).select("doc_id", "category", "f.industry", "f.confidence")
 
 

@@ -33,7 +33,8 @@ def english(df: DataFrame) -> DataFrame:
 
 
 def first_of(df: DataFrame, aliases: tuple[str, ...], what: str) -> Column:
-    for name in aliases:
+    """The first column with one of the names; for dates, else the first whose name ends with _date."""
+    for name in (*aliases, *(c for c in df.columns if what == "date" and c.endswith("_date"))):
         if name in df.columns:
             return F.col(f"`{name}`")
     raise ValueError(f"no {what} column among {df.columns}")

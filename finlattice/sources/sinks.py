@@ -1,7 +1,8 @@
 """Keyed writes as table-to-table operators: each returns the table after the change.
 
 Spark tables have no unique index, so each operator keeps its keys unique itself: the batch is
-reduced to one row a key first, then met with the stored rows in one shuffle on the key.
+reduced to one row a key first, then met with the stored rows in one shuffle on the key
+(replace_by_key() puts in all rows of a key).
 Null keys equal each other.
 """
 
@@ -24,13 +25,15 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return same
 
 
-def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], columns: list[str] | None = None, coalesce: bool = False) -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], columns: list[str] | None = None, coalesce: bool = False, seq: str | Column | None = None) -> DataFrame:
     """Stored rows with those of the batch put in by key.
 
     columns: those that an existing row takes over (all by default); coalesce: a null in the batch
-    leaves the stored value.
+    leaves the stored value; seq: of a key's batch rows that with the greatest counts (by default
+    the greatest of all its values in column order).
     """
     rest = [c for c in stored.columns if c not in keys]
+    batch = last_wins(batch, keys, F.struct(*rest) if seq is None else seq)
     taken = set(rest if columns is None else columns)
     joined = stored.withColumn("_old", F.lit(True)).alias("o").join(batch.withColumn("_new", F.lit(True)).alias("n"), _same("o", "n", keys), "full")
 
