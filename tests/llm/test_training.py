@@ -43,7 +43,7 @@ def judge(host, path, rules):
 
 @pytest.mark.parametrize("inline", [500, 0])
 def test_url_filter(spark, inline):
-    urls = [None, "", "no scheme", "http://", "http://COM/", "http://a.com", "https://WWW.Example.com/en/x?y#z", "http://example.com/en", "http://xexample.com/en/", "ftp://m.net/es/1", "http://net/fr/#a://b", "http://é.com/ü", "http://spam.org/x", "http://ads-track.org", "http://x.org/spam", "x://com:80/a", "http://www.example.com.org/en/"] * 2
+    urls = [None, "", "no scheme", "http://", "http://COM/", "http://a.com", "https://WWW.Example.com/en/x?y#z", "http://example.com/en", "http://xexample.com/en/", "ftp://m.net/es/1", "http://net/fr/#a://b", "http://é.com/ü", "http://spam.org/x", "http://ads-track.org", "http://x.org/spam", "x://com:80/a", "http://www.example.com.org/en/", "http://a.org/b.ZIP?x", "http://a.org/cart/checkout", "http://a.org/?q=1&sort=a&x=1&order=b", "http://a.org/wp-login.php.bak", "http://a.org?PHPSESSID=3#x", "http://cheap-pills.pharmacy.org/cgi-bin/x.exe"] * 2
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
     rules = [url_filter.host_rule(*r) for r in queries.URL_RULES]
     got = {r.page_id: r for r in url_filter.filter_urls(df, rules, inline_rules=inline).collect()}
@@ -54,6 +54,10 @@ def test_url_filter(spark, inline):
         best = judge(host, path, queries.URL_RULES)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, best and best[0])
         assert got[i].verdict == (best[1] if best else "block" if got[i].pattern else "allow")
+        query = re.match(r"(?s).*?://[^?#]*(\?[^#]*)?", u or "")
+        full = (host + path + (query[1] or "" if query else "")).translate(str.maketrans(url_filter.UPPER, url_filter.LOWER))
+        every = [p for p in url_filter.DEFAULT_PATTERNS if re.search(p.regex, full)]  # without the index
+        assert got[i].pattern == (min(every, key=lambda p: (-p.size, p.name)).name if every else None)
     assert got[12].verdict == got[13].verdict == "block" and got[14].verdict == "allow"
     assert url_filter.filter_urls(df.limit(0), rules, inline_rules=inline).count() == 0
     with pytest.raises(ValueError):
@@ -98,11 +102,55 @@ def test_mixing(spark):
         assert target[s] == pytest.approx(t) and abs(taken[s] - t) <= max(0.02 * t, 10)
     again = {r.id: r.copies for r in mixing.mix(docs.repartition(7)).collect()}
     assert again == {r.id: r.copies for r in got}
+    # conditions of the minimum: rates are exp(lambda of the source + beta of the band) below the cap, and the bands' misses are slack * beta
+    rate, mass = {}, Counter()
+    for r in got:
+        if r["size"]:
+            band = int(np.log2(r["size"]))
+            rate[r.source, band] = r.rate
+            mass[r.source, band] += r["size"]
+    bands = sorted({b for _, b in rate})
+    free = {k: v for k, v in rate.items() if 0 < v < 3 - 1e-9}
+    base = {s: np.log(free[s, bands[-1]]) for s in sizes if (s, bands[-1]) in free}
+    beta = {b: np.mean([np.log(free[s, b]) - base[s] for s in base if (s, b) in free]) for b in bands if any((s, b) in free for s in base)}
+    assert all(np.log(v) == pytest.approx(base[s] + beta[b], abs=1e-6) for (s, b), v in free.items() if s in base and b in beta)
+    for s in base:
+        assert sum(v * mass[k] for k, v in rate.items() if k[0] == s) == pytest.approx(target[s], rel=1e-6)
+    total, all_ = sum(mass.values()), sum(target.values())
+    miss = {b: (sum(v * mass[k] for k, v in rate.items() if k[1] == b) / all_ - sum(m for k, m in mass.items() if k[1] == b) / total) / (sum(m for k, m in mass.items() if k[1] == b) / total) for b in beta}
+    shift = {b: -miss[b] / mixing.SLACK - beta[b] for b in beta}
+    assert max(shift.values()) - min(shift.values()) < 1e-3 * max(1, max(map(abs, shift.values())))
     repeated = mixing.resample(docs)
     assert repeated.columns == docs.columns and repeated.count() == sum(r.copies for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_takes_any_number_of_sources(spark):
+    n = mixing.MOST_CONSTRAINTS + 500
+    sources = [f"host{i:05d}.example" for i in range(n)] + [None, "\uffee", "\U0001f600"]
+    words = [1 + 40 * (i % 7 == 0) + i % 5 for i in range(len(sources))]
+    docs = spark.createDataFrame([(i, "w " * k, s) for i, (s, k) in enumerate(zip(sources, words))] + [(-1, "", "empty")], "doc_id long, text string, source string")
+    got = {r.source: r for r in mixing.mix(docs).collect()}
+    size = dict(zip(sources, words)) | {"empty": 0}
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want = mixing.capped_targets([size[s] for s in order], [[1, 2, 3][i % 3] for i in range(len(order))], 3)
+    assert len(got) == len(order) and {size[s] * 3 == t for s, t in zip(order, want)} == {True, False}
+    for s, t in zip(order, want):
+        rate = t / size[s] if t else 0  # a source of one document has the one rate that meets its target
+        assert got[s].source_size == size[s] and got[s].target == pytest.approx(t) and got[s].rate == pytest.approx(rate)
+        assert int(rate + 1e-9) <= got[s].copies <= int(np.ceil(rate - 1e-9))
+
+
+def test_repeated_rows_get_their_own_copies(spark):
+    texts = ["one two three"] * 7 + ["four five six seven"] * 5
+    rows = [(1, t, s) for t, s in zip(texts, ["a"] * 7 + ["b"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.copies
+    assert Counter(r.source for r in mixing.resample(docs).collect()) == +taken
+
+
 # 3
 
 
@@ -120,10 +168,32 @@ def test_token_counts(spark):
     assert token_counts.live(spark, store).count() == 5
 
 
+def test_compacting_keeps_state_and_names(spark):
+    store, new = shared_folder(spark, "counts"), shared_folder(spark, "counts")
+    token_counts.create(spark, store)
+    schema = "op string, seq int, doc_id long, tokenizer string, source string, lang string, n_tokens long"
+    for name, rows in (("one", [("insert", 0, 1, "t", "s", "en", 5), ("insert", 0, 2, "t", "s", None, 7)]), ("two", [("delete", 0, 2, "t", None, None, None), ("revise", 0, 1, "t", "s", "en", 6)])):
+        token_counts.commit(spark, store, name, spark.createDataFrame(rows, schema))
+    token_counts.compact(spark, store, new)
+    again = spark.createDataFrame([("insert", 0, 9, "t", "s", "en", 100)], schema)
+    assert not token_counts.commit(spark, new, "two", again) and token_counts.commit(spark, new, "three", again)
+    assert [tuple(r) for r in token_counts.totals(spark, new).collect()] == [("s", "en", "t", 2, 106)]
+    assert sorted(r.doc_id for r in token_counts.live(spark, new).collect()) == [1, 9]
+
+
+def test_token_count_query_by_brute_force(spark):
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
+    sf, want = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        docs, tokens = want.get((r.source, r.lang), (0, 0))
+        want[r.source, r.lang] = docs + 1, tokens + len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+    assert {(r.source, r.lang): (r.docs, r.tokens) for r in queries.op3_token_counts(spark, sf).collect()} == want
+
+
 def test_token_counts_are_the_tokenizers(spark):
     tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
     texts = [prose(30, i) for i in range(20)] + [None, ""]
-    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(documents(spark, texts), queries.tokenizer_path(), "v").collect()}
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(documents(spark, texts), queries.tokenizer_path()).collect()}
     assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
@@ -176,9 +246,53 @@ def test_near_duplicates_odd_tables(spark):
     assert ngram_join.near_duplicates(lost).count() == 0 and ngram_join.one_of_each(lost).count() == 2
 
 
-def test_prefix_depth_reaches_the_recall():
-    d = ngram_join.prefix_depth()
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
+def test_prefixes_are_shortened_to_the_target_only():
+    d = ngram_join.floor_depth(0.8, ngram_join.TREES, ngram_join.RECALL)
+    assert 1 - ngram_join.missed([d] * ngram_join.TREES) >= ngram_join.RECALL > 1 - ngram_join.missed([d + 1] * ngram_join.TREES)
+    with pytest.raises(ValueError):
+        ngram_join.floor_depth(0.3, 3, 0.999)
+
+
+def test_forest_takes_the_deepest_nodes_that_reach_the_target(spark):
+    """Two classes alone together in each tree need no short prefix; a crowd that shares 5 values in each tree needs depth 5."""
+    trees = 20
+    hi, lo = 7 << 40, 0x0001_0002_0003_0004
+    pair = [(i, 10, [(hi + t, lo) for t in range(trees)]) for i in (1, 2)]
+    crowd = [(10 + i, 10, [(99 + t, (5 << 48) + (i << 32) + (i << 16) + i) for t in range(trees)]) for i in range(1, 30)]
+    alone = [(100, 10, [(10**6 + t, 1) for t in range(trees)])]
+    classes = spark.createDataFrame(pair + crowd + alone, "cls long, bytes long, keys array<struct<hi:long,lo:long>>")
+    met = ngram_join.forest(classes, trees, 0.8, 0.999).groupBy("tree", "bucket").agg(F.sort_array(F.collect_list("cls")).alias("who")).collect()
+    assert {tuple(r.who) for r in met} == {(1, 2), tuple(range(11, 40))} and len(met) == 2 * trees
+
+
+def test_rows_with_equal_ids_are_told_apart_by_text(spark):
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    near = lambda t: t + " tail"
+    rows = [(1, a), (1, b), (1, b), (2, near(a)), (3, near(b)), (4, c), (0, near(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1, 1, 1), (1, 1, 1, 2), (1, 1, 1, 2), (2, 2, 1, 1), (3, 3, 1, 2), (4, 4, 0, 1), (0, 0, 0, 1)])
+    assert sorted(tuple(r) for r in ngram_join.one_of_each(docs).collect()) == sorted([(1, a), (1, b), (0, near(c))])
+
+
+def test_recall_on_the_documents(spark):
+    """Links of whole documents against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = dict(map(tuple, docs.collect()))
+    owners, sets = {}, {}
+    for i, t in texts.items():
+        w = re.findall("[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        for g in sets[i]:
+            owners.setdefault(g, []).append(i)
+    common = Counter((x, y) for own in owners.values() for k, x in enumerate(own) for y in own[k + 1 :])
+    links = Counter()
+    for (x, y), n in common.items():
+        if 5 * n >= 4 * (len(sets[x]) + len(sets[y]) - n):
+            links.update((x, y))
+    got = {r.id: r.n_links for r in ngram_join.near_duplicates(docs).collect()}
+    assert sum(links.values()) >= 200 and sum(min(got[i], n) for i, n in links.items()) >= 0.95 * sum(links.values())
+    assert all(got[i] <= links[i] for i in got)
 
 
 def test_components(spark):
@@ -215,6 +329,17 @@ def test_warc(spark, monkeypatch):
     assert {r.id for r in warc.read_records(spark, path + "-large").where("record_type = 'revisit'").collect()} == {3}
 
 
+def test_warc_of_repeated_and_null_ids(spark):
+    rows = [(1, "x"), (1, "y"), (1, "y"), (2, "x"), (None, "z"), (None, "z"), (None, None), (3, "")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    path = shared_folder(spark, "warc")
+    warc.write_warc(df, path)
+    got = warc.read_records(spark, path).collect()
+    digest = {h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for h in "xyz"} | {"": base64.b32encode(hashlib.sha1(b"").digest()).decode()}
+    assert Counter((r.id, r.payload_digest) for r in got) == Counter((i, digest[h or ""]) for i, h in rows)
+    assert Counter((r.payload_digest, r.record_type, r.refers_to) for r in got) == Counter([(digest["x"], "response", None), (digest["x"], "revisit", 2), (digest["y"], "response", None), (digest["y"], "revisit", 1), (digest["z"], "response", None), (digest["z"], "revisit", None), (digest[""], "response", None), (digest[""], "revisit", 3)])
+
+
 def test_cut_never_leaves_a_separator():
     r = np.random.default_rng(3)
     parts = [b"\r\n", b"WARC/1.1", b"\r\n\r\n", b"x", b"WARC/1.1\r\n"]
@@ -237,6 +362,10 @@ def test_decontamination(spark):
         assert [got[i].n_hit for i in range(9)] == [0, 25, 50, 0, 2, 0, 0, 0, 10]
         assert [got[i]["items"] for i in (1, 4, 8)] == [["b10", "b10x"], ["b9"], ["b10", "b10x"]]
         assert got[6].n_words == 0 and got[1].n_words == 27
+    nameless = bench.union(spark.createDataFrame([(None, item), (None, short)], "item_id string, text string"))
+    for most in (2_000_000, 1):
+        got = {r.doc_id: r["items"] for r in decontam.find_overlap(docs, nameless, part_windows=most).select("doc_id", "overlap.items").collect()}
+        assert got[1] == ["b10", "b10x", None] and got[4] == ["b9", None] and got[0] == []
     assert sorted(r.doc_id for r in decontam.drop_documents(docs, bench).collect()) == [0, 3, 5, 6, 7]
     cut = {r.doc_id: r.text for r in decontam.cut_spans(docs, bench).collect()}
     assert cut[1] == "x  y" and cut[0] == texts[0] and cut[2].strip() == "" and cut[6] is None
@@ -275,10 +404,88 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(docs.limit(0))).collect()} == {"und"}
 
 
-def test_kernel_weights_fold():
-    sets = [np.array([1, 2, 3]), np.array([2, 3, 9]), np.array([7, 8]), np.array([8, 9])]
-    m = language_id.Model(["a", "b"], sets, np.array([0, 0, 1, 1]))
-    assert m.weights[[1, 2, 3], 0].sum() > 0 > m.weights[[7, 8], 0].sum()
+def test_quality_by_naive_votes():
+    """Scores against the definition, text by text, with the model's projection."""
+    texts = [prose(30 + i, i) if i % 3 else prose(30, i).upper() + "!!" for i in range(90)]
+    labels = np.array([int(i % 3 > 0) for i in range(60)])
+    model = quality.Model(quality._features(pa.array(texts[:60])), labels, {0: 200, 1: 80})
+    got = model.score(pa.array(texts[60:] + [""]))
+    known = [model.weigh(quality._features(pa.array([t])))[0] @ model.axes for t in texts[:60]]
+    for t, score in zip(texts[60:], got):
+        v = model.weigh(quality._features(pa.array([t])))[0] @ model.axes
+        cosines = np.array([v @ k / np.linalg.norm(v) / np.linalg.norm(k) for k in known])
+        near = np.argsort(-cosines, kind="stable")[: quality.NEIGHBOURS]
+        rate = np.where(labels[near] == 1, 40 / 80, 20 / 200)  # the share of each class that was sampled
+        votes = np.maximum(cosines[near], 1e-6) ** quality.POWER / rate
+        assert score == pytest.approx((votes * labels[near]).sum() / votes.sum(), abs=1e-3)
+    assert got[-1] == model.prior
+
+
+def test_quality_learns_wording():
+    """Texts of the same form, told apart by their words alone."""
+    r = np.random.default_rng(4)
+    pools = [[f"{a}{b}" for a in "bcdfg" for b in ("ar", "ol", "un")], [f"{a}{b}" for a in "klmnp" for b in ("ar", "ol", "un")]]
+    texts, labels = [], []
+    for i in range(120):
+        texts.append(" ".join(r.choice(pools[i % 2], 40)))
+        labels.append(i % 2)
+    model = quality.Model(quality._features(pa.array(texts[:80])), np.array(labels[:80]), {0: 40, 1: 40})
+    assert ((model.score(pa.array(texts[80:])) >= 0.5) == np.array(labels[80:])).all()
+
+
+def test_folded_weights_are_the_kernels():
+    """Answers by folded weights against an explicit kernel matrix with every landmark."""
+    r = np.random.default_rng(1)
+    letters = ["abcde", "efghi", "ijklm"]
+    texts = [" ".join("".join(r.choice(list(letters[i % 3]), 5)) for _ in range(8 + i % 5)) for i in range(60)]
+    labels = np.array([i % 3 for i in range(60)])
+    order = np.argsort(labels, kind="stable")
+    texts, labels = [texts[i] for i in order], labels[order]
+    row, gram = language_id.presence(pa.array(texts))
+    sets = [gram[row == i] for i in range(60)]
+    model = language_id.Model(["a", "b", "c"], sets, labels)
+
+    def kernel(x, y):
+        return len(np.intersect1d(x, y)) / np.sqrt(len(x) * len(y))
+
+    between = np.array([[kernel(x, y) for y in sets] for x in sets])  # fewer texts than landmarks: each is one
+    system = between @ between / 3 / (1 / 3) + language_id.RIDGE * 60 * between + 1e-8 * 60 * np.eye(60)
+    alpha = np.linalg.solve(system, between @ np.where(labels[:, None] == np.arange(3)[None], 1.0, -1.0))
+    new = ["abcd eabc bbba", "fghi ihgf eehh", "klmj jklm iikl", "abc klm"]
+    row, gram = language_id.presence(pa.array(new))
+    raw = np.array([[kernel(gram[row == i], s) for s in sets] for i in range(len(new))]) @ alpha
+    names, scores = model.answer(pa.array(new))
+    assert names == [model.languages[i] for i in raw.argmax(axis=1)]
+    likely = np.exp(4 * (raw - raw.max(axis=1, keepdims=True)))
+    assert scores == pytest.approx(1 / likely.sum(axis=1), abs=1e-3)
+
+
+def test_more_languages_than_are_learned(spark):
+    rows = [(i, "abc" * 5, f"l{i % 7}", "s", 0, 1, 1) for i in range(70)] + [(100 + i, "xyz " * 5, "most", "s", 0, 1, 1) for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, DOCS), most_languages=3)
+    assert model.languages == ["l0", "l1", "most"]
+
+
+def test_long_texts_are_worked_on_in_pieces(monkeypatch):
+    """Results don't depend on the size of pieces, nor need a text fit one."""
+    from finlattice.llm import features, shared
+
+    texts = pa.array(["", prose(400, 1), "é" * 900 + " x", prose(3, 2)])
+    long = pa.array([prose(900, 3) + "y" * 300])
+
+    def all_of():
+        data, offsets = shared.text_bytes(texts)
+        words = shared.word_spans(data, offsets)
+        held = language_id.presence(long)
+        return [*words, ngram_join.text_shingles(long, 5)[1], features.gram_counts(long, (1, 3), 512, quality.SHAPE), *held, quality.word_counts(texts).sum(axis=1)]
+
+    want = all_of()
+    for module in (shared, features):
+        monkeypatch.setattr(module, "PIECE", 128)
+    shared._powers[:] = []
+    got = all_of()
+    shared._powers[:] = []
+    assert all((x == y).all() for x, y in zip(got, want, strict=True))
 
 
 # 8
