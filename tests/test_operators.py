@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finlattice.functions import scalar
-from finlattice.operators import market, ml, monitoring, scan, series, text
+from finlattice.operators import market, ml, monitoring, scan, series, statistics, text
 from finlattice.sources import readers, sinks
 
 DAY = datetime.date(2024, 1, 31)
@@ -127,3 +127,34 @@ def test_messages(spark):
     df = spark.createDataFrame([('{"count": 3}',), ("plain",)], "payload string")
     out = readers.message_fields(df, "payload", "count int").collect()
     assert out[0].fields["count"] == 3 and out[0].raw is None and out[1].raw == "plain"
+
+
+def test_rate_gate_counts_from_the_last_run_let_through(spark):
+    times = ["00:00", "03:00", "06:00", "09:00", "23:30"]
+    rows_ = [("a", f"2024-01-01 {t}:00") for t in times] + [("a", "2024-01-02 00:30:00"), ("a", None), ("b", "2024-01-01 09:00:00"), ("b", "2024-01-01 09:00:00"), (None, "2024-01-01 10:00:00")]
+    df = spark.createDataFrame(rows_, "k string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((r.k or "", r.ts.strftime("%d %H:%M")) for r in monitoring.gap_allowed(df, key="k").collect())
+    assert got == [("", "01 10:00"), ("a", "01 00:00"), ("a", "01 06:00"), ("a", "01 23:30"), ("b", "01 09:00")]
+    assert monitoring.gap_allowed(df.limit(0)).count() == 0
+
+
+def test_upserts_take_one_row_of_a_key(spark):
+    old = spark.createDataFrame([(1, "a", 0)], "k int, v string, t int")
+    new = spark.createDataFrame([(1, "z", 1), (1, "b", 2), (2, "c", 1), (2, "c", 1)], "k int, v string, t int")
+    assert rows(sinks.upsert(old, new, ["k"], seq="t")) == [(1, "b", 2), (2, "c", 1)]
+    assert rows(sinks.upsert(old, new, ["k"])) == [(1, "z", 1), (2, "c", 1)]
+
+
+def test_pivot_takes_the_last_value_by_its_order(spark):
+    df = spark.createDataFrame([(DAY, "x", 5.0, 1), (DAY, "x", 2.0, 2), (DAY, "x", None, 3)], "bar_date date, symbol string, close double, seq int")
+    assert market.pivot_last(df, ["x", "y"], "seq").first()[1:] == (2.0, None)
+
+
+def test_ranks_and_groups_against_sorting(spark):
+    values = [1.0, 1.0, 2.0, 3.0, 3.0, 3.0, 5.0, 8.0, 9.0, 9.5, 10.0, 12.0]
+    df = spark.createDataFrame([("s", DAY, f, v * (1 if f == "up" else -1), float(i)) for f in ("up", "down") for i, v in enumerate(values)], "symbol string, bar_date date, factor string, value double, forward double")
+    ranks = statistics.with_average_rank(df, "value", ["factor"], "rank").where("factor = 'up'").orderBy("forward").collect()
+    assert [r["rank"] for r in ranks] == [1.5, 1.5, 3, 5, 5, 5, 7, 8, 9, 10, 11, 12]
+    got = {r.factor: r for r in statistics.group_returns(df, groups=2).collect()}
+    assert (got["up"].group_1, got["up"].group_2) == (2.5, 8.5) and got["down"].group_1 == 8.5
+    assert statistics.information_coefficients(df.limit(0)).count() == 0

@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as registry
-from finlattice.llm import mixing
 from finlattice.operators import factors, kernels, ml
 from finlattice.plans import inputs
 from finlattice.plans import kernels as plans
@@ -128,22 +127,6 @@ def test_turnover_ranks_every_factor(spark, sf):
     assert got == pytest.approx(want)
 
 
-def test_mixing_takes_any_number_of_sources(spark):
-    n = mixing.MOST_CONSTRAINTS + 500
-    sources = [f"host{i:05d}.example" for i in range(n)] + [None, "\uffee", "\U0001f600"]
-    words = [1 + 40 * (i % 7 == 0) + i % 5 for i in range(len(sources))]
-    docs = spark.createDataFrame([(i, "w " * k, s) for i, (s, k) in enumerate(zip(sources, words))] + [(-1, "", "empty")], "doc_id long, text string, source string")
-    got = {r.source: r for r in mixing.mix(docs).collect()}
-    size = dict(zip(sources, words)) | {"empty": 0}
-    order = sorted(size, key=lambda s: (s is None, s or ""))
-    want = mixing.capped_targets([size[s] for s in order], [[1, 2, 3][i % 3] for i in range(len(order))], 3)
-    assert len(got) == len(order) and {size[s] * 3 == t for s, t in zip(order, want)} == {True, False}
-    for s, t in zip(order, want):
-        rate = t / size[s] if t else 0
-        assert got[s].source_size == size[s] and got[s].target == pytest.approx(t) and got[s].rate == pytest.approx(rate)
-        assert math.floor(rate + 1e-9) <= got[s].copies <= math.ceil(rate - 1e-9)
-
-
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(3)
@@ -161,7 +144,7 @@ def test_elimination_and_stacking(labelled):
     assert ml.auc(ml.probabilities(meta, out, names, "p"), "p").first()[0] > 0.9
 
 
-def test_the_ensemble_gets_the_library_and_default_models(spark, sf, monkeypatch):
+def test_the_ensemble_gets_the_whole_library(spark, sf, monkeypatch):
     seen = {}
 
     def eliminate(train, features, **how):
@@ -180,5 +163,5 @@ def test_the_ensemble_gets_the_library_and_default_models(spark, sf, monkeypatch
     for name, f in (("eliminate", eliminate), ("train_forest", forest), ("train_boosted", boosted)):
         monkeypatch.setattr(plans.ml, name, f)
     assert run(spark, sf, "ensemble_holdout")[0].mse is not None
-    assert set(seen["features"]) == {f for names in factors.catalogue().values() for f in names} and seen["how"] == {"keep": 15}
-    assert seen["forest"] == ((), {}) and seen["boosted"] == ((), {"validation": "late"}) and all(seen["late"][x] > 0 for x in (True, False))
+    assert set(seen["features"]) == {f for names in factors.catalogue().values() for f in names} and seen["how"]["keep"] == 15
+    assert seen["forest"] == ((), {"trees": 30}) and seen["boosted"] == ((), {"rounds": 10, "validation": "late"}) and all(seen["late"][x] > 0 for x in (True, False))
