@@ -221,8 +221,8 @@ def normalised(x: np.ndarray, how: str = "zscore") -> np.ndarray:
     raise ValueError(f"unknown method {how!r}")
 
 
-def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[float, int]:
-    """Distance and path length (ties: diagonal, then up, then left); infinite if the band can't reach the corner."""
+def warping_costs(a: np.ndarray, b: np.ndarray, band: int | None = None) -> np.ndarray:
+    """The cost of the best path to each pair of places, counted from 1; infinite beyond the band."""
     n, m = len(a), len(b)
     cost = np.full((n + 1, m + 1), np.inf)
     cost[0, 0] = 0
@@ -236,14 +236,26 @@ def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[float, i
         x, k = low * m, (high - low) * m + 1
         before = np.minimum(np.minimum(flat[s - 2 - m + x :][:k:m], flat[s - 1 - m + x :][:k:m]), flat[s - 1 + x :][:k:m])
         flat[s + x :][:k:m] = np.abs(a[low - 1 : high] - back[m - s + low : m - s + high + 1]) + before
-    if not np.isfinite(cost[n, m]):
-        return math.inf, 0
-    i, j, steps = n, m, 1
+    return cost
+
+
+def dtw_path(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[float, list[tuple[int, int]]]:
+    """Distance and pairs of places from 0 on (ties: diagonal, then up, then left); infinite and empty if the band can't reach the corner."""
+    cost = warping_costs(a, b, band)
+    i, j = len(a), len(b)
+    if not np.isfinite(cost[i, j]) or not i or not j:
+        return math.inf, []
+    path = [(i - 1, j - 1)]
     while (i, j) != (1, 1):
-        moves = [(cost[i - 1, j - 1], 0, i - 1, j - 1), (cost[i - 1, j], 1, i - 1, j), (cost[i, j - 1], 2, i, j - 1)]
-        _, _, i, j = min(moves)
-        steps += 1
-    return float(cost[n, m]), steps
+        _, _, i, j = min((cost[i - 1, j - 1], 0, i - 1, j - 1), (cost[i - 1, j], 1, i - 1, j), (cost[i, j - 1], 2, i, j - 1))
+        path.append((i - 1, j - 1))
+    return float(cost[len(a), len(b)]), path[::-1]
+
+
+def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[float, int]:
+    """Distance and path length."""
+    distance, path = dtw_path(a, b, band)
+    return distance, len(path)
 
 
 def similar_patterns(target: np.ndarray, series: np.ndarray, top: int = 5, step: int = 1) -> list[tuple]:

@@ -10,6 +10,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .series import change, deviation, mean, window
 
 
 def ema(x: np.ndarray, alpha: float) -> np.ndarray:
@@ -53,3 +56,27 @@ def with_recurrences(df: DataFrame, price: str = "close", emas: tuple[int, ...]
     kinds = dict(df.dtypes)
     schema = f"{key} {kinds[key]}, {date} {kinds[date]}, " + ", ".join(f"{n} double" for n in names)
     return df.select(key, date, price).groupBy(key).applyInPandas(run, schema)
+
+
+#: The columns of fund_features(), in the order of its sequences.
+FUND_FEATURES = ("return", "rsi", "macd", "macd_signal", "macd_hist", "bb_position", "volatility", "ma_ratio_5_20")
+
+
+def fund_features(df: DataFrame, price: str = "unit_nav", key: str = "symbol", date: str = "nav_date", daily: str | None = None) -> DataFrame:
+    """(key, date) and FUND_FEATURES of a fund's values; volatility in percent, of the column `daily` if given, else of returns."""
+    w = window(key, date)
+    rows = df.withColumn("return", change(price, w)).withColumn("_daily", F.col(daily) if daily else F.col("return"))
+    mid, spread = mean(price, w, 20), deviation(price, w, 20)
+    lower, upper = mid - 2 * spread, mid + 2 * spread
+    made = {"bb_position": (F.col(price) - lower) / (upper - lower + 1e-8), "volatility": deviation("_daily", w, 20) * 100, "ma_ratio_5_20": mean(price, w, 5) / (mid + 1e-8)}
+    rows = rows.select(key, date, "return", *[c.alias(name) for name, c in made.items()])
+    waves = with_recurrences(df, price, key=key, date=date).withColumnRenamed("rsi_14", "rsi")
+    return rows.join(waves, [key, date]).select(key, date, *FUND_FEATURES)
+
+
+def fund_sequences(features: DataFrame, length: int = 5, key: str = "symbol", date: str = "nav_date") -> DataFrame:
+    """(key, date, features, next_return, direction): `length` rows of features before each day, and what its return was."""
+    w = window(key, date)
+    before = F.collect_list(F.array(*FUND_FEATURES)).over(w.rowsBetween(-length, -1))
+    rows = features.select(key, date, before.alias("features"), F.col("return").alias("next_return"), F.coalesce(F.col("return") > 0, F.lit(False)).cast("int").alias("direction"))
+    return rows.where(F.size("features") == length)

@@ -120,3 +120,26 @@ def risk_level(drawdown: Column, volatility: Column) -> Column:
 
 def predictability(r2: Column, entropy: Column) -> Column:
     return F.when((r2 > 0.85) & (entropy < 1.2), "high").when((r2 < 0.5) | (entropy > 1.5), "low").otherwise("medium")
+
+
+# The bounds and words of a report's conclusions.
+CONCLUSIONS = (
+    ("趋势", "hurst", lambda x: F.when(x > 0.6, "趋势增强").when(x < 0.4, "均值回复").otherwise("随机游走")),
+    ("复杂度", "sample_entropy", lambda x: F.when(x < 1.0, "低复杂度").when(x > 1.5, "高复杂度").otherwise("中等复杂度")),
+    ("周期", "period", lambda x: F.lit("存在显著周期")),
+    ("可预测性", "r2", lambda x: F.when(x > 0.9, "高").when(x > 0.6, "中").otherwise("低")),
+    ("风险", "max_drawdown", lambda x: F.when(F.abs(x) > 0.25, "高").when(F.abs(x) > 0.15, "中").otherwise("低")),
+    ("技术信号", "rsi", lambda x: F.when(x >= 70, "超买").when(x <= 30, "超卖")),
+)
+
+
+def conclusions(df: DataFrame) -> DataFrame:
+    """df (hurst, sample_entropy, period, r2, max_drawdown, rsi) with `conclusions`: (category, value, interpretation) of each metric that is there and tells."""
+    told = [F.when(F.col(c).isNotNull() & word(F.col(c)).isNotNull(), F.struct(F.lit(category).alias("category"), F.round(F.col(c).cast("double"), 4).alias("value"), word(F.col(c)).alias("interpretation"))) for category, c, word in CONCLUSIONS]
+    return df.withColumn("conclusions", F.array_compact(F.array(*told)))
+
+
+def suggestions(hurst: Column, entropy: Column, r2: Column, rsi: Column) -> Column:
+    """An array of what to do: follow the trend, wait for the mean or for news; keep positions small; mind the oscillator."""
+    course = F.when((hurst > 0.55) & (r2 > 0.85), "follow trend").when(hurst < 0.45, "mean reversion").when(hurst.isNotNull() & r2.isNotNull(), "observe")
+    return F.array_compact(F.array(F.when(hurst.isNotNull() & r2.isNotNull(), course), F.when(entropy > 1.5, "limit positions"), F.when((rsi >= 70) | (rsi <= 30), "oscillator extreme")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import monitoring, risk, statistics, text
+from ..operators import kernels, monitoring, risk, statistics, text
+from ..operators.recurrence import fund_features, fund_sequences
 from ..scratch import scratch_folder
 from ..sources import readers, sinks
 from ..streaming import events
@@ -126,6 +129,67 @@ def rate_gate(spark: S, sf: str) -> D:
     return monitoring.gap_allowed(table(spark, sf, "events").select("user_id", "event_id", "ts"), key="user_id")
 
 
+@query("""SELECT p_partkey, concat_ws(';', '趋势=' || CASE WHEN p_size / 50 > 0.6 THEN '趋势增强' WHEN p_size / 50 < 0.4 THEN '均值回复' ELSE '随机游走' END,
+  CASE WHEN p_size % 5 > 0 THEN '复杂度=' || CASE WHEN p_retailprice % 2 < 1 THEN '低复杂度' WHEN p_retailprice % 2 > 1.5 THEN '高复杂度' ELSE '中等复杂度' END END,
+  CASE WHEN p_size % 7 = 0 THEN '周期=存在显著周期' END, '可预测性=' || CASE WHEN p_retailprice % 1 > 0.9 THEN '高' WHEN p_retailprice % 1 > 0.6 THEN '中' ELSE '低' END,
+  '风险=' || CASE WHEN p_size % 40 > 25 THEN '高' WHEN p_size % 40 > 15 THEN '中' ELSE '低' END, CASE WHEN p_size * 2 >= 70 THEN '技术信号=超买' WHEN p_size * 2 <= 30 THEN '技术信号=超卖' END) AS told,
+  concat_ws(';', CASE WHEN p_size / 50 > 0.55 AND p_retailprice % 1 > 0.85 THEN 'follow trend' WHEN p_size / 50 < 0.45 THEN 'mean reversion' ELSE 'observe' END,
+  CASE WHEN p_size % 5 > 0 AND p_retailprice % 2 > 1.5 THEN 'limit positions' END, CASE WHEN p_size * 2 >= 70 OR p_size * 2 <= 30 THEN 'oscillator extreme' END) AS advice FROM part""")
+def report_conclusions(spark: S, sf: str) -> D:
+    """The rule table over metrics that the parts stand in for, some of them missing."""
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    metrics = {"hurst": size / 50, "sample_entropy": F.when(size % 5 > 0, price % 2), "period": F.when(size % 7 == 0, size), "r2": price % 1, "max_drawdown": -(size % 40) / 100, "rsi": size * 2.0}
+    rows = risk.conclusions(table(spark, sf, "part").select("p_partkey", *[c.alias(name) for name, c in metrics.items()]))
+    advice = risk.suggestions(F.col("hurst"), F.col("sample_entropy"), F.col("r2"), F.col("rsi"))
+    told = F.transform("conclusions", lambda c: F.concat(c["category"], F.lit("="), c["interpretation"]))
+    return rows.select("p_partkey", F.array_join(told, ";").alias("told"), F.array_join(advice, ";").alias("advice"))
+
+
+_FUND = """WITH RECURSIVE {bars}, k AS (SELECT symbol, bar_date, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS i FROM bars),
+e AS (SELECT symbol, bar_date, i, close AS f, close AS s, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l, close, 0.0::DOUBLE AS sig FROM k WHERE i = 1
+  UNION ALL SELECT k.symbol, k.bar_date, k.i, e.f + (k.close - e.f) * 2 / 13, e.s + (k.close - e.s) * 2 / 27, e.g + (greatest(k.close - e.close, 0) - e.g) / 14, e.l + (greatest(e.close - k.close, 0) - e.l) / 14, k.close,
+    e.sig + ((e.f + (k.close - e.f) * 2 / 13) - (e.s + (k.close - e.s) * 2 / 27) - e.sig) * 2 / 10 FROM e JOIN k ON k.symbol = e.symbol AND k.i = e.i + 1),
+c AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM e WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+v AS (SELECT *, avg(close) OVER t AS mid, stddev_samp(close) OVER t AS sd, avg(close) OVER (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING) AS m5, stddev_samp(ret) OVER t AS vol, count(ret) OVER t AS n FROM c WINDOW t AS (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING))"""
+
+
+@query(_FUND.format(bars=BARS) + """
+SELECT symbol, bar_date AS nav_date, round(ret, 4) + 0.0 AS return, CASE WHEN l > 0 THEN round(100 - 100 / (1 + g / l), 4) + 0.0 END AS rsi, round(f - s, 3) + 0.0 AS macd, round(sig, 3) + 0.0 AS macd_signal, round(f - s - sig, 3) + 0.0 AS macd_hist,
+  CASE WHEN i >= 20 THEN round((close - mid + 2 * sd) / (4 * sd + 1e-8), 4) + 0.0 END AS bb_position, CASE WHEN n = 20 THEN round(vol * 100, 4) + 0.0 END AS volatility, CASE WHEN i >= 20 THEN round(m5 / (mid + 1e-8), 4) + 0.0 END AS ma_ratio_5_20 FROM v""")
+def fund_feature_block(spark: S, sf: str) -> D:
+    out = fund_features(_navs(spark, sf))
+    waves = {c: F.round(c, 3) for c in ("macd", "macd_signal", "macd_hist")}
+    return rounded(out.withColumns(waves), 4)
+
+
+def _navs(spark: S, sf: str) -> D:
+    return bars(spark, sf).select("symbol", F.col("bar_date").alias("nav_date"), F.col("close").alias("unit_nav"))
+
+
+@query(f"""WITH {RETURNS}, k AS (SELECT symbol, bar_date, ret, row_number() OVER w AS i, list(coalesce(ret, 0)) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS f FROM r WINDOW w AS (PARTITION BY symbol ORDER BY bar_date))
+SELECT symbol, bar_date AS nav_date, round(ret, 4) + 0.0 AS next_return, CAST(ret > 0 AS INTEGER) AS direction, round(list_sum(f), 3) + 0.0 AS five_days FROM k WHERE i > 5""")
+def fund_sequences_of_5(spark: S, sf: str) -> D:
+    """The five days of features before each day, told by the sum of their returns."""
+    rows = fund_sequences(fund_features(_navs(spark, sf)))
+    five = F.aggregate("features", F.lit(0.0), lambda s, x: s + F.coalesce(x[0], F.lit(0.0)))
+    return rows.select("symbol", "nav_date", (F.round("next_return", 4) + 0.0).alias("next_return"), "direction", (F.round(five, 3) + 0.0).alias("five_days"))
+
+
+@query()
+def dtw_path_to_reference(spark: S, sf: str) -> D:
+    """The path by which each symbol's whole series is warped onto that of 1-URGENT: a row a step, so as many as bars."""
+    curves = bars(spark, sf).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("bar_date", "close"))), lambda r: r["close"]).alias("curve"))
+    reference = curves.where("symbol = '1-URGENT'").select(F.col("curve").alias("reference"))
+    pairs = curves.join(F.broadcast(reference)).repartition("symbol")  # one series
+
+    @F.pandas_udf("array<struct<step:int,left_place:int,right_place:int>>")
+    def path(x: pd.Series, y: pd.Series) -> pd.Series:
+        found = [kernels.dtw_path(kernels.normalised(np.asarray(a)), kernels.normalised(np.asarray(b)))[1] for a, b in zip(x, y, strict=True)]
+        return pd.Series([[{"step": k, "left_place": i, "right_place": j} for k, (i, j) in enumerate(p)] for p in found])
+
+    return pairs.select("symbol", F.inline(path("reference", "curve")))
+
+
 # The stream that classifies crawled news and puts it in by key.
 
 
