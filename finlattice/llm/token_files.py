@@ -2,8 +2,8 @@
 
 Texts are tokenised once, in the tasks that read them, into a table in the shared folder; the same
 tasks leave their symbol counts, whose sum over all documents gives one shared frequency table.
-The token table is then range-partitioned by id and sorted, and each partition becomes one file of
-blocks.  A block codes BLOCK_TOKENS ids with a static range asymmetric numeral system on
+The token table is then range-partitioned by id, and by the row's place in the table so that an id
+which many rows share fills many files, and sorted; each partition becomes one file of blocks.  A block codes BLOCK_TOKENS ids with a static range asymmetric numeral system on
 interleaved lanes and stands alone: it starts from its own states (a checkpoint), holds its place
 in the file, the documents or parts of documents in it, and a CRC-32 of all that.  Files are
 written by Spark's writer as raw bytes, so any store that Spark reaches will do, and a lost
@@ -15,7 +15,7 @@ and words; documents (id, ids in this block, flags); lane states; words; a line
 The frequency table is a file of its own, in the same folder.
 
 Defined results: a null text is an empty one; a null id sorts first and stays null; rows with equal
-ids stand together, in the order of their tokens; an empty table gives no blocks.
+ids stand together, in the order they were read; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -155,13 +155,14 @@ def tokenizer(path: str) -> Tokens:
 
 
 def tokenise(docs: DataFrame, path: str, end: int | None, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, ids, counts): a row of ids for each document, and of symbol counts for each task."""
+    """(id, place, n_tokens, ids, counts): a row of ids for each document, and of symbol counts for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # a reused worker may still hold what earlier stages read
         t = tokenizer(path)
         kind = np.uint16 if t.size <= 1 << 16 else np.uint32
         counts = np.zeros(t.size, np.int64)
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             column = plain(batch.column(1))
             for a, b in slices(column):
@@ -171,15 +172,16 @@ def tokenise(docs: DataFrame, path: str, end: int | None, id_: str = "doc_id", t
                     many = many + 1
                 counts += np.bincount(ids, minlength=t.size)
                 raw, edges = ids.astype(kind), np.concatenate([[0], np.cumsum(many)])
-                yield _token_rows(batch.column(0)[a:b], many, [raw[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], None)
-        yield _token_rows(pa.nulls(1, pa.int64()), [0], [None], [counts.astype("<i8").tobytes()])
+                yield _token_rows(batch.column(0)[a:b], place, many, [raw[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], None)
+                place += b - a
+        yield _token_rows(pa.nulls(1, pa.int64()), place, [0], [None], [counts.astype("<i8").tobytes()])
 
-    return docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary, counts binary")
+    return docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, place long, n_tokens long, ids binary, counts binary")
 
 
-def _token_rows(ids: pa.Array, many, tokens: list, counts: list | None) -> pa.RecordBatch:
+def _token_rows(ids: pa.Array, place: int, many, tokens: list, counts: list | None) -> pa.RecordBatch:
     counts = pa.array(counts, pa.binary()) if counts else pa.nulls(len(tokens), pa.binary())
-    return pa.RecordBatch.from_arrays([ids, pa.array(many, pa.int64()), pa.array(tokens, pa.binary()), counts], ["id", "n_tokens", "ids", "counts"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.arange(place, place + len(tokens))), pa.array(many, pa.int64()), pa.array(tokens, pa.binary()), counts], ["id", "place", "n_tokens", "ids", "counts"])
 
 
 def _symbol_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +247,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end: int | Non
     raw = table.astype("<u4").tobytes()
     spark.createDataFrame([(bytearray(raw),)], "value binary").coalesce(1).select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/table")
     files = max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // file_tokens))
-    rows = tokens.where("ids IS NOT NULL").select("id", "ids").repartitionByRange(files, "id").sortWithinPartitions("id", "ids")
+    rows = tokens.where("ids IS NOT NULL").select("id", "ids", "place").repartitionByRange(files, "id", "place").sortWithinPartitions("id", "place")
     made = rows.mapInArrow(write_blocks(Coder(table), zlib.crc32(raw), size > 1 << 16), "block binary")
     made.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/blocks")
 

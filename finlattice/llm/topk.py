@@ -12,7 +12,8 @@ Cells are split by hash into blocks of about BLOCK rows and their queries into b
 so that a vector that a third of the rows share fills many tasks, not one.  What is broadcast and
 collected are `pivots` vectors and as many summaries.
 
-Components are quantised to floor(256 * x), x as double.  Scores are exact while below 2^53.
+Components are quantised to floor(256 * x), x as double.  Scores are exact: blocks whose scores could
+pass 2^53 are multiplied as 64-bit integers, and vectors whose scores could pass 2^63 are an error.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor
 do rows without an id; shorter vectors count as padded with zeros; ties go to the smaller id; rows
@@ -34,6 +35,8 @@ from .shared import materialise
 PIVOTS = 64
 BLOCK = 8192
 QUERIES = 1024
+#: Below every score: marks the query's own row.
+OWN = -(2**62)
 
 
 class Cells:
@@ -82,6 +85,16 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of all rows of x and y."""
+    largest = float(np.abs(x).max()) * float(np.abs(y).max()) * x.shape[1]
+    if largest < 2**53:
+        return x @ y.T
+    if largest >= 2**62:
+        raise ValueError("a score may pass the range of a 64-bit integer")
+    return x.astype(np.int64) @ y.astype(np.int64).T
+
+
 def solve(k: int, width: int):
     """Best k of a block of rows for each query of a block."""
 
@@ -90,16 +103,15 @@ def solve(k: int, width: int):
         if len(queries) and len(rows):
             rows = rows.sort_values("id")
             ids = rows["id"].to_numpy()
-            scores = _unpack(queries["vector"], width) @ _unpack(rows["vector"], width).T
-            for q, s in zip(queries["query_id"].to_numpy(), scores, strict=True):
-                s = np.where(ids == q, -np.inf, s)
+            for q, s in zip(queries["query_id"].to_numpy(), products(_unpack(queries["vector"], width), _unpack(rows["vector"], width)), strict=True):
+                s[ids == q] = OWN
                 if len(s) > k:  # ids ascend, so of equal scores the first remain
                     least = np.partition(s, len(s) - k)[len(s) - k]
                     above, equal = np.flatnonzero(s > least), np.flatnonzero(s == least)
                     at = np.concatenate([above, equal[: k - len(above)]])
                 else:
                     at = np.arange(len(s))
-                out += [(q, ids[i], int(s[i])) for i in at if s[i] > -np.inf]
+                out += [(q, ids[i], int(s[i])) for i in at if s[i] > OWN]
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
     return run

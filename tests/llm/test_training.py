@@ -535,6 +535,10 @@ def test_token_files(spark, monkeypatch):
     odd = docs.limit(3).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))).union(docs.limit(1))
     token_files.write_tokens(odd, path + "-odd", queries.tokenizer_path())
     assert token_files.read_tokens(spark, path + "-odd").count() == 4
+    hot = documents(spark, [prose(30, i) for i in range(200)]).withColumn("doc_id", F.lit(5).cast("long"))
+    token_files.write_tokens(hot, path + "-hot", queries.tokenizer_path(), file_tokens=4000)
+    files = spark.read.format("binaryFile").load(f"{path}-hot/blocks").where("length > 0")
+    assert token_files.read_tokens(spark, path + "-hot").count() == 200 and files.count() >= 3
     raw = bytearray(spark.read.format("binaryFile").load(f"{path}/blocks").where("length > 0").first().content)
     raw[100] ^= 1
     with pytest.raises(ValueError):
@@ -561,3 +565,11 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     one = df.where("vec_id IN (50, 51, 52)")
     assert topk.top_k(one, F.col("vec_id") % 50 == 0).count() == 2
+
+
+def test_large_scores_are_exact():
+    x = np.array([[2.0**40, 1.0], [3.0, 2.0**30]])
+    y = np.array([[2.0**15, 3.0], [5.0, 7.0]])
+    assert topk.products(x, y).tolist() == [[2**55 + 3, 5 * 2**40 + 7], [3 * 2**15 + 3 * 2**30, 15 + 7 * 2**30]]
+    with pytest.raises(ValueError):
+        topk.products(x * 2**20, y)
