@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,35 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[0x41:0x5B] += 0x20
 
 
+_scopes: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Folders that are named inside lie in one of their own, which is removed at the end.
+
+    What is needed later must be written outside before: DataFrames made inside can't be read then.
+    """
+    _scopes.append(shared_folder(spark, name))
+    try:
+        yield
+    finally:
+        discard(spark, _scopes.pop())
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any store that Spark reaches, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
     Where the setting is absent in local mode (tests) a temporary folder is set as the checkpoint
     folder of the session; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = _scopes[-1] if _scopes else spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")

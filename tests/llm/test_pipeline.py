@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as registry
 import corpus_pipeline
-from finlattice.llm import mixing, quality, queries
+from finlattice.llm import mixing, quality, queries, shared
 from finlattice.llm.url_filter import LOWER, UPPER
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +95,10 @@ def test_stages(spark):
 def test_registered():
     names = registry.queries()
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.QUERIES) < set(names) and "pipeline" in names
+
+
+def test_scratch_goes_with_its_stage(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "_scopes", [str(tmp_path)])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if not p.name.startswith("."))
+    assert left == ["pipeline-mixing-sources-to-target-weights", "token-documents", "token-files", "tokens"]
