@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
+SALTS = 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of the edges (a, b), the smallest node that it is connected with.
@@ -19,7 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
     def rounds(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        # a node that many are linked to is dealt over SALTS parts
+        salted = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         return small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()

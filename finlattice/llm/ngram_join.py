@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import SALTS, components
 from .shared import U64, lowered, materialise, mix, plain, shingles, slices, text_bytes, word_hashes, word_spans
 
 WORDS = 5
@@ -282,7 +282,8 @@ def classified(docs: DataFrame, id_: str = "doc_id", text: str = "text", thresho
     links = linked.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "cls")
     small = classes.select("cls", "content", "rep", "copies")
     firsts = roots.join(small.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("first"))
-    related = roots.join(firsts, "root").join(links, "cls").select("cls", "first", "links")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a group may hold a third of all
+    related = roots.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(firsts, ["root", "salt"]).join(links, "cls").select("cls", "first", "links")
     known = small.join(related, "cls", "left").select("content", F.col("rep.id").alias("copy_of"), F.coalesce("first", "rep").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = some.select("id", "fp", "content").join(known, "content").select("id", "fp", "copy_of", F.col("first.id").alias("first_id"), F.col("first.fp").alias("first_fp"), F.col("n_links").cast("long").alias("n_links"))
     return out.unionByName(none.select("id", "fp", F.col("id").alias("copy_of"), F.col("id").alias("first_id"), F.col("fp").alias("first_fp"), F.lit(0).cast("long").alias("n_links")))
