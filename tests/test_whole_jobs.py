@@ -158,7 +158,7 @@ def test_the_ensemble_gets_the_whole_library(spark, sf, monkeypatch):
     def boosted(train, features, *given, make=ml.train_boosted, **how):
         seen["boosted"] = given, how
         seen["late"] = {r.late: r.n for r in train.groupBy("late").count().withColumnRenamed("count", "n").collect()}
-        return make(train, features, 2, 2, **how)
+        return make(train, features, 2, 2, validation=how["validation"])
 
     for name, f in (("eliminate", eliminate), ("train_forest", forest), ("train_boosted", boosted)):
         monkeypatch.setattr(plans.ml, name, f)
