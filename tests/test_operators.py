@@ -158,3 +158,12 @@ def test_ranks_and_groups_against_sorting(spark):
     got = {r.factor: r for r in statistics.group_returns(df, groups=2).collect()}
     assert (got["up"].group_1, got["up"].group_2) == (2.5, 8.5) and got["down"].group_1 == 8.5
     assert statistics.information_coefficients(df.limit(0)).count() == 0
+
+
+def test_holdout_metrics_by_hand(spark):
+    pairs = [(0.9, 1.0), (0.8, 0.0), (0.5, 1.0), (0.2, 1.0), (0.1, 0.0)]
+    got = ml.holdout_metrics(spark.createDataFrame(pairs, "p double, label double")).first()
+    assert (got.accuracy, got.precision, got.recall) == (0.6, pytest.approx(2 / 3), pytest.approx(2 / 3))
+    assert got.f1 == pytest.approx(2 / 3) and got.mse == pytest.approx(sum((p - y) ** 2 for p, y in pairs) / 5)
+    weights, best = ml.best_weights(spark.createDataFrame([(0.1 * i, 1 - 0.1 * i + 0.001 * (i % 2), float(i > 5)) for i in range(10)], "a double, b double, label double"), ["a", "b"])
+    assert weights == [1.0, 0.0] and best == 1.0

@@ -36,7 +36,7 @@ def test_query(spark, duck, name):
     rows = sorted(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in columns]).collect())
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert df.columns
+        assert rows and any(v != "None" for r in rows for v in r)
         return
     listed = ", ".join(f'"{c}"' for c in columns)
     assert rows == sorted(tuple(map(plain, r)) for r in duck.sql(f"SELECT {listed} FROM ({sql})").fetchall())
