@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, mixing, ngram_join, quality, token_counts, token_files, topk, url_filter, warc
+from . import cross_align, decontam, fill_middle, language_id, mixing, ngram_join, quality, secret_scan, token_counts, token_files, topk, url_filter, warc
 from .shared import materialise, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 QUALITY_FROM = 0.7
 
@@ -97,7 +98,28 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_counts, op4_ngram_join, op5_warc, op6_decontamination, op7_quality, op8_token_files, op9_language_id, op10_topk)}
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cross_align.align(docs, tokenizer_path(), tokenizer_path(PIECES))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    form, output = F.col("fim.form"), F.col("fim.output")
+    digests = F.sha2(output, 256).alias("output_sha256"), F.sha2(fill_middle.restore(form, output), 256).alias("restored_sha256")
+    return made.select("doc_id", F.col("fim.n").alias("n"), form.alias("form"), F.col("fim.prefix_units").alias("prefix_chars"), F.col("fim.middle_units").alias("middle_chars"), *digests)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled(docs)))
+    spans, kinds = F.col("secrets"), [f.kind for f in secret_scan.FORMS]
+    counts = [F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in kinds]  # noqa: B023
+    base = F.sha2(secret_scan.shown(F.filter(spans, lambda s: s["kind"].isin(kinds))), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, secret_scan.shown(spans).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_counts, op4_ngram_join, op5_warc, op6_decontamination, op7_quality, op8_token_files, op9_language_id, op10_topk, op11_cross_align, op12_fill_middle, op13_secret_scan)}
 
 # The method's patterns once more, as their meaning is stated, not as the module writes them.
 _PATTERNS = r"""
@@ -187,6 +209,21 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op12_fill_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT *, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS INTEGER), 8) AS BIGINT)) AS r FROM d
+), c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b, CASE
+    WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), o AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM o""",
     "op5_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages

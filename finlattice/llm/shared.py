@@ -73,6 +73,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that no column of df begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One array with nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):

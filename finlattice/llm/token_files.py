@@ -57,18 +57,19 @@ class Tokens:
     Such a tokenizer splits a text into words and punctuation before it merges, and never merges
     across: so a text may be cut where such a piece surely begins (a space after a character that
     is none; a character that is no letter after a letter) and its parts encoded alone.  Texts that
-    hold one of the tokenizer's special strings are encoded whole, as is every text by a tokenizer
-    of another kind.  A part of letters alone is one piece, so it goes straight to the tokenizer's
+    hold one of the tokenizer's special strings are encoded whole (without `special` such strings
+    are ordinary text), as is every text by a tokenizer of another kind.  A part of letters alone is one piece, so it goes straight to the tokenizer's
     model, in the letters that stand for its bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         made = json.loads(self.tokenizer.to_str())
         split = made["pre_tokenizer"] or {}
         self.byte_level = made["normalizer"] is None and made["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
@@ -110,9 +111,8 @@ class Tokens:
                 recent[texts[i]] = ids
         return out
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and their number in each."""
-        data, offsets = text_bytes(column)
+    def begins(self, column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where parts that can be encoded alone begin, beside the beginnings of texts: a mask of the bytes, and one more."""
         rows = len(column)
         whole = np.full(rows, not self.byte_level)
         for s in self.special:
@@ -126,6 +126,12 @@ class Tokens:
             begins[1:-1] = (now == 0x20) & (letter | ((last < 0x80) & ~_SPACE[last] & (last >= 0x20))) | letter & (now < 0x80) & ~_LETTER[now]
             for r in np.flatnonzero(whole):
                 begins[offsets[r] : offsets[r + 1]] = False
+        return begins
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and their number in each."""
+        data, offsets = text_bytes(column)
+        rows, begins = len(column), self.begins(column, data, offsets)
         filled = np.flatnonzero(np.diff(offsets))
         begins[offsets[:-1][filled]] = True
         starts = np.flatnonzero(begins[:-1])
