@@ -7,15 +7,17 @@ hashed, windows are hashed from them, and a sorted search in the set finds hits,
 verified word by word against the item's text.  Document words inside any hit window are hit.
 
 The set is broadcast in parts of about PART_WINDOWS windows (a longer item is a part of its own); the
-test table is streamed to the driver and split by item into as many parts as it needs.  With more
-than one part the documents are scanned by a job a part, whose spans are united and written to the
-shared folder before the next part is sent and the last one destroyed; so a worker holds one part
-at a time, whatever the benchmark's size.
+test table is streamed to the driver and split by item into as many parts as it needs.  One part
+is scanned in the documents' own pass.  With more the documents are written once, with a number each;
+each part then costs a pass over number and text that writes the rows with hits only, before the next
+part is sent and the last one destroyed, and at the end the hits are united by number and
+joined: a worker holds one part at a time, whatever the benchmark's size.
 
 Defined results: null or wordless texts have no words and no hits; null texts and items without
 words have no windows; rows of the benchmark with equal ids are one item, and those with a null id
 are one item without a name: it hits and stands last in `items`, as null; repeated documents count
-each; empty tables are fine on either side.
+each; empty tables are fine on either side.  find_overlap() replaces a column that has the name of its
+output; drop_documents() and cut_spans() keep all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_LOWER, U64, materialise, plain, slices, text_bytes, window_hashes, word_hashes, word_spans
+from .shared import ASCII_LOWER, U64, materialise, plain, slices, text_bytes, unused, window_hashes, word_hashes, word_spans
 
 N = 10
 PART_WINDOWS = 2_000_000
@@ -127,20 +129,25 @@ def _parts(benchmark: DataFrame, item_id: str, text: str, n: int, most: int) ->
     yield part
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, part_windows: int = PART_WINDOWS) -> DataFrame:
-    """docs with a column `overlap`: the hit spans (words and bytes of the text) and items of each row."""
-    context, out = docs.sparkSession.sparkContext, docs
+def find_overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, part_windows: int = PART_WINDOWS, into: str = "overlap") -> DataFrame:
+    """docs with a column `into`: the hit spans (words and bytes of the text) and items of each row."""
+    context = docs.sparkSession.sparkContext
     parts = _parts(benchmark, item_id, item_text, n, part_windows)
     part, more = next(parts), next(parts, None)
-    out = docs.withColumn("overlap", scanner(context.broadcast(TestWindows(part, n)))(F.col(text)))
-    while more is not None:
-        if part is not None:
-            out, part = materialise(out, "overlap"), None
-        sent = context.broadcast(TestWindows(more, n))
-        out = materialise(out.withColumn("overlap", F.arrow_udf(unite, KIND)(F.col("overlap"), scanner(sent)(F.col(text)))), "overlap")
+    if more is None:
+        return docs.withColumn(into, scanner(context.broadcast(TestWindows(part, n)))(F.col(text)))
+    number, found = unused(docs, "_row"), unused(docs, "_overlap")
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "overlap-documents")
+    hits = None
+    while part is not None:
+        sent = context.broadcast(TestWindows(part, n))
+        own = numbered.select(F.col(number).alias("row"), scanner(sent)(F.col(text)).alias("o"))
+        own = materialise(own if hits is None else own.where(F.size("o.starts") > 0), "overlap")  # the first also counts the words
         sent.unpersist()
-        more = next(parts, None)
-    return out
+        hits, part, more = own if hits is None else hits.unionByName(own), more, next(parts, None)
+    spans = hits.groupBy("row").agg(F.collect_list("o").alias("all")).select(F.col("row").alias(number), F.arrow_udf(unite, KIND)("all").alias(found))  # at most one a part
+    joined = numbered.join(spans, number)
+    return joined.select(*[c for c in docs.columns if c.lower() != into.lower()], F.col(found).alias(into))
 
 
 def scanner(windows):
@@ -160,12 +167,12 @@ def _structs(rows: list[tuple]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], NAMES)
 
 
-def unite(x: pa.Array, y: pa.Array) -> pa.Array:
-    """Joins the overlaps that two parts of the benchmark have found."""
+def unite(found: pa.Array) -> pa.Array:
+    """Joins the overlaps that the parts of the benchmark have found in each text."""
     rows = []
-    for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
-        spans = [merged([*zip(p[a], p[b], strict=True), *zip(q[a], q[b], strict=True)]) for a, b in (NAMES[1:3], NAMES[3:5])]
-        rows.append((p["n_words"], *[[s[i] for s in own] for own in spans for i in (0, 1)], in_order([*p["items"], *q["items"]])))
+    for every in found.to_pylist():
+        spans = [merged([s for p in every for s in zip(p[a], p[b], strict=True)]) for a, b in (NAMES[1:3], NAMES[3:5])]
+        rows.append((every[0]["n_words"], *[[s[i] for s in own] for own in spans for i in (0, 1)], in_order(x for p in every for x in p["items"])))
     return _structs(rows)
 
 
@@ -175,7 +182,8 @@ def hit_words(overlap: str = "overlap"):
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs without any hit."""
-    return find_overlap(docs, benchmark, **how).where(F.size("overlap.starts") == 0).select(*docs.columns)
+    into = unused(docs, "_overlap")
+    return find_overlap(docs, benchmark, into=into, **how).where(F.size(f"{into}.starts") == 0).select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
@@ -191,5 +199,6 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how)
             out.append(t)
         return pa.array(out, pa.string())
 
-    found = find_overlap(docs, benchmark, text=text, **how)
-    return found.withColumn(text, cut(text, "overlap.from_byte", "overlap.to_byte")).select(*docs.columns)
+    into = unused(docs, "_overlap")
+    found = find_overlap(docs, benchmark, text=text, into=into, **how)
+    return found.withColumn(text, cut(text, f"{into}.from_byte", f"{into}.to_byte")).select(*docs.columns)

@@ -24,7 +24,8 @@ Bins are split by hash into buckets of about BUCKET_ROWS rows, so no task holds
 
 Defined results: null or empty texts have size 0 and are never a remainder; a source with no
 words has target 0; sources are ranked by code point, null last; repeated rows count separately;
-an empty table gives an empty mix.  Nothing is random: reruns agree.
+an empty table gives an empty mix.  Nothing is random: reruns agree.  Other columns are ignored by
+mix() and kept by resample(), whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 EXACT_BINS = 1024
@@ -317,12 +318,13 @@ def resample(docs: DataFrame, id_: str = "doc_id", text: str = "text", source: s
 
     Rows that share id, source and text get all of their copies together, dealt in turn.
     """
+    own = unused(docs, "_mix")
     copies = mix(docs, id_=id_, text=text, source=source, **how).groupBy("id", "source", "fp").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    copies = copies.where("copies > 0").select(*[F.col(c).alias(f"_mix_{c}") for c in copies.columns])
-    on = F.col(id_).eqNullSafe(F.col("_mix_id")) & F.col(source).eqNullSafe(F.col("_mix_source")) & (F.xxhash64(text) == F.col("_mix_fp"))
-    found = materialise(docs.join(copies, on), "mix-taken") if not copies.where("_mix_rows > 1").isEmpty() else docs.join(copies, on)
-    one = found.where("_mix_rows = 1").withColumn("_mix_own", F.col("_mix_copies"))
-    turn = F.row_number().over(Window.partitionBy("_mix_id", "_mix_source", "_mix_fp").orderBy("_mix_id"))
-    several = found.where("_mix_rows > 1").withColumn("_mix_own", F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (turn <= F.col("_mix_copies") % F.col("_mix_rows")).cast("int"))
-    own = one.unionByName(several).where("_mix_own > 0")
-    return own.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_own").cast("int")))).select(*docs.columns)
+    copies = copies.where("copies > 0").select(*[F.col(c).alias(f"{own}_{c}") for c in copies.columns])
+    on = F.col(id_).eqNullSafe(F.col(f"{own}_id")) & F.col(source).eqNullSafe(F.col(f"{own}_source")) & (F.xxhash64(text) == F.col(f"{own}_fp"))
+    found = materialise(docs.join(copies, on), "mix-taken") if not copies.where(f"{own}_rows > 1").isEmpty() else docs.join(copies, on)
+    one = found.where(f"{own}_rows = 1").withColumn(f"{own}_own", F.col(f"{own}_copies"))
+    turn = F.row_number().over(Window.partitionBy(f"{own}_id", f"{own}_source", f"{own}_fp").orderBy(f"{own}_id"))
+    several = found.where(f"{own}_rows > 1").withColumn(f"{own}_own", F.floor(F.col(f"{own}_copies") / F.col(f"{own}_rows")) + (turn <= F.col(f"{own}_copies") % F.col(f"{own}_rows")).cast("int"))
+    taken = one.unionByName(several).where(f"{own}_own > 0")
+    return taken.withColumn(f"{own}_n", F.explode(F.sequence(F.lit(1), F.col(f"{own}_own").cast("int")))).select(*docs.columns)

@@ -23,8 +23,8 @@ class (its links there and its smallest linked relative), never the pairs.
 
 Defined results: null or wordless texts have no shingles, no links and a class of their own; rows
 with a null id take no part; rows with equal ids are told apart by their texts, and those with
-equal texts are copies of each other; an empty table gives an empty result; other columns are
-ignored.
+equal texts are copies of each other; an empty table gives an empty result; other columns,
+whatever their names, are ignored by the join and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import SALTS, components
-from .shared import U64, lowered, materialise, mix, plain, shingles, slices, text_bytes, word_hashes, word_spans
+from .shared import U64, lowered, materialise, mix, plain, shingles, slices, text_bytes, unused, word_hashes, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -305,10 +305,11 @@ def one_of_each(docs: DataFrame, id_: str = "doc_id", text: str = "text", **how)
     """
     found = materialise(classified(docs, id_, text, **how), "near-duplicates")
     stays = (F.col("id") == F.col("first_id")) & (F.col("fp") == F.col("first_fp"))
-    gone = found.where(~stays).select(F.col("id").alias("_gone"), F.col("fp").alias("_of")).distinct()
-    kept = docs.join(gone, (F.col(id_) == F.col("_gone")) & (F.xxhash64(text) == F.col("_of")), "left_anti")
-    repeated = found.where(stays).groupBy("id", "fp").count().where("count > 1").select(F.col("id").alias("_again"), F.col("fp").alias("_of"))
+    own_id, own_fp = (unused(docs, name) for name in ("_same_id", "_same_fp"))
+    same = (F.col(id_) == F.col(own_id)) & (F.xxhash64(text) == F.col(own_fp))
+    gone = found.where(~stays).select(F.col("id").alias(own_id), F.col("fp").alias(own_fp)).distinct()
+    kept = docs.join(gone, same, "left_anti")
+    repeated = found.where(stays).groupBy("id", "fp").count().where("count > 1").select(F.col("id").alias(own_id), F.col("fp").alias(own_fp))
     if repeated.isEmpty():
         return kept
-    again = (F.col(id_) == F.col("_again")) & (F.xxhash64(text) == F.col("_of"))
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_, text]))
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_, text]))

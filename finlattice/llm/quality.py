@@ -14,7 +14,8 @@ The vote of a class is divided by its sampling rate, so scores follow the labels
 
 Defined results: null and empty texts are the zero vector, and score the labels' mean, as do texts
 that share nothing with any labelled one, and every text if there is no label; rows with equal texts score alike; labels with null ids or null
-quality are ignored, of repeated labels of an id the larger counts.
+quality are ignored, of repeated labels of an id the larger counts; other columns are ignored by fit() and kept by
+score(), whose output replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "te
     known = labels.where(F.col(id_).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_).alias("_id")).agg(F.max(label).alias("_label"))
     totals = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     chosen = F.broadcast(sample_per_class(known, "_id", "_label", per_class))  # at most 2 * per_class ids
-    texts = docs.join(chosen, F.col(id_) == F.col("_id")).groupBy("_id", "_label").agg(F.min(text).alias("text")).select(F.col("_label").cast("int").alias("label"), "text")
+    texts = docs.select(F.col(id_).alias("_id"), F.col(text).alias("text")).join(chosen, "_id").groupBy("_id", "_label").agg(F.min("text").alias("text")).select(F.col("_label").cast("int").alias("label"), "text")
     rows = sorted(texts.mapInArrow(_extract, "label int, features binary").collect(), key=lambda r: (r.features, r.label))  # at most WORD_BINS + BINS features a row
     return Model(_dense(rows), np.array([r.label for r in rows], np.int32), totals)
 

@@ -181,6 +181,19 @@ def test_compacting_keeps_state_and_names(spark):
     assert sorted(r.doc_id for r in token_counts.live(spark, new).collect()) == [1, 9]
 
 
+@pytest.mark.parametrize("name", ["2024/01/01", "a/b*{c}[d]%41", "../up", "", "from=x", "é ü"])
+def test_any_batch_name(spark, name):
+    store = shared_folder(spark, "counts")
+    token_counts.create(spark, store, buckets=4)
+    schema = "op string, seq int, doc_id long, tokenizer string, source string, lang string, n_tokens long"
+    rows = spark.createDataFrame([("insert", 0, i, "t", "s", "en", 5) for i in range(20)], schema)
+    assert token_counts.commit(spark, store, name, rows) and not token_counts.commit(spark, store, name, rows)
+    assert token_counts.commit(spark, store, f"{name}2", rows.where("doc_id < 2").withColumn("n_tokens", F.lit(7).cast("long")))
+    assert [tuple(r) for r in token_counts.totals(spark, store).collect()] == [("s", "en", "t", 20, 104)]
+    plan = token_counts.live(spark, store, rows.where("doc_id = 3").withColumn("bucket", token_counts._bucket("doc_id", 4)))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [(bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan  # other parts aren't read
+
+
 def test_token_count_query_by_brute_force(spark):
     tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
     sf, want = "/root/testdata/sf0.001", {}
@@ -460,10 +473,38 @@ def test_folded_weights_are_the_kernels():
     assert scores == pytest.approx(1 / likely.sum(axis=1), abs=1e-3)
 
 
-def test_more_languages_than_are_learned(spark):
-    rows = [(i, "abc" * 5, f"l{i % 7}", "s", 0, 1, 1) for i in range(70)] + [(100 + i, "xyz " * 5, "most", "s", 0, 1, 1) for i in range(40)]
-    model = language_id.fit(spark.createDataFrame(rows, DOCS), most_languages=3)
-    assert model.languages == ["l0", "l1", "most"]
+def test_every_language_is_learned(spark):
+    """2,001 languages of a row each, and two frequent ones: more than the sample's bound."""
+    def text(i):
+        r = np.random.default_rng(i)
+        return " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(6))
+
+    rows = [(i, text(i), f"l{i}", "s", 0, 1, 1) for i in range(2001)] + [(9000 + i, "common words of one", "most", "s", 0, 1, 1) for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(docs)
+    assert len(model.languages) == 2002
+    own = list(range(0, 2001, 40))
+    names, _ = model.answer(pa.array([text(i) for i in own] + ["common words of one"]))
+    assert np.mean([n == f"l{i}" for i, n in zip(own, names, strict=False)]) > 0.95 and names[-1] == "most"
+
+
+@pytest.mark.parametrize("landmarks", [512, 20])
+def test_more_languages_than_landmarks(monkeypatch, landmarks):
+    """Scores by landmarks' columns and a second product are those of one matrix."""
+    monkeypatch.setattr(language_id, "LANDMARKS", landmarks)
+    monkeypatch.setattr(language_id, "MOST_LANDMARKS", landmarks)
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, language_id.BINS, 30)) for _ in range(90)]
+    labels = np.repeat(np.arange(30), 3)
+    model = language_id.Model([f"l{i:02}" for i in range(30)], sets, labels)
+    assert (model.last is None) == (landmarks > 30)
+    dense = language_id._dense(sets)
+    marks = dense[np.linspace(0, 89, min(landmarks, 90)).astype(int)]
+    near, targets = (dense @ marks.T).astype(float), np.where(labels[:, None] == np.arange(30)[None], 1.0, -1.0)
+    system = near.T @ near + language_id.RIDGE * 90 * (marks @ marks.T).astype(float) + 1e-8 * 90 * np.eye(len(marks))
+    want = marks.T @ np.linalg.solve(system, near.T @ targets)
+    got = model.weights if model.last is None else model.weights @ model.last
+    assert np.abs(dense @ got - dense @ want).max() < 1e-3
 
 
 def test_long_texts_are_worked_on_in_pieces(monkeypatch):
@@ -573,3 +614,34 @@ def test_large_scores_are_exact():
     assert topk.products(x, y).tolist() == [[2**55 + 3, 5 * 2**40 + 7], [3 * 2**15 + 3 * 2**30, 15 + 7 * 2**30]]
     with pytest.raises(ValueError):
         topk.products(x * 2**20, y)
+
+
+# all
+
+
+def test_columns_with_names_used_inside(spark):
+    """Input columns of any name come out as they went in, and none stops an operator."""
+    names = ["overlap", "_overlap", "_row", "_id", "_label", "_of", "_gone", "_again", "_same_id", "_mix", "_mix_id", "_quality", "_answer", "_scan", "fp", "rows", "copies", "label", "found", "cls", "content"]
+    texts = [prose(40, i % 7) for i in range(14)]
+    rows = [(i, t, "en" if i % 2 else "de", f"s{i % 2}", *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, " ".join(texts[0].split()[:12])), (2, " ".join(texts[1].split()[5:30]))], "item_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), *names)
+    known = {r.doc_id: r for r in docs.collect()}
+
+    def same(df, but=()):
+        assert [c for c in df.columns if c in docs.columns] == docs.columns
+        out = df.collect()
+        for r in out:
+            assert all(r[c] == known[r.doc_id][c] for c in docs.columns if c not in but)
+        return [r.doc_id for r in out]
+
+    for most in (2_000_000, 1):
+        assert sorted(same(decontam.drop_documents(docs, bench, part_windows=most))) == [i for i in range(14) if i % 7 > 1]
+        assert len(same(decontam.cut_spans(docs, bench, part_windows=most), but=["text"])) == 14
+        assert decontam.find_overlap(docs, bench, part_windows=most, into="found").where("found.n_words > 0").count() == 14
+    assert len(same(quality.score(docs, quality.fit(docs, labels)))) == 14
+    assert len(same(language_id.identify(docs, language_id.fit(docs)))) == 14
+    assert sorted(same(ngram_join.one_of_each(docs))) == list(range(7))
+    assert set(same(mixing.resample(docs))) <= set(known)
+    assert mixing.mix(docs).count() == ngram_join.near_duplicates(docs).count() == 14
