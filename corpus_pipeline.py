@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlattice.llm import decontam, mixing, ngram_join, quality, queries, token_files
-from finlattice.llm.shared import discard, scratch_scope, shared_folder
+from finlattice.llm.shared import discard, scratch_scope, shared_folder, unused
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out())
-    scored = quality.score(docs, quality.fit(docs, labels), into="_quality")
-    return scored.where(F.col("_quality") >= queries.QUALITY_FROM).select(*docs.columns)
+    into = unused(docs, "_quality")
+    scored = quality.score(docs, quality.fit(docs, labels), into=into)
+    return scored.where(F.col(into) >= queries.QUALITY_FROM).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
