@@ -14,6 +14,11 @@ the version line after it), so splitting there is exact for any payload bytes.
 Equal payloads (SHA-1 and length) of at least `smallest` bytes are stored once, by the row with
 the largest id; the others are revisit records that refer to it.
 
+Payloads are not shuffled but for a few.  A Bloom filter of the digests that several rows share is
+broadcast (at most BLOOM_BITS bits); a row whose digest it denies is written by the task that reads it.
+The others meet their response by digest, without payloads; a second filter holds the ids of those
+that turn out to be responses, and only what it lets through carries a payload to the join by id.
+
 Rows are told apart by id; where ids repeat or are null, those rows are written to the shared folder
 first, with a number each that goes into the record's name.
 
@@ -30,10 +35,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import Bloom
 from .shared import materialise
 
 CHUNK = 1 << 20
@@ -43,6 +51,7 @@ SEPARATOR = b"\r\n\r\n" + VERSION
 DATE = "2024-01-01T00:00:00Z"
 #: Parts that the rows of one payload are dealt over where they meet its response.
 SALTS = 16
+BLOOM_BITS = 1 << 26
 
 
 def b32(digest: bytes) -> str:
@@ -65,17 +74,23 @@ def cut(data: bytes | memoryview, size: int) -> Iterator[memoryview]:
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, payload) to (id, n, bytes, digest), chunk by chunk."""
+    """(id, n, payload) to (id, n, bytes, digest, its first 8 bytes)."""
     for batch in batches:
-        sizes, found = [], []
-        for value in batch.column(2):
-            data = memoryview(value.as_buffer() or b"")
-            sha = hashlib.sha1()
-            for start in range(0, len(data), CHUNK):
-                sha.update(data[start : start + CHUNK])
-            sizes.append(len(data))
-            found.append(b32(sha.digest()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], ["id", "n", "payload_bytes", "payload_digest"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *_digested(batch.column(2))], ["id", "n", "payload_bytes", "payload_digest", "h"])
+
+
+def _digested(payload: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Bytes, digest and its first 8 bytes of each payload, chunk by chunk."""
+    sizes, found = [], []
+    for value in payload:
+        data = memoryview(value.as_buffer() or b"")
+        sha = hashlib.sha1()
+        for start in range(0, len(data), CHUNK):
+            sha.update(data[start : start + CHUNK])
+        sizes.append(len(data))
+        found.append(sha.digest())
+    first = np.frombuffer(b"".join(d[:8] for d in found), ">i8").astype(np.int64)
+    return pa.array(sizes, pa.int64()), pa.array(map(b32, found), pa.string()), pa.array(first)
 
 
 def name_of(id_: int | None, n: int) -> str:
@@ -110,6 +125,31 @@ def record(kind: str, name: str, url: str | None, block: bytes, chunk: int = 1,
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
+ROW = "id long, n long, url string, payload binary"
+
+
+def holds(filter_):
+    @F.arrow_udf("boolean")
+    def known(h: pa.Array) -> pa.Array:
+        return pa.array(filter_.value.holds(h.to_numpy()), pa.bool_())
+
+    return known
+
+
+def told_apart(shared, whole):
+    """(ROW, hash of id and n) to (ROW, digest, alone): rows that are surely a payload's only one, and the others without their payloads unless `whole` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payload = batch.column(3)
+            _, digest, first = _digested(payload)
+            alone = ~shared.value.holds(first.to_numpy())
+            kept = pc.if_else(pa.array(alone | whole.value.holds(batch.column(4).to_numpy())), payload, pa.scalar(None, payload.type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], kept, digest, pa.array(alone)], ["id", "n", "url", "payload", "digest", "alone"])
+
+    return run
+
+
 def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n, url, payload, digest, response: id and n or null) to chunk rows (id, chunk, record), a few MB a batch."""
     out, held = ([], [], []), 0
@@ -146,7 +186,7 @@ def _rows(out: tuple[list, list, list]) -> pa.RecordBatch:
 def write_warc(pages: DataFrame, path: str, id_: str = "page_id", payload: str = "html", url: str = "url", smallest: int = 0) -> None:
     """Writes gzipped WARC files below path, one per task."""
     rows = pages.select(F.col(id_).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), F.col(url).alias("url"), F.col(payload).cast("binary").alias("payload"))
-    schema = "id long, n long, payload_bytes long, payload_digest string"
+    schema = "id long, n long, payload_bytes long, payload_digest string, h long"
     digest = materialise(rows.select("id", "n", "payload").mapInArrow(digests, schema), "warc-digests")  # the only pass that hashes payloads whole
     again = digest.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1 OR id IS NULL").select(F.col("id").alias("_again"))
     if not again.isEmpty():
@@ -155,14 +195,22 @@ def write_warc(pages: DataFrame, path: str, id_: str = "page_id", payload: str =
         rows = rows.join(again, same, "left_anti").unionByName(numbered)
         digest = digest.join(again, same, "left_anti").unionByName(numbered.select("id", "n", "payload").mapInArrow(digests, schema))
     key = ["payload_digest", "payload_bytes"]
-    stored = digest.where(F.col("payload_bytes") >= smallest).groupBy(key).agg(F.max(F.struct("id", "n")).alias("response"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    stored = stored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = digest.withColumn("salt", F.pmod(F.xxhash64("id", "n"), F.lit(SALTS)).cast("int")).join(stored, [*key, "salt"], "left")
+    stored = digest.where(F.col("payload_bytes") >= smallest).groupBy(key).agg(F.max(F.struct("id", "n")).alias("response"), F.first("h").alias("h"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    stored = materialise(stored, "warc-stored")
+    send = rows.sparkSession.sparkContext.broadcast
+    shared = send(Bloom.of(stored.select("h"), BLOOM_BITS))
+    salted = stored.drop("h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = digest.where(holds(shared)("h")).withColumn("salt", F.pmod(F.xxhash64("id", "n"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"], "left")
     own = (F.col("response.id").eqNullSafe(F.col("id"))) & (F.col("response.n") == F.col("n"))
-    known = met.select("id", "n", F.col("payload_digest").alias("digest"), F.when(~own, F.col("response")).alias("refers_to"))
+    known = materialise(met.select("id", "n", "payload_digest", F.when(~own, F.col("response")).alias("refers_to")), "warc-shared")
+    whole = send(Bloom.of(known.where("refers_to IS NULL").select(F.xxhash64("id", "n").alias("h")), BLOOM_BITS))
+
+    told = rows.withColumn("name", F.xxhash64("id", "n")).mapInArrow(told_apart(shared, whole), f"{ROW}, digest string, alone boolean")
     there = [F.coalesce("id", F.lit(0).cast("long")).alias("_id"), F.col("id").isNull().alias("_none"), F.col("n").alias("_n")]
-    known = known.select(*there, "digest", "refers_to")
-    made = rows.select("*", *there).join(known, ["_id", "_none", "_n"]).select("id", "n", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "refers_to").mapInArrow(records, "id long, chunk int, record binary")
+    known = known.select(*there, F.col("payload_digest").alias("digest"), "refers_to")
+    several = told.where("NOT alone").select("id", "n", "url", "payload", *there).join(known, ["_id", "_none", "_n"]).select("id", "n", "url", "payload", "digest", "refers_to")
+    alone = told.where("alone").select("id", "n", "url", "payload", "digest", F.lit(None).cast("struct<id:long,n:long>").alias("refers_to"))
+    made = alone.unionByName(several).mapInArrow(records, "id long, chunk int, record binary")
     # The separator ends with the next record's version line, so each row closes one record and opens the next;
     # the version line of a file's first record is the head of its first row.
     body = F.concat(F.lit(VERSION), F.col("record")).cast("string")

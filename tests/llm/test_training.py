@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from finlattice.llm import decontam, language_id, mixing, ngram_join, quality, queries, rans, token_counts, token_files, topk, url_filter, warc
+from finlattice.llm import bloom, decontam, language_id, mixing, ngram_join, quality, queries, rans, token_counts, token_files, topk, url_filter, warc
 from finlattice.llm.components import components
 from finlattice.llm.shared import shared_folder
 
@@ -353,6 +353,31 @@ def test_warc_of_repeated_and_null_ids(spark):
     assert Counter((r.payload_digest, r.record_type, r.refers_to) for r in got) == Counter([(digest["x"], "response", None), (digest["x"], "revisit", 2), (digest["y"], "response", None), (digest["y"], "revisit", 1), (digest["z"], "response", None), (digest["z"], "revisit", None), (digest[""], "response", None), (digest[""], "revisit", 3)])
 
 
+def test_bloom_filters(spark):
+    r = np.random.default_rng(5)
+    keys = r.integers(-(1 << 62), 1 << 62, 3000)
+    for most in (1 << 20, 1 << 12):
+        made = bloom.Bloom.of(spark.createDataFrame([(int(k),) for k in keys], "h long"), most)
+        assert made.holds(keys).all() and made.words.size * 64 <= max(most, bloom.LEAST_BITS)
+    other = r.integers(-(1 << 62), 1 << 62, 20000)
+    assert bloom.Bloom.of(spark.createDataFrame([(int(k),) for k in keys], "h long"), 1 << 20).holds(other).mean() < 0.01
+    assert not bloom.Bloom.of(spark.createDataFrame([], "h long"), 1 << 20).holds(other).any()
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_warc_whatever_the_filters_let_through(spark, monkeypatch, bits):
+    monkeypatch.setattr(bloom, "LEAST_BITS", 64)
+    monkeypatch.setattr(warc, "BLOOM_BITS", bits)  # 64 bits: everything seems shared
+    rows = [(i, f"u{i}", f"page {i % 40 if i % 3 else i}") for i in range(300)] + [(1000 + i, None, "hot") for i in range(200)]
+    path = shared_folder(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    best = {}
+    for i, _, h in rows:
+        best[h] = max(best.get(h, 0), i)
+    got = {r.id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_records(spark, path).collect()}
+    assert got == {i: ("response", None, len(h)) if best[h] == i else ("revisit", best[h], len(h)) for i, _, h in rows}
+
+
 def test_cut_never_leaves_a_separator():
     r = np.random.default_rng(3)
     parts = [b"\r\n", b"WARC/1.1", b"\r\n\r\n", b"x", b"WARC/1.1\r\n"]
