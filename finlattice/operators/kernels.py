@@ -1,4 +1,4 @@
-"""Numeric kernels over one whole series: spectra, decomposition, tests, ARIMA, warping, entropy.
+"""Numeric kernels over one whole series: spectra, decomposition, warping, entropy.
 
 by_key() runs a kernel for each key in Arrow batches; a key's series is one instrument's history,
 sorted by date inside its group.  Kernels are plain numpy functions and are tested as such.
@@ -119,93 +119,6 @@ def stl(x: np.ndarray, period: int | None = None, inner: int = 2, outer: int = 5
     return trend, season, x - trend - season
 
 
-def _ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-    sse = float(((y - x @ beta) ** 2).sum())
-    spread = sse / max(len(y) - x.shape[1], 1) * np.linalg.pinv(x.T @ x).diagonal()
-    return beta, np.sqrt(np.maximum(spread, 0)), sse
-
-
-# MacKinnon's response surface for the Dickey-Fuller test with a constant (published tables).
-_DF_CRITICAL = {0.01: (-3.43035, -6.5393, -16.786, -79.433), 0.05: (-2.86154, -2.8903, -4.234, -40.040), 0.10: (-2.56677, -1.5384, -2.809, 0.0)}
-
-
-def adf(x: np.ndarray) -> tuple[float, int, bool, bool, bool]:
-    """Dickey-Fuller statistic with a constant, lags chosen by AIC, and whether it beats the 1, 5 and 10 % values."""
-    n = len(x)
-    d = np.diff(x)
-    most = max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
-    best = None
-    for k in range(most + 1):
-        y = d[most:]
-        rows = [x[most:-1], np.ones(len(y))] + [d[most - i : len(d) - i] for i in range(1, k + 1)]
-        beta, se, sse = _ols(y, np.column_stack(rows))
-        aic = len(y) * math.log(max(sse, 1e-300) / len(y)) + 2 * len(rows)
-        if best is None or aic < best[0]:
-            best = aic, beta[0] / se[0] if se[0] > 0 else -math.inf, k
-    _, stat, lags = best
-    below = [stat < sum(c / n**i for i, c in enumerate(_DF_CRITICAL[p])) for p in (0.01, 0.05, 0.10)]
-    return float(stat), lags, *map(bool, below)
-
-
-def differences(x: np.ndarray, most: int = 2) -> tuple[np.ndarray, int]:
-    """The series differenced until it is stationary at 5 %, at most `most` times."""
-    d = 0
-    while d < most and len(x) > 20 and not adf(x)[3]:
-        x, d = np.diff(x), d + 1
-    return x, d
-
-
-def arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, float, float, np.ndarray]:
-    """Coefficients (constant, p AR, q MA), AIC, error variance and residuals, by two-stage least squares."""
-    n = len(x)
-    long = min(max(p + q + 2, int(round(math.log(max(n, 3)) ** 1.5))), n // 3)
-    e = np.zeros(n)
-    if q:
-        rows = np.column_stack([np.ones(n - long)] + [x[long - i : n - i] for i in range(1, long + 1)])
-        beta, _, _ = _ols(x[long:], rows)
-        e[long:] = x[long:] - rows @ beta
-    start = long + q if q else p
-    rows = np.column_stack([np.ones(n - start)] + [x[start - i : n - i] for i in range(1, p + 1)] + [e[start - i : n - i] for i in range(1, q + 1)])
-    beta, _, sse = _ols(x[start:], rows)
-    used = n - start
-    residual = np.zeros(n)
-    for t in range(max(p, q), n):
-        residual[t] = x[t] - beta[0] - sum(beta[1 + i] * x[t - 1 - i] for i in range(p)) - sum(beta[1 + p + i] * residual[t - 1 - i] for i in range(q))
-    sigma2 = max(sse / used, 1e-300)
-    return beta, used * math.log(sigma2) + 2 * (p + q + 2), sigma2, residual
-
-
-def arima(x: np.ndarray, steps: int = 5, orders: tuple[int, ...] = (0, 1, 2, 3, 4), z: float = 1.959963984540054) -> list[tuple]:
-    """(step, forecast, lower, upper, p, d, q, aic) of the order with the least AIC; none for fewer than 30 values."""
-    if len(x) < 30:
-        return []
-    y, d = differences(x)
-    fits = []
-    for p in orders:
-        for q in orders:
-            try:
-                beta, aic, s2, e = arma(y, p, q)
-            except np.linalg.LinAlgError:
-                continue
-            if np.isfinite(aic) and np.isfinite(e).all():
-                fits.append((aic, p, q, beta, s2, e))
-    aic, p, q, beta, s2, e = min(fits, key=lambda f: f[:3])
-    values, errors = list(y), list(e)
-    for _ in range(steps):
-        values.append(beta[0] + sum(beta[1 + i] * values[-1 - i] for i in range(p)) + sum(beta[1 + p + i] * errors[-1 - i] for i in range(q)))
-        errors.append(0.0)
-    psi = [1.0]
-    for j in range(1, steps):
-        psi.append((beta[p + j] if j <= q else 0.0) + sum(beta[i] * psi[j - i] for i in range(1, min(j, p) + 1)))
-    ahead, weights = np.array(values[len(y) :]), np.array(psi)
-    for k in range(d, 0, -1):
-        ahead = np.cumsum(ahead) + np.diff(x, k - 1)[-1]
-        weights = np.cumsum(weights)
-    spread = z * np.sqrt(s2 * np.cumsum(weights**2))
-    return [(i + 1, float(f), float(f - w), float(f + w), p, d, q, float(aic)) for i, (f, w) in enumerate(zip(ahead, spread, strict=True))]
-
-
 # Warping
 
 

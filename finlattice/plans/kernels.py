@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kernels, ml, series
+from ..operators import arima, kernels, ml, series
 from ..operators.factors import factor_panel
 from ..scratch import scratch_folder, written
 from ..streaming import events
@@ -67,12 +67,16 @@ def stl_parts(spark: S, sf: str) -> D:
 
 @query()
 def adf_test(spark: S, sf: str) -> D:
-    return kernels.by_key(_returns(spark, sf), lambda x: [kernels.adf(x)], "statistic double, lags int, at_1 boolean, at_5 boolean, at_10 boolean", "ret")
+    """Of the returns of every symbol, and of its closes with a trend."""
+    kind = "statistic double, p_value double, lags int, observations int, at_1 double, at_5 double, at_10 double"
+    returns = kernels.by_key(_returns(spark, sf), lambda x: [arima.adf(x)], kind, "ret").withColumn("series", F.lit("returns"))
+    closes = kernels.by_key(bars(spark, sf), lambda x: [arima.adf(x, "ct")], kind, "close").withColumn("series", F.lit("closes"))
+    return returns.unionByName(closes).withColumn("stationary", F.col("p_value") < 0.05)
 
 
 @query()
 def arima_forecast(spark: S, sf: str) -> D:
-    return kernels.by_key(bars(spark, sf), kernels.arima, "step int, forecast double, lower double, upper double, p int, d int, q int, aic double", "close")
+    return arima.forecast_by_key(bars(spark, sf), "close")
 
 
 @query()

@@ -33,21 +33,6 @@ def test_stl_adds_up_and_finds_the_season():
     assert k.stl(np.arange(13.0)) is None
 
 
-def test_adf_tells_a_walk_from_noise():
-    assert not k.adf(WALK)[3]
-    assert k.adf(random.standard_normal(300))[2]
-    assert k.differences(WALK)[1] == 1
-
-
-def test_arima_follows_a_line_and_brackets_it():
-    x = np.arange(100) * 2.0 + random.standard_normal(100) * 0.1
-    rows = k.arima(x)
-    assert [r[0] for r in rows] == [1, 2, 3, 4, 5]
-    assert rows[4][1] == pytest.approx(208, abs=2)
-    assert all(low <= f <= high for _, f, low, high, *_ in rows)
-    assert k.arima(x[:20]) == []
-
-
 def test_dtw():
     a = np.array([1.0, 2, 3, 4])
     assert k.dtw(a, a) == (0.0, 4)
