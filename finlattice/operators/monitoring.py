@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import divide, last_business_day
+from ..scratch import unused
 
 
 def accuracy_status(records: DataFrame, recent: int = 20, key: str = "symbol", date: str = "predict_date") -> DataFrame:
@@ -67,28 +71,34 @@ def model_health(runs: DataFrame, as_of: str, most_days: int = 30, key: str = "s
 def gap_allowed(runs: DataFrame, ts: str = "ts", hours: float = 4.0, a_day: int = 4, key: str | None = None) -> DataFrame:
     """Runs that the rate gate lets through: `hours` after the last one it let through, at most `a_day` of a day.
 
-    A gate's runs are taken in turn, each in view of those before it, so all runs of a key (or of
-    the table, without a key) are one array: a log of some runs a day.  Runs at the same time count
-    one by one; those without a time are held back.
+    A gate's runs are taken in turn, each in view of those before it: a key's runs pass through one task
+    in time order, with the last run and the day's count as the only state, so neither memory nor a
+    step's work grows with their number.  Runs at the same time count one by one; those without a time
+    are held back.
     """
     by = [key] if key else []
-    state = "struct<last:timestamp,day:date,n:int,let:array<timestamp>>"
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.lit(None).cast("date").alias("day"), F.lit(0).alias("n"), F.array().cast("array<timestamp>").alias("let")).cast(state)
-
-    def step(s: Column, t: Column) -> Column:
-        today = F.when(s["day"] == F.to_date(t), s["n"]).otherwise(0)
-        late = s["last"].isNull() | (F.unix_micros(t) - F.unix_micros(s["last"]) >= int(hours * 3_600_000_000))
-        let = F.struct(t.alias("last"), F.to_date(t).alias("day"), (today + 1).alias("n"), F.array_append(s["let"], t).alias("let")).cast(state)
-        return F.when(late & (today < a_day), let).otherwise(s)
-
-    times = F.array_sort(F.collect_list(F.col(ts).cast("timestamp")))
-    let = runs.where(F.col(ts).isNotNull()).groupBy(*by).agg(F.aggregate(times, start, step)["let"].alias("_let")).select(*by, F.explode("_let").alias("_t"))
-    let = let.groupBy(*by, "_t").agg(F.count("*").alias("_times"))
-    turn = F.row_number().over(Window.partitionBy(*by, ts).orderBy(F.lit(0)))
-    same = F.col(ts).cast("timestamp") == F.col("_t")
-    if key:
-        let, same = let.withColumnRenamed(key, "_key"), same & F.col(key).eqNullSafe(F.col("_key"))
-    return runs.join(let, same).withColumn("_n", turn).where("_n <= _times").select(*runs.columns)
+    own = unused(runs, "_gate")
+    at = {f"{own}_key": F.xxhash64(*by) if by else F.lit(0).cast("long"), f"{own}_time": F.unix_micros(F.col(ts).cast("timestamp")), f"{own}_day": F.unix_date(F.to_date(F.col(ts).cast("timestamp"))), f"{own}_same": F.xxhash64(*[c for c, kind in runs.dtypes if not kind.startswith("map")])}
+    gap, width = int(hours * 3_600_000_000), len(runs.columns)
+
+    def gate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, day, count = object(), 0, None, 0
+        for batch in batches:
+            keys = batch.column(width).to_pylist() if not by else list(zip(batch.column(width).to_pylist(), batch.column(batch.schema.get_field_index(key)).to_pylist(), strict=True))
+            let = []
+            for k, t, d in zip(keys, batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True):
+                if k != held:
+                    held, last, day, count = k, -gap - (1 << 62), None, 0
+                today = count if d == day else 0
+                through = t - last >= gap and today < a_day
+                if through:
+                    last, day, count = t, d, today + 1
+                let.append(through)
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]).filter(pa.array(let, pa.bool_()))
+
+    rows = runs.where(F.col(ts).isNotNull()).withColumns(at)
+    rows = (rows.repartition(f"{own}_key") if by else rows.coalesce(1)).sortWithinPartitions(f"{own}_key", *by, f"{own}_time", f"{own}_same")
+    return rows.mapInArrow(gate, runs.schema)
 
 
 def fallback_prediction(df: DataFrame, key: str = "symbol", date: str = "bar_date") -> DataFrame:

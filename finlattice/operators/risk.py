@@ -119,27 +119,67 @@ def risk_level(drawdown: Column, volatility: Column) -> Column:
 
 
 def predictability(r2: Column, entropy: Column) -> Column:
-    return F.when((r2 > 0.85) & (entropy < 1.2), "high").when((r2 < 0.5) | (entropy > 1.5), "low").otherwise("medium")
+    """medium without r2; an entropy that is missing speaks neither for nor against."""
+    rated = F.when((r2 > 0.85) & (entropy.isNull() | (entropy < 1.2)), "high").when((r2 < 0.5) | (entropy > 1.5), "low").otherwise("medium")
+    return F.when(r2.isNull(), "medium").otherwise(rated)
 
 
-# The bounds and words of a report's conclusions.
+# The bounds and words of a report's conclusions: metric, decimals, and by condition what is told and its summary.
 CONCLUSIONS = (
-    ("趋势", "hurst", lambda x: F.when(x > 0.6, "趋势增强").when(x < 0.4, "均值回复").otherwise("随机游走")),
-    ("复杂度", "sample_entropy", lambda x: F.when(x < 1.0, "低复杂度").when(x > 1.5, "高复杂度").otherwise("中等复杂度")),
-    ("周期", "period", lambda x: F.lit("存在显著周期")),
-    ("可预测性", "r2", lambda x: F.when(x > 0.9, "高").when(x > 0.6, "中").otherwise("低")),
-    ("风险", "max_drawdown", lambda x: F.when(F.abs(x) > 0.25, "高").when(F.abs(x) > 0.15, "中").otherwise("低")),
-    ("技术信号", "rsi", lambda x: F.when(x >= 70, "超买").when(x <= 30, "超卖")),
+    ("趋势", "hurst", 4, ((lambda x: x > 0.6, "趋势增强", "序列呈现趋势增强特征，价格走势具有持续性"), (lambda x: x < 0.4, "均值回复", "序列呈现均值回复特征，价格倾向于向均值回归"), (None, "随机游走", "序列接近随机游走，短期预测难度较大"))),
+    ("复杂度", "sample_entropy", 4, ((lambda x: x < 1.0, "低复杂度", "序列复杂度较低，存在一定规律性和可预测性"), (lambda x: x > 1.5, "高复杂度", "序列复杂度较高，随机性强，预测难度大"), (None, "中等复杂度", "序列复杂度中等"))),
+    ("周期", "period", 1, ((None, "存在显著周期", "主周期约 %.1f 天，可作为交易周期参考"),)),
+    ("可预测性", "r2", 4, ((lambda x: x > 0.9, "高", "ARIMA 拟合优度高，短期预测相对可靠"), (lambda x: x > 0.6, "中", "ARIMA 拟合一般，预测需谨慎参考"), (None, "低", "ARIMA 拟合较差，预测参考价值有限"))),
+    ("风险", "drawdown_pct", 2, ((lambda x: x > 25, "高", "最大回撤 %.1f%%，风险较高"), (lambda x: x > 15, "中", "最大回撤 %.1f%%，风险中等"), (None, "低", "最大回撤 %.1f%%，相对可控"))),
+    ("技术信号", "rsi", 2, ((lambda x: x >= 70, "超买", "RSI 超买区域，短期可能回调"), (lambda x: x <= 30, "超卖", "RSI 超卖区域，短期可能反弹"))),
 )
+SIGNAL, NEUTRAL = ("技术信号", "综合信号: %s"), "中性"
+SUGGESTIONS = {
+    "trend": "趋势特征明显且模型拟合良好，建议采用趋势跟踪策略，可参考 ARIMA 预测方向辅助决策。",
+    "reversion": "均值回复特征明显，建议关注网格交易或均值回归策略，关注价格偏离均线的程度。",
+    "random": "序列接近随机，建议短线谨慎、中长期观察，结合基本面与技术面综合判断。",
+    "complex": "高复杂度表明市场效率较高，量化模型预测优势有限，建议控制仓位与止损。",
+    "oscillator": "当前 RSI 处于极值区，可结合超买超卖信号把握短期波动。",
+}
+NOTHING, ADVICE = "数据不足或分析未产出有效结论。", " 策略建议: "
+
+
+def _conclusion(category: str, value: Column, summary: Column, word: Column) -> Column:
+    return F.struct(F.lit(category).alias("category"), summary.alias("summary"), value.cast("double").alias("value"), word.alias("interpretation"))
 
 
 def conclusions(df: DataFrame) -> DataFrame:
-    """df (hurst, sample_entropy, period, r2, max_drawdown, rsi) with `conclusions`: (category, value, interpretation) of each metric that is there and tells."""
-    told = [F.when(F.col(c).isNotNull() & word(F.col(c)).isNotNull(), F.struct(F.lit(category).alias("category"), F.round(F.col(c).cast("double"), 4).alias("value"), word(F.col(c)).alias("interpretation"))) for category, c, word in CONCLUSIONS]
+    """df with `conclusions`: (category, summary, value, interpretation) of each metric that is there and tells.
+
+    Metrics are hurst, sample_entropy, period, r2, max_drawdown (a fraction), rsi, and `signal`, the
+    combined technical signal, where df has it.
+    """
+    metrics = {name: F.col(name).cast("double") for _, name, _, _ in CONCLUSIONS if name != "drawdown_pct"} | {"drawdown_pct": F.abs(F.col("max_drawdown").cast("double")) * 100}
+    told = []
+    for category, name, digits, rules in CONCLUSIONS:
+        x = metrics[name]
+        for i, (fits, word, summary) in enumerate(rules):
+            before = [f(x) for f, _, _ in rules[:i]]
+            here = x.isNotNull() & (fits(x) if fits else F.lit(True))
+            for b in before:
+                here = here & ~b
+            text = F.format_string(summary, x) if "%" in summary else F.lit(summary)
+            told.append(F.when(here, _conclusion(category, F.round(x, digits), text, F.lit(word))))
+    if "signal" in df.columns:
+        signal = F.col("signal")
+        told.append(F.when(signal.isNotNull() & ~signal.isin("", NEUTRAL), _conclusion(SIGNAL[0], F.lit(None), F.format_string(SIGNAL[1], signal), signal)))
     return df.withColumn("conclusions", F.array_compact(F.array(*told)))
 
 
 def suggestions(hurst: Column, entropy: Column, r2: Column, rsi: Column) -> Column:
-    """An array of what to do: follow the trend, wait for the mean or for news; keep positions small; mind the oscillator."""
-    course = F.when((hurst > 0.55) & (r2 > 0.85), "follow trend").when(hurst < 0.45, "mean reversion").when(hurst.isNotNull() & r2.isNotNull(), "observe")
-    return F.array_compact(F.array(F.when(hurst.isNotNull() & r2.isNotNull(), course), F.when(entropy > 1.5, "limit positions"), F.when((rsi >= 70) | (rsi <= 30), "oscillator extreme")))
+    """An array of SUGGESTIONS: a course where hurst and r2 are known, then complexity and the oscillator."""
+    words = {k: F.lit(v) for k, v in SUGGESTIONS.items()}
+    course = F.when((hurst > 0.55) & (r2 > 0.85), words["trend"]).when(hurst < 0.45, words["reversion"]).otherwise(words["random"])
+    return F.array_compact(F.array(F.when(hurst.isNotNull() & r2.isNotNull(), course), F.when(entropy > 1.5, words["complex"]), F.when((rsi >= 70) | (rsi <= 30), words["oscillator"])))
+
+
+def one_paragraph(told: Column, advice: Column) -> Column:
+    """The first five summaries and the first two suggestions."""
+    summaries = F.transform(F.slice(told, 1, 5), lambda c: c["summary"])
+    first = F.when(F.size(told) > 0, F.array_join(summaries, " ")).otherwise(F.lit(NOTHING))
+    return F.when(F.size(advice) > 0, F.concat(first, F.lit(ADVICE), F.array_join(F.slice(advice, 1, 2), " "))).otherwise(first)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation, divide
 from ..scratch import written
 from .kernels import by_key
+from .rolling import window_correlations
 from .series import last, window
 
 
@@ -84,10 +86,12 @@ def with_average_rank(rows: DataFrame, c: str, by: list[str], into: str) -> Data
     return rows.join(ranks, [*by, c])
 
 
-def long_factors(panel: DataFrame, factors: list[str], forward: str, key: str = "symbol", date: str = "bar_date") -> DataFrame:
-    """(key, date, factor, value, forward): finite pairs only."""
+def long_factors(panel: DataFrame, factors: list[str], forward: str, key: str = "symbol", date: str = "bar_date", gaps: bool = False) -> DataFrame:
+    """(key, date, factor, value, forward): finite pairs only, or with gaps all rows with a forward value, other values null."""
     rows = panel.unpivot([key, date, forward], [F.col(f).cast("double").alias(f) for f in factors], "factor", "value")
     ok = F.col("value").isNotNull() & F.col(forward).isNotNull() & ~F.isnan("value") & ~F.isnan(F.col(forward)) & (F.abs("value") < float("inf"))
+    if gaps:
+        rows, ok = rows.withColumn("value", F.when(ok, F.col("value"))), F.col(forward).isNotNull() & ~F.isnan(F.col(forward))
     return rows.where(ok).withColumnRenamed(forward, "forward")
 
 
@@ -100,12 +104,22 @@ def information_coefficients(rows: DataFrame, least: int = 10, by: tuple[str, ..
     return sums.select(*by, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("ic", "rank_ic")])
 
 
-def rolling_ic(rows: DataFrame, n: int = 20, key: str = "symbol", date: str = "bar_date") -> DataFrame:
-    """Mean, deviation and ratio of the IC over rolling windows of n rows."""
-    w = Window.partitionBy("factor", key).orderBy(date)
-    ic = rows.withColumns({"ic": correlation("value", "forward", last(w, n)), "_n": F.count("*").over(last(w, n))}).where(F.col("_n") == n)
-    out = ic.groupBy("factor").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"))
-    return out.withColumn("ic_ir", divide(F.col("ic_mean"), F.col("ic_std")))
+def rolling_ic(rows: DataFrame, n: int = 20, least: int = 10, key: str = "symbol", date: str = "bar_date") -> DataFrame:
+    """Mean, deviation and ratio of the IC and the rank IC of each factor over rolling windows.
+
+    rows: long_factors() with gaps.  A window is n dates in a row that have a forward value, the last n
+    left out; below `least` finite pairs, or without spread, it has no IC.
+    """
+
+    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(date)
+        ic, rank_ic = window_correlations(pdf.value.to_numpy(float), pdf.forward.to_numpy(float), n, least)
+        return pd.DataFrame({"factor": pdf.factor.iloc[0], "ic": ic, "rank_ic": rank_ic})
+
+    each = rows.select("factor", key, date, "value", "forward").groupBy("factor", key).applyInPandas(windows, "factor string, ic double, rank_ic double")  # one instrument's history
+    each = each.select("factor", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("ic", "rank_ic")])
+    out = each.groupBy("factor").agg(*[f(c).alias(f"{c}_{name}") for c in ("ic", "rank_ic") for f, name in ((F.avg, "mean"), (F.stddev_samp, "std"))])
+    return out.withColumns({f"{c}_ir": F.col(f"{c}_mean") / (F.col(f"{c}_std") + 1e-10) for c in ("ic", "rank_ic")})
 
 
 def group_returns(rows: DataFrame, groups: int = 5) -> DataFrame:
@@ -131,13 +145,21 @@ def group_returns(rows: DataFrame, groups: int = 5) -> DataFrame:
     return out.withColumn("long_short", F.col(f"group_{groups}") - F.col("group_1"))
 
 
-def factor_turnover(panel: DataFrame, factors: list[str], top: float = 0.2, key: str = "symbol", date: str = "bar_date") -> DataFrame:
-    """1 - Jaccard similarity of the top factors (by value, across columns) with the row before."""
-    k = max(1, int(len(factors) * top))
-    pairs = F.array(*[F.struct((-F.col(f)).alias("v"), F.lit(f).alias("f")) for f in factors])
-    best = F.transform(F.slice(F.array_sort(F.filter(pairs, lambda p: p["v"].isNotNull())), 1, k), lambda p: p["f"])
-    rows = panel.select(key, date, best.alias("top")).withColumn("before", F.lag("top").over(window(key, date)))
-    same = F.size(F.array_intersect("top", "before")) / F.nullif(F.size(F.array_union("top", "before")), F.lit(0))
+def factor_turnover(panel: DataFrame, factors: list[str], top: float = 0.2, rows_back: int = 1, key: str = "symbol", date: str = "bar_date") -> DataFrame:
+    """1 - Jaccard similarity of a row's top factors (by value, across columns) and those rows_back before.
+
+    Top are the factors at or above the interpolated percentile 1 - top of the row's values; nulls and
+    NaN have no place in it.  Two rows without any value share nothing.
+    """
+    pairs = F.filter(F.array(*[F.struct(F.col(f).cast("double").alias("v"), F.lit(f).alias("f")) for f in factors]), lambda p: p["v"].isNotNull() & ~F.isnan(p["v"]))
+    rows = panel.select(key, date, pairs.alias("pairs")).withColumn("values", F.array_sort(F.transform("pairs", lambda p: p["v"])))
+    place = (1 - top) * (F.size("values") - 1)
+    low, part = F.floor(place).cast("int"), place - F.floor(place)
+    a, b = F.get("values", low), F.coalesce(F.get("values", low + 1), F.get("values", low))
+    rows = rows.withColumn("edge", F.when(part < 0.5, a + (b - a) * part).otherwise(b - (b - a) * (1 - part)))
+    rows = rows.select(key, date, F.transform(F.filter("pairs", lambda p: p["v"] >= F.col("edge")), lambda p: p["f"]).alias("top"))
+    rows = rows.withColumn("before", F.lag("top", rows_back).over(window(key, date)))
+    same = F.size(F.array_intersect("top", "before")) / (F.size(F.array_union("top", "before")) + 1e-10)
     return rows.where("before IS NOT NULL").select(key, date, (1 - same).alias("turnover"))
 
 

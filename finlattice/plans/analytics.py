@@ -261,12 +261,12 @@ _PANEL = f"""{RETURNS}, f AS (SELECT symbol, bar_date, close / lag(close, 5) OVE
 u AS (SELECT symbol, bar_date, factor, value, forward FROM (SELECT symbol, bar_date, forward, unnest(['momentum_roc_5', 'return_vol_20', 'close_high_20', 'volume_ratio_10']) AS factor, unnest([momentum_roc_5, return_vol_20, close_high_20, volume_ratio_10]) AS value FROM f) WHERE value IS NOT NULL AND forward IS NOT NULL)"""
 
 
-def _long(spark: S, sf: str) -> D:
+def _long(spark: S, sf: str, gaps: bool = False) -> D:
     """The four factors that have SQL."""
     rows = bars(spark, sf)
     panel = factor_panel(rows, _SMALL, with_python=False).select("symbol", "bar_date", *_FACTORS)
     forward = rows.select("symbol", "bar_date", (F.lead("close", 5).over(W()) / F.col("close") - 1).alias("forward"))
-    return statistics.long_factors(panel.join(forward, ["symbol", "bar_date"]), _FACTORS, "forward")
+    return statistics.long_factors(panel.join(forward, ["symbol", "bar_date"]), _FACTORS, "forward", gaps=gaps)
 
 
 @query(f"WITH {_PANEL} SELECT symbol, bar_date, factor, round(value, 6) + 0.0 AS value, round(forward, 6) + 0.0 AS forward FROM u")
@@ -285,10 +285,14 @@ def information_coefficients(spark: S, sf: str) -> D:
     return rounded(statistics.information_coefficients(_long(spark, sf)), 5)
 
 
-@query(f"""WITH {_PANEL}, w AS (SELECT factor, CASE WHEN isnan(corr(value, forward) OVER x) THEN NULL ELSE corr(value, forward) OVER x END AS ic, count(*) OVER x AS n FROM u WINDOW x AS (PARTITION BY factor, symbol ORDER BY bar_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-SELECT factor, round(avg(ic), 4) + 0.0 AS ic_mean, round(stddev_samp(ic), 4) AS ic_std, round(avg(ic) / stddev_samp(ic), 4) + 0.0 AS ic_ir FROM w WHERE n = 20 GROUP BY factor""")
+@query(f"""WITH {_PANEL}, g AS (SELECT symbol, forward, unnest(['momentum_roc_5', 'return_vol_20', 'close_high_20', 'volume_ratio_10']) AS factor, unnest([momentum_roc_5, return_vol_20, close_high_20, volume_ratio_10]) AS value,
+  row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM f WHERE forward IS NOT NULL),
+x AS (SELECT factor, symbol, i + k AS t, value, forward FROM g, (SELECT unnest(range(20)) AS k) WHERE value IS NOT NULL AND i + k BETWEEN 20 AND n - 1),
+k AS (SELECT *, rank() OVER (PARTITION BY factor, symbol, t ORDER BY value) + (count(*) OVER (PARTITION BY factor, symbol, t, value) - 1) / 2 AS rv, rank() OVER (PARTITION BY factor, symbol, t ORDER BY forward) + (count(*) OVER (PARTITION BY factor, symbol, t, forward) - 1) / 2 AS rf FROM x),
+w AS (SELECT factor, symbol, t, CASE WHEN min(value) < max(value) AND min(forward) < max(forward) THEN corr(value, forward) END AS ic, CASE WHEN min(value) < max(value) AND min(forward) < max(forward) THEN corr(rv, rf) END AS rank_ic FROM k GROUP BY ALL HAVING count(*) >= 10)
+SELECT factor, {', '.join(f'round(avg({c}), 4) + 0.0 AS {c}_mean, round(stddev_samp({c}), 4) + 0.0 AS {c}_std, round(avg({c}) / (stddev_samp({c}) + 1e-10), 4) + 0.0 AS {c}_ir' for c in ('ic', 'rank_ic'))} FROM w GROUP BY factor""")
 def rolling_ic(spark: S, sf: str) -> D:
-    return rounded(statistics.rolling_ic(_long(spark, sf)), 4)
+    return rounded(statistics.rolling_ic(_long(spark, sf, gaps=True)), 4)
 
 
 @query(f"""WITH {_PANEL}, e AS (SELECT factor, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) AS e FROM u GROUP BY factor), g AS (SELECT factor, forward, len(list_filter(e, lambda x: x <= value)) + 1 AS b FROM u JOIN e USING (factor))
@@ -297,6 +301,14 @@ def group_returns(spark: S, sf: str) -> D:
     return rounded(statistics.group_returns(_long(spark, sf)), 5)
 
 
+@query(f"""WITH {_PANEL}, p AS (SELECT symbol, bar_date, factor, value, quantile_cont(value, 0.8) OVER (PARTITION BY symbol, bar_date) AS edge FROM (SELECT symbol, bar_date, unnest(['momentum_roc_5', 'return_vol_20', 'close_high_20', 'volume_ratio_10']) AS factor, unnest([momentum_roc_5, return_vol_20, close_high_20, volume_ratio_10]) AS value FROM f)),
+t AS (SELECT symbol, bar_date, coalesce(list(factor) FILTER (value >= edge), []) AS top FROM p GROUP BY ALL), b AS (SELECT *, lag(top) OVER (PARTITION BY symbol ORDER BY bar_date) AS before FROM t)
+SELECT symbol, bar_date, round(1 - len(list_intersect(top, before)) / (len(list_distinct(list_concat(top, before))) + 1e-10), 6) + 0.0 AS turnover FROM b WHERE before IS NOT NULL""")
+def turnover_of_four(spark: S, sf: str) -> D:
+    """Turnover among the factors that have SQL."""
+    return rounded(statistics.factor_turnover(factor_panel(bars(spark, sf), _SMALL, with_python=False), _FACTORS))
+
+
 @query()
 def factor_turnover(spark: S, sf: str) -> D:
     panel = factor_panel(bars(spark, sf))
@@ -306,12 +318,12 @@ def factor_turnover(spark: S, sf: str) -> D:
 # The reports over every factor of the library.  The queries above are the part of them that has SQL.
 
 
-def _long_all(spark: S, sf: str) -> D:
+def _long_all(spark: S, sf: str, gaps: bool = False) -> D:
     rows = bars(spark, sf)
     panel = factor_panel(rows).drop("close")
     factors = [c for c in panel.columns if c not in ("symbol", "bar_date")]
     forward = rows.select("symbol", "bar_date", (F.lead("close", 5).over(W()) / F.col("close") - 1).alias("forward"))
-    return statistics.long_factors(panel.join(forward, ["symbol", "bar_date"]), factors, "forward")
+    return statistics.long_factors(panel.join(forward, ["symbol", "bar_date"]), factors, "forward", gaps=gaps)
 
 
 @query()
@@ -326,7 +338,7 @@ def information_coefficients_all(spark: S, sf: str) -> D:
 
 @query()
 def rolling_ic_all(spark: S, sf: str) -> D:
-    return rounded(statistics.rolling_ic(_long_all(spark, sf)), 4)
+    return rounded(statistics.rolling_ic(_long_all(spark, sf, gaps=True)), 4)
 
 
 @query()

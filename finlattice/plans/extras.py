@@ -129,20 +129,38 @@ def rate_gate(spark: S, sf: str) -> D:
     return monitoring.gap_allowed(table(spark, sf, "events").select("user_id", "event_id", "ts"), key="user_id")
 
 
-@query("""SELECT p_partkey, concat_ws(';', '趋势=' || CASE WHEN p_size / 50 > 0.6 THEN '趋势增强' WHEN p_size / 50 < 0.4 THEN '均值回复' ELSE '随机游走' END,
-  CASE WHEN p_size % 5 > 0 THEN '复杂度=' || CASE WHEN p_retailprice % 2 < 1 THEN '低复杂度' WHEN p_retailprice % 2 > 1.5 THEN '高复杂度' ELSE '中等复杂度' END END,
-  CASE WHEN p_size % 7 = 0 THEN '周期=存在显著周期' END, '可预测性=' || CASE WHEN p_retailprice % 1 > 0.9 THEN '高' WHEN p_retailprice % 1 > 0.6 THEN '中' ELSE '低' END,
-  '风险=' || CASE WHEN p_size % 40 > 25 THEN '高' WHEN p_size % 40 > 15 THEN '中' ELSE '低' END, CASE WHEN p_size * 2 >= 70 THEN '技术信号=超买' WHEN p_size * 2 <= 30 THEN '技术信号=超卖' END) AS told,
-  concat_ws(';', CASE WHEN p_size / 50 > 0.55 AND p_retailprice % 1 > 0.85 THEN 'follow trend' WHEN p_size / 50 < 0.45 THEN 'mean reversion' ELSE 'observe' END,
-  CASE WHEN p_size % 5 > 0 AND p_retailprice % 2 > 1.5 THEN 'limit positions' END, CASE WHEN p_size * 2 >= 70 OR p_size * 2 <= 30 THEN 'oscillator extreme' END) AS advice FROM part""")
+_METRICS = """m AS (SELECT p_partkey, CASE WHEN p_partkey % 11 > 0 THEN p_size / 50 END AS h, CASE WHEN p_size % 5 > 0 THEN p_retailprice % 2 END AS e, CASE WHEN p_size % 7 = 0 THEN p_size END AS p, CASE WHEN p_partkey % 13 > 0 THEN p_retailprice % 1 END AS r,
+  CASE WHEN p_partkey % 17 > 0 THEN p_size % 40 END AS d, CASE WHEN p_partkey % 19 > 0 THEN p_size * 2 END AS o, CASE p_partkey % 4 WHEN 0 THEN '超买' WHEN 1 THEN '超卖' WHEN 2 THEN '中性' END AS g FROM part)"""
+
+
+def _metrics(spark: S, sf: str) -> D:
+    """Metrics that the parts stand in for, some of them missing."""
+    size, price, k = F.col("p_size"), F.col("p_retailprice"), F.col("p_partkey")
+    metrics = {"hurst": F.when(k % 11 > 0, size / 50), "sample_entropy": F.when(size % 5 > 0, price % 2), "period": F.when(size % 7 == 0, size), "r2": F.when(k % 13 > 0, price % 1), "max_drawdown": F.when(k % 17 > 0, -(size % 40) / 100), "rsi": F.when(k % 19 > 0, size * 2.0), "signal": F.when(k % 4 == 0, "超买").when(k % 4 == 1, "超卖").when(k % 4 == 2, "中性")}
+    return table(spark, sf, "part").select("p_partkey", *[c.alias(name) for name, c in metrics.items()])
+
+
+@query(f"""WITH {_METRICS}, t AS (SELECT *, list_filter([CASE WHEN h > 0.6 THEN '趋势=趋势增强=序列呈现趋势增强特征，价格走势具有持续性' WHEN h < 0.4 THEN '趋势=均值回复=序列呈现均值回复特征，价格倾向于向均值回归' WHEN h IS NOT NULL THEN '趋势=随机游走=序列接近随机游走，短期预测难度较大' END,
+  CASE WHEN e < 1 THEN '复杂度=低复杂度=序列复杂度较低，存在一定规律性和可预测性' WHEN e > 1.5 THEN '复杂度=高复杂度=序列复杂度较高，随机性强，预测难度大' WHEN e IS NOT NULL THEN '复杂度=中等复杂度=序列复杂度中等' END,
+  '周期=存在显著周期=主周期约 ' || p || '.0 天，可作为交易周期参考',
+  CASE WHEN r > 0.9 THEN '可预测性=高=ARIMA 拟合优度高，短期预测相对可靠' WHEN r > 0.6 THEN '可预测性=中=ARIMA 拟合一般，预测需谨慎参考' WHEN r IS NOT NULL THEN '可预测性=低=ARIMA 拟合较差，预测参考价值有限' END,
+  CASE WHEN d > 25 THEN '风险=高=最大回撤 ' || d || '.0%，风险较高' WHEN d > 15 THEN '风险=中=最大回撤 ' || d || '.0%，风险中等' ELSE '风险=低=最大回撤 ' || d || '.0%，相对可控' END,
+  CASE WHEN o >= 70 THEN '技术信号=超买=RSI 超买区域，短期可能回调' WHEN o <= 30 THEN '技术信号=超卖=RSI 超卖区域，短期可能反弹' END, CASE WHEN g <> '中性' THEN '技术信号=' || g || '=综合信号: ' || g END], lambda x: x IS NOT NULL) AS told,
+  list_filter([CASE WHEN h IS NULL OR r IS NULL THEN NULL WHEN h > 0.55 AND r > 0.85 THEN '趋势特征明显且模型拟合良好，建议采用趋势跟踪策略，可参考 ARIMA 预测方向辅助决策。' WHEN h < 0.45 THEN '均值回复特征明显，建议关注网格交易或均值回归策略，关注价格偏离均线的程度。' ELSE '序列接近随机，建议短线谨慎、中长期观察，结合基本面与技术面综合判断。' END,
+  CASE WHEN e > 1.5 THEN '高复杂度表明市场效率较高，量化模型预测优势有限，建议控制仓位与止损。' END, CASE WHEN o >= 70 OR o <= 30 THEN '当前 RSI 处于极值区，可结合超买超卖信号把握短期波动。' END], lambda x: x IS NOT NULL) AS advice FROM m),
+s AS (SELECT *, list_transform(told, lambda x: string_split(x, '=')[3]) AS summaries FROM t)
+SELECT p_partkey, array_to_string(told, ';') AS told, array_to_string(advice, ';') AS advice, CASE WHEN len(told) > 0 THEN array_to_string(summaries[1:5], ' ') ELSE '数据不足或分析未产出有效结论。' END || CASE WHEN len(advice) > 0 THEN ' 策略建议: ' || array_to_string(advice[1:2], ' ') ELSE '' END AS paragraph FROM s""")
 def report_conclusions(spark: S, sf: str) -> D:
-    """The rule table over metrics that the parts stand in for, some of them missing."""
-    size, price = F.col("p_size"), F.col("p_retailprice")
-    metrics = {"hurst": size / 50, "sample_entropy": F.when(size % 5 > 0, price % 2), "period": F.when(size % 7 == 0, size), "r2": price % 1, "max_drawdown": -(size % 40) / 100, "rsi": size * 2.0}
-    rows = risk.conclusions(table(spark, sf, "part").select("p_partkey", *[c.alias(name) for name, c in metrics.items()]))
-    advice = risk.suggestions(F.col("hurst"), F.col("sample_entropy"), F.col("r2"), F.col("rsi"))
-    told = F.transform("conclusions", lambda c: F.concat(c["category"], F.lit("="), c["interpretation"]))
-    return rows.select("p_partkey", F.array_join(told, ";").alias("told"), F.array_join(advice, ";").alias("advice"))
+    """The rule table over metrics, some of them missing, with summaries, suggestions and the paragraph made of them."""
+    rows = risk.conclusions(_metrics(spark, sf)).withColumn("advice", risk.suggestions(F.col("hurst"), F.col("sample_entropy"), F.col("r2"), F.col("rsi")))
+    told = F.transform("conclusions", lambda c: F.concat_ws("=", c["category"], c["interpretation"], c["summary"]))
+    return rows.select("p_partkey", F.array_join(told, ";").alias("told"), F.array_join("advice", ";").alias("advice"), risk.one_paragraph(F.col("conclusions"), F.col("advice")).alias("paragraph"))
+
+
+@query(f"""WITH {_METRICS} SELECT p_partkey, CASE WHEN r IS NULL THEN 'medium' WHEN r > 0.85 AND (e IS NULL OR e < 1.2) THEN 'high' WHEN r < 0.5 OR e IS NOT NULL AND e > 1.5 THEN 'low' ELSE 'medium' END AS predictability FROM m""")
+def predictability_rules(spark: S, sf: str) -> D:
+    """With and without an entropy and a fit."""
+    return _metrics(spark, sf).select("p_partkey", risk.predictability(F.col("r2"), F.col("sample_entropy")).alias("predictability"))
 
 
 _FUND = """WITH RECURSIVE {bars}, k AS (SELECT symbol, bar_date, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS i FROM bars),
