@@ -56,6 +56,20 @@ NEWS_INDUSTRIES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 
+# Tags of funds by the names of their holdings, and their words.
+HOLDING_TAGS: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("新能源", ("宁德时代", "比亚迪", "隆基绿能", "光伏", "储能", "锂电池", "新能源车")),
+    ("半导体", ("中芯国际", "北方华创", "立讯精密", "芯片", "半导体", "集成电路")),
+    ("医药", ("恒瑞医药", "药明康德", "迈瑞医疗", "医药", "医疗器械", "创新药")),
+    ("消费", ("贵州茅台", "五粮液", "伊利股份", "美的", "消费", "白酒", "食品")),
+    ("金融", ("中国平安", "招商银行", "兴业银行", "银行", "保险", "证券")),
+    ("互联网", ("腾讯", "阿里", "美团", "字节", "互联网", "软件")),
+    ("港股", ("腾讯控股", "阿里巴巴", "美团", "快手", "港股")),
+    ("银行", ("工商银行", "建设银行", "农业银行", "招商银行", "银行")),
+    ("军工", ("中国航发", "中航沈飞", "军工", "航天", "航空")),
+)
+
+
 def news_codes(spark: SparkSession) -> DataFrame:
     """(industry, industry_code) of the news industries."""
     return spark.createDataFrame([(name, f"I{i:03d}") for i, (name, _) in enumerate(NEWS_INDUSTRIES, 1)], "industry string, industry_code string")
