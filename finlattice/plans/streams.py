@@ -12,12 +12,11 @@ from .registry import SQL, query
 
 
 def _stream(spark: SparkSession, rows: DataFrame, ts: str, name: str, files: int = 4) -> DataFrame:
-    """rows as a stream of files, a file a batch, and at the end a row far later that moves the watermark past all others."""
+    """rows as a stream of files, a file a batch, and at the end a row far later that moves the watermark past all others and so is never given out."""
     folder = scratch_folder(spark, name)
     rows.repartitionByRange(files, ts).write.parquet(folder)
-    later = rows.agg((F.max(ts) + F.expr("INTERVAL 10000 DAYS")).alias(ts)).where(f"{ts} IS NOT NULL")
-    empty = spark.createDataFrame([], rows.schema).select(*[c for c in rows.columns if c != ts])
-    later.join(empty, F.lit(False), "left").select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
+    later = rows.orderBy(F.desc(ts)).limit(1).withColumn(ts, F.col(ts) + F.expr("INTERVAL 10000 DAYS"))
+    later.coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(folder)
 
 
@@ -32,8 +31,7 @@ def stream_rate_gate(spark: SparkSession, sf: str) -> DataFrame:
     """The rate gate as a stream: the rows of rate_gate."""
     events = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     gated = state.gate_stream(_stream(spark, events, "ts", "gate-runs"), "user_id", late="400 days")
-    found = _read_back(spark, gated, "gate").where("event_id IS NOT NULL")
-    return found.select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return _read_back(spark, gated, "gate").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(f"""WITH {BARS}, l AS (SELECT symbol, bar_date AS predict_date, open < close AS rises, close AS start_price, lead(close, 5) OVER w AS end_price, lead(bar_date, 5) OVER w AS actual_date FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date))
@@ -45,5 +43,5 @@ def stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     back = "LAG({}, 5) OVER (PARTITION BY symbol ORDER BY bar_date)"
     known = rows.select("symbol", F.expr(back.format("bar_date")).alias("predict_date"), F.col("made_at").alias("known_at"), F.col("close").alias("end_price")).where("predict_date IS NOT NULL")
     met = state.met_outcomes(_stream(spark, predicted, "made_at", "predictions"), _stream(spark, known, "known_at", "outcomes"), late="4000 days", how="leftOuter")
-    found = _read_back(spark, met, "met").where("predict_date IS NOT NULL")
+    found = _read_back(spark, met, "met")
     return rounded(found.select("symbol", "predict_date", "rises", (F.col("end_price") / F.col("start_price") - 1).alias("actual_magnitude"), F.to_date("known_at").alias("actual_date")))
