@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import market, monitoring, risk, series, statistics
 from ..operators.factors import Periods, factor_panel
-from ..operators.recurrence import with_recurrences
+from ..operators.recurrence import spread_recurrences, with_recurrences
 from .inputs import AS_OF, BARS, RETURNS, bars, r, rounded, table
 from .registry import query
 from .relational import OUTCOMES, predictions
@@ -172,6 +172,13 @@ def recurrences(spark: S, sf: str) -> D:
     return rounded(out.select("symbol", "bar_date", "ema_12", "rsi_14", "macd", "macd_signal"), 3)
 
 
+@query(_EMA.format(bars=BARS))
+def recurrences_spread(spark: S, sf: str) -> D:
+    """The same numbers with each symbol's history dealt over several tasks."""
+    out = spread_recurrences(bars(spark, sf), emas=(12,), parts=24)
+    return rounded(out.select("symbol", "bar_date", "ema_12", "rsi_14", "macd", "macd_signal"), 3)
+
+
 _RISK = f"""{RETURNS}, p AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY bar_date ROWS UNBOUNDED PRECEDING) AS peak FROM r),
 a AS (SELECT symbol, count(*) AS n, min_by(close, bar_date) AS f, max_by(close, bar_date) AS l, stddev_samp(ret) AS sd, stddev_samp(ret) FILTER (ret < 0) AS dn, min((close - peak) / peak) AS dd,
   avg(CASE WHEN ret IS NOT NULL THEN CAST(ret > 0 AS INTEGER) END) AS wr, avg(ret) FILTER (ret > 0) AS gn, avg(ret) FILTER (ret < 0) AS ls FROM p GROUP BY symbol),
