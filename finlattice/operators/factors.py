@@ -19,6 +19,7 @@ from .series import change, fill, last, running_sum, true_range, typical, window
 TINY = 1e-10
 
 
+# The periods of the factor library, which its column names are made of.
 @dataclass(frozen=True)
 class Periods:
     rsi: tuple[int, ...] = (5, 6, 8, 10, 12, 14, 16, 20, 24)

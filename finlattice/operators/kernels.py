@@ -165,17 +165,60 @@ def dtw_path(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[flo
     return float(cost[len(a), len(b)]), path[::-1]
 
 
-def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[float, int]:
-    """Distance and path length."""
-    distance, path = dtw_path(a, b, band)
-    return distance, len(path)
+def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None, most: float = math.inf) -> tuple[float, int]:
+    """Distance and path length, as dtw_path() has them, from two anti-diagonals at a time; infinite and 0 beyond `most`."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return math.inf, 0
+    back, ahead = b[::-1], np.full(n + 1, np.inf)
+    two, one = ahead.copy(), ahead.copy()  # the costs of the diagonals s - 2 and s - 1, by place in a
+    two[0] = 0
+    two_steps, one_steps = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for s in range(2, n + m + 1):
+        low, high = max(1, s - m), min(n, s - 1)
+        if band is not None:
+            low, high = max(low, (s - band + 1) // 2), min(high, (s + band) // 2)
+        now, steps = ahead.copy(), np.zeros(n + 1, np.int64)
+        if low <= high:
+            diagonal, up, left = two[low - 1 : high], one[low - 1 : high], one[low : high + 1]
+            straight, above = (diagonal <= up) & (diagonal <= left), up <= left
+            now[low : high + 1] = np.abs(a[low - 1 : high] - back[m - s + low : m - s + high + 1]) + np.minimum(np.minimum(diagonal, up), left)
+            steps[low : high + 1] = 1 + np.where(straight, two_steps[low - 1 : high], np.where(above, one_steps[low - 1 : high], one_steps[low : high + 1]))
+        if most < math.inf and s % 8 == 0 and min(now.min(), one.min()) > most:
+            return math.inf, 0  # each path passes one of two diagonals in a row
+        two, one, two_steps, one_steps = one, now, one_steps, steps
+    return (float(one[n]), int(one_steps[n])) if np.isfinite(one[n]) and one[n] <= most else (math.inf, 0)
+
+
+def least_distances(target: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A lower bound of the distance of each window: what lies beyond the other's range has to be bridged, and the ends meet."""
+    low, high = windows.min(axis=1, keepdims=True), windows.max(axis=1, keepdims=True)
+    own = (np.maximum(target - high, 0) + np.maximum(low - target, 0)).sum(axis=1)
+    other = (np.maximum(windows - target.max(), 0) + np.maximum(target.min() - windows, 0)).sum(axis=1)
+    ends = np.abs(windows[:, 0] - target[0]) + (np.abs(windows[:, -1] - target[-1]) if windows.shape[1] > 1 else 0)
+    return np.maximum(np.maximum(own, other), ends) * (1 - 1e-12)
 
 
 def similar_patterns(target: np.ndarray, series: np.ndarray, top: int = 5, step: int = 1) -> list[tuple]:
-    """(rank, begin, distance) of the windows of a series that warp best onto the target."""
+    """(rank, begin, distance) of the windows of a series that warp best onto the target.
+
+    Windows are tried from the least lower bound up, and given up where they exceed the worst of the best.
+    """
     length, t = len(target), normalised(target)
-    found = sorted((dtw(t, normalised(series[i : i + length]))[0], i) for i in range(0, len(series) - length + 1, step))
-    return [(r, i, d) for r, (d, i) in enumerate(found[:top], 1)]
+    begins = np.arange(0, len(series) - length + 1, step)
+    if not begins.size:
+        return []
+    windows = np.array([normalised(series[i : i + length]) for i in begins.tolist()])
+    bounds = least_distances(t, windows)
+    found: list[tuple[float, int]] = []
+    for k in np.argsort(bounds, kind="stable").tolist():
+        most = found[top - 1][0] if len(found) >= top else math.inf
+        if bounds[k] > most:
+            break
+        distance, _ = dtw(t, windows[k], most=most)
+        if distance < math.inf:
+            found = sorted([*found, (distance, int(begins[k]))])[:top]
+    return [(r, i, d) for r, (d, i) in enumerate(found, 1)]
 
 
 def similarity_level(distance: float) -> str:

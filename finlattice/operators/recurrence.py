@@ -161,7 +161,7 @@ def spread_recurrences(df: DataFrame, price: str = "close", emas: tuple[int, ...
     return rows.groupBy(key, own).cogroup(begins.groupBy(key, own)).applyInPandas(finish, schema)
 
 
-#: The columns of fund_features(), in the order of its sequences.
+# The columns of fund_features(), in the order of its sequences.
 FUND_FEATURES = ("return", "rsi", "macd", "macd_signal", "macd_hist", "bb_position", "volatility", "ma_ratio_5_20")
 
 

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars: an order priority is a symbol, an order a trade."""
+    """Daily bars: an order priority is a symbol, an order a price of its day."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("bar_date"), "o_orderkey", F.col("o_totalprice").alias("p"))
     return o.groupBy("symbol", "bar_date").agg(F.min_by("p", "o_orderkey").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o_orderkey").alias("close"), F.count("*").cast("double").alias("volume"), F.round(F.sum("p"), 2).alias("amount"))
 

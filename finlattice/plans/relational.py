@@ -144,6 +144,13 @@ def upsert_some_columns(spark: S, sf: str) -> D:
     return sinks.upsert(_stored(spark, sf), _batch(spark, sf), ["k"], columns=["price"])
 
 
+@query(f"WITH {_PAIR}, z AS (SELECT k, status, nullif(CASE WHEN k % 3 = 0 THEN 0 ELSE price END, 0) AS price FROM b) SELECT k, CASE WHEN z.k IS NULL THEN s.status ELSE z.status END AS status, CASE WHEN z.k IS NULL THEN s.price ELSE z.price END AS price FROM s FULL JOIN z USING (k)")
+def upsert_values(spark: S, sf: str) -> D:
+    """Every third value of the batch is 0, which is put in as missing."""
+    batch = _batch(spark, sf).withColumn("price", F.when(F.col("k") % 3 == 0, 0.0).otherwise(F.col("price")))
+    return sinks.upsert(_stored(spark, sf), sinks.without_zeros(batch, ["price"]), ["k"])
+
+
 @query(f"WITH {_PAIR} SELECT * FROM s UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM s)")
 def insert_ignore(spark: S, sf: str) -> D:
     batch = _batch(spark, sf).withColumn("seq", F.col("k"))

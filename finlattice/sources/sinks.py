@@ -46,6 +46,11 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], columns: list[s
     return joined.select(*[(F.coalesce(f"o.{c}", f"n.{c}") if c in keys else value(c)).alias(c) for c in stored.columns])
 
 
+def without_zeros(batch: DataFrame, columns: list[str]) -> DataFrame:
+    """Values as a fund's or index's rows are put in: 0 stands for one that is missing."""
+    return batch.withColumns({c: F.when(F.col(c) != 0, F.col(c)) for c in columns})
+
+
 def insert_ignore(stored: DataFrame, batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Stored rows and those of the batch with new keys; of a key's batch rows the first counts."""
     w = Window.partitionBy(*keys).orderBy(seq)

@@ -77,3 +77,29 @@ def test_ema_and_rsi():
     line, signal, hist = rec.macd(WALK)
     assert np.allclose(line - signal, hist)
     assert pd.Series(rec.rsi(WALK)).dropna().between(0, 100).all()
+
+
+def test_dtw_by_diagonals_is_the_path():
+    r = np.random.default_rng(8)
+    for n, m, band in ((1, 1, None), (5, 9, None), (9, 5, None), (30, 30, None), (17, 23, 8), (17, 23, 3), (20, 20, 0), (1, 7, None)):
+        for digits in (0, 1, 6):  # few digits: many ties
+            a, b = np.round(r.standard_normal(n), digits), np.round(r.standard_normal(m), digits)
+            distance, path = k.dtw_path(a, b, band)
+            assert k.dtw(a, b, band) == (distance, len(path))
+            if distance < math.inf:
+                assert k.dtw(a, b, band, most=distance) == (distance, len(path)) and k.dtw(a, b, band, most=distance - 0.01) == (math.inf, 0)
+    assert k.dtw(np.zeros(0), np.zeros(3)) == (math.inf, 0)
+
+
+def test_patterns_by_trying_every_window():
+    r = np.random.default_rng(9)
+    series = np.cumsum(r.standard_normal(300))
+    series[40:60], series[100:120] = series[-20:], 1.0
+    for target in (series[-20:], np.ones(20), np.arange(20.0)):
+        t = k.normalised(target)
+        every = sorted((k.dtw(t, k.normalised(series[i : i + 20]))[0], i) for i in range(0, 281, 3))
+        got = k.similar_patterns(target, series, top=7, step=3)
+        assert [(d, i) for _, i, d in got] == every[:7] and [x[0] for x in got] == list(range(1, 8))
+        windows = np.array([k.normalised(series[i : i + 20]) for i in range(281)])
+        assert (k.least_distances(t, windows) <= [k.dtw(t, w)[0] for w in windows]).all()
+    assert k.similar_patterns(np.ones(5), np.ones(3)) == []
