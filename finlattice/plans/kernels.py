@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import arima, kernels, ml, series
+from ..operators import arima, explain, kernels, ml, series
 from ..operators.factors import factor_panel
 from ..scratch import scratch_folder, written
 from ..streaming import events
@@ -130,6 +130,16 @@ def ensemble_holdout(spark: S, sf: str) -> D:
     return ml.holdout_metrics(test.withColumn("p", ml.weighted(list(models), weights)))
 
 
+@query()
+def shapley_importance(spark: S, sf: str) -> D:
+    """Which factors move a forest's probabilities on the later rows: mean Shapley values of every factor of the library."""
+    rows = bars(spark, sf)
+    panel = written(ml.labelled_panel(factor_panel(rows).drop("close"), rows), "factor-panel")
+    train, test = ml.chronological_split(panel)
+    features = [c for c in panel.columns if c not in ("symbol", "bar_date", "forward", "label")]
+    return explain.importance(ml.train_forest(train, features, trees=20, depth=6), test, features)
+
+
 _WINDOWS = """SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL"""
 
 
