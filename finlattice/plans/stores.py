@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import scratch_folder
-from ..sources import store
-from .inputs import table
+from ..sources import payloads, store
+from .inputs import BARS, bars, table
 from .registry import query
 
 KEYS = ["customer", "day", "id"]
@@ -100,3 +100,20 @@ def store_keep_latest(spark: SparkSession, sf: str) -> DataFrame:
     held.keep_latest("second", "id", 2)
     held.keep_latest("second", "id", 2)
     return held.rows()
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_date, open, high, low, close, volume FROM bars WHERE bar_date BETWEEN DATE '1996-03-01' AND DATE '1999-12-31'")
+def payload_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars as payload files of two places, read back through the data source, the dates clamped; the first place lacks some symbols."""
+    spark.dataSource.register(payloads.PayloadSource)
+    base, rows = scratch_folder(spark, "payloads"), bars(spark, sf).withColumn("name", F.translate("symbol", " ", "_"))
+    record = F.struct("bar_date", "open", "high", "low", "close", "volume", F.col("symbol").alias("called"))
+    texts = rows.groupBy("name").agg(F.to_json(F.array_sort(F.collect_list(record))).alias("value"))  # one symbol's history
+    places = []
+    for place, held in (("first", texts.where("name < '3'")), ("second", texts)):
+        held.repartition("name").write.partitionBy("name").text(f"{base}/{place}")
+        places.append(f"{base}/{place}")
+    names = [r[0] for r in texts.select("name").distinct().collect()]  # a row a symbol
+    source = spark.read.format("payloads").options(places=";".join(places), symbols=",".join(sorted(names)), file="name={symbol}", start="19960301", end="1999-12-31")
+    found = source.schema("called string, bar_date date, open double, high double, low double, close double, volume double").load()
+    return found.withColumnRenamed("called", "symbol")
