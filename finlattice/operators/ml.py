@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +114,72 @@ def _grid(parts: int, total: int) -> list[tuple[int, ...]]:
     return [(x, *rest) for x in range(total, -1, -1) for rest in _grid(parts - 1, total - x)]
 
 
+def on_simplex(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The nearest point with sum 1 between the bounds: all values moved by one amount and cut off, found by halving."""
+    a, b = (v - high).min() - 1, (v - low).max() + 1
+    for _ in range(200):
+        c = (a + b) / 2
+        a, b = (c, b) if np.clip(v - c, low, high).sum() > 1 else (a, c)
+    return np.clip(v - (a + b) / 2, low, high)
+
+
+def _quadratic_step(w: np.ndarray, g: np.ndarray, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The point of the simplex with the least g (x - w) + (x - w) h (x - w) / 2, by projected gradients with momentum."""
+    rate = 1 / max(np.linalg.eigvalsh(h)[-1], 1e-12)
+    x = y = w
+    t = 1.0
+    for _ in range(5000):
+        new = on_simplex(y - rate * (g + h @ (y - w)), low, high)
+        if (y - new) @ (new - x) > 0:
+            t = 1.0  # momentum led uphill
+        t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        x, y, moved = new, new + (last - 1) / t * (new - x), np.abs(new - x).max()
+        if moved < 1e-13:
+            break
+    return x
+
+
+def simplex_weights(df: DataFrame, names: list[str], label: str = "label", low: float = 0.0, high: float = 1.0, rounds: int = 50, least: float = 1e-9) -> tuple[list[float], float]:
+    """Weights between the bounds with sum 1 of least mean log loss, and that loss, by sequential quadratic programming.
+
+    The loss is convex in the weights.  Each round is one job that adds up loss, gradient and Hessian: as
+    many numbers as pairs of models, whatever the rows.  Probabilities are kept `least` off 0 and 1; rows
+    with a missing value are left out, and without rows all weigh alike.
+    """
+    k = len(names)
+    if not k * low <= 1 <= k * high:
+        raise ValueError(f"no {k} weights between {low} and {high} add up to 1")
+    bounds = np.full(k, low), np.full(k, high)
+    rows = df.dropna("any", subset=[*names, label]).select(F.col(label).cast("double").alias("y"), *[F.greatest(F.lit(least), F.least(F.lit(1 - least), F.col(n).cast("double"))).alias(f"p{i}") for i, n in enumerate(names)])
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        p = reduce(lambda a, b: a + b, [F.col(f"p{i}") * float(x) for i, x in enumerate(w)])
+        y = F.col("y")
+        first = -(y / p) + (1 - y) / (1 - p)
+        second = y / (p * p) + (1 - y) / ((1 - p) * (1 - p))
+        cells = [(i, j) for i in range(k) for j in range(i + 1)]
+        loss = F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))
+        found = rows.agg(loss, *[F.avg(first * F.col(f"p{i}")) for i in range(k)], *[F.avg(second * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in cells]).first()
+        h = np.zeros((k, k))
+        for (i, j), v in zip(cells, found[1 + k :], strict=True):
+            h[i, j] = h[j, i] = v or 0.0
+        return (math.nan if found[0] is None else found[0]), np.array([v or 0.0 for v in found[1 : 1 + k]]), h
+
+    w = on_simplex(np.full(k, 1 / k), *bounds)
+    loss, g, h = at(w)
+    for _ in range(rounds if loss == loss else 0):
+        step = _quadratic_step(w, g, h + 1e-12 * np.eye(k), *bounds) - w
+        if -(g @ step) < 1e-12:
+            break
+        size = 1.0
+        while (new := at(w + size * step))[0] > loss + 1e-4 * size * (g @ step) and size > 1e-6:
+            size /= 2
+        if new[0] >= loss:
+            break
+        w, (loss, g, h) = w + size * step, new
+    return w.tolist(), loss
+
+
 def stack(train: DataFrame, trainers: list, features: list[str], n: int = 5):
     """A logistic model on out-of-fold probabilities of the base models, and the base models on all rows."""
     from pyspark.ml.classification import LogisticRegression

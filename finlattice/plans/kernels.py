@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arima, explain, kernels, ml, series
 from ..operators.factors import factor_panel
+from ..operators.recurrence import with_recurrences
 from ..scratch import scratch_folder, written
 from ..streaming import events
 from .inputs import RETURNS, bars, rounded, table
@@ -140,6 +141,17 @@ def shapley_importance(spark: S, sf: str) -> D:
     return explain.importance(ml.train_forest(train, features, trees=20, depth=6), test, features)
 
 
+@query()
+def ensemble_weights(spark: S, sf: str) -> D:
+    """Weights of three plain forecasts of the next close's direction: oscillator, trend, and even odds."""
+    w = series.window("symbol", "bar_date")
+    rows = bars(spark, sf).withColumn("label", (F.lead("close").over(w) > F.col("close")).cast("double")).select("symbol", "bar_date", "label")
+    told = with_recurrences(bars(spark, sf)).join(rows, ["symbol", "bar_date"])
+    forecasts = {"oscillator": 1 - F.col("rsi_14") / 100, "trend": F.when(F.col("macd_hist") > 0, 0.6).otherwise(0.4), "even": F.lit(0.5)}
+    weights, loss = ml.simplex_weights(written(told.select("label", *[c.alias(n) for n, c in forecasts.items()]), "forecasts"), list(forecasts))
+    return spark.createDataFrame([(n, x, loss) for n, x in zip(forecasts, weights, strict=True)], "forecast string, weight double, loss double")
+
+
 _WINDOWS = """SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL"""
 
 
