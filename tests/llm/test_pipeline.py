@@ -94,7 +94,7 @@ def test_stages(spark):
 
 def test_registered():
     names = registry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.QUERIES) < set(names) and "pipeline" in names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(queries.QUERIES) < set(names) and "pipeline" in names
 
 
 def test_scratch_goes_with_its_stage(spark, tmp_path, monkeypatch):
