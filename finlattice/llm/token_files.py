@@ -44,6 +44,8 @@ HEAD = struct.Struct("<8sIIIIQIII")
 DOCUMENT = np.dtype([("id", "<i8"), ("n", "<u4"), ("flags", "u1")])
 FIRST, LAST, NO_ID = 1, 2, 4
 CACHE = 250_000
+#: Bytes of text that are tokenised at a time: the more, the fewer words are looked up again.
+SLICE = 2 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -171,7 +173,7 @@ def tokenise(docs: DataFrame, path: str, end: int | None, id_: str = "doc_id", t
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
             column = plain(batch.column(1))
-            for a, b in slices(column):
+            for a, b in slices(column, SLICE):
                 ids, many = t.encode(column[a:b])
                 if end is not None:
                     ids = np.insert(ids, np.cumsum(many), end)
