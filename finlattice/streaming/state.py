@@ -42,14 +42,10 @@ class Gate(StatefulProcessor):
         self.waiting = handle.getListState("waiting", RUN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            for row in batch.itertuples(index=False):
-                time = int(row.micros)
-                self.waiting.appendValue((row.row, time, int(row.tie)))
-                first = time if first is None else min(first, time)
-        if first is not None:
-            self.handle.registerTimer(first // 1000)
+        runs = [run for batch in rows for run in zip(batch["row"].tolist(), batch["micros"].tolist(), batch["tie"].tolist(), strict=True)]
+        if runs:  # in one call: each call on the state is a message to the JVM and back
+            self.waiting.appendList(runs)
+            self.handle.registerTimer(min(time for _, time, _ in runs) // 1000)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -81,3 +81,25 @@ def test_state_is_cleared(spark, tmp_path):
         q.awaitTermination()
         held.append(q.lastProgress.stateOperators[0].numRowsTotal)
     assert max(held) < 100 and spark.read.schema(PREDICTED).parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_gate_appends_a_batch_in_one_call():
+    """A key's runs go to its state together: the calls don't grow with the runs."""
+    import pandas as pd
+
+    calls, timers = [], []
+
+    class Runs:
+        def appendList(self, runs):
+            calls.append(runs)
+
+        def appendValue(self, run):
+            calls.append([run])
+
+    gate = state.Gate(1, 4)
+    gate.waiting = Runs()
+    gate.handle = type("Handle", (), {"registerTimer": staticmethod(timers.append)})
+    batches = [pd.DataFrame({"row": [f"{i}" for i in part], "micros": [i * 1000 for i in part], "tie": [7] * len(part)}) for part in (range(500, 900), range(100, 500))]
+    for out in gate.handleInputRows((1,), iter(batches), None):
+        assert out.empty
+    assert len(calls) == 1 and len(calls[0]) == 800 and calls[0][400] == ("100", 100_000, 7) and timers == [100]
